@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, WindowSpec
+from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
 
 from ..constants import MAX_INTERPOLATION_FRAMES
@@ -227,7 +227,3 @@ def local_peaks(
     higher = (v >= F.lag(v).over(w)) & (v >= F.lead(v).over(w))
     return own_rows(with_halo(df, 1, rows=rows).withColumn(out, F.coalesce(higher, F.lit(False))))
 
-
-def ordered_window(keys: Sequence[str], order: str) -> WindowSpec:
-    """Plain window for groups whose size is bounded by construction."""
-    return Window.partitionBy(*keys).orderBy(order)

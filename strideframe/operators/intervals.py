@@ -8,8 +8,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -156,8 +154,8 @@ def merge_without_return(
     )
 
 
-# A chain of peaks closer than the gap is resolved in one task up to this size.
-CHAIN_LIMIT = 100_000
+# A chain of peaks closer than the gap is folded in one row up to this size.
+CHAIN_LIMIT = 5_000
 
 
 def suppress_neighbours(
@@ -166,35 +164,37 @@ def suppress_neighbours(
 ) -> DataFrame:
     """Greedy selection by falling score (then frame), none nearer than ``gap`` frames.
 
-    Candidates further apart never interact, so each key falls into chains. Short
-    chains are resolved per chain; longer ones by rounds in which every candidate
-    that beats all its neighbours is kept and its neighbours are dropped.
+    Candidates further apart never interact, so each key falls into chains. Lone
+    candidates stay as they are and short chains are folded per chain; longer chains
+    are resolved by rounds in which every candidate that beats all its neighbours is
+    kept and its neighbours are dropped. ``gap`` is constant per key.
     """
     keys = list(keys)
     lagged = carry(df, keys, frame, {"_before": Carry("lag", F.col(frame))}, block)
     opens = (F.col("_before").isNull() | (F.col(frame) - F.col("_before") >= F.col(gap))).cast("bigint")
-    flagged = lagged.withColumn("_opens", opens).drop("_before")
-    chained = materialize(carry(flagged, keys, frame, {"_chain": Carry("sum", F.col("_opens"))}, block).drop("_opens"))
+    flagged = materialize(lagged.withColumn("_opens", opens).drop("_before"))
+    chained = carry(flagged, keys, frame, {"_chain": Carry("sum", F.col("_opens"))}, block).drop("_opens")
     sizes = chained.groupBy(*keys, "_chain").agg(F.count("*").alias("_size"))
-    sized = chained.join(sizes, [*keys, "_chain"])
+    sized = materialize(chained.join(sizes, [*keys, "_chain"]))
     columns = df.columns
 
-    def greedy(pdf: pd.DataFrame) -> pd.DataFrame:
-        order = np.lexsort((pdf[frame].to_numpy(), -pdf[score].to_numpy()))
-        frames, gaps = pdf[frame].to_numpy(), pdf[gap].to_numpy()
-        free, kept = np.ones(len(pdf), bool), []
-        for i in order:
-            if free[i]:
-                kept.append(i)
-                free &= np.abs(frames - frames[i]) >= gaps[i]
-        return pdf.iloc[sorted(kept)][columns]
-
-    short = sized.where(F.col("_size") <= chain_limit).drop("_size")
-    picked = short.groupBy(*keys, "_chain").applyInPandas(greedy, df.schema)
-    if sizes.where(F.col("_size") > chain_limit).isEmpty():
-        return picked
+    by_rank = F.struct((-F.col(score)).alias("s"), F.col(frame).alias("f"), F.struct(*columns).alias("row"))
+    ranked = (
+        sized.where((F.col("_size") > 1) & (F.col("_size") <= chain_limit))
+        .groupBy(*keys, "_chain")
+        .agg(F.sort_array(F.collect_list(by_rank)).alias("_all"), F.max(gap).alias("_gap"))
+    )
+    none = F.slice("_all", 1, 0)
+
+    def admit(kept: Column, c: Column) -> Column:
+        crowded = F.exists(kept, lambda k: F.abs(k["f"] - c["f"]) < F.col("_gap"))
+        return F.when(crowded, kept).otherwise(F.concat(kept, F.array(c)))
+
+    folded = ranked.select(F.explode(F.aggregate("_all", none, admit)).alias("_k")).select("_k.row.*")
+    lone = sized.where("_size = 1")
+    picked = lone.select(*columns).unionByName(folded.select(*columns))
     long = sized.where(F.col("_size") > chain_limit).select(*columns)
-    return picked.unionByName(_rounds(long, keys, frame, score, gap))
+    return picked if long.isEmpty() else picked.unionByName(_rounds(long, keys, frame, score, gap))
 
 
 def _rounds(df: DataFrame, keys: list[str], frame: str, score: str, gap: str) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..constants import BANDWIDTHS_SW, CELL_SIZE_SW, COVERAGES, GRID_MARGIN_SW, HANDS, KERNEL_TRUNCATE, PHASES, SCORE_FLOOR
-from ..session import materialize
+from ..session import materialize, spread
 from ..sources.schemas import assert_rows
 
 # Largest total table shipped to every worker; beyond it totals are shuffled to the videos.
@@ -186,15 +186,15 @@ def leave_one_video_out(
             return evaluate(pdf, *cache[group])
 
         # Sorting by group happens inside the grouped map, so a group's grid is built once per run of keys.
-        logs = held.groupBy(*groups, video).applyInPandas(from_broadcast, schema)
+        logs = spread(held, *groups, video).groupBy(*groups, video).applyInPandas(from_broadcast, schema)
     else:
-        spread = total.join(cycles.select(*groups, video), groups)
-        spread = spread.toDF(*spread.columns)  # fresh column identities for the cogroup
+        copies = total.join(cycles.select(*groups, video), groups)
+        copies = copies.toDF(*copies.columns)  # fresh column identities for the cogroup
 
         def from_shuffle(key, own, everything):
             return evaluate(own, *dense(everything)) if len(own) else pd.DataFrame(columns=[*groups, video, "ix", "iy", "logd"])
 
-        logs = held.groupBy(*groups, video).cogroup(spread.groupBy(*groups, video)).applyInPandas(from_shuffle, schema)
+        logs = held.groupBy(*groups, video).cogroup(copies.groupBy(*groups, video)).applyInPandas(from_shuffle, schema)
 
     scored = cells.join(logs, [*groups, video, "ix", "iy"]).groupBy(*groups, video, cycle).agg(
         *[F.sum(F.col("w") * F.col("logd")[b]).alias(f"s{b}") for b in range(count)]
@@ -282,7 +282,7 @@ def fitted_density(cells: DataFrame, groups: Sequence[str], video: str, cycle: s
             out[name] = value
         return out[[*groups, "ix", "iy", "mass"]]
 
-    return summed.groupBy(*groups).applyInPandas(smooth, f"{fields}, ix int, iy int, mass double")
+    return spread(summed, *groups).groupBy(*groups).applyInPandas(smooth, f"{fields}, ix int, iy int, mass double")
 
 
 def hdr_thresholds(mass: DataFrame, groups: Sequence[str], coverages: Sequence[float] = COVERAGES) -> DataFrame:

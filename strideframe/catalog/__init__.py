@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("series_queries", "interval_queries", "session_queries", "density_queries")
+MODULES = ("series_queries", "interval_queries", "session_queries", "density_queries", "propulsion_queries")
 
 
 def _merged(attribute: str) -> dict:

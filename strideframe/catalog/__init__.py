@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("series_queries", "interval_queries", "session_queries", "density_queries", "propulsion_queries")
+MODULES = (
+    "series_queries", "interval_queries", "session_queries", "density_queries",
+    "propulsion_queries", "stats_queries", "model_queries",
+)
 
 
 def _merged(attribute: str) -> dict:

@@ -12,8 +12,10 @@ from pyspark.sql import functions as F
 from ..functions.windowmath import spectrum
 from ..session import materialize, spread
 
-# Longest series whose transform is done in one task.
+# Longest series whose transform is done in one task, and longest that is sent as one
+# array so that many are transformed together.
 WHOLE_ROWS = 1 << 20
+ARRAY_ROWS = 1 << 10
 
 
 def series_spectrum(df: DataFrame, keys: Sequence[str], sizes: DataFrame, size_key: str, *, limit: int = WHOLE_ROWS) -> DataFrame:
@@ -31,13 +33,29 @@ def series_spectrum(df: DataFrame, keys: Sequence[str], sizes: DataFrame, size_k
         e, d, c = spectrum(x[None, :], pdf.fps.to_numpy()[:1])[0]
         return pd.DataFrame([[*key, e, d, c]], columns=[*keys, "total_energy", "dominant_freq", "centroid"])
 
+    def stacked(batches):
+        for pdf in batches:
+            out = np.zeros((len(pdf), 3))
+            lengths = pdf.x.map(len).to_numpy()
+            for n in np.unique(lengths):
+                at = np.flatnonzero(lengths == n)
+                out[at] = spectrum(np.stack(pdf.x.iloc[at].to_list()).astype(float), pdf.fps.to_numpy()[at])
+            yield pd.concat([pdf[keys].reset_index(drop=True), pd.DataFrame(out, columns=names)], axis=1)
+
+    names = ["total_energy", "dominant_freq", "centroid"]
+    schema = f"{fields}, total_energy double, dominant_freq double, centroid double"
+    longest = sizes.agg(F.max("n")).first()[0] or 0
+    small = min(limit, ARRAY_ROWS)
+    packed = rows.where(F.col("n") <= small).groupBy(*keys, "fps").agg(F.array_sort(F.collect_list(F.struct("pos", "x"))).alias("_a"))
+    out = spread(packed.select(*keys, "fps", F.col("_a.x").alias("x")), *keys).mapInPandas(stacked, schema)
+    if longest > small:
+        middle = rows.where((F.col("n") > small) & (F.col("n") <= limit))
+        out = out.unionByName(spread(middle, *keys).groupBy(*keys).applyInPandas(whole, schema))
     # NaN never equals a number: a missing series has missing energy but zero frequencies.
-    short = spread(rows.where(F.col("n") <= limit), *keys).groupBy(*keys).applyInPandas(
-        whole, f"{fields}, total_energy double, dominant_freq double, centroid double"
-    ).withColumn("total_energy", F.when(~F.isnan("total_energy"), F.col("total_energy")))
-    if sizes.where(F.col("n") > limit).isEmpty():
-        return short
-    return short.unionByName(_long_spectrum(rows.where(F.col("n") > limit), keys, limit))
+    out = out.withColumn("total_energy", F.when(~F.isnan("total_energy"), F.col("total_energy")))
+    if longest > limit:
+        out = out.unionByName(_long_spectrum(rows.where(F.col("n") > limit), keys, limit))
+    return out
 
 
 def _long_spectrum(rows: DataFrame, keys: list[str], limit: int) -> DataFrame:

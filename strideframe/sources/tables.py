@@ -73,7 +73,8 @@ def read_manual_boundaries(spark: SparkSession, path: str) -> DataFrame:
     pairs = text.select(F.explode(F.from_json("value", "map<string,array<double>>", {"mode": "FAILFAST"})).alias("v", "frames"))
     if pairs.isEmpty():
         raise ValueError("the manual-boundaries JSON must be a non-empty object")
-    return pairs.select(boundary_video_id(F.col("v")).alias("video_id"), F.explode("frames").cast("bigint").alias("frame"))
+    frames = pairs.select(boundary_video_id(F.col("v")).alias("video_id"), F.explode("frames").alias("frame"))
+    return frames.withColumn("frame", F.col("frame").cast("bigint"))
 
 
 def read_segments(spark: SparkSession, folder: str) -> DataFrame:

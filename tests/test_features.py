@@ -124,13 +124,16 @@ def test_short_windows():
     assert np.isnan(five[-4:]).all() and np.isfinite(five[:-4]).all()
 
 
-def test_long_series_transform_matches_the_short_one(spark):
+def test_long_series_transform_matches_the_short_one(spark, monkeypatch):
     rng = np.random.default_rng(4)
     parts = [pd.DataFrame({"v": v, "pos": np.arange(n), "x": rng.normal(size=n)}) for v, n in ((1, 97), (2, 128), (3, 150))]
     parts.append(pd.DataFrame({"v": 4, "pos": np.arange(70), "x": np.nan}))
     df = spark.createDataFrame(pd.concat(parts)).replace(float("nan"), None)
     sizes = df.groupBy("v").agg(F.count("*").alias("n"), F.lit(20.0).alias("fps"))
     short = spectra.series_spectrum(df, ["v"], sizes, "v").toPandas().set_index("v").sort_index()
+    monkeypatch.setattr(spectra, "ARRAY_ROWS", 90)
+    mixed = spectra.series_spectrum(df, ["v"], sizes, "v").toPandas().set_index("v").sort_index()
+    pd.testing.assert_frame_equal(short, mixed, atol=1e-9, check_dtype=False)
     long = spectra.series_spectrum(df, ["v"], sizes, "v", limit=16).toPandas().set_index("v").sort_index()
     pd.testing.assert_frame_equal(short, long, atol=1e-9, check_dtype=False)
     assert short.loc[4].isna().tolist() == [True, False, False]

@@ -58,7 +58,7 @@ def video_features(trajectory: DataFrame, fps: DataFrame) -> DataFrame:
     dominant frequency and centroid; a series of fewer than two rows is all zero.
     """
     columns = [*COORDINATES, *ANGLES]
-    rows = numbered(trajectory).withColumns(video_angles())
+    rows = numbered(trajectory).withColumns(video_angles()).select("video_id", "pos", *columns)
     filled = materialize(
         seq.interpolate(rows, ["video_id"], {f"f_{c}": c for c in columns}, mode="both").select(
             "video_id", "pos", *[F.col(f"f_{c}").alias(c) for c in columns]

@@ -33,6 +33,7 @@ def exact_quantiles(
         F.count("*").alias("_n"),
     )
     m = len(names)
+    # Without keys the sketch is a single row.
     joined = rows.join(sketch, keys) if keys else rows.crossJoin(F.broadcast(sketch))
     low = [F.col("_q")[i] for i in range(m)]
     high = [F.col("_q")[m + i] for i in range(m)]

@@ -29,6 +29,8 @@ def _ensure_checkpoint_dir(spark: SparkSession) -> None:
     shared = context.getConf().get("spark.checkpoint.dir") or spark.conf.get(
         "spark.checkpoint.dir", None
     )
+    if not shared and not context.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
     context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="strideframe-ckpt-"))
 
 

@@ -8,6 +8,7 @@ from ..functions import scalars as S
 from ..functions import text
 from ..operators import stats
 from ..operators.modeling import classification_report, feature_summary
+from ..session import materialize
 from .views import SERIES_SQL, series, table
 
 
@@ -36,7 +37,7 @@ def cv_summary(spark, sf):
 def two_level_p90(spark, sf):
     """Median price per order, then the 0.90 quantile over orders per return flag."""
     li = table(spark, sf, "lineitem").select("l_returnflag", "l_orderkey", "l_extendedprice")
-    med = stats.exact_quantiles(li, ["l_returnflag", "l_orderkey"], F.col("l_extendedprice"), {"med": 0.5})
+    med = materialize(stats.exact_quantiles(li, ["l_returnflag", "l_orderkey"], F.col("l_extendedprice"), {"med": 0.5}))
     return _r(stats.exact_quantiles(med, ["l_returnflag"], F.col("med"), {"p90": 0.9}), ["l_returnflag"], ["p90"], 4)
 
 

@@ -84,29 +84,34 @@ QUADRATIC_7 = (
 )
 
 
-def _run_neighbours(df: DataFrame, x: Column, w: WindowSpec) -> DataFrame:
+def _neighbours(df: DataFrame, column: str, w: WindowSpec) -> tuple[DataFrame, dict[int, Column]]:
+    """The six values on either side as columns, computed once and used many times."""
+    made = {k: f"_n{k + 6}" for k in range(-6, 7) if k}
+    df = df.withColumns({name: _at(F.col(column), k, w) for k, name in made.items()})
+    return df, {0: F.col(column), **{k: F.col(name) for k, name in made.items()}}
+
+
+def _run_neighbours(df: DataFrame, near: dict[int, Column]) -> DataFrame:
     """How many unbroken valid rows lie before / after the row, counted up to six."""
-    ok = x.isNotNull()
     cols = {}
     for side, sign in (("_before", -1), ("_after", 1)):
-        reach, unbroken = F.lit(0), F.lit(True)
-        for k in range(1, 7):
-            unbroken = unbroken & F.coalesce(_at(ok, sign * k, w), F.lit(False))
-            reach = reach + unbroken.cast("int")
-        cols[side] = reach
+        broken = F.when(near[sign].isNull(), 0)
+        for k in range(2, 7):
+            broken = broken.when(near[sign * k].isNull(), k - 1)
+        cols[side] = broken.otherwise(6)
     return df.withColumns(cols)
 
 
-def _quadratic(x: Column, w: WindowSpec) -> Column:
+def _quadratic(near: dict[int, Column]) -> Column:
     """Seven-point quadratic smoothing inside a run, given ``_before`` and ``_after``."""
     b, a = F.col("_before"), F.col("_after")
 
     def fit(place: int) -> Column:
         weights, scale = QUADRATIC_7[place]
-        terms = [_at(x, k - place, w) * float(c) for k, c in enumerate(weights) if c]
+        terms = [near[k - place] * float(c) for k, c in enumerate(weights) if c]
         return sum(terms[1:], terms[0]) / float(scale)
 
-    out = F.when(x.isNull() | (b + a + 1 < 7), x)
+    out = F.when(near[0].isNull() | (b + a + 1 < 7), near[0])
     for place in (0, 1, 2):
         out = out.when(b == place, fit(place))
     for place in (6, 5, 4):
@@ -114,13 +119,17 @@ def _quadratic(x: Column, w: WindowSpec) -> Column:
     return out.otherwise(fit(3))
 
 
+_SCRATCH = tuple(f"_n{k + 6}" for k in range(-6, 7) if k)
+
+
 def quadratic_smooth(
     df: DataFrame, keys: Sequence[str], column: str, out: str, *, rows: int = BLOCK_ROWS
 ) -> DataFrame:
     """Seven-point quadratic smoother per unbroken run; runs under seven rows pass through."""
     w = halo_window(keys)
-    wide = _run_neighbours(with_halo(df, 7, rows=rows), F.col(column), w)
-    return own_rows(wide.withColumn(out, _quadratic(F.col(column), w)).drop("_before", "_after"))
+    wide, near = _neighbours(with_halo(df, 7, rows=rows), column, w)
+    wide = _run_neighbours(wide, near).withColumn(out, _quadratic(near))
+    return own_rows(wide.drop("_before", "_after", *_SCRATCH))
 
 
 def smooth_runs(
@@ -135,19 +144,16 @@ def smooth_runs(
     w = halo_window(keys)
     wide = with_halo(df, SMOOTH_REACH, rows=rows)
     for name, column in columns.items():
-        x = F.col(column)
-        wide = _run_neighbours(wide, x, w)
-        near = [
-            F.when(F.col("_before") >= 2, _at(x, -2, w)),
-            F.when(F.col("_before") >= 1, _at(x, -1, w)),
-            x,
-            F.when(F.col("_after") >= 1, _at(x, 1, w)),
-            F.when(F.col("_after") >= 2, _at(x, 2, w)),
+        wide, near = _neighbours(wide, column, w)
+        wide = _run_neighbours(wide, near)
+        window = [
+            F.when(F.col("_before") >= 2, near[-2]), F.when(F.col("_before") >= 1, near[-1]), near[0],
+            F.when(F.col("_after") >= 1, near[1]), F.when(F.col("_after") >= 2, near[2]),
         ]
-        wide = wide.withColumn("_near", F.sort_array(F.array_compact(F.array(*near))))
-        wide = wide.withColumn("_median", F.when(x.isNotNull(), _mid(F.col("_near"))))
-        wide = wide.withColumn(name, _quadratic(F.col("_median"), w))
-        wide = wide.drop("_before", "_after", "_near", "_median")
+        wide = wide.withColumn("_near", F.sort_array(F.array_compact(F.array(*window))))
+        wide = wide.withColumn("_median", F.when(near[0].isNotNull(), _mid(F.col("_near")))).drop(*_SCRATCH)
+        wide, near = _neighbours(wide, "_median", w)
+        wide = wide.withColumn(name, _quadratic(near)).drop("_before", "_after", "_near", "_median", *_SCRATCH)
     for name, column in (velocity or {}).items():
         wide = wide.withColumn(name, gradient_column(F.col(column), w) * scale)
     return own_rows(wide)

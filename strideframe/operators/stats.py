@@ -11,23 +11,61 @@ from ..functions.scalars import safe_div, wrap_degrees
 
 # Rank error of the sketch is n / ACCURACY, so a bracket holds a few n / ACCURACY values.
 ACCURACY = 100_000
+# Groups up to this many rows are sorted as a whole; larger ones go through the sketch.
+SMALL_GROUP = 100_000
 
 
 def exact_quantiles(
-    df: DataFrame, keys: Sequence[str], value: Column, probs: Mapping[str, float], *, accuracy: int = ACCURACY
+    df: DataFrame, keys: Sequence[str], value: Column, probs: Mapping[str, float], *,
+    accuracy: int = ACCURACY, small_group: int = SMALL_GROUP,
 ) -> DataFrame:
     """Exact linearly interpolated quantiles per key, one column per name in ``probs``.
 
+    Group sizes are counted first. Groups of a bounded size are sorted in a single
+    shuffle; larger groups are never gathered (see ``_sketched_quantiles``).
+    """
+    keys = list(keys)
+    rows = df.select(*keys, value.cast("double").alias("_x")).where("_x IS NOT NULL AND NOT isnan(_x)")
+    counts = rows.groupBy(*keys).agg(F.count("*").alias("_n"))
+    largest = counts.agg(F.max("_n")).first()[0] or 0
+    if largest <= small_group:
+        return _small_quantiles(rows, keys, probs)
+    if not keys:
+        return _sketched_quantiles(rows, keys, probs, accuracy)
+    sized = rows.join(counts, keys)
+    small = sized.where(F.col("_n") <= small_group).drop("_n")
+    large = sized.where(F.col("_n") > small_group).drop("_n")
+    return _small_quantiles(small, keys, probs).unionByName(_sketched_quantiles(large, keys, probs, accuracy))
+
+
+def _small_quantiles(rows: DataFrame, keys: list[str], probs: Mapping[str, float]) -> DataFrame:
+    """Quantiles of bounded groups from one sort; ranking and picking share the exchange."""
+    group = Window.partitionBy(*(keys or [F.lit(0)]))
+    ranked = rows.withColumns({"_n": F.count("*").over(group), "_r": F.row_number().over(group.orderBy("_x")) - 1})
+    picks = []
+    for i, p in enumerate(probs.values()):
+        rank = F.lit(float(p)) * (F.col("_n") - 1)
+        picks += [F.max(F.when(F.col("_r") == r, F.col("_x"))).alias(f"_p{i}_{side}") for side, r in ((0, F.floor(rank)), (1, F.ceil(rank)))]
+    found = ranked.groupBy(*keys).agg(F.max("_n").alias("_n"), *picks).where("_n IS NOT NULL")
+    result = []
+    for i, (name, p) in enumerate(probs.items()):
+        rank = F.lit(float(p)) * (F.col("_n") - 1)
+        low, high = F.col(f"_p{i}_0"), F.col(f"_p{i}_1")
+        result.append((low + (high - low) * (rank - F.floor(rank))).alias(name))
+    return found.select(*keys, *result)
+
+
+def _sketched_quantiles(rows: DataFrame, keys: list[str], probs: Mapping[str, float], accuracy: int) -> DataFrame:
+    """Quantiles of large groups.
+
     A mergeable sketch brackets each wanted rank. Values outside the brackets are
     only counted (per gap), values inside are counted per distinct value, so what
     reaches the ranking step is a sliver of the group and not the group itself.
     A rank that escaped its bracket raises an error instead of being approximated.
     """
-    keys = list(keys)
     names = sorted(probs, key=probs.get)
     slack = 2.0 / accuracy
     edges = [max(0.0, probs[n] - slack) for n in names] + [min(1.0, probs[n] + slack) for n in names]
-    rows = df.select(*keys, value.cast("double").alias("_x")).where("_x IS NOT NULL AND NOT isnan(_x)")
     sketch = rows.groupBy(*keys).agg(
         F.percentile_approx("_x", F.array(*[F.lit(e) for e in edges]), accuracy).alias("_q"),
         F.count("*").alias("_n"),

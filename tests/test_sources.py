@@ -74,3 +74,16 @@ def test_time_text(spark):
     sec = spark.createDataFrame([(3725.9,), (61.0,), (5.2,), (None,)], "s double")
     assert [tuple(r) for r in sec.select(text.minutes_seconds(F.col("s")), text.hours_minutes_seconds(F.col("s"))).collect()][:3] == [
         ("62m 5s", "1h 2m 5s"), ("1m 1s", "1m 1s"), ("0m 5s", "5s")]
+
+
+def test_tolerance_compare(spark):
+    from strideframe.sources.compare import compare_tables
+
+    a = spark.createDataFrame([(1, 1.0, "x"), (2, None, "y")], "k int, v double, s string")
+    b = spark.createDataFrame([(1, 1.0 + 1e-13, "x"), (2, None, "y")], "k int, v double, s string")
+    same = compare_tables(a, b, ["k"], ["v", "s"])
+    assert same["passed"] and not same["columns"]["v"]["exactly_equal"] and same["columns"]["s"]["exactly_equal"]
+    assert not compare_tables(a, b, ["k"], ["v"], tolerance=1e-14)["passed"]
+    assert not compare_tables(a, b.where("k = 1"), ["k"], ["v"])["keys_match"]
+    with pytest.raises(ValueError):
+        compare_tables(a.union(a), b, ["k"], ["v"])

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from strideframe.operators import stats
 
 
-@pytest.mark.parametrize("accuracy", [20, 200, 100_000])
-def test_exact_quantiles(spark, accuracy):
+@pytest.mark.parametrize("accuracy,small_group", [(20, 0), (200, 5), (100_000, 0), (100_000, 100_000)])
+def test_exact_quantiles(spark, accuracy, small_group):
     rng = np.random.default_rng(7)
     parts = [pd.DataFrame({"k": k, "x": np.round(rng.gamma(2.0, 3.0, n), d)})
              for k, (n, d) in enumerate([(1, 3), (2, 3), (3, 3), (10, 0), (500, 1), (3000, 6)])]
@@ -18,7 +18,7 @@ def test_exact_quantiles(spark, accuracy):
     pdf = pd.concat(parts)
     df = spark.createDataFrame(pdf).repartition(5)
     probs = {"lo": 0.025, "q1": 0.25, "med": 0.5, "p90": 0.9, "hi": 0.975, "max": 1.0}
-    got = stats.exact_quantiles(df, ["k"], F.col("x"), probs, accuracy=accuracy).toPandas().set_index("k")
+    got = stats.exact_quantiles(df, ["k"], F.col("x"), probs, accuracy=accuracy, small_group=small_group).toPandas().set_index("k")
     assert len(got) == 8
     for k, g in pdf.groupby("k"):
         for name, p in probs.items():
@@ -47,3 +47,11 @@ def test_circular_summary(spark):
     assert row["signed_circular_mean_deg"] == pytest.approx(np.degrees(np.arctan2(s, c)))
     assert row["circular_sd_deg"] == pytest.approx(np.degrees(np.sqrt(-2 * np.log(np.hypot(c, s)))))
     assert row["median_absolute_deviation_deg"] == pytest.approx(np.median(np.abs(degrees)))
+
+
+@pytest.mark.parametrize("small_group", [0, 1000])
+def test_quantiles_without_keys(spark, small_group):
+    df = spark.createDataFrame(pd.DataFrame({"x": np.arange(101.0)}))
+    row = stats.exact_quantiles(df, [], F.col("x"), {"p": 0.335, "m": 0.5}, small_group=small_group).first()
+    assert (row.p, row.m) == (pytest.approx(33.5), 50.0)
+    assert stats.exact_quantiles(df.where("x < 0"), [], F.col("x"), {"m": 0.5}, small_group=small_group).count() == 0

@@ -18,7 +18,7 @@ def actions(spark, sf):
     z = (F.col("pos") % CYCLE_LEN) * 0.005
     xyz = lambda x, y: F.struct(x.cast("string").alias("x"), y.cast("string").alias("y"), z.cast("string").alias("z"))
     sample = F.struct(
-        "pos", F.timestamp_micros("t").cast("timestamp_ntz").cast("string").alias("time"),
+        "pos", F.col("ts").cast("string").alias("time"),
         (F.col("cat") != "error").cast("string").alias("hasLeft"), F.lit("true").alias("hasRight"),
         xyz(F.col("v") * 1e-4 - 0.137, F.col("k") * 1e-4).alias("leftTableLocalPosition"),
         xyz(F.lit(0.137) - F.col("k") * 1e-4, F.col("v") * 2e-4).alias("rightTableLocalPosition"),

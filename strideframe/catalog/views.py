@@ -18,6 +18,7 @@ def raw_series(spark: SparkSession, sf: str) -> DataFrame:
     """One series per user in time order; ``x`` is missing on error events."""
     return table(spark, sf, "events").select(
         F.col("user_id").alias("entity"),
+        "ts",
         micros("ts").alias("t"),
         F.when(F.col("event_type") != "error", F.col("value")).alias("x"),
         F.col("value").alias("v"),

@@ -25,13 +25,15 @@ def exact_quantiles(
     shuffle; larger groups are never gathered (see ``_sketched_quantiles``).
     """
     keys = list(keys)
+    if not keys:
+        return exact_quantiles(
+            df.withColumn("_all", F.lit(0)), ["_all"], value, probs, accuracy=accuracy, small_group=small_group
+        ).drop("_all")
     rows = df.select(*keys, value.cast("double").alias("_x")).where("_x IS NOT NULL AND NOT isnan(_x)")
     counts = rows.groupBy(*keys).agg(F.count("*").alias("_n"))
     largest = counts.agg(F.max("_n")).first()[0] or 0
     if largest <= small_group:
         return _small_quantiles(rows, keys, probs)
-    if not keys:
-        return _sketched_quantiles(rows, keys, probs, accuracy)
     sized = rows.join(counts, keys)
     small = sized.where(F.col("_n") <= small_group).drop("_n")
     large = sized.where(F.col("_n") > small_group).drop("_n")
@@ -40,13 +42,13 @@ def exact_quantiles(
 
 def _small_quantiles(rows: DataFrame, keys: list[str], probs: Mapping[str, float]) -> DataFrame:
     """Quantiles of bounded groups from one sort; ranking and picking share the exchange."""
-    group = Window.partitionBy(*(keys or [F.lit(0)]))
+    group = Window.partitionBy(*keys)
     ranked = rows.withColumns({"_n": F.count("*").over(group), "_r": F.row_number().over(group.orderBy("_x")) - 1})
     picks = []
     for i, p in enumerate(probs.values()):
         rank = F.lit(float(p)) * (F.col("_n") - 1)
         picks += [F.max(F.when(F.col("_r") == r, F.col("_x"))).alias(f"_p{i}_{side}") for side, r in ((0, F.floor(rank)), (1, F.ceil(rank)))]
-    found = ranked.groupBy(*keys).agg(F.max("_n").alias("_n"), *picks).where("_n IS NOT NULL")
+    found = ranked.groupBy(*keys).agg(F.max("_n").alias("_n"), *picks)
     result = []
     for i, (name, p) in enumerate(probs.items()):
         rank = F.lit(float(p)) * (F.col("_n") - 1)
@@ -71,8 +73,7 @@ def _sketched_quantiles(rows: DataFrame, keys: list[str], probs: Mapping[str, fl
         F.count("*").alias("_n"),
     )
     m = len(names)
-    # Without keys the sketch is a single row.
-    joined = rows.join(sketch, keys) if keys else rows.crossJoin(F.broadcast(sketch))
+    joined = rows.join(sketch, keys)
     low = [F.col("_q")[i] for i in range(m)]
     high = [F.col("_q")[m + i] for i in range(m)]
     x = F.col("_x")
@@ -110,7 +111,7 @@ def _sketched_quantiles(rows: DataFrame, keys: list[str], probs: Mapping[str, fl
         rank = F.lit(float(probs[name])) * (F.col("_n") - 1)
         a, b = F.col(f"_p{i}_0"), F.col(f"_p{i}_1")
         checked = F.when(
-            F.col("_n").isNotNull() & (a.isNull() | b.isNull()),
+            a.isNull() | b.isNull(),
             F.raise_error(F.lit("quantile rank outside its sketch bracket")).cast("double"),
         ).otherwise(a + (b - a) * (rank - F.floor(rank)))
         result.append((name, checked))
@@ -154,14 +155,15 @@ def eight_stats(df: DataFrame, keys: Sequence[str], column: str) -> DataFrame:
 
 def distribution(df: DataFrame, keys: Sequence[str], column: str) -> DataFrame:
     """n, median, q1, q3, mean, sample sd, minimum, maximum."""
+    if not keys:
+        return distribution(df.withColumn("_all", F.lit(0)), ["_all"], column).drop("_all")
     x = F.col(column)
     basic = df.groupBy(*keys).agg(
         F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("sd"),
         F.min(x).alias("minimum"), F.max(x).alias("maximum"),
     )
     q = exact_quantiles(df, keys, x, {"median": 0.5, "q1": 0.25, "q3": 0.75})
-    joined = basic.join(q, list(keys), "left") if keys else basic.crossJoin(F.broadcast(q))
-    return joined.select(*keys, "n", "median", "q1", "q3", "mean", "sd", "minimum", "maximum")
+    return basic.join(q, list(keys), "left").select(*keys, "n", "median", "q1", "q3", "mean", "sd", "minimum", "maximum")
 
 
 def summary_moments(columns: Iterable[str], stats: Sequence[str] = ("n", "mean", "sd", "cv")) -> list[Column]:
@@ -192,6 +194,8 @@ def summarize(df: DataFrame, keys: Sequence[str], column: str) -> DataFrame:
 def circular_summary(df: DataFrame, keys: Sequence[str], degrees: str) -> DataFrame:
     """Circular mean, circular sd, resultant length and absolute-deviation quartiles."""
     keys = list(keys)
+    if not keys:
+        return circular_summary(df.withColumn("_all", F.lit(0)), ["_all"], degrees).drop("_all")
     r = F.radians(F.col(degrees))
     base = df.groupBy(*keys).agg(F.count("*").alias("n"), F.avg(F.sin(r)).alias("_s"), F.avg(F.cos(r)).alias("_c"))
     length = F.hypot("_c", "_s")
@@ -206,7 +210,7 @@ def circular_summary(df: DataFrame, keys: Sequence[str], degrees: str) -> DataFr
         df, keys, F.abs(wrap_degrees(F.col(degrees))),
         {"median_absolute_deviation_deg": 0.5, "q1_absolute_deviation_deg": 0.25, "q3_absolute_deviation_deg": 0.75},
     )
-    return base.join(q, keys) if keys else base.crossJoin(F.broadcast(q))
+    return base.join(q, keys)
 
 
 def share_of_total(df: DataFrame, keys: Sequence[str], part: str, count: str, total: str) -> DataFrame:

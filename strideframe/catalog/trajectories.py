@@ -41,7 +41,7 @@ def intervals(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def fps_table(spark: SparkSession, sf: str) -> DataFrame:
-    """Sampling rates of the videos with an even number of purchases; the others use the default."""
+    """Sampling rate of the videos with more than twelve purchases; the others use the default."""
     per = series(spark, sf).groupBy(F.col("entity").alias("video_id")).agg(F.count_if(F.col("cat") == "purchase").alias("n"))
     return per.where("n > 12").select("video_id", F.lit(12.5).alias("fps"))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strideframe.llm import decontaminate, language, lines, mixing, simhash, suffixes
+from strideframe.llm import decontaminate, language, lines, mixing, order_minhash, simhash, suffixes
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -47,6 +47,10 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order_minhash.neighbour_likeness(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.remove_repeats(_read(spark, sf_dir, "documents").select("doc_id", "text")).drop("kept")
 
@@ -54,7 +58,7 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        op4_line_dedup, op5_source_mixing, op6_simhash_near_dedup, op7_language_id, op8_decontamination, op10_suffix_array_dedup,
+        op4_line_dedup, op5_source_mixing, op6_simhash_near_dedup, op7_language_id, op8_decontamination, op9_order_minhash, op10_suffix_array_dedup,
     )
 }
 

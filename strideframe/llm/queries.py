@@ -5,13 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strideframe.llm import decontaminate, language, lines, mixing, order_minhash, simhash, suffixes
+from strideframe.llm import decontaminate, language, lines, mixing, order_minhash, personal, simhash, suffixes
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = personal.personal_spans(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    counts = [F.expr(f"cast(size(filter(base, s -> s.k = {k})) AS bigint)").alias(f"n_{kind}") for k, kind in enumerate(personal.KINDS)]
+    return found.select(
+        "doc_id", *counts, F.sha2(personal.as_text(F.col("base")), 256).alias("base_sha256"),
+        personal.as_text(F.array_sort(F.concat("base", "added"))).alias("spans"), F.size("added").cast("long").alias("n_added"),
+    )
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
     return lines.dedup(docs, lines.build(docs)).select("doc.doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
@@ -58,7 +67,7 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        op4_line_dedup, op5_source_mixing, op6_simhash_near_dedup, op7_language_id, op8_decontamination, op9_order_minhash, op10_suffix_array_dedup,
+        op3_pii, op4_line_dedup, op5_source_mixing, op6_simhash_near_dedup, op7_language_id, op8_decontamination, op9_order_minhash, op10_suffix_array_dedup,
     )
 }
 

@@ -5,13 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strideframe.llm import decontaminate, language, lines, mixing, order_minhash, personal, simhash, suffixes, wrappers
+from strideframe.llm import decontaminate, language, licences, lines, mixing, order_minhash, personal, simhash, suffixes, wrappers
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    found = licences.scan(docs, licences.fit(docs))
+    return found.select(
+        "doc_id", F.array_join("families", ",").alias("families"), F.array_join("confirmed", ",").alias("confirmed_families"),
+        F.col("n_pieces").alias("n_paragraphs"), (F.size("confirmed") > 0).alias("confirmed"), "probability",
+    )
+
+
 def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wrappers.main_text(_read(spark, sf_dir, "pages")).withColumn("n_chars", F.char_length("text").cast("long"))
 
@@ -71,7 +80,7 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        op2_html_extraction, op3_pii, op4_line_dedup, op5_source_mixing, op6_simhash_near_dedup, op7_language_id, op8_decontamination, op9_order_minhash, op10_suffix_array_dedup,
+        op1_license_scan, op2_html_extraction, op3_pii, op4_line_dedup, op5_source_mixing, op6_simhash_near_dedup, op7_language_id, op8_decontamination, op9_order_minhash, op10_suffix_array_dedup,
     )
 }
 

@@ -98,9 +98,9 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 def neighbour_likeness(docs: DataFrame) -> DataFrame:
     """Per row: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next."""
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
-    low = ids.agg(F.coalesce(F.min("doc_id"), F.lit(0))).first()[0]
+    low, count = ids.agg(F.coalesce(F.min("doc_id"), F.lit(0)), F.count("*")).first()
     place = F.coalesce(F.col("doc_id").cast("long"), F.lit(low)) - F.lit(low)
-    width = bucket_width(ids, [], F.coalesce(F.col("doc_id"), F.lit(low)) - F.lit(low), BLOCK_DOCS)
+    width = bucket_width(ids, [], F.coalesce(F.col("doc_id"), F.lit(low)) - F.lit(low), BLOCK_DOCS) if count else 1
     rows = docs.select(
         "doc_id", F.coalesce("text", F.lit("")).alias("text"), F.xxhash64("text").alias("mark"), F.floor(place / F.lit(width)).alias("blk")
     )

@@ -155,7 +155,7 @@ def leave_one_video_out(
     def evaluate(pdf: pd.DataFrame, stack: np.ndarray, videos: np.ndarray) -> pd.DataFrame:
         others = int(pdf["_all"].iloc[0] - pdf["_own"].iloc[0])
         if others == 0:
-            raise ValueError("leave-one-video-out scoring requires multiple videos")
+            raise ValueError("a group with a single video leaves nothing to score it by")
         ix, iy = pdf.ix.to_numpy(), pdf.iy.to_numpy()
         columns, place = np.unique(ix, return_inverse=True)
         shared = videos[ix, iy] > 1
@@ -221,7 +221,7 @@ def check_scores(scores: DataFrame, bandwidths: Sequence[float] = BANDWIDTHS_SW)
     })
     found = {r[0] for r in per.select("bandwidth_sw").collect()}
     if found != set(bandwidths):
-        raise ValueError("scores must cover every declared bandwidth candidate")
+        raise ValueError(f"no score for bandwidths {sorted(set(bandwidths) - found)}, or some for unknown {sorted(found - set(bandwidths))}")
 
 
 def rank_bandwidths(scores: DataFrame) -> DataFrame:

@@ -19,7 +19,7 @@ from ..operators.blocks import first_rows, number_rows
 from ..operators.intervals import adjacent_gaps, interval_join, merge_without_return
 from ..operators.stats import circular_summary, distribution, exact_quantiles, quantiles_of_columns
 from ..session import materialize
-from ..sources.schemas import assert_rows, assert_unique, require_columns
+from ..sources.schemas import TableContract, assert_rows, assert_unique
 
 CYCLE = ["video_id", "work_cycle_id", "cycle_key"]
 SHOULDERS = tuple(f"{h}_shoulder_{a}" for h in HANDS for a in "xy")
@@ -34,7 +34,7 @@ INTERVAL_ALIASES = {
 def standard_intervals(df: DataFrame) -> DataFrame:
     """Typed P2 intervals, exactly one per cycle."""
     df = df.withColumnsRenamed({k: v for k, v in INTERVAL_ALIASES.items() if k in df.columns})
-    require_columns(df, INTERVAL_ALIASES.values(), "phase interval table")
+    TableContract("phase intervals", tuple(INTERVAL_ALIASES.values())).check(df)
     out = df.where(F.col("phase").cast("string") == "P2").select(
         F.col("video_id").cast("bigint"), F.col("work_cycle_id").cast("bigint"),
         F.col("start_frame").cast("bigint"), F.col("end_frame_exclusive").cast("bigint"), F.col("fps").cast("double"),

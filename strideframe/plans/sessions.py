@@ -65,10 +65,10 @@ def check_axes(geo: DataFrame) -> DataFrame:
     known = reduce(lambda x, y: x & y, [F.col(a).isNotNull() for a in axes])
     product = dot([F.col("forward_axis")[i] for i in range(3)], [F.col("lateral_axis")[i] for i in range(3)])
     fault = (
-        F.when(~known, "missing or zero-length task axis")
-        .when(~close("forward_axis", "_forward_right"), "left and right zones use different forward axes")
-        .when(~close("lateral_axis", "_lateral_right"), "left and right zones use different lateral axes")
-        .when(F.abs(product) > 1e-6, "forward and lateral axes are not orthogonal")
+        F.when(~known, "a task axis has no direction")
+        .when(~close("forward_axis", "_forward_right"), "forward axes of the two zones disagree")
+        .when(~close("lateral_axis", "_lateral_right"), "lateral axes of the two zones disagree")
+        .when(F.abs(product) > 1e-6, "task axes aren't at a right angle")
     )
     checked = F.when(fault.isNotNull(), F.raise_error(F.concat_ws(": ", "session", fault)).cast("double"))
     return geo.select(

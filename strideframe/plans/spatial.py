@@ -9,16 +9,16 @@ from ..constants import BANDWIDTHS_SW, CELL_SIZE_SW, HANDS, MIN_PHASE_AVAILABILI
 from ..functions.text import key_video
 from ..operators import density as D
 from ..session import materialize
-from ..sources.schemas import assert_count, assert_rows, assert_unique, require_columns
+from ..sources.schemas import TableContract, assert_count, assert_rows, assert_unique
 
 GROUPS = ["phase", "hand"]
 X, Y = "x_from_needle_sw", "y_from_needle_sw"
 
 
 def check_inputs(points: DataFrame, audit: DataFrame, expected_cycles: int | None = None) -> None:
-    require_columns(points, {"cycle_key", "video_id", "work_cycle_id", *GROUPS, X, Y}, "trajectory table")
-    wanted = {f"{p}_{c}" for p in PHASES for c in ("retained_frames", "left_valid_frames", "right_valid_frames")}
-    require_columns(audit, {"cycle_key", *wanted}, "cycle audit")
+    TableContract("wrist trajectory", ("cycle_key", "video_id", "work_cycle_id", *GROUPS, X, Y)).check(points)
+    counts = [f"{p}_{c}" for p in PHASES for c in ("retained_frames", "left_valid_frames", "right_valid_frames")]
+    TableContract("audit of cycles", ("cycle_key", *counts)).check(audit)
     assert_unique(audit, ["cycle_key"], "cycle audit")
     if expected_cycles is not None:
         assert_count(audit, expected_cycles, "audited cycles")

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import re
+from collections import Counter
 from collections.abc import Iterable, Mapping
 from dataclasses import dataclass
 
@@ -20,46 +22,49 @@ class SessionSource:
     profile: str
 
 
-def parse_assignment(text: str, option: str) -> tuple[str, str]:
-    """``LABEL=VALUE`` with both sides non-empty."""
-    label, separator, value = (part.strip() for part in text.partition("="))
-    if not separator:
-        raise ValueError(f"{option} must use LABEL=VALUE syntax; received {text!r}")
-    if not label or not value:
-        raise ValueError(f"{option} requires a non-empty label and value")
-    return label, value
+#: The option syntax LABEL=VALUE; blanks around either side don't count.
+_PAIR = re.compile(r"\s*(?P<label>[^=]*[^=\s])\s*=\s*(?P<value>\S.*?)\s*", re.S)
 
 
-def register_sessions(
-    sessions: Iterable[str], profiles: Iterable[str] = (), required: Iterable[str] | None = tuple(SESSION_PROFILES),
-    check_files: bool = True,
-) -> list[SessionSource]:
-    """Validated registry from repeated ``LABEL=PATH`` and ``LABEL=TEXT`` assignments.
+def _pairs(options: Iterable[str] | Mapping[str, str], faults: list[str]) -> list[tuple[str, str]]:
+    """(label, value) of options or of a mapping; what can't be read is noted in ``faults``."""
+    if isinstance(options, Mapping):
+        return list(options.items())
+    read = [(text, _PAIR.fullmatch(text)) for text in options]
+    faults += [f"not a label with a value: {text!r}" for text, match in read if match is None]
+    return [(match["label"], match["value"]) for _, match in read if match]
 
-    ``required`` names the exact label set, or None to accept any.
-    """
-    paths: dict[str, str] = {}
-    for raw in sessions:
-        label, value = parse_assignment(raw, "session")
-        if label in paths:
-            raise ValueError(f"duplicate session mapping for {label}")
-        paths[label] = os.path.abspath(os.path.expanduser(value)) if "://" not in value else value
-    labels = list(required) if required is not None else list(paths)
-    if set(paths) != set(labels):
-        raise ValueError(f"session mappings must contain exactly {labels}; received {sorted(paths)}")
-    names: dict[str, str] = dict(SESSION_PROFILES)
-    for raw in profiles:
-        label, value = parse_assignment(raw, "profile")
-        if label not in labels:
-            raise ValueError(f"unknown profile label {label!r}")
-        names[label] = value
-    for label in labels if check_files else ():
-        if "://" in paths[label]:
-            continue
-        absent = [f for f in SESSION_FILES if not os.path.isfile(os.path.join(paths[label], f))]
-        if absent:
-            raise FileNotFoundError(f"{label} is missing required files in {paths[label]}: {', '.join(absent)}")
-    return [SessionSource(label, paths[label], names.get(label, "")) for label in labels]
+
+def _local_folder(path: str) -> str:
+    return path if "://" in path else os.path.abspath(os.path.expanduser(path))
+
+
+def session_registry(
+    folders: Iterable[str] | Mapping[str, str], profiles: Iterable[str] | Mapping[str, str] = (), *,
+    labels: Iterable[str] | None = tuple(SESSION_PROFILES), probe: bool = True,
+) -> list[SessionSource]:
+    """One source per session from label-to-folder and label-to-profile pairs.
+
+    All faults are found before the registry is refused, with one ValueError that lists them. ``labels`` is the exact
+    set of sessions of a study, None takes any. ``probe`` looks for the four files in folders of the local file
+    system; folders of other stores are checked by the read.
+    """
+    faults: list[str] = []
+    placed, named = _pairs(folders, faults), _pairs(profiles, faults)
+    counts = Counter(label for label, _ in placed)
+    faults += [f"{label} has {n} folders" for label, n in counts.items() if n > 1]
+    expected = list(counts) if labels is None else list(labels)
+    faults += [f"{label} has no folder" for label in expected if label not in counts]
+    faults += [f"{label} is no session of this study" for label in counts if label not in expected]
+    faults += [f"a profile names {label}, which is no session" for label, _ in named if label not in expected]
+    if faults:
+        raise ValueError("session registry: " + "; ".join(faults))
+    folder, profile = dict(placed), {**SESSION_PROFILES, **dict(named)}
+    sources = [SessionSource(label, _local_folder(folder[label]), profile.get(label, "")) for label in expected]
+    wanted = [f"{s.path}/{name}" for s in sources if "://" not in s.path for name in SESSION_FILES] if probe else []
+    if gone := [path for path in wanted if not os.path.isfile(path)]:
+        raise FileNotFoundError(f"session files not found: {gone}")
+    return sources
 
 
 def read_sessions(spark: SparkSession, sources: list[SessionSource]) -> Mapping[str, DataFrame]:

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strideframe.plans import sessions
-from strideframe.sources.sessions import read_sessions, register_sessions
+from strideframe.sources.sessions import read_sessions, session_registry
 
 AXES = {"tableLocalForward": {"x": 0.0, "y": 0.0, "z": 1.0}, "tableLocalRight": {"x": 1.0, "y": 0.0, "z": 0.0}}
 
@@ -50,7 +50,7 @@ def synthetic(root, bom=False):
 
 @pytest.fixture(scope="module")
 def outputs(spark, tmp_path_factory):
-    sources = register_sessions(synthetic(tmp_path_factory.mktemp("sessions"), bom=True), ["U1=Researcher-operated"])
+    sources = session_registry(synthetic(tmp_path_factory.mktemp("sessions"), bom=True), ["U1=Researcher-operated"])
     return sessions.analyse(read_sessions(spark, sources))
 
 
@@ -107,12 +107,15 @@ def test_registry_rejects_bad_mappings(tmp_path):
     good = synthetic(tmp_path)
     for bad in (good[:3], [*good, good[0]], ["S1"], ["S1="]):
         with pytest.raises(ValueError):
-            register_sessions(bad)
-    with pytest.raises(ValueError):
-        register_sessions(good, ["X=text"])
+            session_registry(bad)
+    with pytest.raises(ValueError, match="X, which is no session"):
+        session_registry(good, ["X=text"])
+    with pytest.raises(ValueError, match="S2 has no folder.*Q is no session"):
+        session_registry({"S1": "a", "Q": "b"}, labels=["S1", "S2"])
+    assert session_registry({"A": "hdfs://x/y"}, {"A": "text"}, labels=None)[0].profile == "text"
     (tmp_path / "S1" / "session_meta.json").unlink()
     with pytest.raises(FileNotFoundError):
-        register_sessions(good)
+        session_registry(good)
 
 
 def test_mismatched_axes_fail(spark, tmp_path):
@@ -121,6 +124,6 @@ def test_mismatched_axes_fail(spark, tmp_path):
     data = json.loads(path.read_text())
     data["pushRightZone"]["tableLocalForward"] = {"x": 1.0, "y": 0.0, "z": 0.0}
     path.write_text(json.dumps(data))
-    tables = read_sessions(spark, register_sessions(assignments))
-    with pytest.raises(Exception, match="different forward axes"):
+    tables = read_sessions(spark, session_registry(assignments))
+    with pytest.raises(Exception, match="forward axes of the two zones disagree"):
         sessions.check_axes(sessions.geometry(tables["p2"])).collect()

@@ -128,7 +128,7 @@ def top3_per_group(spark, sf):
 def nms_peaks(spark, sf):
     """Greedy selection of high values at least five rows apart."""
     peaks = series(spark, sf).where("v > 60").select("entity", "pos", "v", F.lit(5).cast("bigint").alias("gap"))
-    out = iv.suppress_neighbours(peaks, ["entity"], "pos", "v", "gap", block=F.expr("pos div 65536"))
+    out = iv.suppress_neighbours(peaks, ["entity"], "pos", "v", "gap")
     return out.select("entity", "pos", "v")
 
 

@@ -39,7 +39,6 @@ VIDEO_N_INIT = 50
 SEGMENT_K_VALUES = (2, 3, 4, 5, 6)
 SEGMENT_N_INIT = 20
 SEGMENT_MAX_ITER = 500
-SILHOUETTE_SAMPLE_SIZE = 10_000
 SEGMENT_META = (
     "Video", "Segment_ID", "Start_Frame", "End_Frame",
     "Start_sec", "End_sec", "FPS",

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -154,70 +156,67 @@ def merge_without_return(
     )
 
 
-# A chain of peaks closer than the gap is folded in one row up to this size.
-CHAIN_LIMIT = 5_000
+# Frames of one block of a greedy selection; a key has at most one candidate per frame.
+SELECT_FRAMES = 1 << 16
+_OPEN, _KEPT, _DROPPED = 0, 1, 2
 
 
 def suppress_neighbours(
-    df: DataFrame, keys: Sequence[str], frame: str, score: str, gap: str, *, block: Column,
-    chain_limit: int = CHAIN_LIMIT,
+    df: DataFrame, keys: Sequence[str], frame: str, score: str, gap: str, *, block_frames: int = SELECT_FRAMES
 ) -> DataFrame:
     """Greedy selection by falling score (then frame), none nearer than ``gap`` frames.
 
-    Candidates further apart never interact, so each key falls into chains. Lone
-    candidates stay as they are and short chains are folded per chain; longer chains
-    are resolved by rounds in which every candidate that beats all its neighbours is
-    kept and its neighbours are dropped. ``gap`` is constant per key.
+    A candidate's fate hangs on its stronger neighbours alone. Keys are cut into blocks of frames that also see the
+    candidates within one gap beyond their edges; a block settles every candidate whose stronger neighbours are
+    settled. What waits for a stronger candidate of the next block is taken up again, in its block only, until
+    nothing is open, so a chain takes as many rounds as it crosses blocks in falling order. ``gap`` is constant per
+    key; missing scores come last.
     """
     keys = list(keys)
-    lagged = carry(df, keys, frame, {"_before": Carry("lag", F.col(frame))}, block)
-    opens = (F.col("_before").isNull() | (F.col(frame) - F.col("_before") >= F.col(gap))).cast("bigint")
-    flagged = materialize(lagged.withColumn("_opens", opens).drop("_before"))
-    chained = carry(flagged, keys, frame, {"_chain": Carry("sum", F.col("_opens"))}, block).drop("_opens")
-    sizes = chained.groupBy(*keys, "_chain").agg(F.count("*").alias("_size"))
-    sized = materialize(chained.join(sizes, [*keys, "_chain"]))
-    columns = df.columns
-
-    by_rank = F.struct((-F.col(score)).alias("s"), F.col(frame).alias("f"), F.struct(*columns).alias("row"))
-    ranked = (
-        sized.where((F.col("_size") > 1) & (F.col("_size") <= chain_limit))
-        .groupBy(*keys, "_chain")
-        .agg(F.sort_array(F.collect_list(by_rank)).alias("_all"), F.max(gap).alias("_gap"))
-    )
-    none = F.slice("_all", 1, 0)
-
-    def admit(kept: Column, c: Column) -> Column:
-        crowded = F.exists(kept, lambda k: F.abs(k["f"] - c["f"]) < F.col("_gap"))
-        return F.when(crowded, kept).otherwise(F.concat(kept, F.array(c)))
-
-    folded = ranked.select(F.explode(F.aggregate("_all", none, admit)).alias("_k")).select("_k.row.*")
-    lone = sized.where("_size = 1")
-    picked = lone.select(*columns).unionByName(folded.select(*columns))
-    long = sized.where(F.col("_size") > chain_limit).select(*columns)
-    return picked if long.isEmpty() else picked.unionByName(_rounds(long, keys, frame, score, gap))
-
-
-def _rounds(df: DataFrame, keys: list[str], frame: str, score: str, gap: str) -> DataFrame:
-    """Exact greedy selection by repeated local maxima, each round bucketed by the gap."""
-    width = int(df.agg(F.max(gap)).first()[0])
-    left, kept = df, None
-    while not left.isEmpty():
-        bucket = F.floor(F.col(frame) / width)
-        spread = left.select(
-            *keys, F.explode(F.array(bucket - 1, bucket, bucket + 1)).alias("_b"),
-            F.col(frame).alias("_f"), F.col(score).alias("_s"),
-        )
-        near = left.withColumn("_b", bucket).join(spread, [*keys, "_b"])
-        near = near.where((F.abs(F.col("_f") - F.col(frame)) < F.col(gap)) & (F.col("_f") != F.col(frame)))
-        stronger = (F.col("_s") > F.col(score)) | ((F.col("_s") == F.col(score)) & (F.col("_f") < F.col(frame)))
-        beaten = near.where(stronger).select(*keys, frame).distinct()
-        winners = materialize(left.join(beaten, [*keys, frame], "left_anti"))
-        kept = winners if kept is None else kept.unionByName(winners)
-        won = winners.select(*keys, F.explode(F.array(bucket - 1, bucket, bucket + 1)).alias("_b"), F.col(frame).alias("_f"))
-        covered = (
-            left.withColumn("_b", bucket).join(won, [*keys, "_b"])
-            .where(F.abs(F.col("_f") - F.col(frame)) < F.col(gap)).select(*keys, frame).distinct()
-        )
-        left = materialize(left.join(covered, [*keys, frame], "left_anti"))
-    return kept
-
+    width = max(block_frames, int(df.agg(F.coalesce(F.max(gap), F.lit(1))).first()[0]))
+    home = F.floor(F.col("_f") / F.lit(width))
+    state = df.select(
+        *keys, F.col(frame).cast("bigint").alias("_f"), F.coalesce(F.col(score).cast("double"), F.lit(float("-inf"))).alias("_s"),
+        F.col(gap).cast("double").alias("_g"), F.lit(_OPEN).alias("_state"),
+    )
+    schema = state.schema
+
+    def settle(pdf: pd.DataFrame) -> pd.DataFrame:
+        own = pdf["_blk"].to_numpy() == pdf["_home"].to_numpy()
+        settled = _settle(pdf["_f"].to_numpy(), pdf["_s"].to_numpy(), float(pdf["_g"].iloc[0]), pdf["_state"].to_numpy(), own)
+        return pdf.assign(_state=settled).loc[own, schema.names]
+
+    def one_round(rows: DataFrame, blocks: DataFrame | None) -> DataFrame:
+        near = F.array_distinct(F.transform(F.array(-F.col("_g"), F.lit(0.0), F.col("_g")), lambda d: F.floor((F.col("_f") + d) / F.lit(width))))
+        seen = rows.withColumn("_home", home).withColumn("_blk", F.explode(near))
+        if blocks is not None:
+            seen = seen.join(blocks, [*keys, "_blk"], "left_semi")
+        return seen.groupBy(*keys, "_blk").applyInPandas(settle, schema)
+
+    state = materialize(one_round(state, None))
+    while not (waiting := state.where(F.col("_state") == _OPEN)).isEmpty():
+        blocks = materialize(waiting.select(*keys, home.alias("_blk")).distinct())
+        others = state.withColumn("_blk", home).join(blocks, [*keys, "_blk"], "left_anti").drop("_blk")
+        state = materialize(others.unionByName(one_round(state, blocks)))
+    kept = state.where(F.col("_state") == _KEPT).select(*keys, F.col("_f").alias(frame))
+    return df.join(kept, [*keys, frame], "left_semi")
+
+
+def _settle(frames: np.ndarray, scores: np.ndarray, gap: float, state: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """States of one block after settling its own candidates in order of strength, as far as they can be."""
+    order = np.argsort(frames, kind="stable")
+    f, s, state, own = frames[order], scores[order], state[order].copy(), own[order]
+    # Candidates nearer than the gap: a range of places around each.
+    low, high = np.searchsorted(f, f - gap, "right"), np.searchsorted(f, f + gap, "left")
+    rank = np.empty(len(f), np.int64)
+    strongest = np.lexsort((f, -s))
+    rank[strongest] = np.arange(len(f))
+    for i in strongest[own[strongest] & (state[strongest] == _OPEN)].tolist():
+        around = state[low[i] : high[i]]
+        if (around == _KEPT).any():
+            state[i] = _DROPPED
+        elif not ((around == _OPEN) & (rank[low[i] : high[i]] < rank[i])).any():
+            state[i] = _KEPT
+    out = np.empty_like(state)
+    out[order] = state
+    return out

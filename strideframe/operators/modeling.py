@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 from functools import reduce
 
 import numpy as np
@@ -15,7 +15,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..constants import CLASS_CUT, RANDOM_SEED, SILHOUETTE_SAMPLE_SIZE
+from ..constants import CLASS_CUT, RANDOM_SEED
 from ..session import materialize, spread
 from .stats import quantiles_of_columns
 
@@ -96,53 +96,39 @@ def kmeans_best(df: DataFrame, k: int, *, n_init: int, max_iter: int = 300, seed
     return min(models, key=lambda m: m.summary.trainingCost)
 
 
-# Rows of one broadcast block in a distance computation.
-BLOCK_POINTS = SILHOUETTE_SAMPLE_SIZE
+# Rows of one block in a distance computation.
+BLOCK_POINTS = 8192
 
 
-def silhouette_values(df: DataFrame, key: str, features: str, label: str, *, sample_size: int | None = None, seed: int = RANDOM_SEED) -> DataFrame:
-    """Euclidean silhouette per row ``(key, label, silhouette)``.
+def silhouette_values(df: DataFrame, key: str, features: str, label: str) -> DataFrame:
+    """Euclidean silhouette per row ``(key, label, silhouette)``, over all rows.
 
-    With ``sample_size`` a larger table is sampled by a seeded hash (rows and distances
-    both within the sample). Without it every row counts: the table is met one
-    broadcast block at a time, each task returns one sum per row and cluster, and no
-    pairs of rows are ever produced.
+    Rows fall into hash blocks of about ``BLOCK_POINTS``. One job meets every pair of blocks in a task of its own and
+    returns one sum per row and cluster; no pairs of rows are produced and nothing passes through the driver but the
+    sizes of the clusters.
     """
-    points = df.select(F.col(key).alias("_id"), F.col(label).cast("bigint").alias("_c"), F.col(features).alias("_x"))
-    count = points.count()
-    hashed = F.xxhash64(F.lit(seed), "_id")
-    if sample_size is not None and count > sample_size:
-        points = points.orderBy(hashed, "_id").limit(sample_size)
-        count = sample_size
-    points = materialize(points)
-    labels = [r[0] for r in points.select("_c").distinct().orderBy("_c").collect()]
+    points = materialize(df.select(F.col(key).alias("_id"), F.col(label).cast("bigint").alias("_c"), F.col(features).alias("_x")))
+    total = {r["_c"]: r["count"] for r in points.groupBy("_c").count().collect()}
+    labels = sorted(total)
     place = {c: i for i, c in enumerate(labels)}
-    spark = df.sparkSession
-    blocks = -(-count // BLOCK_POINTS)
-
-    def sums_against(block: DataFrame) -> DataFrame:
-        pdf = block.select("_c", "_x").toPandas()
-        at = spark.sparkContext.broadcast((np.stack(pdf["_x"].to_list()) if len(pdf) else np.zeros((0, 1)), pdf["_c"].map(place).to_numpy()))
-
-        def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            other, owner = at.value
-            onehot = np.eye(len(labels))[owner.astype(int)]
-            for batch in batches:
-                x = np.stack(batch["_x"].to_list())
-                sums = np.empty((len(x), len(labels)))
-                for i in range(0, len(x), 256):
-                    part = x[i : i + 256]
-                    sums[i : i + 256] = _distances(part, other) @ onehot
-                yield pd.DataFrame({"_id": batch["_id"], "_c": batch["_c"], "_s": list(sums)})
-
-        kind = points.schema["_id"].dataType.simpleString()
-        return spread(points, "_id").mapInPandas(measure, f"_id {kind}, _c bigint, _s array<double>")
-
-    parts = [sums_against(points if blocks == 1 else points.where(F.pmod(hashed, F.lit(blocks)) == b)) for b in range(blocks)]
-    whole = reduce(lambda a, b: a.unionByName(b), parts)
+    blocks = max(1, -(-sum(total.values()) // BLOCK_POINTS))
+    blocked = points.withColumn("_own", F.pmod(F.xxhash64("_id"), F.lit(blocks)).cast("int"))
+    everyone = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    near = blocked.withColumn("_met", everyone)
+    far = blocked.select(F.col("_own").alias("_met"), everyone.alias("_own"), "_c", "_x")
+
+    def measure(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if not len(left) or not len(right):
+            return pd.DataFrame({"_id": left["_id"][:0], "_c": left["_c"][:0], "_s": []})
+        other, onehot = np.stack(right["_x"].to_list()), np.eye(len(labels))[right["_c"].map(place).to_numpy(int)]
+        x = np.stack(left["_x"].to_list())
+        sums = np.concatenate([_distances(x[i : i + 256], other) @ onehot for i in range(0, len(x), 256)])
+        return pd.DataFrame({"_id": left["_id"], "_c": left["_c"], "_s": list(sums)})
+
+    kind = points.schema["_id"].dataType.simpleString()
+    pairs = ["_own", "_met"]
+    whole = near.groupBy(*pairs).cogroup(far.groupBy(*pairs)).applyInPandas(measure, f"_id {kind}, _c bigint, _s array<double>")
     added = whole.groupBy("_id", "_c").agg(*[F.sum(F.col("_s")[i]).alias(f"s{i}") for i in range(len(labels))])
-    sizes = points.groupBy("_c").count().collect()
-    total = {r["_c"]: r["count"] for r in sizes}
     own = F.coalesce(*[F.when(F.col("_c") == c, F.col(f"s{i}")) for i, c in enumerate(labels)])
     size = F.coalesce(*[F.when(F.col("_c") == c, F.lit(total[c])) for c in labels])
     rest = [F.when(F.col("_c") != c, F.col(f"s{i}") / total[c]) for i, c in enumerate(labels)]
@@ -161,16 +147,16 @@ def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(squared)
 
 
-def silhouette_score(df: DataFrame, key: str, features: str, label: str, *, sample_size: int | None = None, seed: int = RANDOM_SEED) -> float | None:
+def silhouette_score(df: DataFrame, key: str, features: str, label: str) -> float | None:
     """Mean silhouette, None for fewer than two clusters."""
     if df.select(label).distinct().count() < 2:
         return None
-    return silhouette_values(df, key, features, label, sample_size=sample_size, seed=seed).agg(F.avg("silhouette")).first()[0]
+    return silhouette_values(df, key, features, label).agg(F.avg("silhouette")).first()[0]
 
 
 def kmeans_sweep(
     df: DataFrame, key: str, setting: str, ks: Sequence[int], *, n_init: int, max_iter: int = 300,
-    sample_size: int | None = None, seed: int = RANDOM_SEED, features: str = "features",
+    seed: int = RANDOM_SEED, features: str = "features",
 ) -> tuple[DataFrame, DataFrame]:
     """Best model per K: assignments ``(Feature_Setting, K, key, Cluster)`` and one summary row per K."""
     arrays = materialize(df.withColumn("_a", vector_to_array(features)))
@@ -180,7 +166,7 @@ def kmeans_sweep(
         labelled = model.transform(arrays).select(key, "_a", (F.col("_cluster") + 1).cast("int").alias("Cluster"))
         labelled = materialize(labelled)
         sizes = [r["count"] for r in labelled.groupBy("Cluster").count().orderBy("Cluster").collect()]
-        score = silhouette_score(labelled, key, "_a", "Cluster", sample_size=sample_size, seed=seed)
+        score = silhouette_score(labelled, key, "_a", "Cluster")
         rows.append((setting, k, score, ",".join(map(str, sizes)), sum(sizes), float(model.summary.trainingCost)))
         assigned.append(labelled.select(F.lit(setting).alias("Feature_Setting"), F.lit(k).alias("K"), key, "Cluster"))
     summary = df.sparkSession.createDataFrame(

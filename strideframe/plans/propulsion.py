@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -251,41 +252,40 @@ def candidate_gaps(metrics: DataFrame) -> DataFrame:
     )
 
 
-# Videos whose sums fit a worker many times over; beyond it draws are joined instead.
-BOOTSTRAP_VIDEOS = 50_000
+#: Modulus and factors of the draw: products of two residues stay below 2^62.
+DRAW_MODULUS, DRAW_FACTORS = (1 << 31) - 1, (48271, 69621)
 
 
-def cluster_bootstrap(axes: DataFrame, *, replicates: int = BOOTSTRAP_REPLICATES, seed: int = BOOTSTRAP_SEED, video_limit: int = BOOTSTRAP_VIDEOS) -> DataFrame:
-    """Percentile interval of the circular mean, resampling whole videos (one row)."""
-    spark = axes.sparkSession
+def poisson_thresholds(modulus: int = DRAW_MODULUS) -> list[int]:
+    """Residues from which on a uniform draw counts 1, 2, ... in a Poisson distribution of mean one."""
+    masses = [math.exp(-1) / math.factorial(k) for k in range(13)]
+    return [int(modulus * sum(masses[: k + 1])) for k in range(12)]
+
+
+def draw_weight(video: str, replicate: str, seed: int) -> Column:
+    """How often a video is drawn in a replicate: a Poisson(1) count from an integer hash of video, replicate and seed."""
+    m, (a, b) = DRAW_MODULUS, DRAW_FACTORS
+    key = f"cast(conv(substring(md5(cast({video} AS string)), 1, 7), 16, 10) AS bigint)"
+    mixed = f"(({key} * {a} + {replicate} * {b} + {seed}) % {m})"
+    once = f"(({mixed} * {mixed} + {key}) % {m})"
+    twice = F.expr(f"({once} * {once} + {replicate}) % {m}")
+    return sum(((twice >= t).cast("int") for t in poisson_thresholds()[1:]), (twice >= poisson_thresholds()[0]).cast("int"))
+
+
+def cluster_bootstrap(axes: DataFrame, *, replicates: int = BOOTSTRAP_REPLICATES, seed: int = BOOTSTRAP_SEED) -> DataFrame:
+    """Percentile interval of the circular mean, resampling whole videos (one row).
+
+    Every video counts a Poisson(1) number of times in every replicate, drawn from a hash, so the draws need no
+    stream, no numbering and no other video. Each task sums its videos' weighted vectors per replicate before one row
+    per replicate is shuffled.
+    """
     rad = F.radians("angle_deg")
     per = materialize(axes.groupBy("video_id").agg(F.sum(F.sin(rad)).alias("s"), F.sum(F.cos(rad)).alias("c")))
-    videos = per.count()
-    if videos <= video_limit:
-        table = spark.sparkContext.broadcast(per.orderBy("video_id").select("s", "c").toPandas().to_numpy())
-        blocks = 64
-
-        def replay(batches):
-            sums = table.value
-            for batch in batches:
-                for first in batch["id"]:
-                    # One random stream over all replicates: skip to this block by drawing.
-                    rng = np.random.default_rng(seed)
-                    start, stop = first * replicates // blocks, (first + 1) * replicates // blocks
-                    for _ in range(start):
-                        rng.choice(videos, size=videos, replace=True)
-                    drawn = [sums[rng.choice(videos, size=videos, replace=True)].sum(axis=0) for _ in range(start, stop)]
-                    yield pd.DataFrame({"r": np.arange(start, stop), "s": [d[0] for d in drawn], "c": [d[1] for d in drawn]})
-
-        means = spark.range(0, blocks, 1, min(blocks, max(1, spark.sparkContext.defaultParallelism))).mapInPandas(replay, "r bigint, s double, c double")
-    else:
-        indexed = number_rows(per.withColumn("_all", F.lit(0)), ["_all"], ["video_id"], F.expr("video_id div 65536"), out="i")
-        draws = spark.range(replicates * videos).select(
-            F.expr(f"id div {videos}").alias("r"), F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(videos)).alias("i")
-        ).groupBy("r", "i").count()
-        means = draws.join(indexed, "i").groupBy("r").agg(F.sum(F.col("s") * F.col("count")).alias("s"), F.sum(F.col("c") * F.col("count")).alias("c"))
-    point = per.agg(F.degrees(F.atan2(F.sum("s"), F.sum("c")))).first()[0]
-    offsets = means.select(wrap_degrees(F.degrees(F.atan2("s", "c")) - point).alias("o"))
+    drawn = per.withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))).withColumn("w", draw_weight("video_id", "r", seed))
+    means = drawn.where("w > 0").groupBy("r").agg(F.sum(F.col("s") * F.col("w")).alias("s"), F.sum(F.col("c") * F.col("w")).alias("c"))
+    videos, s, c = per.agg(F.count("*"), F.sum("s"), F.sum("c")).first()
+    point = math.degrees(math.atan2(s, c)) if videos else None
+    offsets = means.select(wrap_degrees(F.degrees(F.atan2("s", "c")) - F.lit(point)).alias("o"))
     q = exact_quantiles(offsets, [], F.col("o"), {"low": 0.025, "high": 0.975})
     return q.select(
         F.lit(videos).cast("bigint").alias("video_clusters"), F.lit(replicates).cast("bigint").alias("replicates"),

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..constants import (
     BASE_PROB_THRESHOLD, DETECTOR_STEP_SEC, EDGE_IGNORE_SEC, MIN_BOUNDARY_GAP_SEC, MIN_WORK_CYCLE_SEC, NON_FEATURE_PATTERNS,
-    SEGMENT_K_VALUES, SEGMENT_MAX_ITER, SEGMENT_META, SEGMENT_N_INIT, SILHOUETTE_SAMPLE_SIZE, SMOOTH_PROB_SEC, VIDEO_K_RANGE,
+    SEGMENT_K_VALUES, SEGMENT_MAX_ITER, SEGMENT_META, SEGMENT_N_INIT, SMOOTH_PROB_SEC, VIDEO_K_RANGE,
     VIDEO_N_INIT, VIDEO_PROB_QUANTILE,
 )
 from ..functions.scalars import frames_of, half_even
@@ -43,15 +43,15 @@ def cluster_videos(table: DataFrame, *, ks=VIDEO_K_RANGE, n_init: int = VIDEO_N_
     if expected_features is not None and len(names) != expected_features:
         raise ValueError(f"expected {expected_features} feature columns, got {len(names)}")
     scaled = ML.standardize(ML.fill_with_mean(table, names), names)
-    return _sweep(scaled, "Video", names, ks, n_init, 300, None)
+    return _sweep(scaled, "Video", names, ks, n_init, 300)
 
 
-def cluster_segments(table: DataFrame, *, ks=SEGMENT_K_VALUES, n_init: int = SEGMENT_N_INIT, sample_size: int | None = SILHOUETTE_SAMPLE_SIZE) -> dict[str, DataFrame]:
-    """Median-filled, standardised segments clustered in three spaces; silhouettes on a bounded sample."""
+def cluster_segments(table: DataFrame, *, ks=SEGMENT_K_VALUES, n_init: int = SEGMENT_N_INIT) -> dict[str, DataFrame]:
+    """Median-filled, standardised segments clustered in three spaces; exact silhouettes."""
     names = feature_columns(table, SEGMENT_META, NON_FEATURE_PATTERNS)
     filled = materialize(ML.fill_with_median(table, names))
     keyed = ML.standardize(filled, names).withColumn("_key", F.concat_ws("/", "Video", "Segment_ID"))
-    out = _sweep(keyed, "_key", names, ks, n_init, SEGMENT_MAX_ITER, sample_size)
+    out = _sweep(keyed, "_key", names, ks, n_init, SEGMENT_MAX_ITER)
     meta = keyed.select("_key", *[c for c in SEGMENT_META if c in table.columns])
     out["assignments"] = out["assignments"].join(meta, "_key").drop("_key")
     out["feature_summary"] = ML.feature_summary(filled, names)
@@ -59,10 +59,10 @@ def cluster_segments(table: DataFrame, *, ks=SEGMENT_K_VALUES, n_init: int = SEG
     return out
 
 
-def _sweep(scaled, key, names, ks, n_init, max_iter, sample_size) -> dict[str, DataFrame]:
+def _sweep(scaled, key, names, ks, n_init, max_iter) -> dict[str, DataFrame]:
     assigned = summary = None
     for setting, df, components, variance in _settings(scaled, names, strict=True):
-        a, s = ML.kmeans_sweep(df, key, setting, ks, n_init=n_init, max_iter=max_iter, sample_size=sample_size)
+        a, s = ML.kmeans_sweep(df, key, setting, ks, n_init=n_init, max_iter=max_iter)
         s = s.withColumns({"PCA_N_Components": F.lit(components).cast("int"), "PCA_Explained_Variance": F.lit(variance).cast("double")})
         assigned = a if assigned is None else assigned.unionByName(a)
         summary = s if summary is None else summary.unionByName(s)
@@ -139,7 +139,7 @@ def find_boundaries(probabilities: DataFrame) -> DataFrame:
         F.col("best.prob_smooth").alias("prob_smooth"), "threshold", F.col("_fps").alias("fps"),
     )
     ready = peaks.unionByName(fallback).withColumn("gap", frames_of(MIN_BOUNDARY_GAP_SEC, F.col("fps")))
-    kept = suppress_neighbours(ready, ["video_id"], "center_frame", "prob_smooth", "gap", block=F.expr("center_frame div 65536"))
+    kept = suppress_neighbours(ready, ["video_id"], "center_frame", "prob_smooth", "gap")
     numbered = number_rows(kept, ["video_id"], ["center_frame"], F.expr("center_frame div 1000000"))
     return numbered.select(
         "video_id", (F.col("pos") + 1).alias("Boundary_ID"), F.col("center_frame").alias("Boundary_Frame"),

@@ -40,7 +40,6 @@ def test_silhouette_is_exact_with_any_block(blobs, block, monkeypatch):
     got = ML.silhouette_values(df, "id", "x", "label").toPandas().sort_values("id")
     np.testing.assert_allclose(got.silhouette, brute_silhouette(x, labels), atol=1e-10)
     assert ML.silhouette_score(df.where("label = 0"), "id", "x", "label") is None
-    assert ML.silhouette_values(df, "id", "x", "label", sample_size=30).count() == 30
 
 
 def test_filling_scaling_and_components(spark, blobs):

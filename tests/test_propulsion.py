@@ -144,20 +144,29 @@ def test_directions_and_metrics(spark, data, detected):
     assert d["interval_low_deg"] <= d["signed_circular_mean_deg"] <= d["interval_high_deg"]
 
 
-def test_bootstrap_replays_the_draws(spark):
+@pytest.mark.parametrize("videos", [7, 60])
+def test_bootstrap_of_hashed_draws(spark, videos):
+    import hashlib
+
     rng = np.random.default_rng(1)
-    pdf = pd.DataFrame({"video_id": np.repeat(np.arange(7), 3), "angle_deg": rng.normal(10, 25, 21)})
+    pdf = pd.DataFrame({"video_id": np.repeat(np.arange(videos), 3), "angle_deg": rng.normal(10, 25, 3 * videos)})
     df = spark.createDataFrame(pdf)
-    got = P.cluster_bootstrap(df, replicates=200, seed=5).first()
-    draw = np.random.default_rng(5)
+    got = P.cluster_bootstrap(df, replicates=300, seed=5).first()
     s = np.sin(np.radians(pdf.angle_deg)).groupby(pdf.video_id).sum().to_numpy()
     c = np.cos(np.radians(pdf.angle_deg)).groupby(pdf.video_id).sum().to_numpy()
     point = np.degrees(np.arctan2(s.sum(), c.sum()))
-    means = []
-    for _ in range(200):
-        i = draw.choice(np.arange(7), size=7, replace=True)
-        means.append(np.degrees(np.arctan2(s[i].sum(), c[i].sum())))
-    low, high = np.quantile((np.array(means) - point + 180) % 360 - 180, [0.025, 0.975]) + point
+    m = P.DRAW_MODULUS
+    keys = [int(hashlib.md5(str(v).encode()).hexdigest()[:7], 16) for v in range(videos)]
+
+    def weight(key, r):
+        x = (key * 48271 + r * 69621 + 5) % m
+        x = (x * x + key) % m
+        x = (x * x + r) % m
+        return sum(x >= t for t in P.poisson_thresholds())
+
+    weights = np.array([[weight(k, r) for k in keys] for r in range(300)])
+    assert abs(weights.mean() - 1) < 0.1 and abs(weights.var() - 1) < 0.15
+    some = weights.sum(1) > 0
+    means = np.degrees(np.arctan2(weights[some] @ s, weights[some] @ c))
+    low, high = np.quantile((means - point + 180) % 360 - 180, [0.025, 0.975]) + point
     assert (got.interval_low_deg, got.interval_high_deg) == (pytest.approx(low), pytest.approx(high))
-    wide = P.cluster_bootstrap(df, replicates=200, seed=5, video_limit=1).first()
-    assert wide.interval_low_deg < point < wide.interval_high_deg

@@ -181,7 +181,20 @@ QUERIES = {
     "merge_no_return": merge_no_return,
 }
 
+def greedy_sql(source: str, key: str, frame: str, score: str, gap: str) -> str:
+    """Recursive CTEs ``ranked`` and ``picked``: strongest first, each kept unless a kept one is nearer than the gap."""
+    return f"""ranked AS (SELECT {key}, {frame} AS f, {gap} AS g, row_number() OVER (PARTITION BY {key} ORDER BY {score} DESC, {frame}) AS r FROM {source}),
+  picked AS (SELECT {key}, r, [f] AS kept FROM ranked WHERE r = 1
+    UNION ALL SELECT ranked.{key}, ranked.r, CASE WHEN len(list_filter(picked.kept, lambda k: abs(k - ranked.f) < ranked.g)) > 0
+      THEN picked.kept ELSE list_append(picked.kept, ranked.f) END
+    FROM picked JOIN ranked ON ranked.{key} = picked.{key} AND ranked.r = picked.r + 1)"""
+
+
 ORACLES = {
+    "nms_peaks": f"""WITH RECURSIVE {SERIES_SQL}, high AS (SELECT entity, pos, v FROM series WHERE v > 60),
+        {greedy_sql("high", "entity", "pos", "v", "5")},
+        chosen AS (SELECT entity, unnest(arg_max(kept, r)) AS pos FROM picked GROUP BY entity)
+        SELECT chosen.entity, chosen.pos, high.v FROM chosen JOIN high ON high.entity = chosen.entity AND high.pos = chosen.pos""",
     "interval_map": _MAP + """ SELECT video AS "Video_ID", CAST(s AS DOUBLE) AS "Segment_Start_Frame",
         mid AS "Segment_Center_Frame", cluster AS "Cluster", num AS "Cycle_Number_In_Video", CAST(c AS VARCHAR) AS "Cycle_ID",
         round((mid - cs) / 20.0, 6) AS "Relative_Center_sec", round((mid - cs) / (ce - cs) * 100, 6) AS "Relative_Center_Percent",

@@ -9,8 +9,9 @@ from ..operators import lattice
 from ..operators import modeling as ML
 from ..plans import video
 from ..session import materialize
+from .interval_queries import greedy_sql
 from .trajectories import TRAJECTORY_SQL, fps_table, trajectory
-from .views import manual_frames, series, table
+from .views import SERIES_SQL, manual_frames, series, table
 
 
 def sliding_windows(spark, sf):
@@ -64,7 +65,7 @@ def positive_centres(spark, sf):
 
 
 def boundary_cycles(spark, sf):
-    """Boundaries and cycles from a probability-like curve over the series (value / 150, one row every 2 s)."""
+    """Boundaries and cycles from a probability-like curve over the series (value / 90, one row every 2 s, 0.5 fps)."""
     p = series(spark, sf).select(
         F.col("entity").alias("video_id"), F.col("pos").alias("center_frame"), (F.col("pos") / 0.5).alias("center_time_sec"),
         F.least(F.lit(1.0), F.col("v") / 90).alias("probability"), F.lit(0.5).alias("fps"),
@@ -153,7 +154,23 @@ _DETECTOR = f"""WITH {TRAJECTORY_SQL}, dc AS (SELECT video_id, fps, CAST(round_e
     round(max(sqrt((left_elbow_x - right_elbow_x) ** 2 + (left_elbow_y - right_elbow_y) ** 2)), 6) AS elbow_distance_max, round(avg(sp), 6) AS right_elbow_speed_mean,
     round(max(th.d), 6) AS delta_shoulder_y_last_minus_first FROM wr JOIN th USING (video_id, wi) GROUP BY 1, 2"""
 
+_CLOCK = "CAST(floor({0} / 60) AS BIGINT) || 'm ' || CAST(floor({0} - floor({0} / 60) * 60) AS BIGINT) || 's'"
+
 ORACLES = {
+    "boundary_cycles": f"""WITH RECURSIVE {SERIES_SQL},
+        sm AS (SELECT entity AS video_id, pos AS frame, median(least(1.0::DOUBLE, v / 90)) OVER (PARTITION BY entity ORDER BY pos ROWS BETWEEN 2 PRECEDING AND 1 FOLLOWING) AS p FROM series),
+        th AS (SELECT video_id, max(frame) AS last, greatest(0.55::DOUBLE, quantile_cont(p, 0.9)) AS t FROM sm GROUP BY 1),
+        nb AS (SELECT *, lag(p) OVER w AS a, lead(p) OVER w AS b FROM sm WINDOW w AS (PARTITION BY video_id ORDER BY frame)),
+        pk AS (SELECT video_id, frame, p FROM nb JOIN th USING (video_id) WHERE p >= a AND p >= b AND frame >= 2 AND frame <= last - 2 AND p >= t),
+        top AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY p DESC, frame) AS n FROM sm),
+        cand AS (SELECT * FROM pk UNION ALL SELECT video_id, frame, p FROM top WHERE n = 1 AND p >= 0.55 AND video_id NOT IN (SELECT video_id FROM pk)),
+        {greedy_sql("cand", "video_id", "frame", "p", "15")},
+        chosen AS (SELECT video_id, unnest(arg_max(kept, r)) AS frame FROM picked GROUP BY 1),
+        bd AS (SELECT c.video_id, c.frame, c.frame * 2.0::DOUBLE AS s, round_even(cand.p, 4) AS p FROM chosen c JOIN cand ON cand.video_id = c.video_id AND cand.frame = c.frame),
+        nx AS (SELECT *, lead(frame) OVER w AS f2, lead(s) OVER w AS s2, lead(p) OVER w AS p2 FROM bd WINDOW w AS (PARTITION BY video_id ORDER BY frame))
+        SELECT video_id, row_number() OVER (PARTITION BY video_id ORDER BY frame) AS "Work_Cycle_ID", frame AS "Start_Frame", f2 AS "End_Frame", s AS "Start_sec", s2 AS "End_sec",
+          s2 - s AS "Duration_sec", {_CLOCK.format("s")} AS "Start_Time", {_CLOCK.format("s2")} AS "End_Time", {_CLOCK.format("(s2 - s)")} AS "Duration",
+          p AS "Start_Boundary_Probability", p2 AS "End_Boundary_Probability", 0.5::DOUBLE AS "FPS" FROM nx WHERE s2 - s >= 30""",
     "sliding_windows": f'WITH {TRAJECTORY_SQL}, {_WIN} SELECT video_id, wi AS "window", ws AS "start", we AS "end" FROM win',
     "window_features": f"""WITH {TRAJECTORY_SQL}, {_WIN}, wr0 AS (SELECT traj.*, win.wi, win.fps, win.ws, win.we FROM traj JOIN win ON win.video_id = traj.video_id AND frame BETWEEN ws AND we),
         wr AS (SELECT *, min(CASE WHEN left_wrist_x IS NOT NULL THEN frame END) OVER (PARTITION BY video_id, wi) AS any_ok FROM wr0), {_filled("left_wrist_x", "lw")},

@@ -3,8 +3,7 @@
 from __future__ import annotations
 
 import math
-import numpy as np
-import pandas as pd
+from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -262,14 +261,19 @@ def poisson_thresholds(modulus: int = DRAW_MODULUS) -> list[int]:
     return [int(modulus * sum(masses[: k + 1])) for k in range(12)]
 
 
-def draw_weight(video: str, replicate: str, seed: int) -> Column:
-    """How often a video is drawn in a replicate: a Poisson(1) count from an integer hash of video, replicate and seed."""
-    m, (a, b) = DRAW_MODULUS, DRAW_FACTORS
-    key = f"cast(conv(substring(md5(cast({video} AS string)), 1, 7), 16, 10) AS bigint)"
-    mixed = f"(({key} * {a} + {replicate} * {b} + {seed}) % {m})"
-    once = f"(({mixed} * {mixed} + {key}) % {m})"
-    twice = F.expr(f"({once} * {once} + {replicate}) % {m}")
-    return sum(((twice >= t).cast("int") for t in poisson_thresholds()[1:]), (twice >= poisson_thresholds()[0]).cast("int"))
+def draw_key(video: str) -> Column:
+    """28 bits of a video's id, whatever its type."""
+    return F.conv(F.substring(F.md5(F.col(video).cast("string")), 1, 7), 16, 10).cast("bigint")
+
+
+def with_weight(df: DataFrame, key: str, replicate: str, seed: int, out: str) -> DataFrame:
+    """How often a key is drawn in a replicate: a Poisson(1) count from an integer hash of key, replicate and seed."""
+    (a, b), m = DRAW_FACTORS, DRAW_MODULUS
+    steps = (f"({key} * {a} + {replicate} * {b} + {seed}) % {m}", f"(_x * _x + {key}) % {m}", f"(_x * _x + {replicate}) % {m}")
+    for step in steps:
+        df = df.withColumn("_x", F.expr(step))
+    counts = [(F.col("_x") >= t).cast("int") for t in poisson_thresholds()]
+    return df.withColumn(out, reduce(Column.__add__, counts)).drop("_x")
 
 
 def cluster_bootstrap(axes: DataFrame, *, replicates: int = BOOTSTRAP_REPLICATES, seed: int = BOOTSTRAP_SEED) -> DataFrame:
@@ -280,9 +284,11 @@ def cluster_bootstrap(axes: DataFrame, *, replicates: int = BOOTSTRAP_REPLICATES
     per replicate is shuffled.
     """
     rad = F.radians("angle_deg")
-    per = materialize(axes.groupBy("video_id").agg(F.sum(F.sin(rad)).alias("s"), F.sum(F.cos(rad)).alias("c")))
-    drawn = per.withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))).withColumn("w", draw_weight("video_id", "r", seed))
-    means = drawn.where("w > 0").groupBy("r").agg(F.sum(F.col("s") * F.col("w")).alias("s"), F.sum(F.col("c") * F.col("w")).alias("c"))
+    sums = axes.groupBy("video_id").agg(F.sum(F.sin(rad)).alias("s"), F.sum(F.cos(rad)).alias("c"))
+    per = materialize(sums.withColumn("key", draw_key("video_id")))
+    drawn = with_weight(per.withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))), "key", "r", seed, "w")
+    totals = {n: F.sum(F.col(n) * F.col("w")).alias(n) for n in ("s", "c")}
+    means = drawn.groupBy("r").agg(*totals.values(), F.sum("w").alias("w")).where("w > 0")
     videos, s, c = per.agg(F.count("*"), F.sum("s"), F.sum("c")).first()
     point = math.degrees(math.atan2(s, c)) if videos else None
     offsets = means.select(wrap_degrees(F.degrees(F.atan2("s", "c")) - F.lit(point)).alias("o"))

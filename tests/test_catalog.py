@@ -1,6 +1,7 @@
 """Registered queries: contract, and a cross-section compared with DuckDB on the smallest tables."""
 
 import os
+import re
 
 import pytest
 from oracle_check import compare, connect
@@ -18,7 +19,8 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="driver tables abs
 def test_contract():
     queries, oracles = entry.queries(), entry.oracle_sql()
     assert set(oracles) <= set(queries) and len(queries) >= 75
-    assert set(queries) - set(oracles) == {"nms_peaks", "boundary_cycles", "cluster_bootstrap", "pca_variance", "kmeans_sweep", "rf_cv"}
+    own = {name for name in queries if not re.match(r"op\d+_|pipeline$", name)}
+    assert own - set(oracles) == {"pca_variance", "kmeans_sweep", "rf_cv"}
 
 
 def test_entry(spark):

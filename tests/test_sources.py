@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from strideframe.functions import text
 from strideframe.sources import tables, writers
-from strideframe.sources.schemas import COORDINATES, feature_columns
+from strideframe.sources.schemas import COORDINATES, ContractError, feature_columns
 
 
 def write(path, rows):
@@ -33,6 +33,37 @@ def test_trajectories_and_rates(spark, tmp_path):
         tables.read_fps_by_filename(spark, str(tmp_path / "fps3.txt"))
 
 
+def test_each_file_has_its_own_header(spark, tmp_path):
+    """Columns in another order are read by name; a file without frames is refused or numbered."""
+    names = ["frame", *COORDINATES]
+    values = {c: 0.01 * (i + 1) for i, c in enumerate(COORDINATES)}
+    turned = [*reversed(names), "extra"]
+    write(tmp_path / "1_trajectory.csv", [names, *[[f, *values.values()] for f in range(3)]])
+    write(tmp_path / "2_trajectory.csv", [turned, *[[*[f if c == "frame" else values[c] for c in reversed(names)], "x"] for f in range(3)]])
+    rows = tables.read_trajectories(spark, str(tmp_path)).collect()
+    assert sorted((r.video_id, r.frame) for r in rows) == [(v, f) for v in "12" for f in range(3)]
+    assert all(abs(r[c] - values[c]) < 1e-12 for r in rows for c in COORDINATES)
+    write(tmp_path / "3_trajectory.csv", [list(COORDINATES), *[list(values.values())] * 4])
+    with pytest.raises(ContractError, match="3_trajectory.csv.*frame"):
+        tables.read_trajectories(spark, str(tmp_path))
+    stem = tables.read_trajectories(spark, str(tmp_path), video_rule="stem").collect()
+    assert sorted((r.video_id, r.frame) for r in stem if r.video_id == "3") == [("3", f) for f in range(4)]
+    write(tmp_path / "4_trajectory.csv", [names[:-1], [0] * 12])
+    with pytest.raises(ContractError, match="4_trajectory.csv"):
+        tables.read_trajectories(spark, str(tmp_path), video_rule="stem")
+    with pytest.raises(FileNotFoundError):
+        tables.scan_csv(spark, str(tmp_path), "_none.csv", [])
+
+
+def test_segments_unite_by_name(spark, tmp_path):
+    write(tmp_path / "1_segments.csv", [["Segment_ID", "a", "b"], ["s1", 1, 2.5], ["s2", 2, ""]])
+    write(tmp_path / "2_segments.csv", [["b", "Video", "a", "c"], [3.5, "v.mp4", 3, "text"]])
+    df = tables.read_segments(spark, str(tmp_path))
+    assert {(c, t) for c, t in df.dtypes if c in "abc"} == {("a", "bigint"), ("b", "double"), ("c", "string")}
+    assert sorted((r.Video, r.Segment_ID, r.a, r.b or 0.0, r.c) for r in df.collect()) == [
+        ("1", "s1", 1, 2.5, None), ("1", "s2", 2, 0.0, None), ("v", "segment_0001", 3, 3.5, "text")]
+
+
 def test_manual_boundaries(spark, tmp_path):
     (tmp_path / "m.json").write_text(json.dumps({"1.mp4": [5, 9], "cam": [], "7": [3]}))
     assert sorted(tuple(r) for r in tables.read_manual_boundaries(spark, str(tmp_path / "m.json")).collect()) == [("1", 5), ("1", 9), ("7", 3)]

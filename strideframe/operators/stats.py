@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import safe_div, wrap_degrees
+from ..session import materialize
 
 # Rank error of the sketch is n / ACCURACY, so a bracket holds a few n / ACCURACY values.
 ACCURACY = 100_000
@@ -63,10 +65,20 @@ def _sketched_quantiles(rows: DataFrame, keys: list[str], probs: Mapping[str, fl
     A mergeable sketch brackets each wanted rank. Values outside the brackets are
     only counted (per gap), values inside are counted per distinct value, so what
     reaches the ranking step is a sliver of the group and not the group itself.
-    A rank that escaped its bracket raises an error instead of being approximated.
+    Should a rank lie outside its bracket, all brackets are widened and the values are
+    counted again; the widest bracket is the whole group.
     """
-    names = sorted(probs, key=probs.get)
     slack = 2.0 / accuracy
+    while True:
+        picked = materialize(_bracketed(rows, keys, probs, accuracy, slack))
+        if slack >= 1.0 or picked.where(reduce(Column.__or__, [F.col(n).isNull() for n in probs])).isEmpty():
+            return picked
+        slack *= 8
+
+
+def _bracketed(rows: DataFrame, keys: list[str], probs: Mapping[str, float], accuracy: int, slack: float) -> DataFrame:
+    """Quantiles by brackets of half width ``slack``; NULL where a rank is outside its bracket."""
+    names = sorted(probs, key=probs.get)
     edges = [max(0.0, probs[n] - slack) for n in names] + [min(1.0, probs[n] + slack) for n in names]
     sketch = rows.groupBy(*keys).agg(
         F.percentile_approx("_x", F.array(*[F.lit(e) for e in edges]), accuracy).alias("_q"),
@@ -110,11 +122,7 @@ def _sketched_quantiles(rows: DataFrame, keys: list[str], probs: Mapping[str, fl
     for i, name in enumerate(names):
         rank = F.lit(float(probs[name])) * (F.col("_n") - 1)
         a, b = F.col(f"_p{i}_0"), F.col(f"_p{i}_1")
-        checked = F.when(
-            a.isNull() | b.isNull(),
-            F.raise_error(F.lit("quantile rank outside its sketch bracket")).cast("double"),
-        ).otherwise(a + (b - a) * (rank - F.floor(rank)))
-        result.append((name, checked))
+        result.append((name, a + (b - a) * (rank - F.floor(rank))))
     order = {n: c for n, c in result}
     return picked.select(*keys, *[order[n].alias(n) for n in probs])
 

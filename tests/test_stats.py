@@ -25,6 +25,22 @@ def test_exact_quantiles(spark, accuracy, small_group):
             assert got.loc[k, name] == pytest.approx(np.nanquantile(g.x, p), abs=1e-12), (k, name)
 
 
+def test_a_rank_outside_its_bracket_widens_it(spark, monkeypatch):
+    """Brackets around nothing at first: the counts are taken again until every rank is inside."""
+    widths, count = [], stats._bracketed
+
+    def narrow(rows, keys, probs, accuracy, slack):
+        widths.append(slack)
+        shifted = probs if slack >= 0.02 else {n: min(1.0, p + 0.4) for n, p in probs.items()}
+        out = count(rows, keys, shifted, accuracy, slack)
+        return out if shifted is probs else out.withColumns({n: F.lit(None).cast("double") for n in probs})
+
+    monkeypatch.setattr(stats, "_bracketed", narrow)
+    df = spark.createDataFrame(pd.DataFrame({"x": np.arange(1001.0)}))
+    row = stats.exact_quantiles(df, [], F.col("x"), {"m": 0.5, "q": 0.1234}, accuracy=1000, small_group=0).first()
+    assert (row.m, row.q) == (500.0, pytest.approx(123.4)) and len(widths) > 1
+
+
 def test_summary_blocks(spark):
     pdf = pd.DataFrame({"k": ["a"] * 5 + ["b"], "x": [1.0, 2.0, 4.0, 8.0, -1.0, 5.0]})
     df = spark.createDataFrame(pdf)

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..constants import BANDWIDTHS_SW
+from ..constants import BANDWIDTHS_SW, HANDS, PHASES
 from ..operators import density as D
+from ..plans import spatial
 from ..session import materialize
 from .views import CYCLE_LEN, SERIES_SQL, series
 
@@ -69,13 +70,17 @@ def density_grid(spark, sf):
 
 
 def eligibility_filter(spark, sf):
-    """Cycles whose rows per phase meet the sample and availability thresholds (scaled to short cycles)."""
+    """Points of the cycles that the plan finds eligible per phase, with thresholds for short cycles."""
     pts = points(spark, sf)
-    per = pts.groupBy("cycle", "phase").agg(
-        F.count("*").alias("kept"), F.count_if(F.col("hand") == "left").alias("left"), F.count_if(F.col("hand") == "right").alias("right")
-    )
-    ok = (F.col("left") >= 2) & (F.col("right") >= 2) & (F.col("left") / F.col("kept") >= 0.4) & (F.col("right") / F.col("kept") >= 0.4)
-    return pts.join(per.where(ok).select("cycle", "phase"), ["cycle", "phase"], "left_semi").groupBy("phase", "hand").agg(
+    counts = {}
+    for phase in PHASES:
+        here = F.col("phase") == phase
+        counts[f"{phase}_retained_frames"] = F.greatest(F.count_if(here), F.lit(1))
+        for hand in HANDS:
+            counts[f"{phase}_{hand}_valid_frames"] = F.count_if(here & (F.col("hand") == hand))
+    audit = pts.groupBy(F.col("cycle").alias("cycle_key")).agg(*[c.alias(n) for n, c in counts.items()])
+    ok = spatial.eligible_cycles(audit, min_samples=2, min_availability=0.4).withColumnRenamed("cycle_key", "cycle")
+    return pts.join(ok, ["cycle", "phase"], "left_semi").groupBy("phase", "hand").agg(
         F.countDistinct("cycle").alias("cycles"), F.count("*").alias("observations")
     )
 

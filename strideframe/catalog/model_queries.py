@@ -82,7 +82,7 @@ def _embedded(spark, sf):
 def standardize(spark, sf):
     df, names = _embedded(spark, sf)
     out = ML.standardize(df, names)
-    return out.select("vec_id", *[F.round(c, 5).alias(c) for c in names[:4]])
+    return out.select("vec_id", *[F.round(c, 5).alias(c) for c in names])
 
 
 def silhouette_exact(spark, sf):
@@ -199,8 +199,8 @@ ORACLES = {
     "positive_centres": f"""WITH {TRAJECTORY_SQL}, man AS (SELECT entity AS video_id, pos AS frame FROM series WHERE cat = 'signup')
         SELECT DISTINCT video_id, CAST(round_even(frame + o * 5, 0) AS BIGINT) AS center_frame FROM man JOIN rate USING (video_id), (VALUES (-0.5::DOUBLE), (0::DOUBLE), (0.5::DOUBLE)) t(o)
         WHERE round_even(frame + o * 5, 0) >= 5 AND round_even(frame + o * 5, 0) <= len - 6""",
-    "standardize": """WITH d AS (SELECT vec_id, CAST(embedding[1] AS DOUBLE) AS a, CAST(embedding[2] AS DOUBLE) AS b, CAST(embedding[3] AS DOUBLE) AS c, CAST(embedding[4] AS DOUBLE) AS d FROM embeddings)
-        SELECT vec_id, """ + ", ".join(f"round(({c} - avg({c}) OVER ()) / stddev_pop({c}) OVER (), 5) AS e{i}" for i, c in enumerate("abcd")) + " FROM d",
+    "standardize": "WITH d AS (SELECT vec_id, " + ", ".join(f"CAST(embedding[{i + 1}] AS DOUBLE) AS x{i}" for i in range(64)) + " FROM embeddings) SELECT vec_id, "
+        + ", ".join(f"round((x{i} - avg(x{i}) OVER ()) / stddev_pop(x{i}) OVER (), 5) AS e{i}" for i in range(64)) + " FROM d",
     "silhouette_exact": """WITH p AS (SELECT a.vec_id, a.label, b.label AS other, a.vec_id = b.vec_id AS me,
           sqrt(list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda x: (x[1]::DOUBLE - x[2]::DOUBLE) ** 2))) AS d FROM embeddings a, embeddings b),
         m AS (SELECT vec_id, label, other, sum(d) AS s, count(*) AS n FROM p GROUP BY 1, 2, 3),

@@ -78,14 +78,13 @@ def first_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column]
 def with_halo(
     df: DataFrame, radius: int, *, rows: int = BLOCK_ROWS, pos: str = "pos", ahead: int | None = None
 ) -> DataFrame:
-    """Copy rows within ``radius`` of a block edge into the neighbouring block."""
+    """Copy rows into every block that sees them: up to ``radius`` rows behind and ``ahead`` rows before its own.
+
+    A reach beyond a block's rows goes to several blocks.
+    """
     ahead = radius if ahead is None else ahead
-    if max(radius, ahead) > rows:
-        raise ValueError("halo radius exceeds the block size")
-    blk, off = F.expr(f"{pos} div {rows}"), F.expr(f"{pos} % {rows}")
-    homes = F.array_compact(
-        F.array(blk, F.when(off < ahead, blk - 1), F.when(off >= rows - radius, blk + 1))
-    )
+    blk = F.expr(f"{pos} div {rows}")
+    homes = F.sequence(F.expr(f"floor(({pos} - {ahead}) / {rows})"), F.expr(f"floor(({pos} + {radius}) / {rows})"))
     return (
         df.withColumn("_home", blk)
         .withColumn("_blk", F.explode(homes))

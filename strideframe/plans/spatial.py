@@ -31,7 +31,7 @@ def check_inputs(points: DataFrame, audit: DataFrame, expected_cycles: int | Non
     })
 
 
-def eligible_cycles(audit: DataFrame) -> DataFrame:
+def eligible_cycles(audit: DataFrame, *, min_samples: int = MIN_VALID_SAMPLES, min_availability: float = MIN_PHASE_AVAILABILITY) -> DataFrame:
     """Cycles with enough valid samples and availability for both wrists, per phase."""
     long = audit.select(
         "cycle_key",
@@ -44,7 +44,7 @@ def eligible_cycles(audit: DataFrame) -> DataFrame:
     assert_rows(long, {"retained frame counts are positive": F.col("kept") > 0})
     enough = F.lit(True)
     for side in ("left", "right"):
-        enough = enough & (F.col(side) >= MIN_VALID_SAMPLES) & (F.col(side) / F.col("kept") >= MIN_PHASE_AVAILABILITY)
+        enough = enough & (F.col(side) >= min_samples) & (F.col(side) / F.col("kept") >= min_availability)
     return long.where(enough).select("phase", "cycle_key")
 
 

@@ -52,6 +52,12 @@ def bandwidth_rank(spark, sf):
     )
 
 
+def paired_rule(spark, sf):
+    """Paired losses from the best bandwidth, and the widest one within a standard error."""
+    out = D.paired_rule(materialize(_scores(spark, sf)))
+    return out.select("bandwidth_sw", F.round("paired_mean_loss_from_best", 5).alias("loss"), F.round("paired_se_loss_from_best", 5).alias("se"), "eligible", "selected")
+
+
 def hdr_summary(spark, sf):
     grid, cells = _cells(spark, sf)
     mass = materialize(D.fitted_density(cells, GROUPS, "video", "cycle", grid, 0.04))
@@ -140,6 +146,7 @@ QUERIES = {
     "hdr_summary": hdr_summary,
     "density_grid": density_grid,
     "eligibility_filter": eligibility_filter,
+    "paired_rule": paired_rule,
 }
 
 ORACLES = {
@@ -148,6 +155,11 @@ ORACLES = {
     "bandwidth_rank": _LOVO + """, agg AS (SELECT bandwidth_sw, avg(m) AS s FROM res GROUP BY 1)
         SELECT bandwidth_sw, round(s, 5) AS equal_group_mean_loo_log_score, rank() OVER (ORDER BY s DESC) AS score_rank,
         bandwidth_sw = (SELECT arg_max(bandwidth_sw, s) FROM agg) AS selected_shared_bandwidth FROM agg""",
+    "paired_rule": _LOVO + """, agg AS (SELECT bandwidth_sw, avg(m) AS s FROM res GROUP BY 1), best AS (SELECT arg_max(bandwidth_sw, s) AS b FROM agg),
+        ref AS (SELECT phase, hand, m AS t FROM res, best WHERE bandwidth_sw = b),
+        per AS (SELECT bandwidth_sw, avg(t - m) AS loss, stddev_samp(t - m) / sqrt(count(*)) AS se FROM res JOIN ref USING (phase, hand) GROUP BY 1)
+        SELECT bandwidth_sw, round(loss, 5) AS loss, round(se, 5) AS se, loss <= se AS eligible,
+          bandwidth_sw = (SELECT max(bandwidth_sw) FROM per WHERE loss <= se) AS selected FROM per""",
     "hdr_summary": _MASS + """, cum AS (SELECT *, sum(mass) OVER (PARTITION BY phase, hand ORDER BY mass DESC, ix, iy ROWS UNBOUNDED PRECEDING) AS c FROM mass),
         th AS (SELECT phase, hand, cv AS coverage, max(mass) AS th FROM cum, (VALUES (CAST(0.5 AS DOUBLE)), (CAST(0.9 AS DOUBLE))) t(cv) WHERE c >= cv GROUP BY ALL)
         SELECT phase, hand, coverage, round(count(*) * 0.025::DOUBLE * 0.025::DOUBLE, 6) AS area_sw2, round(sum(mass), 6) AS achieved_probability_mass,

@@ -7,8 +7,12 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from ..functions import text
 from ..operators import stats
+from ..operators import modeling as ML
 from ..operators.modeling import classification_report, feature_summary
-from ..session import materialize
+from ..session import materialize, shared_path
+from ..sources import schemas
+from ..sources.tables import read_fps_by_video
+from ..sources.writers import write_csv
 from .views import SERIES_SQL, series, table
 
 
@@ -115,7 +119,35 @@ def duration_text(spark, sf):
 
 
 _RAW = """n AS (SELECT event_id, user_id AS u, event_type AS t FROM events)"""
+def fill_mean(spark, sf):
+    """Missing values of the series replaced by the mean of all."""
+    return _r(ML.fill_with_mean(series(spark, sf).select("entity", "pos", "x"), ["x"]), ["entity", "pos"], ["x"])
+
+
+def fill_median(spark, sf):
+    """Missing values of the series and of high counters replaced by the columns' medians."""
+    s = series(spark, sf).select("entity", "pos", "x", F.when(F.col("k") < 60, F.col("k").cast("double")).alias("y"))
+    return _r(ML.fill_with_median(s, ["x", "y"]), ["entity", "pos"], ["x", "y"])
+
+
+def feature_columns(spark, sf):
+    """Which columns of a line item count as features, with their values: no keys, no text, nothing named like a tax."""
+    li = table(spark, sf, "lineitem")
+    names = schemas.feature_columns(li, ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"], ["tax"])
+    counts = F.array(*[F.struct(F.lit(n).alias("feature"), F.count(n).alias("n")) for n in names])
+    return li.agg(counts.alias("c")).select(F.explode("c").alias("r")).select("r.*")
+
+
+def rates_round_trip(spark, sf):
+    """Sampling rates written as headed CSV in the shared folder and read again by their header."""
+    rates = series(spark, sf).groupBy("entity").agg(F.count_if(F.col("cat") == "purchase").alias("n"))
+    path = shared_path(spark, "rates")
+    write_csv(rates.select((F.col("n") + 0.5).alias("FPS"), F.concat("entity", F.lit(".mp4")).alias("Video")), path)
+    return read_fps_by_video(spark, path)
+
+
 QUERIES = {
+    "fill_mean": fill_mean, "fill_median": fill_median, "feature_columns": feature_columns, "rates_round_trip": rates_round_trip,
     "eight_stats": eight_stats, "distribution_stats": distribution_stats, "cv_summary": cv_summary, "two_level_p90": two_level_p90,
     "circular_stats": circular_stats, "signed_angle": signed_angle, "missingness": missingness, "class_balance": class_balance,
     "classification_report": report, "feature_summary": summary_before_scaling, "union_models": union_models,
@@ -123,6 +155,12 @@ QUERIES = {
 }
 
 ORACLES = {
+    "fill_mean": f"WITH {SERIES_SQL} SELECT entity, pos, round(coalesce(x, avg(x) OVER ()), 6) AS x FROM series",
+    "fill_median": f"""WITH {SERIES_SQL}, y AS (SELECT entity, pos, x, CASE WHEN k < 60 THEN CAST(k AS DOUBLE) END AS y FROM series), m AS (SELECT median(x) AS mx, median(y) AS my FROM y)
+        SELECT entity, pos, round(coalesce(x, mx), 6) AS x, round(coalesce(y, my), 6) AS y FROM y, m""",
+    "feature_columns": """SELECT feature, n FROM (SELECT count(l_quantity) AS l_quantity, count(l_extendedprice) AS l_extendedprice, count(l_discount) AS l_discount FROM lineitem)
+        UNPIVOT (n FOR feature IN (l_quantity, l_extendedprice, l_discount))""",
+    "rates_round_trip": f"""WITH {SERIES_SQL} SELECT CAST(entity AS VARCHAR) AS video_id, CAST(count(*) FILTER (cat = 'purchase') + 0.5 AS DOUBLE) AS fps FROM series GROUP BY 1""",
     "eight_stats": f"""WITH {SERIES_SQL} SELECT cat, round(avg(v), 6) AS mean, round(median(v), 6) AS median, round(stddev_pop(v), 6) AS std, round(min(v), 6) AS min,
         round(max(v), 6) AS max, round(max(v) - min(v), 6) AS "range", round(quantile_cont(v, 0.25), 6) AS q25, round(quantile_cont(v, 0.75), 6) AS q75 FROM series GROUP BY cat""",
     "distribution_stats": """SELECT l_returnflag, count(*) AS n, round(median(l_extendedprice), 4) AS median, round(quantile_cont(l_extendedprice, 0.25), 4) AS q1,

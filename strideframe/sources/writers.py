@@ -6,15 +6,18 @@ import json
 import os
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def write_csv(df: DataFrame, path: str, *, by: str | None = None, skip_empty: bool = True) -> bool:
-    """Header CSV under ``path`` (one folder per ``by`` value); nothing for no rows."""
+    """Header CSV under ``path``; nothing for no rows. ``by`` makes one folder per value, and keeps the column in the files."""
     if skip_empty and df.isEmpty():
         return False
     public = df.select(*[c for c in df.columns if not c.startswith("_")])
     writer = public.write.mode("overwrite").option("header", True)
-    (writer.partitionBy(by) if by else writer).csv(path)
+    if by:
+        writer = public.withColumn(f"{by}_folder", F.col(by)).write.mode("overwrite").option("header", True).partitionBy(f"{by}_folder")
+    writer.csv(path)
     return True
 
 
@@ -35,6 +38,18 @@ def write_manifest(document: dict, path: str) -> None:
         json.dump(document, handle, indent=2, ensure_ascii=False)
 
 
+def write_bundle(model, path: str, features: list[str], **settings) -> None:
+    """A fitted model with the features it takes and the settings (window, step, ...) it was trained under."""
+    model.write().overwrite().save(f"{path}/model")
+    write_manifest({"features": features, **settings}, f"{path}/bundle.json")
+
+
+def read_bundle(path: str, load) -> tuple[object, dict]:
+    """(model, document); ``load`` is the loader of the model's class, for example ``PipelineModel.load``."""
+    with open(f"{path}/bundle.json", encoding="utf-8") as handle:
+        return load(f"{path}/model"), json.load(handle)
+
+
 def write_lines(lines: list[str], path: str) -> None:
     os.makedirs(os.path.dirname(os.path.abspath(path)), exist_ok=True)
     with open(path, "w", encoding="utf-8") as handle:

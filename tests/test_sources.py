@@ -81,7 +81,7 @@ def test_segments_and_sinks(spark, tmp_path):
     assert feature_columns(df, ["Start_Frame"], ["pca_"]) == ["speed"]
     assert writers.write_csv(df.withColumn("_private", F.lit(1)), str(tmp_path / "out"), by="Video")
     back = spark.read.option("header", True).csv(str(tmp_path / "out"))
-    assert back.count() == 2 and "_private" not in back.columns
+    assert back.count() == 2 and "_private" not in back.columns and {r.Video for r in back.collect()} == {"3"} == {r.Video_folder for r in back.select(F.col("Video_folder").cast("string")).collect()}
     assert not writers.write_csv(df.where("speed < 0"), str(tmp_path / "none")) and not (tmp_path / "none").exists()
     writers.write_manifest({"a": [1]}, str(tmp_path / "m" / "x.json"))
     assert json.loads((tmp_path / "m" / "x.json").read_text()) == {"a": [1]}

@@ -14,66 +14,123 @@ table gives no rows. Extra columns are ignored. Ties go to the language that sor
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 UNKNOWN = "und"
 #: Bounds of the fitted model: training rows and entries.
 TRAIN_ROWS, MAX_WORDS, MAX_GRAMS, MAX_N = 5_000, 60_000, 60_000, 4
-#: Words beyond this many characters back off by their first characters' n-grams alike; only the memo is bounded by it.
-MEMO = 200_000
-LETTERS = regex.compile(r"\p{L}+")
+#: Scored words that a task remembers, and tokens that are scored at a time.
+MEMO, TOKENS = 200_000, 300_000
+#: Runs of letters; a few numeric signs (like ²) count in them, and a text of those alone is still without a language.
+LETTERS = re.compile(r"[^\W\d_]+")
 
 
 @dataclass(frozen=True)
 class LanguageModel:
-    """Log frequencies per language; ``floor`` is the score of a piece that no language knows."""
+    """Log frequencies, one row per piece and one column per language; ``floor`` is the row of unknown characters."""
 
     languages: tuple[str, ...]
-    words: dict[str, np.ndarray]
-    grams: dict[str, np.ndarray]
+    words: dict[str, int]
+    word_rows: np.ndarray
+    grams: dict[str, int]
+    gram_rows: np.ndarray
     max_n: int
-    floor: np.ndarray
 
-    def word(self, word: str) -> np.ndarray:
-        known = self.words.get(word)
-        return known if known is not None else self.pieces(f" {word} ", self.max_n)
+    @property
+    def floor(self) -> int:
+        return len(self.gram_rows) - 1
 
-    def pieces(self, text: str, n: int) -> np.ndarray:
-        """Mean over the n-grams of ``text``, each unknown one replaced by its own shorter n-grams."""
-        if n > len(text):
-            n = len(text)
-        total, count = np.zeros(len(self.languages)), len(text) - n + 1
+    def pieces(self, text: str, n: int, weight: float, rows: list[int], weights: list[float]) -> None:
+        """Add the n-grams of ``text`` with their shares of ``weight``; unknown ones by their own shorter n-grams."""
+        n = min(n, len(text))
+        count = len(text) - n + 1
+        share = weight / count
         for i in range(count):
-            piece = text[i : i + n]
-            known = self.grams.get(piece)
-            if known is None:
-                known = self.floor if n == 1 else self.pieces(piece, n - 1)
-            total = total + known
-        return total / count
-
-    def predict(self, text: str | None, memo: dict[str, np.ndarray]) -> tuple[str, float]:
-        counts: dict[str, int] = {}
-        for word in LETTERS.findall((text or "").lower()):
-            counts[word] = counts.get(word, 0) + 1
-        if not counts or not self.languages:
-            return UNKNOWN, 0.0
-        total = np.zeros(len(self.languages))
-        for word, n in counts.items():
-            score = memo.get(word)
-            if score is None:
-                score = self.word(word)
-                if len(memo) < MEMO:
-                    memo[word] = score
-            total += n * score
-        best = int(np.argmax(total))
-        return self.languages[best], float(1.0 / np.exp(np.clip(total - total[best], -700, 0)).sum())
+            row = self.grams.get(text[i : i + n])
+            if row is not None:
+                rows.append(row)
+                weights.append(share)
+            elif n > 1:
+                self.pieces(text[i : i + n], n - 1, share, rows, weights)
+            else:
+                rows.append(self.floor)
+                weights.append(share)
+
+    def score_words(self, words: Sequence[str]) -> np.ndarray:
+        """One row of log scores per word: its own, or the weighted ones of its pieces."""
+        known = np.array([self.words.get(w, -1) for w in words], np.int64)
+        out = self.word_rows[known]
+        unseen = np.flatnonzero(known < 0)
+        if len(unseen):
+            rows: list[int] = []
+            weights: list[float] = []
+            starts = []
+            for i in unseen.tolist():
+                starts.append(len(rows))
+                self.pieces(f" {words[i]} ", self.max_n, 1.0, rows, weights)
+            out[unseen] = np.add.reduceat(self.gram_rows[rows] * np.array(weights)[:, None], starts)
+        return out
+
+    def predict(self, texts: Iterable[str | None], memo: Memo | None = None) -> list[tuple[str, float]]:
+        """(language, score) per text; the score is the language's share of the likelihoods."""
+        memo = memo if memo is not None else Memo(len(self.languages))
+        out: list[tuple[str, float]] = []
+        tokens: list[list[str]] = []
+        waiting = 0
+        for text in texts:
+            words = LETTERS.findall(text.lower()) if isinstance(text, str) and self.languages else []
+            if words and not any(c.isalpha() for w in words for c in w):
+                words = []
+            tokens.append(words)
+            waiting += len(words)
+            if waiting >= TOKENS:
+                out += self._predict(tokens, memo)
+                tokens, waiting = [], 0
+        return out + self._predict(tokens, memo)
+
+    def _predict(self, tokens: list[list[str]], memo: Memo) -> list[tuple[str, float]]:
+        lengths = np.array([len(t) for t in tokens], np.int64)
+        filled = np.flatnonzero(lengths)
+        out = [(UNKNOWN, 0.0)] * len(tokens)
+        if not len(filled):
+            return out
+        codes, words = pd.factorize(np.array([w for t in tokens for w in t], object))
+        table = memo.rows(words, self)
+        starts = np.concatenate(([0], np.cumsum(lengths[filled])[:-1]))
+        total = np.add.reduceat(table[codes], starts)
+        best = total.argmax(1)
+        score = 1.0 / np.exp(np.clip(total - total[np.arange(len(total)), best][:, None], -700, 0)).sum(1)
+        for i, k, x in zip(filled.tolist(), best.tolist(), score.tolist(), strict=True):
+            out[i] = self.languages[k], x
+        return out
+
+
+class Memo:
+    """The scores of words met before, up to ``MEMO`` of them."""
+
+    def __init__(self, languages: int):
+        self.at: dict[str, int] = {}
+        self.table = np.empty((MEMO, languages))
+
+    def rows(self, words: np.ndarray, model: LanguageModel) -> np.ndarray:
+        known = np.array([self.at.get(w, -1) for w in words], np.int64)
+        out = self.table[known]
+        fresh = np.flatnonzero(known < 0)
+        if len(fresh):
+            made = model.score_words([words[i] for i in fresh])
+            out[fresh] = made
+            full = len(self.at)
+            room = min(len(fresh), MEMO - full)
+            self.table[full : full + room] = made[:room]
+            self.at.update((words[i], full + k) for k, i in enumerate(fresh[:room].tolist()))
+        return out
 
 
 def held_out(doc_id: str = "doc_id"):
@@ -81,14 +138,14 @@ def held_out(doc_id: str = "doc_id"):
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit(""))) % 5 == 0
 
 
-def _table(rows: list, languages: tuple[str, ...]) -> tuple[dict[str, np.ndarray], np.ndarray]:
-    """Smoothed log frequencies by piece, and those of an unseen piece."""
+def _table(rows: list, languages: tuple[str, ...]) -> tuple[dict[str, int], np.ndarray]:
+    """Row number by piece, and the smoothed log frequencies; the last row is that of an unseen piece."""
     at = {x: i for i, x in enumerate(languages)}
-    counts: dict[str, np.ndarray] = {}
+    number = {piece: i for i, piece in enumerate(dict.fromkeys(r["piece"] for r in rows))}
+    counts = np.full((len(number) + 1, len(languages)), 0.5)
     for row in rows:
-        counts.setdefault(row["piece"], np.zeros(len(languages)))[at[row["lang"]]] += row["n"]
-    totals = sum(counts.values(), np.zeros(len(languages))) + 0.5 * (len(counts) + 1)
-    return {k: np.log((v + 0.5) / totals) for k, v in counts.items()}, np.log(0.5 / totals)
+        counts[number[row["piece"]], at[row["lang"]]] += row["n"]
+    return number, np.log(counts / counts.sum(0))
 
 
 def fit(
@@ -101,9 +158,10 @@ def fit(
     rows = docs.where(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull()).select(
         F.col("lang").cast("string").alias("lang"), "text", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)).alias("h")
     )
-    sizes = rows.groupBy("lang").count()
-    share = F.when(F.col("count") > train_rows, train_rows / F.col("count")).otherwise(1.0)
-    chosen = rows.join(sizes, "lang").where(F.col("h") < share * (1 << 20)).select("lang", "text")
+    # One row per language, as many as the model has columns.
+    shares = [(r["lang"], min(1.0, train_rows / r["count"])) for r in rows.groupBy("lang").count().collect()]
+    share = F.element_at(F.create_map(*[F.lit(x) for pair in shares for x in pair]), F.col("lang")) if shares else F.lit(0.0)
+    chosen = rows.where(F.col("h") < share * (1 << 20)).select("lang", "text")
     words = (
         chosen.select("lang", F.explode(F.expr(r"regexp_extract_all(lower(text), '\\p{L}+', 0)")).alias("piece"))
         .groupBy("lang", "piece")
@@ -127,10 +185,8 @@ def fit(
     finally:
         words.unpersist()
     if not languages:
-        return LanguageModel((), {}, {}, max_n, np.zeros(0))
-    by_word, _ = _table(top_words, languages)
-    by_gram, floor = _table(top_grams, languages)
-    return LanguageModel(languages, by_word, by_gram, max_n, floor)
+        return LanguageModel((), {}, np.zeros((1, 0)), {}, np.zeros((1, 0)), max_n)
+    return LanguageModel(languages, *_table(top_words, languages), *_table(top_grams, languages), max_n)
 
 
 def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
@@ -139,9 +195,9 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
 
     @F.pandas_udf("lang_pred string, score double")
     def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        memo: dict[str, np.ndarray] = {}
+        memo = Memo(len(shared.value.languages))
         for texts in batches:
-            yield pd.DataFrame([shared.value.predict(x, memo) for x in texts], columns=["lang_pred", "score"])
+            yield pd.DataFrame(shared.value.predict(texts, memo), columns=["lang_pred", "score"])
 
     return docs.withColumn("language", predict("text"))
 

@@ -29,9 +29,9 @@ def test_unseen_words_back_off(spark):
     rows = [(i, "the thing with the other thing", "en") for i in range(20)] + [(i, "der die das schlicht geschacht", "de") for i in range(20, 40)]
     model = language.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
     assert model.languages == ("de", "en")
-    assert model.predict("thithing", {})[0] == "en" and model.predict("schlachts", {})[0] == "de"
-    assert model.predict("zzz", {})[0] in ("de", "en")
-    assert model.predict("1234 !?", {}) == ("und", 0.0)
+    got = model.predict(["thithing", "schlachts", "zzz", "1234 !?", None, "\u00b2 \u00bd", "\u00e91 the thing"])
+    assert [x for x, _ in got] == ["en", "de", got[2][0], "und", "und", "und", "en"] and got[2][0] in ("de", "en")
+    assert got[3] == ("und", 0.0) and model.predict(["the thing"] * 3) == [model.predict(["the thing"])[0]] * 3
 
 
 def test_odd_rows(spark, odd):
@@ -41,4 +41,4 @@ def test_odd_rows(spark, odd):
     kept = language.language_stage(spark, odd, "")
     assert kept.columns == odd.columns and kept.count() == 7
     nothing = language.fit(odd.limit(0))
-    assert nothing.predict("some text", {}) == ("und", 0.0) and language.language_stage(spark, odd.limit(0), "").count() == 0
+    assert nothing.predict(["some text"]) == [("und", 0.0)] and language.language_stage(spark, odd.limit(0), "").count() == 0

@@ -48,12 +48,17 @@ def bucket_width(df: DataFrame, keys: Sequence[str], order: Column, target: int
     return width
 
 
+def _placed(block: Column, what: str) -> Column:
+    """``block``, or an error for a row whose order key is missing: it has no place and would be lost or leak."""
+    return F.coalesce(block, F.raise_error(F.lit(f"missing order key: {what}")).cast("bigint"))
+
+
 def number_rows(
     df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], bucket: Column, out: str = "pos"
 ) -> DataFrame:
     """Dense zero-based row number per key, two-level over a monotone ``bucket``."""
     keys = list(keys)
-    rows = df.withColumn("_b", bucket)
+    rows = df.withColumn("_b", _placed(bucket, "number_rows"))
     before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     starts = (
         rows.groupBy(*keys, "_b")
@@ -122,7 +127,7 @@ def carry(
     * before_max: maximum over all earlier rows
     """
     keys = list(keys)
-    rows = df.withColumn("_blk", block)
+    rows = df.withColumn("_blk", _placed(block, order))
     inner = Window.partitionBy(*keys, "_blk").orderBy(order)
     upto = inner.rowsBetween(Window.unboundedPreceding, 0)
     # Descending order keeps the growing-frame evaluation linear.

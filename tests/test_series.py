@@ -168,3 +168,14 @@ def test_numbering_and_carry_across_blocks(spark):
         np.testing.assert_allclose(g["lag"].to_numpy(float), g.v.shift().to_numpy())
         np.testing.assert_allclose(g.lead.to_numpy(float), g.v.shift(-1).to_numpy())
         np.testing.assert_allclose(g.top.to_numpy(float), g.v.cummax().shift().to_numpy())
+
+
+def test_missing_order_keys_are_refused(spark):
+    """A row without its order key has no place: it must neither vanish nor leak into its neighbours."""
+    from strideframe.operators.blocks import Carry, carry, number_rows
+
+    df = spark.createDataFrame([("a", 0, 1.0), ("a", None, 2.0), ("a", 3, 4.0)], "k string, t int, e double")
+    with pytest.raises(Exception, match="missing order key"):
+        carry(df, ["k"], "t", {"p": Carry("lag", F.col("e"))}, F.expr("t div 8")).collect()
+    with pytest.raises(Exception, match="missing order key"):
+        number_rows(df, ["k"], ["t"], F.expr("t div 8")).collect()

@@ -27,10 +27,17 @@ def raw_series(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+#: Bucket widths by application and folder: a width only sets how work is split, never what comes out.
+_WIDTHS: dict[tuple[str, str], int] = {}
+
+
 def series(spark: SparkSession, sf: str) -> DataFrame:
     """``raw_series`` with the dense row position ``pos`` per entity."""
     raw = raw_series(spark, sf)
-    width = bucket_width(raw, ["entity"], F.col("t"), BLOCK_ROWS)
+    place = spark.sparkContext.applicationId, sf
+    if place not in _WIDTHS:
+        _WIDTHS[place] = bucket_width(raw, ["entity"], F.col("t"), BLOCK_ROWS)
+    width = _WIDTHS[place]
     return number_rows(raw, ["entity"], ["t"], F.floor(F.col("t") / F.lit(width)))
 
 

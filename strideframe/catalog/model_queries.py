@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..constants import VIDEO_K_RANGE, VIDEO_N_INIT
 from ..operators import features as X
 from ..operators import lattice
 from ..operators import modeling as ML
@@ -98,7 +99,7 @@ def pca_variance(spark, sf):
 
 def kmeans_sweep(spark, sf):
     df, names = _embedded(spark, sf)
-    _, summary = ML.kmeans_sweep(ML.assemble(ML.standardize(df, names), names), "vec_id", "Raw64", [2, 3], n_init=2)
+    _, summary = ML.kmeans_sweep(ML.assemble(ML.standardize(df, names), names), "vec_id", "Raw64", VIDEO_K_RANGE, n_init=VIDEO_N_INIT)
     return summary
 
 
@@ -106,7 +107,7 @@ def rf_cv(spark, sf):
     """Held-out predictions of the upper label half, groups by hash."""
     df, names = _embedded(spark, sf)
     data = df.withColumn("group", F.pmod(F.xxhash64("vec_id"), F.lit(3))).withColumn("label", (F.col("label") >= 5).cast("int"))
-    return ML.confusion(ML.leave_one_group_out(data, "group", names, trees=30))
+    return ML.confusion(ML.leave_one_group_out(data, "group", names))
 
 
 _WIN = """wl AS (SELECT *, greatest(2, CAST(round_even(fps, 0) AS BIGINT)) AS wlen, greatest(1, CAST(round_even(fps / 2, 0) AS BIGINT)) AS wstep FROM rate),

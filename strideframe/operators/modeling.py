@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 import numpy as np
 import pandas as pd
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.clustering import KMeans
@@ -87,12 +89,17 @@ def project(df: DataFrame, model, components: int, features: str = "features", o
 
 
 # --- clustering ----------------------------------------------------------------------
+FITS_AT_A_TIME = 8
+
+
 def kmeans_best(df: DataFrame, k: int, *, n_init: int, max_iter: int = 300, seed: int = RANDOM_SEED, features: str = "features"):
-    """Lowest-cost model of ``n_init`` seeded runs."""
-    models = [
-        KMeans(k=k, seed=seed + i, maxIter=max_iter, tol=1e-4, featuresCol=features, predictionCol="_cluster").fit(df)
-        for i in range(n_init)
-    ]
+    """Lowest-cost model of ``n_init`` seeded runs, several of them at a time."""
+    def fit(i: int):
+        return KMeans(k=k, seed=seed + i, maxIter=max_iter, tol=1e-4, featuresCol=features, predictionCol="_cluster").fit(df)
+
+    # Each run is a chain of short jobs; runs share the cores, and the first of equal costs wins in any order of ends.
+    with ThreadPoolExecutor(min(n_init, FITS_AT_A_TIME)) as pool:
+        models = list(pool.map(inheritable_thread_target(df.sparkSession)(fit), range(n_init)))
     return min(models, key=lambda m: m.summary.trainingCost)
 
 

@@ -140,3 +140,18 @@ def test_fps_fallback_chain(spark):
     df = spark.createDataFrame([("a", 100, 4.0, 30.0), ("b", 100, None, 30.0), ("c", 100, 0.0, None)], "v string, frames int, duration_sec double, container_fps double")
     got = {r.v: (r.fps, r.duration_sec, r.fps_source.split()[0]) for r in video.resolved_fps(df).collect()}
     assert got["a"][:2] == (25.0, 4.0) and got["b"][0] == 30.0 and got["c"][:2] == (20.0, 5.0)
+
+
+def test_queries_run_the_plans_in_full(spark, monkeypatch):
+    """kmeans_sweep and rf_cv call their operators with the plans' K, starts and trees."""
+    from strideframe import constants as C
+    from strideframe.catalog import model_queries as Q
+
+    seen = {}
+    monkeypatch.setattr(Q, "_embedded", lambda spark, sf: (spark.createDataFrame([(i, i % 10, i * 1.0, i % 3 * 1.0) for i in range(30)], "vec_id long, label int, e0 double, e1 double"), ["e0", "e1"]))
+    with monkeypatch.context() as m:
+        m.setattr(ML, "kmeans_sweep", lambda df, key, setting, ks, *, n_init: (None, (list(ks), n_init)))
+        assert Q.kmeans_sweep(spark, "") == (list(C.VIDEO_K_RANGE), C.VIDEO_N_INIT) == (list(range(2, 14)), 50)
+    pipeline = ML.forest_pipeline
+    monkeypatch.setattr(ML, "forest_pipeline", lambda df, f, *, trees, seed: seen.setdefault("trees", []).append(trees) or pipeline(df, f, trees=3, seed=seed))
+    assert sum(r.n for r in Q.rf_cv(spark, "").collect()) == 30 and seen["trees"] == [500] * 3

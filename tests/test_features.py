@@ -1,5 +1,7 @@
 """Feature blocks against per-window pandas evaluation."""
 
+import os
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -137,3 +139,16 @@ def test_long_series_transform_matches_the_short_one(spark, monkeypatch):
     long = spectra.series_spectrum(df, ["v"], sizes, "v", limit=16).toPandas().set_index("v").sort_index()
     pd.testing.assert_frame_equal(short, long, atol=1e-9, check_dtype=False)
     assert short.loc[4].isna().tolist() == [True, False, False]
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="driver tables absent")
+@pytest.mark.parametrize("name", ["video_features_all", "window_features_all", "detector_features_all"])
+def test_every_feature_column_has_an_oracle(spark, name):
+    from oracle_check import compare, connect
+
+    import __spark_entry__ as entry
+
+    sf, query = "/root/testdata/sf0.001", entry.queries()[name]
+    names = X.detector_names() if name.startswith("detector") else X.feature_names()
+    assert set(names) <= set(query(spark, sf).columns) and len(names) == (293 if name.startswith("detector") else 88)
+    assert compare(spark, connect(sf), sf, query, entry.oracle_sql()[name]) == []

@@ -1,14 +1,17 @@
 """Cycle-balanced two-dimensional density estimation.
 
-Points become sparse cells before anything is shuffled, and a group never holds
-more rows than the grid has cells. Smoothing is separable and linear, so cycles
-are normalised in closed form, summed per video, and smoothed once per video.
+Points become sparse cells before anything is shuffled. Smoothing is separable and
+linear, so cycles are normalised in closed form, summed per video, and smoothed once
+per video. The kernel ends after eight standard deviations, so the plane is cut into
+tiles: a tile sees its own cells and those within the kernel's reach, empty tiles do
+not exist, and cost follows the occupied cells whatever the extent of the points.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -18,58 +21,98 @@ from pyspark.sql import functions as F
 from ..constants import BANDWIDTHS_SW, CELL_SIZE_SW, COVERAGES, GRID_MARGIN_SW, HANDS, KERNEL_TRUNCATE, PHASES, SCORE_FLOOR
 from ..session import materialize, spread
 from ..sources.schemas import assert_rows
+from .selection import LEAF_ROWS, smallest_reaching
 
-# Largest total table shipped to every worker; beyond it totals are shuffled to the videos.
-BROADCAST_BYTES = 128 << 20
-MAX_GRID_CELLS = 20_000_000
+# Videos that are scored together in one tile: each of them needs the tile's totals once.
+CHUNK_VIDEOS = 32
+
+
+@dataclass(frozen=True)
+class Axis:
+    """Cell edges of one axis by rule: ``count`` fixed ones from ``first`` on, and ``pad`` more on either side.
+
+    Padding extends the fixed edges and never rebuilds them, so a point on an edge
+    keeps its cell whatever the bandwidth range. No edge table exists, so the axis may
+    be of any length.
+    """
+
+    first: float
+    count: int
+    pad: int
+
+    @property
+    def step(self) -> float:
+        return (self.first + CELL_SIZE_SW) - self.first
+
+    @property
+    def cells(self) -> int:
+        return self.count - 1 + 2 * self.pad
+
+    def edge(self, i: Column) -> Column:
+        inner = i - self.pad
+        last = self.first + (self.count - 1) * self.step
+        return (
+            F.when(inner < 0, F.lit(self.first) + inner * CELL_SIZE_SW)
+            .when(inner >= self.count, F.lit(last) + (inner - (self.count - 1)) * CELL_SIZE_SW)
+            .otherwise(F.lit(self.first) + inner * self.step)
+        )
+
+    def centre(self, i: Column) -> Column:
+        return (self.edge(i) + self.edge(i + 1)) / 2
+
+    def edges(self) -> np.ndarray:
+        inner = self.first + np.arange(self.count) * self.step
+        outward = CELL_SIZE_SW * np.arange(1, self.pad + 1)
+        return np.concatenate([inner[0] - outward[::-1], inner, inner[-1] + outward])
+
+    @property
+    def extent(self) -> tuple[float, float]:
+        return self.first - CELL_SIZE_SW * self.pad, self.first + (self.count - 1) * self.step + CELL_SIZE_SW * self.pad
 
 
 @dataclass(frozen=True)
 class Grid:
-    x_edges: np.ndarray
-    y_edges: np.ndarray
+    x: Axis
+    y: Axis
 
     @property
     def shape(self) -> tuple[int, int]:
-        return len(self.x_edges) - 1, len(self.y_edges) - 1
+        return self.x.cells, self.y.cells
+
+    @cached_property
+    def x_edges(self) -> np.ndarray:
+        return self.x.edges()
+
+    @cached_property
+    def y_edges(self) -> np.ndarray:
+        return self.y.edges()
 
     @property
     def centres(self) -> tuple[np.ndarray, np.ndarray]:
         return tuple((e[:-1] + e[1:]) / 2 for e in (self.x_edges, self.y_edges))
 
 
-def _axis_edges(low: float, high: float, widest: float) -> np.ndarray:
-    """Edges on the fixed margin, then whole-cell padding for wider bandwidths.
-
-    Padding extends the fixed edges and never rebuilds them, so a point on an edge
-    keeps its cell whatever the bandwidth range.
-    """
+def _axis(low: float, high: float, widest: float) -> Axis:
+    """The fixed margin around the points, then whole-cell padding for wider bandwidths."""
     cell = CELL_SIZE_SW
-    first = np.floor((low - GRID_MARGIN_SW) / cell) * cell
-    last = np.ceil((high + GRID_MARGIN_SW) / cell) * cell
-    inner = np.arange(first, last + cell / 2, cell)
-    extra = int(np.ceil(max(0.0, 4 * widest - GRID_MARGIN_SW) / cell))
-    outward = cell * np.arange(1, extra + 1)
-    return np.concatenate([inner[0] - outward[::-1], inner, inner[-1] + outward])
+    first = float(np.floor((low - GRID_MARGIN_SW) / cell) * cell)
+    last = float(np.ceil((high + GRID_MARGIN_SW) / cell) * cell)
+    return Axis(first, int(np.ceil((last + cell / 2 - first) / cell)), int(np.ceil(max(0.0, 4 * widest - GRID_MARGIN_SW) / cell)))
 
 
 def make_grid(df: DataFrame, x: str, y: str, bandwidths: Sequence[float] = BANDWIDTHS_SW) -> Grid:
     """Grid covering all points; one aggregation brings four numbers to the driver."""
     x0, x1, y0, y1 = df.agg(F.min(x), F.max(x), F.min(y), F.max(y)).first()
-    grid = Grid(_axis_edges(x0, x1, max(bandwidths)), _axis_edges(y0, y1, max(bandwidths)))
-    if grid.shape[0] * grid.shape[1] > MAX_GRID_CELLS:
-        raise ValueError(f"coordinates span {grid.shape} cells; check their unit")
-    return grid
+    if x0 is None or y0 is None:
+        raise ValueError("a grid needs at least one point")
+    return Grid(_axis(x0, x1, max(bandwidths)), _axis(y0, y1, max(bandwidths)))
 
 
-def cell_index(c: Column, edges: np.ndarray) -> Column:
+def cell_index(c: Column, axis: Axis) -> Column:
     """Bin by comparison with the edges themselves; the last bin is closed."""
-    n = len(edges) - 1
-    table = F.array(*[F.lit(float(e)) for e in edges])
-    near = F.least(F.lit(n - 1), F.greatest(F.lit(0), F.floor((c - float(edges[0])) / CELL_SIZE_SW)))
-    low, high = F.get(table, near.cast("int")), F.get(table, (near + 1).cast("int"))
-    moved = near + F.when(c < low, -1).when((c >= high) & (near < n - 1), 1).otherwise(0)
-    return moved.cast("int")
+    n = axis.cells
+    near = F.least(F.lit(n - 1), F.greatest(F.lit(0), F.floor((c - axis.extent[0]) / CELL_SIZE_SW))).cast("bigint")
+    return near + F.when(c < axis.edge(near), -1).when((c >= axis.edge(near + 1)) & (near < n - 1), 1).otherwise(0)
 
 
 def cycle_histograms(
@@ -78,10 +121,10 @@ def cycle_histograms(
     """Unit-mass cells ``(groups, video, cycle, ix, iy, w)``."""
     keys = [*groups, video, cycle]
     counted = (
-        points.select(*keys, cell_index(F.col(x), grid.x_edges).alias("ix"), cell_index(F.col(y), grid.y_edges).alias("iy"))
+        points.select(*keys, cell_index(F.col(x), grid.x).alias("ix"), cell_index(F.col(y), grid.y).alias("iy"))
         .groupBy(*keys, "ix", "iy").agg(F.count("*").alias("_n"))
     )
-    # At most one row per grid cell in each window partition.
+    # One row per cell that the cycle visits in each window partition.
     total = F.sum("_n").over(Window.partitionBy(*keys))
     return counted.withColumn("w", F.col("_n") / total).drop("_n")
 
@@ -95,106 +138,127 @@ def kernel(bandwidth: float) -> np.ndarray:
     return (k / k.sum())[reach:]
 
 
-def kernel_rows(bandwidth: float, rows: np.ndarray, n: int) -> np.ndarray:
-    """Kernel weights from each of ``rows`` to all ``n`` cells of an axis."""
+def reach(bandwidths: Sequence[float]) -> int:
+    """Cells that the widest kernel extends to either side."""
+    return max(len(kernel(b)) for b in bandwidths) - 1
+
+
+def kernel_between(bandwidth: float, rows: np.ndarray, columns: np.ndarray) -> np.ndarray:
+    """Kernel weights between the cells ``rows`` and ``columns`` of an axis."""
     half = kernel(bandwidth)
-    distance = np.abs(np.asarray(rows)[:, None] - np.arange(n)[None, :])
+    distance = np.abs(np.asarray(rows)[:, None] - np.asarray(columns)[None, :])
     return np.where(distance < len(half), half[np.minimum(distance, len(half) - 1)], 0.0)
 
 
-def _axis_mass(df: DataFrame, name: str, n: int, bandwidths: Sequence[float]) -> DataFrame:
-    """In-grid kernel mass of every cell of one axis, an array over bandwidths (n rows)."""
-    mass = np.stack([kernel_rows(b, np.arange(n), n).sum(axis=1) for b in bandwidths], axis=1)
-    rows = [(int(i), [float(v) for v in m]) for i, m in enumerate(mass)]
-    return F.broadcast(df.sparkSession.createDataFrame(rows, f"{name} int, _m{name} array<double>"))
+def _with_axis_mass(cells: DataFrame, name: str, n: int, bandwidths: Sequence[float]) -> DataFrame:
+    """``cells`` with the in-grid kernel mass ``_m{name}`` of their place on one axis, an array over bandwidths.
+
+    The mass is what the kernel holds on either side up to the border, so it depends on two distances that are cut at the
+    kernel's reach; the broadcast table has one row per distance, whatever the grid.
+    """
+    far = reach(bandwidths)
+    halves = [np.cumsum(kernel(b)) for b in bandwidths]
+    rows = [(d, [float(h[min(d, len(h) - 1)]) for h in halves]) for d in range(far + 1)]
+    low = F.broadcast(cells.sparkSession.createDataFrame(rows, f"_dl bigint, _l{name} array<double>"))
+    high = F.broadcast(cells.sparkSession.createDataFrame(rows, f"_dh bigint, _h{name} array<double>"))
+    joined = (
+        cells.withColumns({"_dl": F.least(F.col(name), F.lit(far)), "_dh": F.least(F.lit(n - 1) - F.col(name), F.lit(far))})
+        .join(low, "_dl").join(high, "_dh").drop("_dl", "_dh")
+    )
+    centre = F.array(*[F.lit(float(kernel(b)[0])) for b in bandwidths])
+    both = F.zip_with(f"_l{name}", f"_h{name}", lambda a, b: a + b)
+    return joined.withColumn(f"_m{name}", F.zip_with(both, centre, lambda m, c: m - c)).drop(f"_l{name}", f"_h{name}")
+
+
+def _masses(cells: DataFrame, grid: Grid, bandwidths: Sequence[float]) -> DataFrame:
+    nx, ny = grid.shape
+    return _with_axis_mass(_with_axis_mass(cells, "ix", nx, bandwidths), "iy", ny, bandwidths)
 
 
 def normalised_cells(cells: DataFrame, groups: Sequence[str], video: str, cycle: str, grid: Grid, bandwidths: Sequence[float]) -> DataFrame:
     """Per video and cell: sum over cycles of weight / in-grid smoothed mass, one column per bandwidth."""
-    nx, ny = grid.shape
     keys = [*groups, video, cycle]
-    wide = cells.join(_axis_mass(cells, "ix", nx, bandwidths), "ix").join(_axis_mass(cells, "iy", ny, bandwidths), "iy")
     masses = [F.sum(F.col("w") * F.col("_mix")[b] * F.col("_miy")[b]).alias(f"_t{b}") for b in range(len(bandwidths))]
-    totals = wide.groupBy(*keys).agg(*masses)
+    totals = _masses(cells, grid, bandwidths).groupBy(*keys).agg(*masses)
     return cells.join(totals, keys).groupBy(*groups, video, "ix", "iy").agg(
         *[F.sum(F.col("w") / F.col(f"_t{b}")).alias(f"a{b}") for b in range(len(bandwidths))]
     )
 
 
+def on_tiles(cells: DataFrame, size: int, margin: int) -> DataFrame:
+    """Each cell once per tile ``tx, ty`` that it lies in or within ``margin`` cells of; ``inside`` marks its own tile."""
+    for axis, tile in (("ix", "tx"), ("iy", "ty")):
+        low, high = (F.floor((F.col(axis) + by) / F.lit(size)).cast("bigint") for by in (-margin, margin))
+        cells = cells.withColumn(tile, F.explode(F.sequence(low, high)))
+    own = [F.floor(F.col(axis) / F.lit(size)) == F.col(tile) for axis, tile in (("ix", "tx"), ("iy", "ty"))]
+    return cells.withColumn("inside", own[0] & own[1])
+
+
 def leave_one_video_out(
     cells: DataFrame, groups: Sequence[str], video: str, cycle: str, grid: Grid,
-    bandwidths: Sequence[float] = BANDWIDTHS_SW, *, broadcast_bytes: int = BROADCAST_BYTES,
+    bandwidths: Sequence[float] = BANDWIDTHS_SW, *, chunk_videos: int = CHUNK_VIDEOS,
 ) -> DataFrame:
     """Held-out log scores: ``(groups, bandwidth_sw, contributing_cycles, mean, sd)``.
 
     For every video the others' cells are total minus own, subtracted before smoothing
     (a cell only this video visits is exactly empty), and the density is evaluated at
-    the video's own cells only.
+    the video's own cells only. A task holds one tile with its margin and a chunk of the
+    videos that visit it.
     """
     groups = list(groups)
     count = len(bandwidths)
     names = [f"a{b}" for b in range(count)]
+    total_names = [f"t{a}" for a in names]
     cells = materialize(cells)
     per_video = materialize(normalised_cells(cells, groups, video, cycle, grid, bandwidths))
     total = per_video.groupBy(*groups, "ix", "iy").agg(*[F.sum(a).alias(f"t{a}") for a in names], F.count("*").alias("_videos"))
     cycles = cells.select(*groups, video, cycle).distinct().groupBy(*groups, video).agg(F.count("*").alias("_own"))
-    everyone = cycles.groupBy(*groups).agg(F.sum("_own").alias("_all"))
-    held = per_video.join(cycles, [*groups, video]).join(everyone, groups)
+    everyone = cycles.groupBy(*groups).agg(F.sum("_own").alias("_all"), F.ceil(F.count("*") / F.lit(chunk_videos)).alias("_chunks"))
+    assert_rows(everyone.join(cycles, groups), {"a video has others in its group to score it by": F.col("_all") > F.col("_own")})
+    held = per_video.join(cycles, [*groups, video]).join(everyone, groups).withColumn("chunk", F.pmod(F.hash(video), F.col("_chunks")))
+
+    margin = reach(bandwidths)
+    size = 2 * max(margin, 16)
+    place = [*groups, "tx", "ty"]
+    own = on_tiles(held, size, margin).drop("_chunks")
+    visited = own.where("inside").select(*place, "chunk").distinct()
+    around = on_tiles(total, size, margin).drop("inside").join(visited, place)
+    around = around.toDF(*around.columns)  # fresh column identities for the cogroup
 
-    nx, ny = grid.shape
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in per_video.select(*groups, video).schema)
-    schema = f"{fields}, ix int, iy int, logd array<double>"
-    total_names = [f"t{a}" for a in names]
-
-    def dense(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-        stack, videos = np.zeros((count, nx, ny)), np.zeros((nx, ny), int)
-        stack[:, pdf.ix, pdf.iy] = pdf[total_names].to_numpy().T
-        videos[pdf.ix, pdf.iy] = pdf["_videos"]
-        return stack, videos
-
-    def evaluate(pdf: pd.DataFrame, stack: np.ndarray, videos: np.ndarray) -> pd.DataFrame:
-        others = int(pdf["_all"].iloc[0] - pdf["_own"].iloc[0])
-        if others == 0:
-            raise ValueError("a group with a single video leaves nothing to score it by")
-        ix, iy = pdf.ix.to_numpy(), pdf.iy.to_numpy()
-        columns, place = np.unique(ix, return_inverse=True)
-        shared = videos[ix, iy] > 1
-        logs = np.empty((len(pdf), count))
+    columns = [*groups, video, "ix", "iy", "logd"]
+
+    def evaluate(mine: pd.DataFrame, totals: pd.DataFrame) -> pd.DataFrame:
+        if not mine.inside.any():
+            return pd.DataFrame(columns=columns)
+        xs, x_at = np.unique(totals.ix, return_inverse=True)
+        ys, y_at = np.unique(totals.iy, return_inverse=True)
+        stack, videos = np.zeros((count, len(xs), len(ys))), np.zeros((len(xs), len(ys)), int)
+        stack[:, x_at, y_at] = totals[total_names].to_numpy().T
+        videos[x_at, y_at] = totals["_videos"]
+        here = mine[mine.inside]
+        rows, columns_of = np.unique(here.ix), np.unique(here.iy)
+        visits = []
+        for _, near in mine.groupby(video, sort=False):
+            own = near[near.inside]
+            if len(own):
+                at = np.searchsorted(xs, near.ix), np.searchsorted(ys, near.iy)
+                used, place_of = np.unique(np.searchsorted(rows, own.ix), return_inverse=True)
+                visits.append((near, own, at, videos[at] > 1, used, place_of, np.searchsorted(columns_of, own.iy), np.empty((len(own), count))))
         for b, bandwidth in enumerate(bandwidths):
-            layer = stack[b]
-            kept = layer[ix, iy].copy()
-            layer[ix, iy] = np.where(shared, np.maximum(kept - pdf[names[b]].to_numpy(), 0.0), 0.0)
-            across = kernel_rows(bandwidth, columns, nx) @ layer
-            density = (across[place] * kernel_rows(bandwidth, iy, ny)).sum(axis=1) / others
-            layer[ix, iy] = kept
-            logs[:, b] = np.log(np.maximum(density, SCORE_FLOOR))
-        out = pdf[[*groups, video, "ix", "iy"]].copy()
-        out["logd"] = list(logs)
+            layer, over_x, over_y = stack[b], kernel_between(bandwidth, rows, xs), kernel_between(bandwidth, columns_of, ys)
+            for near, own, at, shared, used, place_of, iy, logs in visits:
+                kept = layer[at]
+                layer[at] = np.where(shared, np.maximum(kept - near[names[b]].to_numpy(), 0.0), 0.0)
+                density = np.einsum("ij,ij->i", (over_x[used] @ layer)[place_of], over_y[iy])
+                layer[at] = kept
+                logs[:, b] = np.log(np.maximum(density / (own["_all"].iloc[0] - own["_own"].iloc[0]), SCORE_FLOOR))
+        out = pd.concat([own[[*groups, video, "ix", "iy"]] for _, own, *_ in visits])
+        out["logd"] = [row for *_, logs in visits for row in logs]
         return out
 
-    size = total.count() * (count + 3) * 8
-    if size <= broadcast_bytes:
-        spark = cells.sparkSession
-        tables = spark.sparkContext.broadcast({k if isinstance(k, tuple) else (k,): g for k, g in total.toPandas().groupby(groups)})
-        cache: dict = {}
-
-        def from_broadcast(key, pdf):
-            group = tuple(key[: len(groups)])
-            if group not in cache:
-                cache.clear()
-                cache[group] = dense(tables.value[group])
-            return evaluate(pdf, *cache[group])
-
-        # Sorting by group happens inside the grouped map, so a group's grid is built once per run of keys.
-        logs = spread(held, *groups, video).groupBy(*groups, video).applyInPandas(from_broadcast, schema)
-    else:
-        copies = total.join(cycles.select(*groups, video), groups)
-        copies = copies.toDF(*copies.columns)  # fresh column identities for the cogroup
-
-        def from_shuffle(key, own, everything):
-            return evaluate(own, *dense(everything)) if len(own) else pd.DataFrame(columns=[*groups, video, "ix", "iy", "logd"])
-
-        logs = held.groupBy(*groups, video).cogroup(copies.groupBy(*groups, video)).applyInPandas(from_shuffle, schema)
+    grouped = [spread(side, *place, "chunk").groupBy(*place, "chunk") for side in (own, around)]
+    logs = grouped[0].cogroup(grouped[1]).applyInPandas(evaluate, f"{fields}, ix bigint, iy bigint, logd array<double>")
 
     scored = cells.join(logs, [*groups, video, "ix", "iy"]).groupBy(*groups, video, cycle).agg(
         *[F.sum(F.col("w") * F.col("logd")[b]).alias(f"s{b}") for b in range(count)]
@@ -266,48 +330,66 @@ def paired_rule(scores: DataFrame) -> DataFrame:
 
 
 def fitted_density(cells: DataFrame, groups: Sequence[str], video: str, cycle: str, grid: Grid, bandwidth: float) -> DataFrame:
-    """Mean of the smoothed unit-mass cycles on the full grid: ``(groups, ix, iy, mass)``."""
+    """Mean of the smoothed unit-mass cycles: ``(groups, ix, iy, mass)``, every cell that has mass.
+
+    Cells beyond the kernel's reach of all points have none and no row; ``whole_grid`` adds them.
+    """
     groups = list(groups)
     summed = normalised_cells(cells, groups, video, cycle, grid, [bandwidth]).groupBy(*groups, "ix", "iy").agg(F.sum("a0").alias("a"))
+    summed = materialize(summed)
+    mass = F.col("a") * F.col("_mix")[0] * F.col("_miy")[0]
+    whole = _masses(summed, grid, [bandwidth]).groupBy(*groups).agg(F.sum(mass).alias("_whole"))
     nx, ny = grid.shape
+    margin = reach([bandwidth])
+    size = max(64, margin)
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in cells.select(*groups).schema)
 
     def smooth(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        layer = np.zeros((nx, ny))
-        layer[pdf.ix, pdf.iy] = pdf.a
-        layer = kernel_rows(bandwidth, np.arange(nx), nx) @ layer @ kernel_rows(bandwidth, np.arange(ny), ny).T
-        ix, iy = np.divmod(np.arange(nx * ny), ny)
-        out = pd.DataFrame({"ix": ix.astype("int32"), "iy": iy.astype("int32"), "mass": (layer / layer.sum()).ravel()})
+        tx, ty = (int(v) for v in key[-2:])
+        xs, x_at = np.unique(pdf.ix, return_inverse=True)
+        ys, y_at = np.unique(pdf.iy, return_inverse=True)
+        layer = np.zeros((len(xs), len(ys)))
+        layer[x_at, y_at] = pdf.a
+        ix, iy = np.arange(tx * size, min((tx + 1) * size, nx)), np.arange(ty * size, min((ty + 1) * size, ny))
+        ix, iy = ix[ix >= 0], iy[iy >= 0]
+        layer = kernel_between(bandwidth, ix, xs) @ layer @ kernel_between(bandwidth, iy, ys).T
+        a, b = np.nonzero(layer)
+        out = pd.DataFrame({"ix": ix[a], "iy": iy[b], "mass": layer[a, b]})
         for name, value in zip(groups, key):
             out[name] = value
         return out[[*groups, "ix", "iy", "mass"]]
 
-    return spread(summed, *groups).groupBy(*groups).applyInPandas(smooth, f"{fields}, ix int, iy int, mass double")
+    place = [*groups, "tx", "ty"]
+    tiles = spread(on_tiles(summed, size, margin), *place).groupBy(*place).applyInPandas(smooth, f"{fields}, ix bigint, iy bigint, mass double")
+    return tiles.join(whole, groups).select(*groups, "ix", "iy", (F.col("mass") / F.col("_whole")).alias("mass"))
+
+
+def whole_grid(mass: DataFrame, groups: Sequence[str], grid: Grid) -> DataFrame:
+    """``mass`` with its empty cells as zeros: ``nx * ny`` rows per group, however large the grid."""
+    nx, ny = grid.shape
+    present = mass.select(*groups).distinct()
+    columns = present.withColumn("ix", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(nx - 1).cast("bigint"))))
+    # Spread before the second axis multiplies the rows.
+    cells = columns.repartition(*groups, "ix").withColumn("iy", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(ny - 1).cast("bigint"))))
+    return cells.join(mass, [*groups, "ix", "iy"], "left").withColumn("mass", F.coalesce("mass", F.lit(0.0)))
 
 
-def hdr_thresholds(mass: DataFrame, groups: Sequence[str], coverages: Sequence[float] = COVERAGES) -> DataFrame:
+def hdr_thresholds(mass: DataFrame, groups: Sequence[str], coverages: Sequence[float] = COVERAGES, *, leaf: int = LEAF_ROWS) -> DataFrame:
     """Smallest mass of the highest-density region per group and coverage.
 
-    A group is one grid, so the ordered window is bounded by the grid.
+    The heaviest cells are taken until they reach the coverage; the last one's mass is the threshold.
     """
-    w = Window.partitionBy(*groups).orderBy(F.desc("mass"), "ix", "iy")
-    reached = F.sum("mass").over(w.rowsBetween(Window.unboundedPreceding, 0))
-    ranked = mass.withColumn("_cum", reached)
-    levels = F.explode(F.array(*[F.lit(float(c)) for c in coverages])).alias("coverage")
-    found = ranked.groupBy(*groups).agg(
-        *[F.coalesce(F.max(F.when(F.col("_cum") >= float(c), F.col("mass"))), F.min("mass")).alias(f"_h{i}") for i, c in enumerate(coverages)]
+    goals = mass.select(*groups).distinct().withColumn(
+        "_goals", F.array(*[F.struct(F.lit(float(c)).alias("goal"), F.lit(float(c)).alias("rest")) for c in coverages])
     )
-    pick = F.lit(None).cast("double")
-    for i, c in enumerate(coverages):
-        pick = F.when(F.col("coverage") == float(c), F.col(f"_h{i}")).otherwise(pick)
-    return found.select("*", levels).select(*groups, "coverage", pick.alias("threshold"))
+    rows = mass.where("mass > 0").select(*groups, (-F.col("mass")).alias("x"), F.col("mass").alias("w"))
+    found = smallest_reaching(rows, goals, groups, leaf=leaf)
+    return found.select(*groups, F.col("goal").alias("coverage"), (-F.col("x")).alias("threshold"))
 
 
 def hdr_summary(mass: DataFrame, groups: Sequence[str], grid: Grid, coverages: Sequence[float] = COVERAGES) -> DataFrame:
     """Area, attained mass and weighted centroid of each region, ties at the threshold included."""
-    cx, cy = grid.centres
-    x = F.get(F.array(*[F.lit(float(v)) for v in cx]), F.col("ix"))
-    y = F.get(F.array(*[F.lit(float(v)) for v in cy]), F.col("iy"))
+    x, y = grid.x.centre(F.col("ix")), grid.y.centre(F.col("iy"))
     inside = mass.join(hdr_thresholds(mass, groups, coverages), list(groups)).where(F.col("mass") >= F.col("threshold"))
     total = F.sum("mass")
     out = inside.groupBy(*groups, "coverage").agg(

@@ -48,11 +48,17 @@ def eligible_cycles(audit: DataFrame, *, min_samples: int = MIN_VALID_SAMPLES, m
     return long.where(enough).select("phase", "cycle_key")
 
 
-def analyse(points: DataFrame, audit: DataFrame, expected_cycles: int | None = None) -> dict:
-    """All outputs of the spatial analysis, keyed by table name, and its manifest."""
+def analyse(
+    points: DataFrame, audit: DataFrame, expected_cycles: int | None = None, *, min_samples: int = MIN_VALID_SAMPLES,
+    min_availability: float = MIN_PHASE_AVAILABILITY, empty_cells: bool = False,
+) -> dict:
+    """All outputs of the spatial analysis, keyed by table name, and its manifest.
+
+    ``density_grid`` has a row per cell that holds mass; with ``empty_cells`` every cell of the grid.
+    """
     check_inputs(points, audit, expected_cycles)
     data = points.where("phase IS NOT NULL AND hand IS NOT NULL").withColumn("_video", key_video(F.col("cycle_key")))
-    eligible = eligible_cycles(audit)
+    eligible = eligible_cycles(audit, min_samples=min_samples, min_availability=min_availability)
     grid = D.make_grid(points, X, Y)
     everything = materialize(D.cycle_histograms(data, GROUPS, "_video", "cycle_key", X, Y, grid))
     primary = everything.join(eligible, ["phase", "cycle_key"], "left_semi")
@@ -80,11 +86,9 @@ def analyse(points: DataFrame, audit: DataFrame, expected_cycles: int | None = N
         F.max(F.when(F.col("coverage") == 0.5, F.col("threshold"))).alias("_t50"),
         F.max(F.when(F.col("coverage") == 0.9, F.col("threshold"))).alias("_t90"),
     )
-    cx, cy = grid.centres
-    export = mass.join(levels, GROUPS).select(
-        *GROUPS,
-        F.get(F.array(*[F.lit(float(v)) for v in cx]), F.col("ix")).alias(X),
-        F.get(F.array(*[F.lit(float(v)) for v in cy]), F.col("iy")).alias(Y),
+    exported = D.whole_grid(mass, GROUPS, grid) if empty_cells else mass
+    export = exported.join(levels, GROUPS).select(
+        *GROUPS, grid.x.centre(F.col("ix")).alias(X), grid.y.centre(F.col("iy")).alias(Y),
         F.col("mass").alias("probability_mass"),
         (F.col("mass") >= F.col("_t50")).alias("inside_50_percent_hdr"), (F.col("mass") >= F.col("_t90")).alias("inside_90_percent_hdr"),
     )
@@ -100,8 +104,8 @@ def analyse(points: DataFrame, audit: DataFrame, expected_cycles: int | None = N
             "primary_eligible_cycles": {p: counts.get(p, 0) for p in PHASES},
             "cell_size_sw": CELL_SIZE_SW, "selected_shared_isotropic_bandwidth_sw": bandwidth,
             "bandwidth_candidates_sw": list(BANDWIDTHS_SW), "grid_shape": list(grid.shape),
-            "grid_extent_sw": [float(e) for axis in (grid.x_edges, grid.y_edges) for e in (axis[0], axis[-1])],
-            "primary_rule": {"minimum_valid_samples_per_wrist": MIN_VALID_SAMPLES,
-                             "minimum_phase_availability_per_wrist": MIN_PHASE_AVAILABILITY, "bilateral": True},
+            "grid_extent_sw": [*grid.x.extent, *grid.y.extent],
+            "primary_rule": {"minimum_valid_samples_per_wrist": min_samples,
+                             "minimum_phase_availability_per_wrist": min_availability, "bilateral": True},
         },
     }

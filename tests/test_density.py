@@ -89,13 +89,13 @@ def cloud():
     return pd.DataFrame(rows, columns=["video", "cycle", "x", "y"])
 
 
-@pytest.mark.parametrize("broadcast_bytes", [1 << 30, 0])
-def test_leave_one_video_out_matches_dense(spark, cloud, broadcast_bytes):
+@pytest.mark.parametrize("chunk_videos", [32, 1])
+def test_leave_one_video_out_matches_dense(spark, cloud, chunk_videos):
     df = spark.createDataFrame(cloud.assign(g="a"))
     grid = D.make_grid(df, "x", "y")
     cells = D.cycle_histograms(df, ["g"], "video", "cycle", "x", "y", grid)
     widths = [0.01, 0.04, 0.30]
-    out = D.leave_one_video_out(cells, ["g"], "video", "cycle", grid, widths, broadcast_bytes=broadcast_bytes)
+    out = D.leave_one_video_out(cells, ["g"], "video", "cycle", grid, widths, chunk_videos=chunk_videos)
     got = out.toPandas().set_index("bandwidth_sw")
     for b in widths:
         mean, sd, _ = dense_scores(cloud, grid, b)
@@ -125,15 +125,62 @@ def test_density_and_regions_match_dense(spark, cloud):
         assert r.x_centroid_sw == pytest.approx((cx[:, None] * got * inside).sum() / got[inside].sum())
 
 
+def test_a_far_outlier_costs_its_own_tiles_only(spark, cloud):
+    far = pd.DataFrame([("v8", "v8:1", 500.0, 500.0), ("v8", "v8:1", 1e7, -1e7)], columns=["video", "cycle", "x", "y"])
+    df = spark.createDataFrame(pd.concat([cloud, far]).assign(g="a"))
+    grid = D.make_grid(df, "x", "y")
+    assert min(grid.shape) > 4e8
+    cells = D.cycle_histograms(df, ["g"], "video", "cycle", "x", "y", grid)
+    mass = D.fitted_density(cells, ["g"], "video", "cycle", grid, 0.04).toPandas()
+    assert len(mass) < 10_000 and mass.mass.sum() == pytest.approx(1)
+    near = spark.createDataFrame(cloud.assign(g="a"))
+    small = D.make_grid(near, "x", "y")
+    plain = D.fitted_density(D.cycle_histograms(near, ["g"], "video", "cycle", "x", "y", small), ["g"], "video", "cycle", small, 0.04).toPandas()
+    n = cloud.cycle.nunique()
+    close = mass[(mass.ix < 1000) & (mass.iy > grid.shape[1] - 30_000)]
+    assert np.sort(close.mass * (n + 1))[-500:] == pytest.approx(np.sort(plain.mass * n)[-500:], rel=1e-9)
+    out = D.leave_one_video_out(cells, ["g"], "video", "cycle", grid, [0.04, 0.30]).toPandas().set_index("bandwidth_sw")
+    base = dense_scores(cloud, small, 0.04)[0]
+    # Held-out densities of the others shrink by one more cycle among n - own; the outlier itself scores the floor.
+    per_video = cloud.groupby("video").cycle.nunique()
+    shift = sum(c * np.log((n - c) / (n + 1 - c)) for v, c in per_video.items() if v != "v9")
+    assert out.loc[0.04, "mean_heldout_cycle_log_score"] * (n + 1) == pytest.approx(base * n + shift + np.log(1e-15), rel=1e-6)
+
+
+def test_whole_grid_adds_the_empty_cells(spark, cloud):
+    df = spark.createDataFrame(cloud.assign(g="a"))
+    grid = D.make_grid(df, "x", "y", [0.04])
+    mass = D.fitted_density(D.cycle_histograms(df, ["g"], "video", "cycle", "x", "y", grid), ["g"], "video", "cycle", grid, 0.04)
+    full = D.whole_grid(mass, ["g"], grid).toPandas()
+    assert len(full) == grid.shape[0] * grid.shape[1] == len(full[["ix", "iy"]].drop_duplicates())
+    assert (full.mass > 0).sum() == mass.count() and full.mass.sum() == pytest.approx(1)
+
+
+@pytest.mark.parametrize("leaf", [1 << 16, 50, 1])
+def test_thresholds_at_any_leaf_size(spark, leaf):
+    rng = np.random.default_rng(11)
+    want, rows = {}, []
+    for g in range(3):
+        m = rng.exponential(1, 400).round(g + 1) ** 6
+        m /= m.sum()
+        rows += [(g, i, 0, float(v)) for i, v in enumerate(m)]
+        ordered = np.sort(m)[::-1]
+        for c in (0.5, 0.9):
+            want[g, c] = ordered[np.searchsorted(np.cumsum(ordered), c)]
+    mass = spark.createDataFrame(rows, "g int, ix long, iy long, mass double")
+    found = {(r.g, r.coverage): r.threshold for r in D.hdr_thresholds(mass, ["g"], leaf=leaf).collect()}
+    assert found == pytest.approx(want, rel=1e-15)
+
+
 def test_points_on_edges_bin_like_numpy(spark):
     x = np.round(np.arange(-40, 60) * 0.025, 3)
     df = spark.createDataFrame(pd.DataFrame({"x": x, "y": x}))
     grid = D.make_grid(df, "x", "y")
-    got = df.select("x", D.cell_index(df.x, grid.x_edges).alias("i")).toPandas()
+    got = df.select("x", D.cell_index(df.x, grid.x).alias("i")).toPandas()
     want = [int(np.flatnonzero(np.histogram([v], bins=grid.x_edges)[0])[0]) for v in got.x]
     assert got.i.tolist() == want
     top = spark.createDataFrame([(float(grid.x_edges[-1]),)], "x double")
-    assert top.select(D.cell_index(top.x, grid.x_edges)).first()[0] == len(grid.x_edges) - 2
+    assert top.select(D.cell_index(top.x, grid.x)).first()[0] == len(grid.x_edges) - 2
 
 
 def test_eligibility(spark):

@@ -5,18 +5,19 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import AXIS_FEATURES, DEFAULT_FPS, DETECTOR_STEP_SEC, DETECTOR_WINDOW_SEC, EIGHT_STATS, MOTION_JOINTS
 from ..functions import windowmath as M
 from ..functions.scalars import frames_of, joint_angle
-from ..session import materialize, spread
+from ..session import materialize
 from ..sources.schemas import COORDINATES, HIP_COORDINATES
 from . import series as seq
 from .blocks import number_rows
-from .lattice import frames_to_centres, frames_to_windows, segment_sizes
+from .lattice import segment_sizes
+from .sliding import BLOCK, complete, in_blocks, matrix, sorted_blocks, stacks, starts_of
 from .spectra import series_spectrum
 
 SIDES = ("left", "right")
@@ -104,53 +105,46 @@ def video_features(trajectory: DataFrame, fps: DataFrame) -> DataFrame:
 
 
 # --- windows -----------------------------------------------------------------------
-def _gather(rows: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
-    """One row per window with an array per column in frame order; a window is a few seconds of frames."""
-    packed = F.array_sort(F.collect_list(F.struct("pos", *columns)))
-    grouped = rows.groupBy(*keys).agg(packed.alias("_w"))
-    return grouped.select(*keys, *[F.col("_w").getField(c).alias(c) for c in columns])
-
-
-def _stacks(pdf: pd.DataFrame, columns: Sequence[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Row numbers and a ``[windows, columns, rows]`` stack per window length."""
-    lengths = np.array([0 if v is None else len(v) for v in pdf[columns[0]]])
-    for n in np.unique(lengths):
-        at = np.flatnonzero(lengths == n)
-        yield at, np.array([[np.asarray(pdf[c].iloc[i] if n else [], float) for c in columns] for i in at]).reshape(len(at), len(columns), n)
+def _rows_out(table: pa.Table, keys: Sequence[str], at: np.ndarray, names: Sequence[str], result: np.ndarray) -> pa.RecordBatch:
+    taken = table.select(list(keys)).take(pa.array(at)).combine_chunks()
+    columns = [column.combine_chunks() for column in taken.columns] + [pa.array(result[:, i], from_pandas=False) for i in range(len(names))]
+    return pa.RecordBatch.from_arrays(columns, [*keys, *names])
 
 
 def segment_features(trajectory: DataFrame, fps: DataFrame) -> DataFrame:
     """88 features per one-second segment every half second, with its frame bounds."""
     columns = [*COORDINATES, *HIP_COORDINATES]
-    rows = numbered(trajectory)
-    counts = with_fps(rows.groupBy("video_id").agg(F.count("*").alias("n")), fps, "video_id")
-    placed = rows.select("video_id", "pos", *columns).join(counts, "video_id")
     length, step = segment_sizes(F.col("fps"))
-    windows = frames_to_windows(placed, "pos", F.col("n"), length, step)
-    keys = ["video_id", "window", "fps"]
+    rows = with_fps(numbered(trajectory).select("video_id", "pos", *columns), fps, "video_id").withColumns({"_length": length, "_step": step})
     names = feature_names()
     index = {c: i for i, c in enumerate(columns)}
     fields = ", ".join(f"{n} double" for n in names)
     video_type = trajectory.schema["video_id"].dataType.simpleString()
 
-    def compute(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            result = np.full((len(pdf), len(names)), np.nan)
-            rates = pdf.fps.to_numpy()
-            for at, stack in _stacks(pdf, columns):
-                rate = rates[at]
-                whole = np.nan_to_num(M.fill_both(stack))
-                parts = [M.axis_features(whole[:, index[c]], rate) for c in COORDINATES]
-                point = lambda j: np.stack([stack[:, index[f"{j}_x"]], stack[:, index[f"{j}_y"]]], axis=-1)  # noqa: B023, E731
-                for side in SIDES:
-                    hip, s, e, w = (point(f"{side}_{j}") for j in ("hip", "shoulder", "elbow", "wrist"))
-                    parts += [M.angle_features(M.joint_angles(hip, s, e), rate), M.angle_features(M.joint_angles(s, e, w), rate)]
-                result[at] = np.concatenate(parts, axis=1)
-            yield pd.concat([pdf[keys].reset_index(drop=True), pd.DataFrame(result, columns=names)], axis=1)
-
-    made = spread(_gather(windows, keys, columns), "video_id", "window").mapInPandas(
-        compute, f"video_id {video_type}, window bigint, fps double, {fields}"
-    )
+    def features(stack: np.ndarray, rate: np.ndarray) -> np.ndarray:
+        whole = np.nan_to_num(M.fill_both(stack))
+        parts = [M.axis_features(whole[:, index[c]], rate) for c in COORDINATES]
+        point = lambda j: np.stack([stack[:, index[f"{j}_x"]], stack[:, index[f"{j}_y"]]], axis=-1)
+        for side in SIDES:
+            hip, s, e, w = (point(f"{side}_{j}") for j in ("hip", "shoulder", "elbow", "wrist"))
+            parts += [M.angle_features(M.joint_angles(hip, s, e), rate), M.angle_features(M.joint_angles(s, e, w), rate)]
+        return np.concatenate(parts, axis=1)
+
+    def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in complete(batches, ["video_id", "_blk"]):
+            pos, block, size, by, rate = (table.column(c).to_numpy() for c in ("pos", "_blk", "_length", "_step", "fps"))
+            ends = np.append(np.flatnonzero(starts_of(table, ["video_id", "_blk"]))[1:], table.num_rows)
+            end = np.repeat(ends, np.diff(np.append(0, ends)))
+            # Positions are dense, so a window is whole where its last row is in the block.
+            first = np.flatnonzero((pos % by == 0) & (pos // BLOCK == block) & (np.arange(table.num_rows) + size <= end))
+            result = np.empty((len(first), len(names)))
+            for at, stack in stacks(matrix(table, columns), first, size[first]):
+                result[at] = features(stack, rate[first[at]])
+            table = table.append_column("window", pa.array(pos // by))
+            yield _rows_out(table, ["video_id", "window", "fps"], first, names, result)
+
+    halo = in_blocks(rows, "pos", F.least(F.col("pos"), F.col("_length") - 1), F.lit(0))
+    made = sorted_blocks(halo, "video_id", "pos").mapInArrow(compute, f"video_id {video_type}, window bigint, fps double, {fields}")
     start = F.col("window") * step
     end = start + length - 1
     return made.select(
@@ -245,29 +239,35 @@ def detector_features(trajectory: DataFrame, fps: DataFrame, centres: DataFrame
     """
     last = with_fps(trajectory.groupBy("video_id").agg((F.max("frame") + 1).alias("n")), fps, "video_id")
     half, reach, step = detector_sizes(F.col("fps"))
-    rows = trajectory.select("video_id", "frame", *COORDINATES).join(last, "video_id").withColumn("pos", F.col("frame"))
     if centres is None:
         stop = F.col("n") - half - 1
         wanted = last.where(stop >= half).select("video_id", "fps", F.explode(F.sequence(half, stop, step)).alias("center_frame"))
-        near = frames_to_centres(rows, "frame", F.col("n"), half, reach, step)
     else:
         wanted = centres.select("video_id", "center_frame").join(last, "video_id").select("video_id", "fps", "center_frame")
-        frames = wanted.withColumn("frame", F.explode(F.sequence(F.col("center_frame") - reach, F.col("center_frame") + reach))).drop("fps")
-        near = rows.join(frames, ["video_id", "frame"])
-    keys = ["video_id", "center_frame"]
-    gathered = wanted.join(_gather(near, keys, COORDINATES), keys, "left")
+    frames = with_fps(trajectory.select("video_id", "frame", *COORDINATES), fps, "video_id")
+    near = in_blocks(frames.withColumn("_reach", reach), "frame", F.col("_reach"), F.col("_reach")).withColumn("_centre", F.lit(False))
+    asked = in_blocks(wanted.withColumnRenamed("center_frame", "frame").withColumn("_reach", reach), "frame", F.lit(0), F.lit(0))
+    both = near.unionByName(asked.withColumn("_centre", F.lit(True)), allowMissingColumns=True)
     names = detector_names()
     video_type = trajectory.schema["video_id"].dataType.simpleString()
 
-    def compute(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            result = np.full((len(pdf), len(names)), np.nan)
-            for at, stack in _stacks(pdf, COORDINATES):
-                result[at] = detector_stack(stack, pdf.fps.to_numpy()[at])
-            yield pd.concat([pdf[[*keys, "fps"]].reset_index(drop=True), pd.DataFrame(result, columns=names)], axis=1)
+    def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in complete(batches, ["video_id", "_blk"]):
+            series = np.cumsum(starts_of(table, ["video_id", "_blk"]))
+            frame, far, rate, centre = (table.column(c).to_numpy(zero_copy_only=False) for c in ("frame", "_reach", "fps", "_centre"))
+            chosen, seen = np.flatnonzero(centre), np.flatnonzero(~centre)
+            # Series follow one another on one axis, further apart than any window reaches.
+            base = int(frame.min()) - int(far.max()) if len(frame) else 0
+            place = series * (int(frame.max()) + 2 * int(far.max()) - base + 1) + frame - base if len(frame) else frame
+            low = np.searchsorted(place[seen], place[chosen] - far[chosen], "left")
+            high = np.searchsorted(place[seen], place[chosen] + far[chosen], "right")
+            result = np.empty((len(chosen), len(names)))
+            for at, stack in stacks(matrix(table.select(COORDINATES).take(pa.array(seen)), COORDINATES), low, high - low):
+                result[at] = detector_stack(stack, rate[chosen[at]])
+            yield _rows_out(table.rename_columns(["center_frame" if c == "frame" else c for c in table.column_names]), ["video_id", "center_frame", "fps"], chosen, names, result)
 
     fields = ", ".join(f"{n} double" for n in names)
-    made = spread(gathered, *keys).mapInPandas(compute, f"video_id {video_type}, center_frame bigint, fps double, {fields}")
+    made = sorted_blocks(both, "video_id", "_centre", "frame").mapInArrow(compute, f"video_id {video_type}, center_frame bigint, fps double, {fields}")
     return made.withColumns({
         "window_start_frame": F.col("center_frame") - reach, "window_end_frame": F.col("center_frame") + reach,
         "center_time_sec": F.col("center_frame") / F.col("fps"),

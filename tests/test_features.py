@@ -119,6 +119,24 @@ def test_detector_features(frames):
     assert chosen.loc[35, "window_n_rows"] == len(p[(p.frame >= 15) & (p.frame <= 55)]) and chosen.loc[90, "window_n_rows"] == 0
 
 
+@pytest.mark.parametrize(("block", "rows"), [(16, 1), (7, 30), (3, 10_000)])
+def test_windows_across_blocks_and_batches(frames, monkeypatch, block, rows):
+    """Blocks shorter than a window, batches that end anywhere: the same features."""
+    from strideframe.operators import sliding
+
+    _, df, fps = frames
+    holes = df.where("not (video_id = '1' and frame between 5 and 44)")
+    keys = {"segment_features": ["Video", "Start_Frame"], "detector_features": ["video_id", "center_frame"]}
+    want = {n: getattr(X, n)(holes, fps).toPandas().sort_values(k).reset_index(drop=True) for n, k in keys.items()}
+    real = sliding.in_blocks, sliding.complete
+    monkeypatch.setattr(X, "BLOCK", block)
+    monkeypatch.setattr(X, "in_blocks", lambda *a: real[0](*a, block=block))
+    monkeypatch.setattr(X, "complete", lambda b, k: real[1](b, k, rows))
+    for name, key in keys.items():
+        got = getattr(X, name)(holes, fps).toPandas().sort_values(key).reset_index(drop=True)
+        pd.testing.assert_frame_equal(got, want[name])
+
+
 def test_short_windows():
     out = M.axis_features(np.ones((2, 1)), np.array([20.0, 20.0]))
     assert (out == 0).all()

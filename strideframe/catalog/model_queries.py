@@ -97,6 +97,48 @@ def pca_variance(spark, sf):
     return ML.variance_table(vec, ML.explained_variance(vec)[1])
 
 
+def pca_moments(spark, sf):
+    """Power sums of the component variances, which the covariance matrix gives as traces of its powers."""
+    df, names = _embedded(spark, sf)
+    vec = materialize(ML.assemble(ML.standardize(df, names), names))
+    ratios = ML.variance_table(vec, ML.explained_variance(vec)[1])
+    share = F.col("Explained_Variance_Ratio")
+    return ratios.agg(
+        F.count("*").alias("components"), F.round(F.sum(share), 9).alias("total"), F.round(F.sum(share * share), 9).alias("squares"),
+        F.round(F.sum(share * share * share), 9).alias("cubes"),
+    )
+
+
+def display_scores(spark, sf):
+    """The two display scores of every row: centred, uncorrelated, with the variances that the model names."""
+    df, names = _embedded(spark, sf)
+    vec = materialize(ML.assemble(ML.standardize(df, names), names))
+    model, ratios = ML.explained_variance(vec)
+    scores = ML.display_scores(vec, model, "vec_id")
+    whole = F.lit(float(len(names))) * F.count("*") / (F.count("*") - 1)
+    return scores.agg(
+        F.count("*").alias("n_rows"), (F.abs(F.avg("PC1")) + F.abs(F.avg("PC2")) < 1e-9).alias("centred"), (F.abs(F.corr("PC1", "PC2")) < 1e-9).alias("uncorrelated"),
+        (F.abs(F.var_samp("PC1") / whole - ratios[0]) + F.abs(F.var_samp("PC2") / whole - ratios[1]) < 1e-9).alias("variances_match"),
+    )
+
+
+def kmeans_consistency(spark, sf):
+    """Best models of the video plan's K, measured anew: nearest centres, means, costs."""
+    df, names = _embedded(spark, sf)
+    return ML.sweep_consistency(ML.assemble(ML.standardize(df, names), names), "vec_id", VIDEO_K_RANGE, n_init=VIDEO_N_INIT)
+
+
+def cv_folds(spark, sf):
+    """Rows that the grouped cross-validation predicts, by group and label; groups by id, a small forest."""
+    df, names = _embedded(spark, sf)
+    data = df.withColumn("group", F.pmod("vec_id", F.lit(4))).withColumn("label", (F.col("label") >= 5).cast("int"))
+    held = ML.leave_one_group_out(data, "group", names, trees=5)
+    return held.groupBy("group", F.col("label").cast("int").alias("label")).agg(
+        F.countDistinct("vec_id").alias("n_rows"), F.bool_and(F.col("probability").between(0, 1)).alias("probabilities"),
+        F.bool_and((F.col("probability") >= 0.5) == (F.col("prediction") == 1)).alias("cut"),
+    )
+
+
 def kmeans_sweep(spark, sf):
     df, names = _embedded(spark, sf)
     _, summary = ML.kmeans_sweep(ML.assemble(ML.standardize(df, names), names), "vec_id", "Raw64", VIDEO_K_RANGE, n_init=VIDEO_N_INIT)
@@ -137,7 +179,8 @@ QUERIES = {
     "sliding_windows": sliding_windows, "window_features": window_features, "dft_features": dft_features, "video_features": video_features,
     "detector_features": detector_features, "negatives_theta_anti": negatives_theta_anti, "positive_centres": positive_centres,
     "boundary_cycles": boundary_cycles, "standardize": standardize, "silhouette_exact": silhouette_exact, "pca_variance": pca_variance,
-    "kmeans_sweep": kmeans_sweep, "rf_cv": rf_cv,
+    "kmeans_sweep": kmeans_sweep, "rf_cv": rf_cv, "pca_moments": pca_moments, "display_scores": display_scores,
+    "kmeans_consistency": kmeans_consistency, "cv_folds": cv_folds,
 }
 
 _DETECTOR = f"""WITH {TRAJECTORY_SQL}, dc AS (SELECT video_id, fps, CAST(round_even(fps, 0) AS BIGINT) AS h, greatest(3, CAST(round_even(fps, 0) AS BIGINT)) AS reach,
@@ -158,6 +201,16 @@ _DETECTOR = f"""WITH {TRAJECTORY_SQL}, dc AS (SELECT video_id, fps, CAST(round_e
 _CLOCK = "CAST(floor({0} / 60) AS BIGINT) || 'm ' || CAST(floor({0} - floor({0} / 60) * 60) AS BIGINT) || 's'"
 
 ORACLES = {
+    "pca_moments": """WITH d AS (SELECT vec_id, unnest(range(0, 64)) AS i, unnest(embedding)::DOUBLE AS x FROM embeddings),
+        z AS (SELECT vec_id, i, (x - avg(x) OVER (PARTITION BY i)) / stddev_pop(x) OVER (PARTITION BY i) AS z FROM d),
+        c AS (SELECT a.i, b.i AS j, sum(a.z * b.z) / (count(*) - 1) AS c FROM z a JOIN z b ON a.vec_id = b.vec_id GROUP BY 1, 2),
+        t AS (SELECT sum(c) FILTER (i = j) AS t FROM c), s2 AS (SELECT a.i, b.j, sum(a.c * b.c) AS c FROM c a JOIN c b ON a.j = b.i GROUP BY 1, 2)
+        SELECT CAST(64 AS BIGINT) AS components, round(1.0::DOUBLE, 9) AS total, round((SELECT sum(c) FILTER (i = j) FROM s2) / (t * t), 9) AS squares,
+          round((SELECT sum(s2.c * c.c) FROM s2 JOIN c ON c.i = s2.j AND c.j = s2.i) / (t * t * t), 9) AS cubes FROM t""",
+    "display_scores": "SELECT count(*) AS n_rows, true AS centred, true AS uncorrelated, true AS variances_match FROM embeddings",
+    "kmeans_consistency": """SELECT CAST(k AS INTEGER) AS K, count(*) AS n_rows, CAST(k AS BIGINT) AS n_clusters, true AS nearest, true AS means, true AS cost_matches
+        FROM embeddings, range(2, 14) t(k) GROUP BY k""",
+    "cv_folds": """SELECT vec_id % 4 AS "group", CAST(label >= 5 AS INTEGER) AS label, count(*) AS n_rows, true AS probabilities, true AS cut FROM embeddings GROUP BY 1, 2""",
     "boundary_cycles": f"""WITH RECURSIVE {SERIES_SQL},
         sm AS (SELECT entity AS video_id, pos AS frame, median(least(1.0::DOUBLE, v / 90)) OVER (PARTITION BY entity ORDER BY pos ROWS BETWEEN 2 PRECEDING AND 1 FOLLOWING) AS p FROM series),
         th AS (SELECT video_id, max(frame) AS last, greatest(0.55::DOUBLE, quantile_cont(p, 0.9)) AS t FROM sm GROUP BY 1),

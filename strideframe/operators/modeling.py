@@ -7,18 +7,17 @@ from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 import numpy as np
-import pandas as pd
 from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
-from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA, SQLTransformer, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..constants import CLASS_CUT, RANDOM_SEED
-from ..session import materialize, spread
+from ..session import materialize
+from . import clustering as C
 from .stats import quantiles_of_columns
 
 
@@ -88,70 +87,16 @@ def project(df: DataFrame, model, components: int, features: str = "features", o
     return scored.withColumn(out, array_to_vector(F.slice(vector_to_array("_pc"), 1, components))).drop("_x", "_pc")
 
 
-# --- clustering ----------------------------------------------------------------------
-FITS_AT_A_TIME = 8
-
-
-def kmeans_best(df: DataFrame, k: int, *, n_init: int, max_iter: int = 300, seed: int = RANDOM_SEED, features: str = "features"):
-    """Lowest-cost model of ``n_init`` seeded runs, several of them at a time."""
-    def fit(i: int):
-        return KMeans(k=k, seed=seed + i, maxIter=max_iter, tol=1e-4, featuresCol=features, predictionCol="_cluster").fit(df)
-
-    # Each run is a chain of short jobs; runs share the cores, and the first of equal costs wins in any order of ends.
-    with ThreadPoolExecutor(min(n_init, FITS_AT_A_TIME)) as pool:
-        models = list(pool.map(inheritable_thread_target(df.sparkSession)(fit), range(n_init)))
-    return min(models, key=lambda m: m.summary.trainingCost)
-
-
-# Rows of one block in a distance computation.
-BLOCK_POINTS = 8192
+def display_scores(df: DataFrame, model, key: str, features: str = "features") -> DataFrame:
+    """``key, PC1, PC2``: scores on the two leading components (one component: PC2 is 0)."""
+    scored = project(df, model, 2, features, "_two").withColumn("_two", vector_to_array("_two"))
+    return scored.select(key, F.get("_two", F.lit(0)).alias("PC1"), F.coalesce(F.get("_two", F.lit(1)), F.lit(0.0)).alias("PC2"))
 
 
+# --- clustering ----------------------------------------------------------------------
 def silhouette_values(df: DataFrame, key: str, features: str, label: str) -> DataFrame:
-    """Euclidean silhouette per row ``(key, label, silhouette)``, over all rows.
-
-    Rows fall into hash blocks of about ``BLOCK_POINTS``. One job meets every pair of blocks in a task of its own and
-    returns one sum per row and cluster; no pairs of rows are produced and nothing passes through the driver but the
-    sizes of the clusters.
-    """
-    points = materialize(df.select(F.col(key).alias("_id"), F.col(label).cast("bigint").alias("_c"), F.col(features).alias("_x")))
-    total = {r["_c"]: r["count"] for r in points.groupBy("_c").count().collect()}
-    labels = sorted(total)
-    place = {c: i for i, c in enumerate(labels)}
-    blocks = max(1, -(-sum(total.values()) // BLOCK_POINTS))
-    blocked = points.withColumn("_own", F.pmod(F.xxhash64("_id"), F.lit(blocks)).cast("int"))
-    everyone = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    near = blocked.withColumn("_met", everyone)
-    far = blocked.select(F.col("_own").alias("_met"), everyone.alias("_own"), "_c", "_x")
-
-    def measure(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(left) or not len(right):
-            return pd.DataFrame({"_id": left["_id"][:0], "_c": left["_c"][:0], "_s": []})
-        other, onehot = np.stack(right["_x"].to_list()), np.eye(len(labels))[right["_c"].map(place).to_numpy(int)]
-        x = np.stack(left["_x"].to_list())
-        sums = np.concatenate([_distances(x[i : i + 256], other) @ onehot for i in range(0, len(x), 256)])
-        return pd.DataFrame({"_id": left["_id"], "_c": left["_c"], "_s": list(sums)})
-
-    kind = points.schema["_id"].dataType.simpleString()
-    pairs = ["_own", "_met"]
-    whole = near.groupBy(*pairs).cogroup(far.groupBy(*pairs)).applyInPandas(measure, f"_id {kind}, _c bigint, _s array<double>")
-    added = whole.groupBy("_id", "_c").agg(*[F.sum(F.col("_s")[i]).alias(f"s{i}") for i in range(len(labels))])
-    own = F.coalesce(*[F.when(F.col("_c") == c, F.col(f"s{i}")) for i, c in enumerate(labels)])
-    size = F.coalesce(*[F.when(F.col("_c") == c, F.lit(total[c])) for c in labels])
-    rest = [F.when(F.col("_c") != c, F.col(f"s{i}") / total[c]) for i, c in enumerate(labels)]
-    b = F.array_min(F.array(*rest))
-    a = F.try_divide(own, size - 1)
-    value = F.when(size == 1, 0.0).otherwise(F.try_divide(b - a, F.greatest(a, b)))
-    return added.select(F.col("_id").alias(key), F.col("_c").alias(label), F.coalesce(value, F.lit(0.0)).alias("silhouette"))
-
-
-def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Distances in slices of columns, so the difference cube stays small."""
-    squared = np.zeros((len(a), len(b)))
-    for j in range(a.shape[1]):
-        d = a[:, j][:, None] - b[:, j][None, :]
-        squared += d * d
-    return np.sqrt(squared)
+    """Euclidean silhouette per row ``(key, label, silhouette)``, over all rows."""
+    return C.silhouettes(df, key, features, [label]).select(key, F.col("label").alias(label), "silhouette")
 
 
 def silhouette_score(df: DataFrame, key: str, features: str, label: str) -> float | None:
@@ -165,21 +110,57 @@ def kmeans_sweep(
     df: DataFrame, key: str, setting: str, ks: Sequence[int], *, n_init: int, max_iter: int = 300,
     seed: int = RANDOM_SEED, features: str = "features",
 ) -> tuple[DataFrame, DataFrame]:
-    """Best model per K: assignments ``(Feature_Setting, K, key, Cluster)`` and one summary row per K."""
-    arrays = materialize(df.withColumn("_a", vector_to_array(features)))
-    assigned, rows = [], []
-    for k in ks:
-        model = kmeans_best(arrays, k, n_init=n_init, max_iter=max_iter, seed=seed, features=features)
-        labelled = model.transform(arrays).select(key, "_a", (F.col("_cluster") + 1).cast("int").alias("Cluster"))
-        labelled = materialize(labelled)
-        sizes = [r["count"] for r in labelled.groupBy("Cluster").count().orderBy("Cluster").collect()]
-        score = silhouette_score(labelled, key, "_a", "Cluster")
-        rows.append((setting, k, score, ",".join(map(str, sizes)), sum(sizes), float(model.summary.trainingCost)))
-        assigned.append(labelled.select(F.lit(setting).alias("Feature_Setting"), F.lit(k).alias("K"), key, "Cluster"))
+    """Best model per K: assignments ``(Feature_Setting, K, key, Cluster)`` and one summary row per K.
+
+    Starts and Ks share their passes over the rows, and the silhouettes of all Ks share their distances.
+    """
+    arrays = materialize(df.select(key, vector_to_array(features).alias("_a")))
+    found = C.best_fits(arrays, "_a", ks, n_init=n_init, max_iter=max_iter, seed=seed)
+    fits = [found[k] for k in ks]
+    labels = [f"k{k}" for k in ks]
+    labelled = materialize(C.assign(arrays, key, "_a", fits))
+    per_row = C.silhouettes(arrays.join(labelled, key), key, "_a", labels)
+    scores = {r["labelling"]: r for r in per_row.groupBy("labelling").agg(F.avg("silhouette").alias("s"), F.countDistinct("label").alias("n")).collect()}
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("K"), (F.col(n) + 1).alias("Cluster")) for k, n in zip(ks, labels)])).alias("_r")
+    assigned = labelled.select(F.lit(setting).alias("Feature_Setting"), each, key).select("Feature_Setting", "_r.K", key, "_r.Cluster")
+    sizes: dict[int, list[int]] = {k: [0] * k for k in ks}
+    for r in assigned.groupBy("K", "Cluster").count().collect():
+        sizes[r["K"]][r["Cluster"] - 1] = r["count"]
+    rows = []
+    for fit, name in zip(fits, labels):
+        held = scores.get(name)
+        score = held["s"] if held is not None and held["n"] > 1 else None
+        rows.append((setting, fit.k, score, ",".join(map(str, sizes[fit.k])), sum(sizes[fit.k]), fit.cost))
     summary = df.sparkSession.createDataFrame(
         rows, "Feature_Setting string, K int, Silhouette_Score double, Cluster_Sizes string, N_Segments bigint, Cost double"
     )
-    return reduce(lambda a, b: a.unionByName(b), assigned), summary
+    return assigned, summary
+
+
+def sweep_consistency(df: DataFrame, key: str, ks: Sequence[int], *, n_init: int, features: str = "features") -> DataFrame:
+    """What must hold for the best model of every K, measured anew from its centres with column expressions.
+
+    ``nearest``: every row belongs to its nearest centre; ``means``: centres are the means of their rows (as far as the
+    last step moves them); ``cost_matches``: the reported cost is the sum of squared distances.
+    """
+    arrays = materialize(df.select(key, vector_to_array(features).alias("_a")))
+    found = C.best_fits(arrays, "_a", ks, n_init=n_init)
+    fits = [found[k] for k in ks]
+    centres = F.broadcast(C.centre_table(df, fits).groupBy("K").agg(F.array_sort(F.collect_list(F.struct("Cluster", "centre"))).alias("_m")))
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("K"), (F.col(f"k{k}") + 1).alias("Cluster")) for k in ks])).alias("_r")
+    rows = arrays.join(C.assign(arrays, key, "_a", fits), key).select("_a", each).select("_a", "_r.*").join(centres, "K")
+    apart = F.transform("_m", lambda m: F.aggregate(F.zip_with("_a", m["centre"], lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, d: s + d))
+    measured = rows.select("K", "Cluster", "_a", F.element_at(apart, F.col("Cluster")).alias("_own"), F.array_min(apart).alias("_least"))
+    costs = df.sparkSession.createDataFrame([(f.k, f.cost) for f in fits], "K int, _cost double")
+    width = len(fits[0].centres[0])
+    means = measured.groupBy("K", "Cluster").agg(F.array(*[F.avg(F.col("_a")[i]) for i in range(width)]).alias("_mean"))
+    off = F.aggregate(F.zip_with("_mean", "centre", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, d: s + d)
+    moved = means.join(C.centre_table(df, fits), ["K", "Cluster"]).groupBy("K").agg((F.sum(off) <= 1e-3).alias("means"), F.count("*").alias("n_clusters"))
+    return (
+        measured.groupBy("K").agg(F.count("*").alias("n_rows"), F.bool_and(F.col("_own") <= F.col("_least") + 1e-9).alias("nearest"), F.sum("_own").alias("_sum"))
+        .join(costs, "K").join(moved, "K")
+        .select("K", "n_rows", "n_clusters", "nearest", "means", (F.abs(F.col("_sum") - F.col("_cost")) <= 1e-6 * F.col("_sum")).alias("cost_matches"))
+    )
 
 
 def top_models(summary: DataFrame, n: int = 3) -> DataFrame:
@@ -189,6 +170,9 @@ def top_models(summary: DataFrame, n: int = 3) -> DataFrame:
 
 
 # --- boundary classifier -----------------------------------------------------------------
+FOLDS_AT_A_TIME = 8
+
+
 def balanced_weight(df: DataFrame, label: str = "label") -> Column:
     """``n / (2 * class size)`` as an expression over the counted classes."""
     counts = {int(r[label]): r["count"] for r in df.groupBy(label).count().collect()}
@@ -232,11 +216,15 @@ def leave_one_group_out(df: DataFrame, group: str, features: Sequence[str], *, t
     folds = [r[0] for r in data.select(group).distinct().orderBy(group).collect()]
     if len(folds) < 2:
         raise ValueError("leave-one-group-out needs at least two groups")
-    parts = []
-    for fold in folds:
+
+    def held_out(fold) -> DataFrame:
         model = forest_pipeline(data.where(F.col(group) != fold), features, trees=trees, seed=seed)
         held = predict(model, data.where(F.col(group) == fold), features)
-        parts.append(held.withColumn("prediction", (F.col("probability") >= CLASS_CUT).cast("int")))
+        return held.withColumn("prediction", (F.col("probability") >= CLASS_CUT).cast("int"))
+
+    # The fits are chains of short jobs that leave cores idle, so several folds share the cluster.
+    with ThreadPoolExecutor(min(len(folds), FOLDS_AT_A_TIME)) as pool:
+        parts = list(pool.map(inheritable_thread_target(df.sparkSession)(held_out), folds))
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 

@@ -27,14 +27,16 @@ from ..sources.schemas import feature_columns
 
 
 # --- clustering -----------------------------------------------------------------------
-def _settings(scaled: DataFrame, names: Sequence[str], strict: bool) -> list[tuple[str, DataFrame, int | None, float | None]]:
+def _settings(scaled: DataFrame, names: Sequence[str], key: str, strict: bool) -> tuple[DataFrame, list[tuple[str, DataFrame, int | None, float | None]]]:
+    """Two scores per row for display, and the spaces that are clustered."""
     base = materialize(ML.assemble(scaled, names))
     model, ratios = ML.explained_variance(base)
+    display = ML.display_scores(base, model, key)
     out: list = [("Raw", base, None, None)]
     for target in (0.90, 0.95):
         n = ML.components_reaching(ratios, target, strict)
         out.append((f"PCA{round(target * 100)}", ML.project(base, model, n).drop("features").withColumnRenamed("reduced", "features"), n, sum(ratios[:n])))
-    return out
+    return display, out
 
 
 def cluster_videos(table: DataFrame, *, ks=VIDEO_K_RANGE, n_init: int = VIDEO_N_INIT, expected_features: int | None = 88) -> dict[str, DataFrame]:
@@ -61,13 +63,14 @@ def cluster_segments(table: DataFrame, *, ks=SEGMENT_K_VALUES, n_init: int = SEG
 
 def _sweep(scaled, key, names, ks, n_init, max_iter) -> dict[str, DataFrame]:
     assigned = summary = None
-    for setting, df, components, variance in _settings(scaled, names, strict=True):
+    display, settings = _settings(scaled, names, key, strict=True)
+    for setting, df, components, variance in settings:
         a, s = ML.kmeans_sweep(df, key, setting, ks, n_init=n_init, max_iter=max_iter)
         s = s.withColumns({"PCA_N_Components": F.lit(components).cast("int"), "PCA_Explained_Variance": F.lit(variance).cast("double")})
         assigned = a if assigned is None else assigned.unionByName(a)
         summary = s if summary is None else summary.unionByName(s)
     sizes = share_of_total(assigned, ["Feature_Setting", "K"], "Cluster", "Segment_Count", "_t").drop("_t")
-    return {"assignments": assigned, "summary": summary.orderBy("Feature_Setting", F.desc("Silhouette_Score")), "top3": ML.top_models(summary), "cluster_sizes": sizes}
+    return {"assignments": assigned.join(display, key), "summary": summary.orderBy("Feature_Setting", F.desc("Silhouette_Score")), "top3": ML.top_models(summary), "cluster_sizes": sizes}
 
 
 # --- sampling rates ---------------------------------------------------------------------

@@ -5,6 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from strideframe.operators import clustering as C
 from strideframe.operators import features as X
 from strideframe.operators import modeling as ML
 from strideframe.plans import video
@@ -36,7 +37,7 @@ def blobs(spark):
 @pytest.mark.parametrize("block", [10_000, 13])
 def test_silhouette_is_exact_with_any_block(blobs, block, monkeypatch):
     _, df, x, labels = blobs
-    monkeypatch.setattr(ML, "BLOCK_POINTS", block)
+    monkeypatch.setattr(C, "BLOCK_POINTS", block)
     got = ML.silhouette_values(df, "id", "x", "label").toPandas().sort_values("id")
     np.testing.assert_allclose(got.silhouette, brute_silhouette(x, labels), atol=1e-10)
     assert ML.silhouette_score(df.where("label = 0"), "id", "x", "label") is None
@@ -68,6 +69,48 @@ def test_kmeans_sweep_finds_the_blobs(blobs):
     assert len({(a, b) for a, b in zip(got, labels)}) == 4
 
 
+def test_fused_lloyd_is_lloyd(blobs, monkeypatch):
+    """The fused passes move every start as a plain NumPy loop does, also in several groups, and empty clusters stay put."""
+    _, df, x, _ = blobs
+    points = df.select(F.col("x").alias("_x"))
+    starts = C.starting_fits(points, [2, 3], 3, 7)
+    far = C.Fit(2, 99, np.array([[0.0] * 4, [1e6] * 4]))
+    want = []
+    for f in [*starts, far]:
+        c = f.centres.copy()
+        while True:
+            d = ((x[:, None] - c[None]) ** 2).sum(-1)
+            own = d.argmin(1)
+            moved = np.array([x[own == i].mean(0) if (own == i).any() else c[i] for i in range(f.k)])
+            if ((moved - c) ** 2).sum() <= 1e-4 * x.var(0).mean():
+                break
+            c = moved
+        want.append((c, d.min(1).sum()))
+    monkeypatch.setattr(C, "CENTRE_BYTES", 4 * 8 * 7)
+    for f, (centres, cost) in zip(C.lloyd(points, [*starts, far], max_iter=300, tol=1e-4), want, strict=True):
+        np.testing.assert_allclose(f.centres, centres, atol=1e-9)
+        assert f.cost == pytest.approx(cost)
+    assert (far.centres[1] == 1e6).all()
+    limited = C.lloyd(points, C.starting_fits(points, [3], 1, 7), max_iter=0, tol=1e-4)[0]
+    assert limited.settled and limited.cost >= want[3][1] - 1e-9
+
+
+def test_several_labellings_share_their_distances(blobs, monkeypatch):
+    _, df, x, labels = blobs
+    monkeypatch.setattr(C, "BLOCK_POINTS", 20)
+    two = df.withColumn("half", (F.col("label") >= 2).cast("int")).withColumn("one", F.lit(5))
+    got = C.silhouettes(two, "id", "x", ["label", "half", "one"]).toPandas().sort_values("id")
+    for name, own in (("label", labels), ("half", (labels >= 2).astype(int))):
+        np.testing.assert_allclose(got[got.labelling == name].silhouette, brute_silhouette(x, own), atol=1e-10)
+    assert (got[got.labelling == "one"].silhouette == 0).all()
+
+
+def test_sweep_consistency(blobs):
+    _, df, _, _ = blobs
+    rows = ML.sweep_consistency(ML.assemble(df, list("abcd")), "id", [2, 4], n_init=2).collect()
+    assert [(r.K, r.n_rows, r.n_clusters, r.nearest, r.means, r.cost_matches) for r in sorted(rows)] == [(k, 61, k, True, True, True) for k in (2, 4)]
+
+
 def test_forest_and_report(spark, tmp_path):
     rng = np.random.default_rng(3)
     x = rng.normal(size=(120, 3))
@@ -144,14 +187,14 @@ def test_fps_fallback_chain(spark):
 
 def test_queries_run_the_plans_in_full(spark, monkeypatch):
     """kmeans_sweep and rf_cv call their operators with the plans' K, starts and trees."""
-    from strideframe import constants as C
+    from strideframe import constants
     from strideframe.catalog import model_queries as Q
 
     seen = {}
     monkeypatch.setattr(Q, "_embedded", lambda spark, sf: (spark.createDataFrame([(i, i % 10, i * 1.0, i % 3 * 1.0) for i in range(30)], "vec_id long, label int, e0 double, e1 double"), ["e0", "e1"]))
     with monkeypatch.context() as m:
         m.setattr(ML, "kmeans_sweep", lambda df, key, setting, ks, *, n_init: (None, (list(ks), n_init)))
-        assert Q.kmeans_sweep(spark, "") == (list(C.VIDEO_K_RANGE), C.VIDEO_N_INIT) == (list(range(2, 14)), 50)
+        assert Q.kmeans_sweep(spark, "") == (list(constants.VIDEO_K_RANGE), constants.VIDEO_N_INIT) == (list(range(2, 14)), 50)
     pipeline = ML.forest_pipeline
     monkeypatch.setattr(ML, "forest_pipeline", lambda df, f, *, trees, seed: seen.setdefault("trees", []).append(trees) or pipeline(df, f, trees=3, seed=seed))
     assert sum(r.n for r in Q.rf_cv(spark, "").collect()) == 30 and seen["trees"] == [500] * 3

@@ -16,7 +16,7 @@ DAY_US = 86_400_000_000
 
 def _mapped(spark, sf):
     seg = cycles.standard_segments(segments(spark, sf))
-    return cycles.map_segments(seg, cycles.standard_cycles(cycle_table(spark, sf)), width=20.0)
+    return cycles.map_segments(seg, cycles.standard_cycles(cycle_table(spark, sf)))
 
 
 def interval_map(spark, sf):
@@ -80,7 +80,7 @@ def event_linkage_first(spark, sf):
     events = e.select("parent", F.col("id").alias("event"), (F.col("end") - 3 * DAY_US).alias("at"))
     out = iv.first_match(
         events, ["event"], e, ["parent"], at="at", start="start", end="end", order=["start", "id"],
-        carried=["id", "flag"], width=30.0 * DAY_US,
+        carried=["id", "flag"],
     )
     return out.select("event", "linked", F.col("id").alias("action"), F.coalesce("flag", F.lit(False)).alias("bilateral"))
 

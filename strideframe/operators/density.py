@@ -111,7 +111,7 @@ def make_grid(df: DataFrame, x: str, y: str, bandwidths: Sequence[float] = BANDW
 def cell_index(c: Column, axis: Axis) -> Column:
     """Bin by comparison with the edges themselves; the last bin is closed."""
     n = axis.cells
-    near = F.least(F.lit(n - 1), F.greatest(F.lit(0), F.floor((c - axis.extent[0]) / CELL_SIZE_SW))).cast("bigint")
+    near = F.least(F.lit(n - 1), F.greatest(F.lit(0), F.floor((c - axis.first) / axis.step) + axis.pad)).cast("bigint")
     return near + F.when(c < axis.edge(near), -1).when((c >= axis.edge(near + 1)) & (near < n - 1), 1).otherwise(0)
 
 
@@ -379,10 +379,11 @@ def hdr_thresholds(mass: DataFrame, groups: Sequence[str], coverages: Sequence[f
 
     The heaviest cells are taken until they reach the coverage; the last one's mass is the threshold.
     """
-    goals = mass.select(*groups).distinct().withColumn(
+    heavy = mass.where("mass > 0")
+    goals = heavy.groupBy(*groups).agg(F.count("*").alias("_n")).withColumn(
         "_goals", F.array(*[F.struct(F.lit(float(c)).alias("goal"), F.lit(float(c)).alias("rest")) for c in coverages])
     )
-    rows = mass.where("mass > 0").select(*groups, (-F.col("mass")).alias("x"), F.col("mass").alias("w"))
+    rows = heavy.select(*groups, (-F.col("mass")).alias("x"), F.col("mass").alias("w"))
     found = smallest_reaching(rows, goals, groups, leaf=leaf)
     return found.select(*groups, F.col("goal").alias("coverage"), (-F.col("x")).alias("threshold"))
 

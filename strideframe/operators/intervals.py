@@ -17,39 +17,55 @@ from ..session import materialize
 from .blocks import Carry, carry
 
 
+# Interval lengths share a level of the bucket hierarchy in classes of this many powers of two.
+LEVEL_STEP = 3
+
+
+def _level(start: Column, end: Column) -> Column:
+    """Power of two of the bucket width for an interval: a quarter of its length or less, so it meets at most 17 buckets.
+
+    Buckets stay wide enough to be numbered: a width is never below the 2**50th part of the bounds.
+    """
+    length = F.ceil(F.log2((end - start).cast("double")))
+    least = F.ceil(F.log2(F.greatest(F.abs(start), F.abs(end), F.lit(1)).cast("double"))) - 50
+    return (F.floor(F.greatest(length - 2, least) / F.lit(LEVEL_STEP)) * LEVEL_STEP).cast("int")
+
+
+def _bucket(value: Column, level: Column) -> Column:
+    return F.floor(value.cast("double") / F.pow(F.lit(2.0), level))
+
+
 def interval_join(
-    points: DataFrame, intervals: DataFrame, keys: Sequence[str], point: str, start: str, end: str, *,
-    width: float, closed: bool = False, how: str = "inner",
+    points: DataFrame, intervals: DataFrame, keys: Sequence[str], point: str, start: str, end: str, *, closed: bool = False,
 ) -> DataFrame:
     """Points joined to every interval of their key that contains them.
 
-    Half-open ``[start, end)``, or ``[start, end]`` when ``closed``. ``width`` should
-    be near the usual interval length: an interval is copied once per bucket it meets.
+    Half-open ``[start, end)``, or ``[start, end]`` when ``closed``. Every interval lies in a few buckets of the dyadic level
+    that fits its own length, and a point asks its bucket once per level that occurs (a number of size classes, found by a
+    subquery), so long and short intervals mix freely and no width is to be given. Rows with missing bounds match nothing.
     """
-    step = F.lit(width)
-    left = points.withColumn("_b", F.floor(F.col(point) / step))
-    spans = F.sequence(F.floor(F.col(start) / step), F.floor(F.col(end) / step))
     renamed = {k: f"_k_{k}" for k in keys}
-    right = (
-        intervals.where(F.col(end) >= F.col(start))
-        .withColumnsRenamed(renamed)
-        .withColumn("_k__b", F.explode(spans))
-    )
+    leveled = intervals.where(F.col(end) >= F.col(start)).withColumn("_k__l", _level(F.col(start), F.col(end)))
+    levels = leveled.agg(F.sort_array(F.collect_set("_k__l"))).scalar()
+    spans = F.sequence(_bucket(F.col(start), F.col("_k__l")), _bucket(F.col(end), F.col("_k__l")))
+    right = leveled.withColumnsRenamed(renamed).withColumn("_k__b", F.explode(spans))
+    left = points.where(F.col(point).isNotNull()).withColumn("_l", F.explode(levels))
+    left = left.withColumn("_b", _bucket(F.col(point), F.col("_l")))
     upper = F.col(point) <= F.col(end) if closed else F.col(point) < F.col(end)
-    equal = [F.col(k) == F.col(f"_k_{k}") for k in [*keys, "_b"]]
-    joined = left.join(right, [*equal, F.col(point) >= F.col(start), upper], how)
-    return joined.drop("_b", "_k__b", *renamed.values())
+    equal = [F.col(k) == F.col(f"_k_{k}") for k in [*keys, "_l", "_b"]]
+    joined = left.join(right, [*equal, F.col(point) >= F.col(start), upper])
+    return joined.drop("_l", "_b", "_k__l", "_k__b", *renamed.values())
 
 
 def first_match(
     events: DataFrame, event_id: Sequence[str], actions: DataFrame, keys: Sequence[str], *,
-    at: str, start: str, end: str, order: Sequence[str], carried: Sequence[str], width: float,
+    at: str, start: str, end: str, order: Sequence[str], carried: Sequence[str],
 ) -> DataFrame:
     """For each event the first action (by ``order``) with ``start <= at <= end``.
 
     Returns every event with ``linked`` and the carried action columns (NULL when outside).
     """
-    hits = interval_join(events, actions, keys, at, start, end, width=width, closed=True)
+    hits = interval_join(events, actions, keys, at, start, end, closed=True)
     best = hits.groupBy(*event_id).agg(
         F.min_by(F.struct(*carried), F.struct(*order)).alias("_best")
     )

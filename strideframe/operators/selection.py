@@ -45,21 +45,22 @@ def _reached() -> Column:
 def smallest_reaching(rows: DataFrame, goals: DataFrame, keys: Sequence[str], *, leaf: int = LEAF_ROWS) -> DataFrame:
     """``keys, goal, x``: the smallest value at which the running weight of ``rows`` reaches each goal.
 
-    ``rows`` has ``keys, x, w`` (positive weights), ``goals`` one row ``keys, _goals`` per key, an array of
-    ``struct<goal, rest>`` with a name and the weight to reach. A goal beyond the whole weight takes the largest value.
-    Keys are joined by equality, so they must not be null.
+    ``rows`` has ``keys, x, w`` (positive weights), ``goals`` one row ``keys, _n, _goals`` per key: its number of rows and an
+    array of ``struct<goal, rest>`` with a name of any type and the weight to reach. A goal beyond the whole weight takes
+    the largest value. Keys may be null.
     """
     keys = list(keys)
-    rows = rows.select(*keys, F.col("x"), F.col("w").alias("_w"), ordered_bits(F.col("x")).alias("_bits"), F.lit(0).cast("bigint").alias("_prefix"))
-    sizes = rows.groupBy(*keys).agg(F.count("*").alias("_n"))
-    opened = materialize(goals.join(sizes, keys).withColumn("_prefix", F.lit(0).cast("bigint")))
-    place = [*keys, "_prefix"]
+    packed = F.struct(*keys).alias("_k")  # equal structs join even where a key is null
+    first = F.lit(0).cast("bigint").alias("_prefix")
+    rows = rows.select(packed, F.col("x"), F.col("w").alias("_w"), ordered_bits(F.col("x")).alias("_bits"), first)
+    opened = materialize(goals.select(packed, "_n", "_goals", first))
+    place = ["_k", "_prefix"]
     found = []
     for shift in (48, 32, 16, 0):
         largest = opened.agg(F.max("_n")).first()[0] or 0
         fits = opened if largest <= leaf else opened.where(F.col("_n") <= leaf)
         ranked = rows.join(fits.select(*place, "_goals"), place).withColumns(_running(Window.partitionBy(*place).orderBy("_bits"), "_w"))
-        found.append(ranked.select(*keys, "x", F.explode(_reached()).alias("_g")).select(*keys, F.col("_g.goal").alias("goal"), "x"))
+        found.append(ranked.select("_k", "x", F.explode(_reached()).alias("_g")))
         if largest <= leaf:
             break
         wide = opened.where(F.col("_n") > leaf)
@@ -70,11 +71,10 @@ def smallest_reaching(rows: DataFrame, goals: DataFrame, keys: Sequence[str], *,
             .withColumns(_running(Window.partitionBy(*place).orderBy("_finer"), "_w"))
         )
         left = F.transform(_reached(), lambda g: F.struct(g["goal"].alias("goal"), (g["rest"] - (F.col("_upto") - F.col("_w"))).alias("rest")))
-        opened = materialize(
-            weighed.select(*keys, F.col("_finer").alias("_prefix"), left.alias("_goals"), "_n", "x").where(F.size("_goals") > 0)
-        )
+        narrowed = weighed.select("_k", F.col("_finer").alias("_prefix"), left.alias("_goals"), "_n", "x")
+        opened = materialize(narrowed.where(F.size("_goals") > 0))
         if shift == 0:
-            found.append(opened.select(*keys, F.explode("_goals").alias("_g"), "x").select(*keys, F.col("_g.goal").alias("goal"), "x"))
+            found.append(opened.select("_k", "x", F.explode("_goals").alias("_g")))
             break
         rows = materialize(rows.withColumn("_prefix", finer).join(opened.select(*place), place, "left_semi"))
-    return reduce(DataFrame.unionByName, found)
+    return reduce(DataFrame.unionByName, found).select(*[F.col("_k")[k].alias(k) for k in keys], F.col("_g.goal").alias("goal"), "x")

@@ -3,133 +3,44 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Mapping, Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import safe_div, wrap_degrees
-from ..session import materialize
-
-# Rank error of the sketch is n / ACCURACY, so a bracket holds a few n / ACCURACY values.
-ACCURACY = 100_000
-# Groups up to this many rows are sorted as a whole; larger ones go through the sketch.
-SMALL_GROUP = 100_000
+from .selection import LEAF_ROWS, smallest_reaching
 
 
 def exact_quantiles(
-    df: DataFrame, keys: Sequence[str], value: Column, probs: Mapping[str, float], *,
-    accuracy: int = ACCURACY, small_group: int = SMALL_GROUP,
+    df: DataFrame, keys: Sequence[str], value: Column, probs: Mapping[str, float], *, leaf: int = LEAF_ROWS,
 ) -> DataFrame:
     """Exact linearly interpolated quantiles per key, one column per name in ``probs``.
 
-    Group sizes are counted first. Groups of a bounded size are sorted in a single
-    shuffle; larger groups are never gathered (see ``_sketched_quantiles``).
+    The two neighbouring ranks of every quantile are selected by radix refinement, so a group of any size is spread
+    over tasks of at most ``leaf`` rows.
     """
     keys = list(keys)
     if not keys:
-        return exact_quantiles(
-            df.withColumn("_all", F.lit(0)), ["_all"], value, probs, accuracy=accuracy, small_group=small_group
-        ).drop("_all")
-    rows = df.select(*keys, value.cast("double").alias("_x")).where("_x IS NOT NULL AND NOT isnan(_x)")
-    counts = rows.groupBy(*keys).agg(F.count("*").alias("_n"))
-    largest = counts.agg(F.max("_n")).first()[0] or 0
-    if largest <= small_group:
-        return _small_quantiles(rows, keys, probs)
-    sized = rows.join(counts, keys)
-    small = sized.where(F.col("_n") <= small_group).drop("_n")
-    large = sized.where(F.col("_n") > small_group).drop("_n")
-    return _small_quantiles(small, keys, probs).unionByName(_sketched_quantiles(large, keys, probs, accuracy))
-
-
-def _small_quantiles(rows: DataFrame, keys: list[str], probs: Mapping[str, float]) -> DataFrame:
-    """Quantiles of bounded groups from one sort; ranking and picking share the exchange."""
-    group = Window.partitionBy(*keys)
-    ranked = rows.withColumns({"_n": F.count("*").over(group), "_r": F.row_number().over(group.orderBy("_x")) - 1})
-    picks = []
-    for i, p in enumerate(probs.values()):
-        rank = F.lit(float(p)) * (F.col("_n") - 1)
-        picks += [F.max(F.when(F.col("_r") == r, F.col("_x"))).alias(f"_p{i}_{side}") for side, r in ((0, F.floor(rank)), (1, F.ceil(rank)))]
-    found = ranked.groupBy(*keys).agg(F.max("_n").alias("_n"), *picks)
+        return exact_quantiles(df.withColumn("_all", F.lit(0)), ["_all"], value, probs, leaf=leaf).drop("_all")
+    rows = df.select(*keys, value.cast("double").alias("x"), F.lit(1).cast("bigint").alias("w")).where("x IS NOT NULL AND NOT isnan(x)")
+    rank = lambda p: F.lit(float(p)) * (F.col("_n") - 1)
+    goals = [
+        F.struct(F.struct(F.lit(2 * i + side).alias("i"), F.col("_n").alias("n")).alias("goal"), (at(rank(p)) + 1).cast("bigint").alias("rest"))
+        for i, p in enumerate(probs.values()) for side, at in ((0, F.floor), (1, F.ceil))
+    ]
+    counted = rows.groupBy(*keys).agg(F.count("*").alias("_n")).withColumn("_goals", F.array(*goals))
+    found = smallest_reaching(rows, counted, keys, leaf=leaf)
+    picks = [F.max(F.when(F.col("goal.i") == i, F.col("x"))).alias(f"_p{i}") for i in range(2 * len(probs))]
+    wide = found.groupBy(*keys).agg(F.max("goal.n").alias("_n"), *picks)
     result = []
     for i, (name, p) in enumerate(probs.items()):
-        rank = F.lit(float(p)) * (F.col("_n") - 1)
-        low, high = F.col(f"_p{i}_0"), F.col(f"_p{i}_1")
-        result.append((low + (high - low) * (rank - F.floor(rank))).alias(name))
-    return found.select(*keys, *result)
-
-
-def _sketched_quantiles(rows: DataFrame, keys: list[str], probs: Mapping[str, float], accuracy: int) -> DataFrame:
-    """Quantiles of large groups.
-
-    A mergeable sketch brackets each wanted rank. Values outside the brackets are
-    only counted (per gap), values inside are counted per distinct value, so what
-    reaches the ranking step is a sliver of the group and not the group itself.
-    Should a rank lie outside its bracket, all brackets are widened and the values are
-    counted again; the widest bracket is the whole group.
-    """
-    slack = 2.0 / accuracy
-    while True:
-        picked = materialize(_bracketed(rows, keys, probs, accuracy, slack))
-        if slack >= 1.0 or picked.where(reduce(Column.__or__, [F.col(n).isNull() for n in probs])).isEmpty():
-            return picked
-        slack *= 8
-
-
-def _bracketed(rows: DataFrame, keys: list[str], probs: Mapping[str, float], accuracy: int, slack: float) -> DataFrame:
-    """Quantiles by brackets of half width ``slack``; NULL where a rank is outside its bracket."""
-    names = sorted(probs, key=probs.get)
-    edges = [max(0.0, probs[n] - slack) for n in names] + [min(1.0, probs[n] + slack) for n in names]
-    sketch = rows.groupBy(*keys).agg(
-        F.percentile_approx("_x", F.array(*[F.lit(e) for e in edges]), accuracy).alias("_q"),
-        F.count("*").alias("_n"),
-    )
-    m = len(names)
-    joined = rows.join(sketch, keys)
-    low = [F.col("_q")[i] for i in range(m)]
-    high = [F.col("_q")[m + i] for i in range(m)]
-    x = F.col("_x")
-    inside = F.lit(False)
-    gap = F.lit(0)
-    for lo, hi in zip(low, high):
-        inside = inside | ((x >= lo) & (x <= hi))
-        gap = gap + (x > hi).cast("int")
-    classes = (
-        joined.withColumn("_in", F.when(inside, x))
-        .groupBy(*keys, gap.alias("_gap"), "_in")
-        .agg(F.count("*").alias("_c"), F.min("_x").alias("_v"), F.max("_x").alias("_w"), F.first("_n").alias("_n"))
-    )
-    ranked = classes.withColumn(
-        "_upto",
-        F.sum("_c").over(
-            Window.partitionBy(*keys).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-        ),
-    )
-    picks = []
-    for i, name in enumerate(names):
-        rank = F.lit(float(probs[name])) * (F.col("_n") - 1)
-        for side, r in ((0, F.floor(rank)), (1, F.ceil(rank))):
-            here = (F.col("_upto") > r) & (F.col("_upto") - F.col("_c") <= r)
-            # The first and last value of a counted gap are known as well.
-            known = (
-                F.when(F.col("_in").isNotNull(), F.col("_in"))
-                .when(F.col("_upto") - 1 == r, F.col("_w"))
-                .when(F.col("_upto") - F.col("_c") == r, F.col("_v"))
-            )
-            picks.append(F.max(F.when(here, known)).alias(f"_p{i}_{side}"))
-    picked = ranked.groupBy(*keys).agg(F.max("_n").alias("_n"), *picks)
-    result = []
-    for i, name in enumerate(names):
-        rank = F.lit(float(probs[name])) * (F.col("_n") - 1)
-        a, b = F.col(f"_p{i}_0"), F.col(f"_p{i}_1")
-        result.append((name, a + (b - a) * (rank - F.floor(rank))))
-    order = {n: c for n, c in result}
-    return picked.select(*keys, *[order[n].alias(n) for n in probs])
+        low, high = F.col(f"_p{2 * i}"), F.col(f"_p{2 * i + 1}")
+        result.append((low + (high - low) * (rank(p) - F.floor(rank(p)))).alias(name))
+    return wide.select(*keys, *result)
 
 
 def quantiles_of_columns(
-    df: DataFrame, keys: Sequence[str], columns: Sequence[str], probs: Mapping[str, float], *,
-    accuracy: int = ACCURACY,
+    df: DataFrame, keys: Sequence[str], columns: Sequence[str], probs: Mapping[str, float], *, leaf: int = LEAF_ROWS,
 ) -> DataFrame:
     """Exact quantiles of several columns: result columns ``{column}_{name}``."""
     keys = list(keys)
@@ -141,7 +52,7 @@ def quantiles_of_columns(
             )
         ).alias("_s"),
     ).select(*keys, F.col("_s.i").alias("_i"), F.col("_s.x").alias("_v"))
-    q = exact_quantiles(long, [*keys, "_i"], F.col("_v"), probs, accuracy=accuracy)
+    q = exact_quantiles(long, [*keys, "_i"], F.col("_v"), probs, leaf=leaf)
     wide = [
         F.max(F.when(F.col("_i") == i, F.col(n))).alias(f"{c}_{n}") for i, c in enumerate(columns) for n in probs
     ]

@@ -75,10 +75,10 @@ def standard_cycles(df: DataFrame, segments: DataFrame | None = None) -> DataFra
     )
 
 
-def map_segments(segments: DataFrame, cycles: DataFrame, *, width: float = 2_400.0) -> DataFrame:
+def map_segments(segments: DataFrame, cycles: DataFrame) -> DataFrame:
     """Segment midpoints assigned to half-open cycles, with relative time columns."""
     joined = interval_join(
-        segments, cycles, ["Video_ID"], "Segment_Center_Frame", "Cycle_Start_Frame", "Cycle_End_Frame", width=width
+        segments, cycles, ["Video_ID"], "Segment_Center_Frame", "Cycle_Start_Frame", "Cycle_End_Frame"
     )
     span = F.col("Cycle_End_Frame") - F.col("Cycle_Start_Frame")
     relative = {}

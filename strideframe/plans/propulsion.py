@@ -61,10 +61,10 @@ def _middle(a: str, b: str, sign: float = 1.0) -> list[Column]:
     return _px((F.col(f"{a}_x") + F.col(f"{b}_x")) * 0.5, (F.col(f"{a}_y") + F.col(f"{b}_y")) * 0.5, sign)
 
 
-def cycle_frames(trajectory: DataFrame, intervals: DataFrame, width: float = 1_200.0) -> DataFrame:
+def cycle_frames(trajectory: DataFrame, intervals: DataFrame) -> DataFrame:
     """Trajectory rows inside each half-open cycle, numbered densely per cycle (``pos``)."""
     spans = intervals.select(*CYCLE, "start_frame", "end_frame_exclusive", "fps")
-    rows = interval_join(trajectory, spans, ["video_id"], "frame", "start_frame", "end_frame_exclusive", width=width)
+    rows = interval_join(trajectory, spans, ["video_id"], "frame", "start_frame", "end_frame_exclusive")
     return number_rows(rows, ["cycle_key"], ["frame"], F.expr("frame div 65536"))
 
 
@@ -152,11 +152,11 @@ def numbered_trajectory(trajectory: DataFrame) -> DataFrame:
     return number_rows(trajectory, ["video_id"], ["frame"], F.expr("frame div 65536"))
 
 
-def cycle_directions(candidates: DataFrame, cycles: DataFrame, trajectory: DataFrame, width: float = 1_200.0) -> DataFrame:
+def cycle_directions(candidates: DataFrame, cycles: DataFrame, trajectory: DataFrame) -> DataFrame:
     """Principal direction of wrist midpoints per cycle against the task's outward axis (y up)."""
     spans = cycles.select(*CYCLE, "p2_start_frame", "p2_end_frame_exclusive")
     shoulders = trajectory.where(" AND ".join(f"{c} IS NOT NULL" for c in SHOULDERS))
-    inside = interval_join(shoulders, spans, ["video_id"], "frame", "p2_start_frame", "p2_end_frame_exclusive", width=width)
+    inside = interval_join(shoulders, spans, ["video_id"], "frame", "p2_start_frame", "p2_end_frame_exclusive")
     mx, my = _middle("left_shoulder", "right_shoulder", -1.0)
     per_cycle = quantiles_of_columns(
         inside.select("video_id", "cycle_key", mx.alias("mx"), my.alias("my")), ["video_id", "cycle_key"], ["mx", "my"], {"m": 0.5}
@@ -170,7 +170,7 @@ def cycle_directions(candidates: DataFrame, cycles: DataFrame, trajectory: DataF
     wy = (F.col("_left_wrist_y") + F.col("_right_wrist_y")) * (-0.5 * IMAGE_HEIGHT_PX)
     points = smooth.select("video_id", "frame", wx.alias("x"), wy.alias("y")).where("x IS NOT NULL AND y IS NOT NULL")
     events = candidates.select("video_id", "cycle_key", "start_frame", "end_frame")
-    used = interval_join(points, events, ["video_id"], "frame", "start_frame", "end_frame", width=width, closed=True)
+    used = interval_join(points, events, ["video_id"], "frame", "start_frame", "end_frame", closed=True)
     unique = used.groupBy("video_id", "cycle_key", "frame").agg(F.first("x").alias("x"), F.first("y").alias("y"))
     axes = unique.groupBy("video_id", "cycle_key").agg(
         F.count("*").alias("paired_candidate_frames"), F.var_pop("x").alias("_vx"), F.var_pop("y").alias("_vy"), F.covar_pop("x", "y").alias("_c")
@@ -196,7 +196,7 @@ def principal_axis(df: DataFrame) -> DataFrame:
     })
 
 
-def event_metrics(candidates: DataFrame, cycles: DataFrame, axes: DataFrame, trajectory: DataFrame, width: float = 1_200.0) -> DataFrame:
+def event_metrics(candidates: DataFrame, cycles: DataFrame, axes: DataFrame, trajectory: DataFrame) -> DataFrame:
     """Displacement, excursion, separation, path and speed of every candidate, in shoulder widths."""
     filled = seq.interpolate(numbered_trajectory(trajectory), ["video_id"], {f"_f_{c}": c for c in WRISTS}, mode="inside")
     smooth = seq.smooth_runs(filled, ["video_id"], {f"_m_{c}": f"_f_{c}" for c in WRISTS})
@@ -215,7 +215,7 @@ def event_metrics(candidates: DataFrame, cycles: DataFrame, axes: DataFrame, tra
     known = spans.join(axes.select("cycle_key", "propulsion_axis_x", "propulsion_axis_y"), "cycle_key").join(
         cycles.select("cycle_key", "median_shoulder_width_px"), "cycle_key"
     )
-    rows = interval_join(valid, known, ["video_id"], "frame", "start_frame", "end_frame", width=width, closed=True)
+    rows = interval_join(valid, known, ["video_id"], "frame", "start_frame", "end_frame", closed=True)
     p = [F.col("propulsion_axis_x"), F.col("propulsion_axis_y")]
     across = [-p[1], p[0]]
     m = [F.col("mx"), F.col("my")]

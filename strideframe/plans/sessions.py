@@ -334,7 +334,7 @@ def linked_events(p2_events: DataFrame, actions: DataFrame) -> DataFrame:
     spans = actions.select("session", "action_index", "start_us", "end_us", "bilateral_classified")
     hits = first_match(
         p2_events.where("at IS NOT NULL"), ["session", "event_index"], spans, ["session"], at="at", start="start_us",
-        end="end_us", order=["start_us", "action_index"], carried=["bilateral_classified"], width=60e6,
+        end="end_us", order=["start_us", "action_index"], carried=["bilateral_classified"],
     )
     inside = hits.groupBy("session").agg(
         F.count_if("linked").alias("linked"), F.count_if(F.col("bilateral_classified")).alias("linked_bilateral")

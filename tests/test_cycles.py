@@ -19,7 +19,7 @@ def mapper(spark):
         seg = spark.createDataFrame(
             rows, "Video string, Segment_ID string, Start_Frame double, End_Frame double, Cluster int"
         )
-        return cycles.map_segments(cycles.standard_segments(seg), cycles.standard_cycles(table), width=7.0)
+        return cycles.map_segments(cycles.standard_segments(seg), cycles.standard_cycles(table))
 
     return run
 

@@ -43,12 +43,32 @@ def test_rounds_of_a_long_ramp_follow_its_blocks(spark, monkeypatch):
 def test_interval_join_inclusivity(spark):
     points = spark.createDataFrame([("a", float(t)) for t in range(0, 12)], "k string, t double")
     spans = spark.createDataFrame([("a", 2.0, 5.0), ("a", 5.0, 9.0), ("b", 0.0, 99.0), ("a", 9.0, 3.0)], "k string, s double, e double")
-    half = iv.interval_join(points, spans, ["k"], "t", "s", "e", width=2.0).collect()
+    half = iv.interval_join(points, spans, ["k"], "t", "s", "e").collect()
     assert sorted((r.t, r.s) for r in half) == [(2.0, 2.0), (3.0, 2.0), (4.0, 2.0)] + [(float(t), 5.0) for t in (5, 6, 7, 8)]
-    closed = iv.interval_join(points, spans, ["k"], "t", "s", "e", width=3.0, closed=True).collect()
+    closed = iv.interval_join(points, spans, ["k"], "t", "s", "e", closed=True).collect()
     assert sorted((r.t, r.s) for r in closed if r.t == 5.0) == [(5.0, 2.0), (5.0, 5.0)]
 
 
+@pytest.mark.parametrize("closed", [False, True])
+def test_interval_join_mixes_lengths_of_all_sizes(spark, closed):
+    """Empty, short and day-long intervals, negative and large places, nulls: the brute-force pairs, and few copies."""
+    rng = np.random.default_rng(8)
+    start = np.concatenate([rng.uniform(-50, 50, 60), rng.uniform(0, 1e9, 40), [0.0, 7.0, 7.0]])
+    length = np.concatenate([rng.choice([0.0, 1e-6, 0.5, 3.0, 80.0], 60), 10 ** rng.uniform(-3, 9, 40), [86_400e6, 0.0, 1e-9]])
+    spans = pd.DataFrame({"k": rng.integers(0, 2, len(start)), "s": start, "e": start + length})
+    at = np.concatenate([rng.uniform(-60, 60, 150), rng.uniform(0, 2e9, 150), start[:40], (start + length)[:40], [7.0]])
+    points = pd.DataFrame({"k": rng.integers(0, 2, len(at)), "t": at, "i": range(len(at))})
+    left = spark.createDataFrame(points).unionByName(spark.createDataFrame([(0, None, -1)], "k long, t double, i long"))
+    right = spark.createDataFrame(spans).unionByName(spark.createDataFrame([(0, 1.0, None)], "k long, s double, e double"))
+    got = sorted((r.i, r.s, r.e) for r in iv.interval_join(left, right, ["k"], "t", "s", "e", closed=closed).collect())
+    pairs = points.merge(spans, on="k")
+    inside = (pairs.t >= pairs.s) & ((pairs.t <= pairs.e) if closed else (pairs.t < pairs.e))
+    assert got == sorted(pairs[inside][["i", "s", "e"]].itertuples(index=False, name=None)) and got
+    level = iv._level(F.col("s"), F.col("e"))
+    copies = right.where("e >= s").select((iv._bucket(F.col("e"), level) - iv._bucket(F.col("s"), level) + 1).alias("n"))
+    assert copies.agg(F.max("n")).first()[0] <= 18
+
+
 def test_touching_attempts_merge_and_reversed_rows_drop(spark):
     rows = [("a", 1, 0, 5), ("a", 2, 5, 8), ("a", 3, 9, 10), ("a", 4, 20, 15), ("a", 5, 9, 30), ("a", 6, 31, 31)]
     df = spark.createDataFrame(rows, "k string, i int, s int, e int").withColumn("o", F.struct("s", "i"))
@@ -66,7 +86,7 @@ def test_gaps_never_bridge_an_unflagged_row(spark):
 def test_event_on_action_boundary_links_to_the_first_action(spark):
     actions = spark.createDataFrame([("a", 1, 0, 5, True), ("a", 2, 5, 9, False)], "k string, i int, s int, e int, b boolean")
     events = spark.createDataFrame([("a", 1, 5), ("a", 2, 9), ("a", 3, 10)], "k string, id int, t int")
-    out = iv.first_match(events, ["id"], actions, ["k"], at="t", start="s", end="e", order=["s", "i"], carried=["i", "b"], width=4.0)
+    out = iv.first_match(events, ["id"], actions, ["k"], at="t", start="s", end="e", order=["s", "i"], carried=["i", "b"])
     assert {r.id: (r.linked, r.i) for r in out.collect()} == {1: (True, 1), 2: (True, 2), 3: (False, None)}
 
 

@@ -5,11 +5,11 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from strideframe.operators import stats
+from strideframe.operators import selection, stats
 
 
-@pytest.mark.parametrize("accuracy,small_group", [(20, 0), (200, 5), (100_000, 0), (100_000, 100_000)])
-def test_exact_quantiles(spark, accuracy, small_group):
+@pytest.mark.parametrize("leaf", [1, 40, 1 << 16])
+def test_exact_quantiles(spark, leaf):
     rng = np.random.default_rng(7)
     parts = [pd.DataFrame({"k": k, "x": np.round(rng.gamma(2.0, 3.0, n), d)})
              for k, (n, d) in enumerate([(1, 3), (2, 3), (3, 3), (10, 0), (500, 1), (3000, 6)])]
@@ -18,27 +18,36 @@ def test_exact_quantiles(spark, accuracy, small_group):
     pdf = pd.concat(parts)
     df = spark.createDataFrame(pdf).repartition(5)
     probs = {"lo": 0.025, "q1": 0.25, "med": 0.5, "p90": 0.9, "hi": 0.975, "max": 1.0}
-    got = stats.exact_quantiles(df, ["k"], F.col("x"), probs, accuracy=accuracy, small_group=small_group).toPandas().set_index("k")
+    got = stats.exact_quantiles(df, ["k"], F.col("x"), probs, leaf=leaf).toPandas().set_index("k")
     assert len(got) == 8
     for k, g in pdf.groupby("k"):
         for name, p in probs.items():
             assert got.loc[k, name] == pytest.approx(np.nanquantile(g.x, p), abs=1e-12), (k, name)
 
 
-def test_a_rank_outside_its_bracket_widens_it(spark, monkeypatch):
-    """Brackets around nothing at first: the counts are taken again until every rank is inside."""
-    widths, count = [], stats._bracketed
+def test_values_that_differ_in_their_last_bits(spark):
+    """Neighbouring doubles, both signs, subnormals, zeros and infinities: every split down to the last bits is needed."""
+    base = np.array([1.0, -1.0, 5e-324, -5e-324, 1e-310, 0.0, -0.0, np.inf, -np.inf, 1.7976931348623157e308, 2.0**-1022, 8.0, 0.1])
+    near = np.concatenate([base, np.nextafter(base[:6], np.inf), np.nextafter(base[:6], -np.inf), np.full(60, 0.1), np.nextafter(np.full(60, 0.1), 1)])
+    df = spark.createDataFrame(pd.DataFrame({"x": near}))
+    bits = df.select("x", selection.ordered_bits(F.col("x")).alias("b")).toPandas().sort_values("b")
+    assert (np.diff(bits.x.to_numpy()[np.isfinite(bits.x)]) >= 0).all()
+    pairs = sorted({(x + 0.0, b) for x, b in zip(bits.x, bits.b)})
+    assert len({b for _, b in pairs}) == len({x for x, _ in pairs}) == len(pairs)
+    finite = df.where("abs(x) < double('infinity')")
+    ordered = np.sort(near[np.isfinite(near)])
+    probs = {f"p{i}": i / 8 for i in range(9)}
+    row = stats.exact_quantiles(finite, [], F.col("x"), probs, leaf=3).first()
+    for name, p in probs.items():
+        at = p * (len(ordered) - 1)
+        low, high = ordered[int(np.floor(at))], ordered[int(np.ceil(at))]
+        assert row[name] == low + (high - low) * (at - np.floor(at))
 
-    def narrow(rows, keys, probs, accuracy, slack):
-        widths.append(slack)
-        shifted = probs if slack >= 0.02 else {n: min(1.0, p + 0.4) for n, p in probs.items()}
-        out = count(rows, keys, shifted, accuracy, slack)
-        return out if shifted is probs else out.withColumns({n: F.lit(None).cast("double") for n in probs})
 
-    monkeypatch.setattr(stats, "_bracketed", narrow)
-    df = spark.createDataFrame(pd.DataFrame({"x": np.arange(1001.0)}))
-    row = stats.exact_quantiles(df, [], F.col("x"), {"m": 0.5, "q": 0.1234}, accuracy=1000, small_group=0).first()
-    assert (row.m, row.q) == (500.0, pytest.approx(123.4)) and len(widths) > 1
+def test_null_keys_are_a_group(spark):
+    df = spark.createDataFrame([(None, 1.0), (None, 2.0), ("a", 5.0)], "k string, x double")
+    got = {r.k: r.m for r in stats.exact_quantiles(df, ["k"], F.col("x"), {"m": 0.5}, leaf=1).collect()}
+    assert got == {None: 1.5, "a": 5.0}
 
 
 def test_summary_blocks(spark):
@@ -65,9 +74,9 @@ def test_circular_summary(spark):
     assert row["median_absolute_deviation_deg"] == pytest.approx(np.median(np.abs(degrees)))
 
 
-@pytest.mark.parametrize("small_group", [0, 1000])
-def test_quantiles_without_keys(spark, small_group):
+@pytest.mark.parametrize("leaf", [1, 1000])
+def test_quantiles_without_keys(spark, leaf):
     df = spark.createDataFrame(pd.DataFrame({"x": np.arange(101.0)}))
-    row = stats.exact_quantiles(df, [], F.col("x"), {"p": 0.335, "m": 0.5}, small_group=small_group).first()
+    row = stats.exact_quantiles(df, [], F.col("x"), {"p": 0.335, "m": 0.5}, leaf=leaf).first()
     assert (row.p, row.m) == (pytest.approx(33.5), 50.0)
-    assert stats.exact_quantiles(df.where("x < 0"), [], F.col("x"), {"m": 0.5}, small_group=small_group).count() == 0
+    assert stats.exact_quantiles(df.where("x < 0"), [], F.col("x"), {"m": 0.5}, leaf=leaf).count() == 0

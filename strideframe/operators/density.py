@@ -379,12 +379,9 @@ def hdr_thresholds(mass: DataFrame, groups: Sequence[str], coverages: Sequence[f
 
     The heaviest cells are taken until they reach the coverage; the last one's mass is the threshold.
     """
-    heavy = mass.where("mass > 0")
-    goals = heavy.groupBy(*groups).agg(F.count("*").alias("_n")).withColumn(
-        "_goals", F.array(*[F.struct(F.lit(float(c)).alias("goal"), F.lit(float(c)).alias("rest")) for c in coverages])
-    )
-    rows = heavy.select(*groups, (-F.col("mass")).alias("x"), F.col("mass").alias("w"))
-    found = smallest_reaching(rows, goals, groups, leaf=leaf)
+    wanted = F.array(*[F.struct(F.lit(float(c)).alias("goal"), F.lit(float(c)).alias("rest")) for c in coverages])
+    rows = mass.where("mass > 0").select(*groups, (-F.col("mass")).alias("x"), F.col("mass").alias("w"))
+    found = smallest_reaching(rows, lambda n: wanted, groups, leaf=leaf)
     return found.select(*groups, F.col("goal").alias("coverage"), (-F.col("x")).alias("threshold"))
 
 

@@ -8,7 +8,7 @@ single value, so nothing depends on how values are spread and no group is ever g
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -42,18 +42,24 @@ def _reached() -> Column:
     return F.expr("filter(_goals, g -> _upto - _w < g.rest AND (_upto >= g.rest OR _last))")
 
 
-def smallest_reaching(rows: DataFrame, goals: DataFrame, keys: Sequence[str], *, leaf: int = LEAF_ROWS) -> DataFrame:
+def smallest_reaching(rows: DataFrame, goals: Callable[[Column], Column], keys: Sequence[str], *, leaf: int = LEAF_ROWS) -> DataFrame:
     """``keys, goal, x``: the smallest value at which the running weight of ``rows`` reaches each goal.
 
-    ``rows`` has ``keys, x, w`` (positive weights), ``goals`` one row ``keys, _n, _goals`` per key: its number of rows and an
-    array of ``struct<goal, rest>`` with a name of any type and the weight to reach. A goal beyond the whole weight takes
-    the largest value. Keys may be null.
+    ``rows`` has ``keys, x, w`` (positive weights). ``goals`` makes an array of ``struct<goal, rest>`` from a key's number of
+    rows: a name of any type and the weight to reach. A goal beyond the whole weight takes the largest value. Keys may be
+    null.
     """
     keys = list(keys)
+    largest = rows.groupBy(*keys).agg(F.count("*").alias("_n")).agg(F.max("_n")).first()[0] or 0
+    if largest <= leaf:
+        # Every key fits a task as it is; its size is counted where its rows meet.
+        sized = rows.withColumn("_n", F.count("*").over(Window.partitionBy(*keys))).withColumnRenamed("w", "_w")
+        ranked = sized.withColumns(_running(Window.partitionBy(*keys).orderBy("x"), "_w")).withColumn("_goals", goals(F.col("_n")))
+        return ranked.select(*keys, "x", F.explode(_reached()).alias("_g")).select(*keys, F.col("_g.goal").alias("goal"), "x")
     packed = F.struct(*keys).alias("_k")  # equal structs join even where a key is null
     first = F.lit(0).cast("bigint").alias("_prefix")
     rows = rows.select(packed, F.col("x"), F.col("w").alias("_w"), ordered_bits(F.col("x")).alias("_bits"), first)
-    opened = materialize(goals.select(packed, "_n", "_goals", first))
+    opened = materialize(rows.groupBy("_k", "_prefix").agg(F.count("*").alias("_n")).withColumn("_goals", goals(F.col("_n"))))
     place = ["_k", "_prefix"]
     found = []
     for shift in (48, 32, 16, 0):

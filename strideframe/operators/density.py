@@ -379,10 +379,11 @@ def hdr_thresholds(mass: DataFrame, groups: Sequence[str], coverages: Sequence[f
 
     The heaviest cells are taken until they reach the coverage; the last one's mass is the threshold.
     """
-    wanted = F.array(*[F.struct(F.lit(float(c)).alias("goal"), F.lit(float(c)).alias("rest")) for c in coverages])
     rows = mass.where("mass > 0").select(*groups, (-F.col("mass")).alias("x"), F.col("mass").alias("w"))
-    found = smallest_reaching(rows, lambda n: wanted, groups, leaf=leaf)
-    return found.select(*groups, F.col("goal").alias("coverage"), (-F.col("x")).alias("threshold"))
+    names = {f"_c{i}": float(c) for i, c in enumerate(coverages)}
+    found = smallest_reaching(rows, {name: lambda n, c=c: F.lit(c) for name, c in names.items()}, groups, leaf=leaf)
+    each = F.explode(F.array(*[F.struct(F.lit(c).alias("coverage"), (-F.col(name)).alias("threshold")) for name, c in names.items()])).alias("_r")
+    return found.select(*groups, each).select(*groups, "_r.*")
 
 
 def hdr_summary(mass: DataFrame, groups: Sequence[str], grid: Grid, coverages: Sequence[float] = COVERAGES) -> DataFrame:

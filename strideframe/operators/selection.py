@@ -8,7 +8,7 @@ single value, so nothing depends on how values are spread and no group is ever g
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -42,24 +42,27 @@ def _reached() -> Column:
     return F.expr("filter(_goals, g -> _upto - _w < g.rest AND (_upto >= g.rest OR _last))")
 
 
-def smallest_reaching(rows: DataFrame, goals: Callable[[Column], Column], keys: Sequence[str], *, leaf: int = LEAF_ROWS) -> DataFrame:
-    """``keys, goal, x``: the smallest value at which the running weight of ``rows`` reaches each goal.
+def smallest_reaching(rows: DataFrame, goals: Mapping[str, Callable[[Column], Column]], keys: Sequence[str], *, leaf: int = LEAF_ROWS) -> DataFrame:
+    """``keys, _n`` and a column per goal: the smallest value at which the running weight of ``rows`` reaches it.
 
-    ``rows`` has ``keys, x, w`` (positive weights). ``goals`` makes an array of ``struct<goal, rest>`` from a key's number of
-    rows: a name of any type and the weight to reach. A goal beyond the whole weight takes the largest value. Keys may be
-    null.
+    ``rows`` has ``keys, x, w`` (positive weights). ``goals`` gives the weight to reach from a key's number of rows ``_n``. A
+    goal beyond the whole weight takes the largest value. Keys may be null.
     """
     keys = list(keys)
     largest = rows.groupBy(*keys).agg(F.count("*").alias("_n")).agg(F.max("_n")).first()[0] or 0
     if largest <= leaf:
         # Every key fits a task as it is; its size is counted where its rows meet.
-        sized = rows.withColumn("_n", F.count("*").over(Window.partitionBy(*keys))).withColumnRenamed("w", "_w")
-        ranked = sized.withColumns(_running(Window.partitionBy(*keys).orderBy("x"), "_w")).withColumn("_goals", goals(F.col("_n")))
-        return ranked.select(*keys, "x", F.explode(_reached()).alias("_g")).select(*keys, F.col("_g.goal").alias("goal"), "x")
+        sized = rows.withColumn("_n", F.count("*").over(Window.partitionBy(*keys)))
+        ranked = sized.withColumns(_running(Window.partitionBy(*keys).orderBy("x"), "w"))
+        upto, n = F.col("_upto"), F.col("_n")
+        here = {name: (upto - F.col("w") < rest(n)) & ((upto >= rest(n)) | F.col("_last")) for name, rest in goals.items()}
+        return ranked.groupBy(*keys).agg(F.max("_n").alias("_n"), *[F.max(F.when(first, F.col("x"))).alias(name) for name, first in here.items()])
     packed = F.struct(*keys).alias("_k")  # equal structs join even where a key is null
     first = F.lit(0).cast("bigint").alias("_prefix")
     rows = rows.select(packed, F.col("x"), F.col("w").alias("_w"), ordered_bits(F.col("x")).alias("_bits"), first)
-    opened = materialize(rows.groupBy("_k", "_prefix").agg(F.count("*").alias("_n")).withColumn("_goals", goals(F.col("_n"))))
+    opened = materialize(rows.groupBy("_k", "_prefix").agg(F.count("*").alias("_n")).withColumn("_goals", F.array(*[
+        F.struct(F.struct(F.lit(name).alias("name"), F.col("_n").alias("n")).alias("goal"), rest(F.col("_n")).alias("rest")) for name, rest in goals.items()
+    ])))
     place = ["_k", "_prefix"]
     found = []
     for shift in (48, 32, 16, 0):
@@ -83,4 +86,6 @@ def smallest_reaching(rows: DataFrame, goals: Callable[[Column], Column], keys:
             found.append(opened.select("_k", "x", F.explode("_goals").alias("_g")))
             break
         rows = materialize(rows.withColumn("_prefix", finer).join(opened.select(*place), place, "left_semi"))
-    return reduce(DataFrame.unionByName, found).select(*[F.col("_k")[k].alias(k) for k in keys], F.col("_g.goal").alias("goal"), "x")
+    picks = [F.max(F.when(F.col("_g.goal.name") == name, F.col("x"))).alias(name) for name in goals]
+    wide = reduce(DataFrame.unionByName, found).groupBy("_k").agg(F.max("_g.goal.n").alias("_n"), *picks)
+    return wide.select(*[F.col("_k")[k].alias(k) for k in keys], "_n", *goals)

@@ -24,21 +24,16 @@ def exact_quantiles(
         return exact_quantiles(df.withColumn("_all", F.lit(0)), ["_all"], value, probs, leaf=leaf).drop("_all")
     rows = df.select(*keys, value.cast("double").alias("x"), F.lit(1).cast("bigint").alias("w")).where("x IS NOT NULL AND NOT isnan(x)")
     rank = lambda p, n: F.lit(float(p)) * (n - 1)
-
-    def goals(n: Column) -> Column:
-        return F.array(*[
-            F.struct(F.struct(F.lit(2 * i + side).alias("i"), n.alias("n")).alias("goal"), (at(rank(p, n)) + 1).cast("bigint").alias("rest"))
-            for i, p in enumerate(probs.values()) for side, at in ((0, F.floor), (1, F.ceil))
-        ])
-
+    goals = {}
+    for i, p in enumerate(probs.values()):
+        goals[f"_p{i}_0"] = lambda n, p=p: (F.floor(rank(p, n)) + 1).cast("bigint")
+        goals[f"_p{i}_1"] = lambda n, p=p: (F.ceil(rank(p, n)) + 1).cast("bigint")
     found = smallest_reaching(rows, goals, keys, leaf=leaf)
-    picks = [F.max(F.when(F.col("goal.i") == i, F.col("x"))).alias(f"_p{i}") for i in range(2 * len(probs))]
-    wide = found.groupBy(*keys).agg(F.max("goal.n").alias("_n"), *picks)
     result = []
     for i, (name, p) in enumerate(probs.items()):
-        low, high = F.col(f"_p{2 * i}"), F.col(f"_p{2 * i + 1}")
-        result.append((low + (high - low) * (rank(p, F.col("_n")) - F.floor(rank(p, F.col("_n"))))).alias(name))
-    return wide.select(*keys, *result)
+        low, high, at = F.col(f"_p{i}_0"), F.col(f"_p{i}_1"), rank(p, F.col("_n"))
+        result.append((low + (high - low) * (at - F.floor(at))).alias(name))
+    return found.select(*keys, *result)
 
 
 def quantiles_of_columns(

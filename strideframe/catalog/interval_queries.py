@@ -31,6 +31,13 @@ def interval_global_index(spark, sf):
     return out.select("Video_ID", "Cycle_Number_In_Video", "Cycle_Index_Global").distinct()
 
 
+def interval_global_index_text(spark, sf):
+    """The same index where ids are words: videos in text order, some of them numeric and therefore first."""
+    named = F.when(F.col("Video_ID").cast("bigint") % 3 > 0, F.concat(F.lit("take "), "Video_ID")).otherwise(F.col("Video_ID"))
+    out = cycles.number_filled_cycles(_mapped(spark, sf).withColumn("Video_ID", named))
+    return out.select("Video_ID", "Cycle_Number_In_Video", "Cycle_Index_Global").distinct()
+
+
 def interval_composition(spark, sf):
     out = cycles.cycle_composition(_mapped(spark, sf))
     return out.select(
@@ -163,7 +170,7 @@ _NEAR = f"""WITH {SERIES_SQL}, near AS (SELECT a.entity, a.pos, b.pos AS nearest
 
 QUERIES = {
     "interval_map": interval_map,
-    "interval_global_index": interval_global_index,
+    "interval_global_index": interval_global_index, "interval_global_index_text": interval_global_index_text,
     "interval_composition": interval_composition,
     "composition_wide": composition_wide,
     "timeline_bins": timeline_bins,
@@ -202,6 +209,9 @@ ORACLES = {
     "interval_global_index": _MAP + """, f AS (SELECT DISTINCT video, num FROM mapped)
         SELECT video AS "Video_ID", num AS "Cycle_Number_In_Video",
         row_number() OVER (ORDER BY CAST(video AS BIGINT), num) AS "Cycle_Index_Global" FROM f""",
+    "interval_global_index_text": _MAP + """, f AS (SELECT DISTINCT video, CASE WHEN CAST(video AS BIGINT) % 3 > 0 THEN 'take ' || video ELSE video END AS name, num FROM mapped)
+        SELECT name AS "Video_ID", num AS "Cycle_Number_In_Video",
+        row_number() OVER (ORDER BY try_cast(name AS BIGINT) NULLS LAST, name, num) AS "Cycle_Index_Global" FROM f""",
     "interval_composition": _MAP + """ SELECT video AS "Video_ID", num AS "Cycle_Number_In_Video", CAST(c AS VARCHAR) AS "Cycle_ID",
         cluster AS "Cluster", count(*) AS "Segment_Count",
         CAST(sum(count(*)) OVER (PARTITION BY video, num) AS BIGINT) AS "Cycle_Total_Segments",

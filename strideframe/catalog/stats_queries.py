@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml.feature import MaxAbsScaler, VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
@@ -12,7 +15,7 @@ from ..operators.modeling import classification_report, feature_summary
 from ..session import materialize, shared_path
 from ..sources import schemas
 from ..sources.tables import read_fps_by_video
-from ..sources.writers import write_csv
+from ..sources.writers import read_bundle, read_manifest, write_bundle, write_csv, write_manifest
 from .views import SERIES_SQL, series, table
 
 
@@ -146,7 +149,34 @@ def rates_round_trip(spark, sf):
     return read_fps_by_video(spark, path)
 
 
+def manifest_round_trip(spark, sf):
+    """Totals per event type written as a manifest in the shared folder, twice, and read again."""
+    path = f"{shared_path(spark, 'manifest')}/totals.json"
+    totals = {r["cat"]: r["count"] for r in series(spark, sf).groupBy("cat").count().collect()}
+    write_manifest({"totals": {}, "note": "to be replaced"}, path)
+    write_manifest({"totals": totals, "note": "événements"}, path)
+    found = read_manifest(path)
+    return spark.createDataFrame([(k, v, found["note"]) for k, v in found["totals"].items()], "cat string, n bigint, note string")
+
+
+def bundle_round_trip(spark, sf):
+    """A fitted scaler with its feature list and settings, saved, loaded from the shared folder and applied."""
+    data = table(spark, sf, "lineitem").select("l_returnflag", F.col("l_quantity").cast("double").alias("l_quantity"), F.col("l_discount").cast("double").alias("l_discount"))
+    names = ["l_quantity", "l_discount"]
+    model = Pipeline(stages=[VectorAssembler(inputCols=names, outputCol="_v"), MaxAbsScaler(inputCol="_v", outputCol="_scaled")]).fit(data)
+    path = shared_path(spark, "bundle")
+    write_bundle(model, path, names, window_sec=2.0)
+    loaded, document = read_bundle(path, PipelineModel.load)
+    values = vector_to_array("_scaled")
+    scaled = loaded.transform(data.select("l_returnflag", *document["features"]))
+    return scaled.groupBy("l_returnflag").agg(
+        F.count("*").alias("n"), *[F.round(F.avg(values[i]), 6).alias(f"mean_{c}") for i, c in enumerate(document["features"])],
+        F.lit(document["window_sec"]).alias("window_sec"),
+    )
+
+
 QUERIES = {
+    "manifest_round_trip": manifest_round_trip, "bundle_round_trip": bundle_round_trip,
     "fill_mean": fill_mean, "fill_median": fill_median, "feature_columns": feature_columns, "rates_round_trip": rates_round_trip,
     "eight_stats": eight_stats, "distribution_stats": distribution_stats, "cv_summary": cv_summary, "two_level_p90": two_level_p90,
     "circular_stats": circular_stats, "signed_angle": signed_angle, "missingness": missingness, "class_balance": class_balance,
@@ -155,6 +185,9 @@ QUERIES = {
 }
 
 ORACLES = {
+    "manifest_round_trip": "SELECT event_type AS cat, count(*) AS n, 'événements' AS note FROM events GROUP BY 1",
+    "bundle_round_trip": """SELECT l_returnflag, count(*) AS n, round(avg(l_quantity::DOUBLE / (SELECT max(abs(l_quantity))::DOUBLE FROM lineitem)), 6) AS mean_l_quantity,
+        round(avg(l_discount::DOUBLE / (SELECT max(abs(l_discount))::DOUBLE FROM lineitem)), 6) AS mean_l_discount, 2.0::DOUBLE AS window_sec FROM lineitem GROUP BY 1""",
     "fill_mean": f"WITH {SERIES_SQL} SELECT entity, pos, round(coalesce(x, avg(x) OVER ()), 6) AS x FROM series",
     "fill_median": f"""WITH {SERIES_SQL}, y AS (SELECT entity, pos, x, CASE WHEN k < 60 THEN CAST(k AS DOUBLE) END AS y FROM series), m AS (SELECT median(x) AS mx, median(y) AS my FROM y)
         SELECT entity, pos, round(coalesce(x, mx), 6) AS x, round(coalesce(y, my), 6) AS y FROM y, m""",

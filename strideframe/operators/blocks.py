@@ -20,6 +20,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from ..session import materialize
+
 BLOCK_ROWS = 1 << 16
 
 
@@ -74,6 +76,25 @@ def number_rows(
     )
 
 
+def ranked_by_range(df: DataFrame, order: Sequence[Column], totals: dict[str, Column], out: str = "rank") -> DataFrame:
+    """Zero-based rank ``out`` over all rows by ``order`` (a total order of any type), and running ``totals`` before each row.
+
+    Rows are range-partitioned by sampled splitters; every partition is scanned in order, and one row per partition carries
+    its totals on.
+    """
+    parts = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    rows = materialize(parts.withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id(), "_one": F.lit(1).cast("bigint")}))
+    sums = {out: F.col("_one"), **totals}
+    inside = Window.partitionBy("_part").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy(F.lit(0)).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    carried = rows.groupBy("_part").agg(*[F.sum(v).alias(f"_s_{n}") for n, v in sums.items()]).select(
+        "_part", *[F.coalesce(F.sum(f"_s_{n}").over(earlier), F.lit(0)).alias(f"_c_{n}") for n in sums]
+    )
+    local = rows.withColumns({n: F.coalesce(F.sum(v).over(inside), F.lit(0)) for n, v in sums.items()})
+    joined = local.join(F.broadcast(carried), "_part")  # one row per partition
+    return joined.withColumns({n: F.col(n) + F.col(f"_c_{n}") for n in sums}).drop("_part", "_at", "_one", *[f"_c_{n}" for n in sums])
+
+
 def first_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column]) -> DataFrame:
     """First row per key; Catalyst limits each map task to one row per key."""
     w = Window.partitionBy(*keys).orderBy(*order)

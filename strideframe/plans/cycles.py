@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..constants import CLUSTER_NAMES, TIMELINE_BIN_PERCENT
 from ..functions.scalars import clip, timeline_bin
 from ..functions.text import CYCLE_TABLE_SUFFIXES, natural_order, plain_video_id
-from ..operators.blocks import number_rows
+from ..operators.blocks import number_rows, ranked_by_range
 from ..operators.intervals import interval_join
 from ..operators.stats import share_of_total
 
@@ -95,15 +95,8 @@ def number_filled_cycles(mapped: DataFrame) -> DataFrame:
     """Add ``Cycle_Index_Global``: 1-based over cycles that received segments, videos in natural order."""
     filled = mapped.select("Video_ID", "Cycle_Number_In_Video").distinct()
     per_video = filled.groupBy("Video_ID").agg(F.count("*").alias("_n"))
-    number = natural_order("Video_ID")
-    bucket = F.coalesce(F.expr("try_cast(Video_ID AS BIGINT) div 4096"), F.lit(1 << 60))
-    ranked = number_rows(
-        per_video.withColumn("_all", F.lit(0)), ["_all"], number, bucket, out="_video_rank"
-    )
-    from ..operators.blocks import Carry, carry
-
-    ahead = carry(ranked, ["_all"], "_video_rank", {"_upto": Carry("sum", F.col("_n"))}, F.expr("_video_rank div 65536"))
-    offsets = ahead.select("Video_ID", (F.col("_upto") - F.col("_n")).alias("_offset"))
+    ahead = ranked_by_range(per_video, natural_order("Video_ID"), {"_offset": F.col("_n")}, out="_video_rank")
+    offsets = ahead.select("Video_ID", "_offset")
     inside = number_rows(
         filled, ["Video_ID"], ["Cycle_Number_In_Video"], F.expr("Cycle_Number_In_Video div 65536"), out="_inside"
     )

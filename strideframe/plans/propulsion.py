@@ -307,13 +307,39 @@ def cycle_medians(metrics: DataFrame) -> DataFrame:
     )
 
 
+def reconcile_counts(cycles: DataFrame, candidates: DataFrame, axes: DataFrame, metrics: DataFrame) -> DataFrame:
+    """A ledger of every cycle that any table names: rows per table, the reported number of candidates, and ``agrees``.
+
+    A cycle agrees when it is listed once, has one direction where it has candidates, and its candidates, their metrics and
+    the reported number are the same count. Every table is counted before the full joins, so they are one to one.
+    """
+    sides = [
+        cycles.groupBy("cycle_key").agg(F.count("*").alias("n_cycles"), F.max("automatic_kinematic_candidate_count").cast("bigint").alias("reported_candidates")),
+        candidates.groupBy("cycle_key").agg(F.count("*").alias("n_candidates")), axes.groupBy("cycle_key").agg(F.count("*").alias("n_directions")),
+        metrics.groupBy("cycle_key").agg(F.count("*").alias("n_metrics")),
+    ]
+    ledger = reduce(lambda a, b: a.join(b, "cycle_key", "full"), sides).fillna(0)
+    one_direction = F.col("n_directions") == F.when(F.col("n_candidates") > 0, 1).otherwise(0)
+    same = (F.col("n_candidates") == F.col("reported_candidates")) & (F.col("n_metrics") == F.col("n_candidates"))
+    return ledger.withColumn("agrees", (F.col("n_cycles") == 1) & one_direction & same)
+
+
+def check_ledger(ledger: DataFrame, named: int = 20) -> None:
+    """Fail with the first cycles that don't agree and their counts."""
+    wrong = ledger.where("NOT agrees").orderBy("cycle_key").limit(named).collect()
+    if wrong:
+        raise ValueError("counts differ in cycles " + "; ".join(str(r.asDict()) for r in wrong))
+
+
 def summarize(candidates: DataFrame, cycles: DataFrame, trajectory: DataFrame, *, shoulder_width_m: float = REFERENCE_SHOULDER_WIDTH_M) -> dict:
     """All characteristic tables and the one-document summary."""
     axes = materialize(cycle_directions(candidates, cycles, trajectory))
     assert_rows(axes, {"three paired samples per cycle": F.col("paired_candidate_frames") >= 3, "non-degenerate direction": F.col("pc1_variance_fraction").isNotNull()})
+    metrics = materialize(event_metrics(candidates, cycles, axes, trajectory))
+    ledger = materialize(reconcile_counts(cycles, candidates, axes, metrics))
+    check_ledger(ledger)
     if axes.count() != cycles.count():
         raise ValueError("every retained cycle must yield one direction estimate")
-    metrics = materialize(event_metrics(candidates, cycles, axes, trajectory))
     primary = ("duration_s", "axial_displacement_sw", "lateral_excursion_sw", "transverse_wrist_separation_sw", "wrist_midpoint_path_speed_sw_per_s")
     assert_rows(metrics, {"paired samples": F.col("valid_bilateral_samples") >= 2, **{f"finite {c}": F.abs(c) < float("inf") for c in primary}})
     gaps = materialize(candidate_gaps(metrics))
@@ -336,4 +362,4 @@ def summarize(candidates: DataFrame, cycles: DataFrame, trajectory: DataFrame, *
     for name, unit in (("eventwise_transverse_wrist_separation", "m"), ("wrist_midpoint_path_speed", "m_per_s")):
         summary[name][f"reference_scaled_median_{unit}"] = summary[name]["median"] * shoulder_width_m
     summary["reference_scaling"] = {"reference_shoulder_width_m": shoulder_width_m}
-    return {"directions": axes, "metrics": metrics, "gaps": gaps, "cycle_medians": medians, "summary": summary}
+    return {"directions": axes, "metrics": metrics, "gaps": gaps, "cycle_medians": medians, "ledger": ledger, "summary": summary}

@@ -9,7 +9,7 @@ from ..constants import BANDWIDTHS_SW, CELL_SIZE_SW, HANDS, MIN_PHASE_AVAILABILI
 from ..functions.text import key_video
 from ..operators import density as D
 from ..session import materialize
-from ..sources.schemas import TableContract, assert_count, assert_rows, assert_unique
+from ..sources.schemas import TableContract, assert_count, assert_rows, assert_unique, many_to_one
 
 GROUPS = ["phase", "hand"]
 X, Y = "x_from_needle_sw", "y_from_needle_sw"
@@ -96,7 +96,7 @@ def analyse(
     assert_rows(summary, {"coverage attained": F.col("achieved_probability_mass") + 1e-8 >= F.col("coverage")})
     counts = {r["phase"]: r["count"] for r in eligible.groupBy("phase").count().collect()}
     return {
-        "cross_validation": scores.join(ranked, "bandwidth_sw"),
+        "cross_validation": many_to_one(scores, ranked, ["bandwidth_sw"], "bandwidth ranking"),
         "bandwidth_selection": ranked,
         "eligibility": eligible.groupBy("phase").agg(F.count("*").alias("primary_bilateral_eligible_cycles")),
         "primary_hdr": summary, "sensitivity_hdr": sensitivity, "density_grid": export,

@@ -73,6 +73,21 @@ def assert_unique(df: DataFrame, keys: Iterable[str], label: str) -> None:
         raise ValueError(f"{label} has more than one row per {keys}")
 
 
+def many_to_one(left: DataFrame, right: DataFrame, keys: Iterable[str], label: str, how: str = "left") -> DataFrame:
+    """``left`` with the columns of ``right``, whose keys must be unique: a repeated key fails the join itself and is named.
+
+    The guard is part of the plan (one aggregated row per key), so no second read of ``right`` is needed.
+    """
+    keys = list(keys)
+    rest = [c for c in right.columns if c not in keys]
+    named = F.concat_ws(", ", *[F.coalesce(F.col(k).cast("string"), F.lit("null")) for k in keys])
+    single = right.groupBy(*keys).agg(F.count("*").alias("_n"), F.first(F.struct(F.lit(0).alias("_"), *rest)).alias("_row"))
+    checked = F.when(F.col("_n") > 1, F.raise_error(F.concat(F.lit(f"{label} has more than one row for "), named))).otherwise(F.col("_row"))
+    guarded = single.select(*keys, checked.alias("_row"))
+    joined = left.join(guarded, keys, how)
+    return joined.select(*left.columns, *[F.col("_row")[c].alias(c) for c in rest])
+
+
 def assert_count(df: DataFrame, expected: int | None, label: str) -> None:
     """Optional cohort size check, off when ``expected`` is None."""
     if expected is not None and (found := df.count()) != expected:

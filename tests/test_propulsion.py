@@ -97,6 +97,13 @@ def test_directions_and_metrics(spark, data, detected):
     pdf, _ = data
     clean, candidates, cycles = detected
     out = P.summarize(candidates, cycles, clean)
+    assert out["ledger"].where("agrees").count() == 3 == out["ledger"].count()
+    short = P.reconcile_counts(cycles, candidates.where("candidate_index > 1 OR cycle_key <> '1:2'"), out["directions"], out["metrics"])
+    assert [r.cycle_key for r in short.where("NOT agrees").collect()] == ["1:2"]
+    with pytest.raises(ValueError, match="counts differ in cycles .*1:2"):
+        P.check_ledger(short)
+    lost = P.reconcile_counts(cycles.union(cycles.where("cycle_key = '2:1'")), candidates, out["directions"].where("cycle_key <> '1:1'"), out["metrics"])
+    assert sorted(r.cycle_key for r in lost.where("NOT agrees").collect()) == ["1:1", "2:1"]
     axes = out["directions"].toPandas().set_index("cycle_key")
     metrics = out["metrics"].toPandas()
     cand = candidates.toPandas()

@@ -118,3 +118,39 @@ def test_tolerance_compare(spark):
     assert not compare_tables(a, b.where("k = 1"), ["k"], ["v"])["keys_match"]
     with pytest.raises(ValueError):
         compare_tables(a.union(a), b, ["k"], ["v"])
+
+
+def test_documents_are_replaced_in_one_step(spark, tmp_path):
+    path = f"file://{tmp_path}/deep/folder/é manifest.json"
+    writers.write_manifest({"a": 1}, path)
+    writers.write_manifest({"a": "ä", "b": [1, 2]}, path)
+    assert writers.read_manifest(path) == {"a": "ä", "b": [1, 2]}
+    names = [p.name for p in (tmp_path / "deep/folder").iterdir() if not p.name.endswith(".crc")]
+    assert names == ["é manifest.json"]
+    writers.write_lines(["one", "two"], f"{tmp_path}/lines.txt")
+    assert writers.read_text(f"{tmp_path}/lines.txt") == "one\ntwo\n"
+
+
+def test_many_to_one_names_the_repeated_key(spark):
+    from strideframe.sources.schemas import many_to_one
+
+    left = spark.createDataFrame([("a", 1), ("a", 2), ("b", 3), ("c", 4)], "k string, v int")
+    right = spark.createDataFrame([("a", "x", None), ("b", "y", 5), ("d", "z", 6)], "k string, w string, u int")
+    assert sorted(tuple(r) for r in many_to_one(left, right, ["k"], "audit").collect() if r.w) == [("a", 1, "x", None), ("a", 2, "x", None), ("b", 3, "y", 5)]
+    assert many_to_one(left, right, ["k"], "audit").count() == 4
+    with pytest.raises(Exception, match="audit has more than one row for a"):
+        many_to_one(left, right.union(right.where("k = 'a'")), ["k"], "audit").collect()
+
+
+def test_rank_by_range_of_mixed_ids(spark):
+    from strideframe.functions.text import natural_order
+    from strideframe.operators.blocks import ranked_by_range
+
+    ids = [str(i * 7 % 101) for i in range(60)] + [f"take {i}" for i in range(60)] + ["é", "Z"]
+    df = spark.createDataFrame([(v, i) for i, v in enumerate(ids)], "v string, n long").repartition(7)
+    rows = {r.v: (r.rank, r.before) for r in ranked_by_range(df, natural_order("v"), {"before": F.col("n")}).collect()}
+    ordered = sorted(ids, key=lambda v: (not v.isdigit(), int(v) if v.isdigit() else 0, v.encode()))
+    total = 0
+    for at, v in enumerate(ordered):
+        assert rows[v] == (at, total)
+        total += ids.index(v)

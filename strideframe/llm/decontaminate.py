@@ -20,7 +20,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strideframe.llm.store import ascii_lower, keep, with_text
+from strideframe.llm.store import ascii_lower, free_name, keep, with_text
 
 WINDOW = 13
 #: Contaminated from this share of hit words on: 1 in 20.
@@ -97,13 +97,14 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, mode: str = "documents"
     if mode == "documents":
         return packed.join(found.where("contaminated"), same, "left_anti").select("doc.*")
     cut = found.where("n_hit > 0").select("doc_id", "mark", "spans").distinct()
-    joined = packed.join(cut, same, "left").select("doc.*", F.struct("spans").alias("_cut"))
+    held = free_name("_cut", docs.columns)
+    joined = packed.join(cut, same, "left").select("doc.*", F.struct("spans").alias(held))
     # Pieces alternate between gaps and words; word number i is piece 2i, or 2i + 1 after a leading gap.
     text = F.expr(
         "array_join(filter(regexp_extract_all(text, '(" + f"{RAW_WORDS}|{RAW_GAPS}".replace("\\", "\\\\") + ")', 1), (x, i) -> "
-        "NOT (rlike(x, '^" + RAW_WORDS.replace("\\", "\\\\") + "') AND exists(_cut.spans, s -> s.start <= i div 2 AND i div 2 < s.end))), '')"
+        "NOT (rlike(x, '^" + RAW_WORDS.replace("\\", "\\\\") + "') AND exists(" + held + ".spans, s -> s.start <= i div 2 AND i div 2 < s.end))), '')"
     )
-    return with_text(joined, F.when(F.col("_cut.spans").isNull(), F.col("text")).otherwise(text)).select(*docs.columns)
+    return with_text(joined, F.when(F.col(f"{held}.spans").isNull(), F.col("text")).otherwise(text)).select(*docs.columns)
 
 
 def decontamination_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:

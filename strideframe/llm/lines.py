@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strideframe.llm.store import ascii_lower, keep, with_text
+from strideframe.llm.store import ascii_lower, free_name, keep, with_text
 
 MIN_CHARS, MIN_DOCS = 40, 5
 #: Keys a shard holds on average, and the bytes of filters that may be broadcast; beyond them only the exact table decides.
@@ -245,6 +245,7 @@ def dedup(docs: DataFrame, index: LineIndex) -> DataFrame:
 def line_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without their repeated lines; all rows stay."""
     out = dedup(docs, build(docs))
-    changed = out.select("doc.*", F.struct("kept", "n_dropped").alias("_line_stage"))
-    text = F.when(F.col("_line_stage.n_dropped") > 0, F.col("_line_stage.kept")).otherwise(F.col("text"))
+    made = free_name("_line_stage", docs.columns)
+    changed = out.select("doc.*", F.struct("kept", "n_dropped").alias(made))
+    text = F.when(F.col(f"{made}.n_dropped") > 0, F.col(f"{made}.kept")).otherwise(F.col("text"))
     return with_text(changed, text).select(*docs.columns)

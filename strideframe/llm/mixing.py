@@ -23,10 +23,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strideframe.llm.store import keep
+from strideframe.llm.store import free_name, keep
 
 WEIGHTS, SHARE, MOST = (5.0, 2.0, 1.0), 1.5, 2.0
-GROUP_ROWS, STEPS, TOLERANCE = 1024, 60, 1e-9
+GROUP_ROWS, STEPS, TOLERANCE = 1024, 400, 1e-9
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -98,6 +98,8 @@ def tilts(sizes: DataFrame, goals: DataFrame, *, most: float = MOST, steps: int
             F.when(settled, F.col("low")).otherwise(F.col("_low")).alias("low"),
             F.when(settled, F.col("high")).otherwise(F.col("_high")).alias("high"), settled.alias("done"),
         ), "tilts")
+    if not state.where("NOT done").isEmpty():
+        raise RuntimeError(f"some sources don't settle within {steps} Newton steps")
     rate = F.when(F.col("target") >= most * F.col("source_size"), F.lit(None).cast("double")).otherwise(F.col("tilt"))
     return state.select("source", "rows", "source_size", "target", "mean", rate.alias("tilt"))
 
@@ -118,27 +120,36 @@ def _deal_copies(most: float):
 
 
 def mix(docs: DataFrame, size: Column | None = None, *, most: float = MOST, group_rows: int = GROUP_ROWS) -> DataFrame:
-    """``docs`` with _mix_size, _mix_source_size, _mix_target and _mix_copies. ``size`` defaults to the text's words."""
+    """``docs`` with _mix_size, _mix_source_size, _mix_target and _mix_copies. ``size`` defaults to the text's words.
+
+    Columns of ``docs`` whose names start with ``_mix_`` are replaced; all others stay as they are.
+    """
+    docs = docs.drop(*[c for c in docs.columns if c.lower().startswith("_mix_")])
     size = size_of(F.col("text")) if size is None else size
     sizes = keep(docs.select(F.col("source").cast("string").alias("source"), size.alias("size")), "words")
     solved = keep(tilts(sizes, keep(targets(sizes, most=most), "targets"), most=most), "solved").select(
-        F.col("source").alias("_s"), F.col("rows").alias("_rows"), F.col("mean").alias("_mean"), F.col("tilt").alias("_tilt"),
+        F.col("source").alias("_mix_s"), F.col("rows").alias("_mix_rows"), F.col("mean").alias("_mix_mean"), F.col("tilt").alias("_mix_tilt"),
         F.col("source_size").alias("_mix_source_size"), F.col("target").alias("_mix_target"),
     )
-    exponent = F.least(F.col("_tilt") * F.col("_mix_size") / F.col("_mean"), F.lit(700.0))
-    rate = F.when(F.col("_tilt").isNull(), F.lit(most)).otherwise(F.least(F.exp(exponent), F.lit(most)))
+    exponent = F.least(F.col("_mix_tilt") * F.col("_mix_size") / F.col("_mix_mean"), F.lit(700.0))
+    rate = F.when(F.col("_mix_tilt").isNull(), F.lit(most)).otherwise(F.least(F.exp(exponent), F.lit(most)))
     key = F.xxhash64("doc_id")
     dealt = (
         docs.withColumn("_mix_size", size)
-        .join(solved, F.col("source").cast("string").eqNullSafe(F.col("_s")))
+        .join(solved, F.col("source").cast("string").eqNullSafe(F.col("_mix_s")))
         .select(*docs.columns, "_mix_size", "_mix_source_size", "_mix_target", F.coalesce(rate, F.lit(1.0)).alias("_mix_rate"),
-                key.alias("_mix_key"), F.pmod(key, F.ceil(F.col("_rows") / F.lit(group_rows))).alias("_mix_part"))
+                key.alias("_mix_key"), F.pmod(key, F.ceil(F.col("_mix_rows") / F.lit(group_rows))).alias("_mix_part"))
     )
     out = dealt.drop("_mix_rate", "_mix_key", "_mix_part").withColumn("_mix_copies", F.lit(0).cast("long")).schema
     return dealt.groupBy("source", "_mix_part").applyInArrow(_deal_copies(most), out)
 
 
 def mixing_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mixed corpus: each document once per copy, numbered by ``copy``; documents with no copy go."""
+    """The mixed corpus: each document once per copy, numbered by ``copy``; documents with no copy go.
+
+    Where ``docs`` has a column of that name, it stays, and the number is called ``copy_``.
+    """
     copies = F.explode(F.sequence(F.lit(1), F.col("_mix_copies").cast("int")))
-    return mix(docs).where("_mix_copies > 0").select(*docs.columns, copies.alias("copy"))
+    packed = docs.select("doc_id", "source", F.struct(*docs.columns).alias("doc"))
+    mixed = mix(packed, size_of(F.col("doc.text"))).where("_mix_copies > 0")
+    return mixed.select("doc.*", copies.alias(free_name("copy", docs.columns)))

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -47,6 +48,14 @@ def ascii_lower(text: Column) -> Column:
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
 
 
+def free_name(name: str, taken: Iterable[str]) -> str:
+    """``name``, with as many underscores behind it as it takes not to be one of ``taken`` (in any case)."""
+    used = {column.lower() for column in taken}
+    while name.lower() in used:
+        name += "_"
+    return name
+
+
 def with_text(docs: DataFrame, text: Column) -> DataFrame:
     """``docs`` with its text replaced and, where the column exists, ``n_chars`` counted anew."""
     kind = dict(docs.dtypes)

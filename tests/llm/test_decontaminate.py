@@ -81,3 +81,11 @@ def test_query_on_documents(spark, rows):
     items = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet").select("item_id", "text").collect()]
     got = {r.doc_id: tuple(r)[1:] for r in QUERIES["op8_decontamination"](spark, "/root/testdata/sf0.001").collect()}
     assert got == brute([(d, r[0]) for d, r in rows.items()], items)
+
+
+def test_cutting_keeps_a_column_with_its_inner_name(spark):
+    words = " ".join(f"w{i}" for i in range(13))
+    docs = spark.createDataFrame([(1, f"before {words} after", 7)], "doc_id long, text string, _cut long")
+    bench = spark.createDataFrame([(1, words)], "item_id long, text string")
+    rows = decontaminate.decontaminate(docs, bench, "spans").collect()
+    assert [(r.doc_id, r._cut) for r in rows] == [(1, 7)] and "w5" not in rows[0].text and rows[0].text.startswith("before")

@@ -106,3 +106,10 @@ def test_query_on_documents(spark, rows):
     want = brute([(d, r[0]) for d, r in rows.items()])
     got = {r.doc_id: (r.n_lines, r.n_dropped, r.kept_sha256) for r in QUERIES["op4_line_dedup"](spark, "/root/testdata/sf0.001").collect()}
     assert got == {d: (a, b, hashlib.sha256(c.encode()).hexdigest()) for d, (a, b, c) in want.items()}
+
+
+def test_stage_keeps_a_column_with_its_inner_name(spark):
+    docs = table(spark, sample_rows()).selectExpr("*", "doc_id + 1 as _line_stage", "'x' as kept", "0 as n_dropped")
+    out = lines.line_stage(spark, docs, "").collect()
+    assert all(r._line_stage == r.doc_id + 1 and r.kept == "x" for r in out)
+    assert {r.doc_id: r.text or "" for r in out} == {d: kept for d, (_, _, kept) in brute(sample_rows()).items()}

@@ -96,3 +96,21 @@ def test_query_and_stage(spark, rows, docs, odd):
     out = mixing.mixing_stage(spark, odd, "")
     assert out.columns == [*odd.columns, "copy"] and 7 <= out.count() <= 20
     assert mixing.mixing_stage(spark, odd.limit(0), "").count() == 0
+
+
+def test_columns_with_the_names_used_inside(spark, odd, tmp_path):
+    clashing = odd.selectExpr("*", "1 as copy", "'t' as _tilt", "2 as _rows", "'s' as _s", "3 as _mean", "4 as _mix_size", "5 as _mix_copies")
+    out = mixing.mixing_stage(spark, clashing, "")
+    assert out.columns == [*clashing.columns, "copy_"]
+    out.write.parquet(str(tmp_path / "mixed"))
+    read = spark.read.parquet(str(tmp_path / "mixed"))
+    assert {(r.copy, r._tilt, r._rows, r._s, r._mean, r._mix_size, r._mix_copies) for r in read.collect()} == {(1, "t", 2, "s", 3, 4, 5)}
+    plain = mixing.mixing_stage(spark, odd, "")
+    assert sorted(map(str, read.select("doc_id", "copy_").collect())) == sorted(str(r).replace("copy=", "copy_=") for r in plain.select("doc_id", "copy").collect())
+    assert mixing.mix(clashing).count() == odd.count()
+
+
+def test_unsettled_sources_are_an_error(spark):
+    sizes = spark.createDataFrame([("a", 10), ("a", 90), ("b", 5)], "source string, size long")
+    with pytest.raises(RuntimeError, match="don't settle"):
+        mixing.tilts(sizes, mixing.targets(sizes), steps=0)

@@ -282,6 +282,7 @@ def action_metrics(actions: DataFrame) -> DataFrame:
     }).drop("_paired", "_points", "_steps", "_separation", "usedLeft", "usedRight", "isSingleHand", "startTime", "endTime")
 
 
+# Columns of the action table, in order.
 ACTION_COLUMNS = (
     "session", "action_index", "duration_s", "recorded_action", "bilateral_classified", "single_hand_classified",
     "used_left", "used_right", "is_single_hand_field", "n_samples", "n_paired_samples", "basic_bilateral_eligible",
@@ -342,30 +343,79 @@ def linked_events(p2_events: DataFrame, actions: DataFrame) -> DataFrame:
     return p2_events.groupBy("session").agg(F.count("*").alias("raw")).join(inside, "session", "left").fillna(0)
 
 
-# Metric -> (source rows, value, {statistic: output}).
-_S = "p2_"
+# Metric -> {statistic: output column}.
 SUMMARY_FIELDS = {
-    "duration": {"n": "action_duration_n", "mean": "action_duration_mean_s", "sd": "action_duration_sd_s", "cv": "action_duration_cv",
-                 "q1": "action_duration_q1_s", "median": "action_duration_median_s", "q3": "action_duration_q3_s"},
-    "gap": {"n": "inter_action_gap_n", "mean": "inter_action_gap_mean_s", "sd": "inter_action_gap_sd_s", "cv": "inter_action_gap_cv",
-            "q1": "inter_action_gap_q1_s", "median": "inter_action_gap_median_s", "q3": "inter_action_gap_q3_s"},
-    "efficiency": {"n": "path_efficiency_n_hand_actions", "median": "path_efficiency_median", "q1": "path_efficiency_q1", "q3": "path_efficiency_q3"},
-    "direction": {"n": "directional_consistency_n_actions", "mean": "directional_consistency_mean", "sd": "directional_consistency_sd",
-                  "q1": "directional_consistency_q1", "median": "directional_consistency_median", "q3": "directional_consistency_q3",
-                  "negative": "directional_consistency_negative_actions"},
-    "path_difference": {"mean": "path_length_difference_mean_m", "median": "path_length_difference_median_m"},
-    "forward": {s: f"mean_bilateral_signed_forward_displacement_{t}" for s, t in (
-        ("n", "n_actions"), ("mean", "mean_m"), ("sd", "sd_m"), ("cv", "cv"), ("q1", "q1_m"), ("median", "median_m"), ("q3", "q3_m"), ("negative", "negative_actions"))},
-    "lateral": {s: f"mean_bilateral_lateral_excursion_{t}" for s, t in (
-        ("n", "n_actions"), ("mean", "mean_m"), ("sd", "sd_m"), ("cv", "cv"), ("q1", "q1_m"), ("median", "median_m"), ("q3", "q3_m"))},
-    "separation": {"mean": "mean_hand_separation_mean_m", "sd": "mean_hand_separation_sd_m", "cv": "mean_hand_separation_cv"},
-    "separation_error": {s: f"separation_error_{s}_action_m" for s in ("mean", "median", "q1", "q3")},
-    "adherence": {s: f"bilateral_adherence_{s}_action" for s in ("mean", "median", "q1", "q3")},
-    "net": {"sd": "mean_bilateral_net_displacement_sd_m", "cv": "mean_bilateral_net_displacement_cv"},
-    "path": {"sd": "mean_bilateral_path_length_sd_m", "cv": "mean_bilateral_path_length_cv"},
-    "speed": {"sd": "mean_bilateral_speed_sd_m_s", "cv": "mean_bilateral_speed_cv"},
-    **{m: {s: f"{m}_{s}" for s in ("mean", "median", "q1", "q3")} for m in HIGHER},
+    "duration": {
+        "n": "p2_action_duration_n", "mean": "p2_action_duration_mean_s", "sd": "p2_action_duration_sd_s", "cv": "p2_action_duration_cv",
+        "q1": "p2_action_duration_q1_s", "median": "p2_action_duration_median_s", "q3": "p2_action_duration_q3_s",
+    },
+    "gap": {
+        "n": "p2_inter_action_gap_n", "mean": "p2_inter_action_gap_mean_s", "sd": "p2_inter_action_gap_sd_s",
+        "cv": "p2_inter_action_gap_cv", "q1": "p2_inter_action_gap_q1_s", "median": "p2_inter_action_gap_median_s",
+        "q3": "p2_inter_action_gap_q3_s",
+    },
+    "efficiency": {
+        "n": "p2_path_efficiency_n_hand_actions", "median": "p2_path_efficiency_median", "q1": "p2_path_efficiency_q1",
+        "q3": "p2_path_efficiency_q3",
+    },
+    "direction": {
+        "n": "p2_directional_consistency_n_actions", "mean": "p2_directional_consistency_mean", "sd": "p2_directional_consistency_sd",
+        "q1": "p2_directional_consistency_q1", "median": "p2_directional_consistency_median", "q3": "p2_directional_consistency_q3",
+        "negative": "p2_directional_consistency_negative_actions",
+    },
+    "path_difference": {
+        "mean": "p2_path_length_difference_mean_m", "median": "p2_path_length_difference_median_m",
+    },
+    "forward": {
+        "n": "p2_mean_bilateral_signed_forward_displacement_n_actions", "mean": "p2_mean_bilateral_signed_forward_displacement_mean_m",
+        "sd": "p2_mean_bilateral_signed_forward_displacement_sd_m", "cv": "p2_mean_bilateral_signed_forward_displacement_cv",
+        "q1": "p2_mean_bilateral_signed_forward_displacement_q1_m", "median": "p2_mean_bilateral_signed_forward_displacement_median_m",
+        "q3": "p2_mean_bilateral_signed_forward_displacement_q3_m",
+        "negative": "p2_mean_bilateral_signed_forward_displacement_negative_actions",
+    },
+    "lateral": {
+        "n": "p2_mean_bilateral_lateral_excursion_n_actions", "mean": "p2_mean_bilateral_lateral_excursion_mean_m",
+        "sd": "p2_mean_bilateral_lateral_excursion_sd_m", "cv": "p2_mean_bilateral_lateral_excursion_cv",
+        "q1": "p2_mean_bilateral_lateral_excursion_q1_m", "median": "p2_mean_bilateral_lateral_excursion_median_m",
+        "q3": "p2_mean_bilateral_lateral_excursion_q3_m",
+    },
+    "separation": {
+        "mean": "p2_mean_hand_separation_mean_m", "sd": "p2_mean_hand_separation_sd_m", "cv": "p2_mean_hand_separation_cv",
+    },
+    "separation_error": {
+        "mean": "p2_separation_error_mean_action_m", "median": "p2_separation_error_median_action_m",
+        "q1": "p2_separation_error_q1_action_m", "q3": "p2_separation_error_q3_action_m",
+    },
+    "adherence": {
+        "mean": "p2_bilateral_adherence_mean_action", "median": "p2_bilateral_adherence_median_action",
+        "q1": "p2_bilateral_adherence_q1_action", "q3": "p2_bilateral_adherence_q3_action",
+    },
+    "net": {
+        "sd": "p2_mean_bilateral_net_displacement_sd_m", "cv": "p2_mean_bilateral_net_displacement_cv",
+    },
+    "path": {
+        "sd": "p2_mean_bilateral_path_length_sd_m", "cv": "p2_mean_bilateral_path_length_cv",
+    },
+    "speed": {
+        "sd": "p2_mean_bilateral_speed_sd_m_s", "cv": "p2_mean_bilateral_speed_cv",
+    },
+    "speed_variability_m_s": {
+        "mean": "p2_speed_variability_m_s_mean", "median": "p2_speed_variability_m_s_median", "q1": "p2_speed_variability_m_s_q1",
+        "q3": "p2_speed_variability_m_s_q3",
+    },
+    "acceleration_rms_m_s2": {
+        "mean": "p2_acceleration_rms_m_s2_mean", "median": "p2_acceleration_rms_m_s2_median", "q1": "p2_acceleration_rms_m_s2_q1",
+        "q3": "p2_acceleration_rms_m_s2_q3",
+    },
+    "jerk_rms_m_s3": {
+        "mean": "p2_jerk_rms_m_s3_mean", "median": "p2_jerk_rms_m_s3_median", "q1": "p2_jerk_rms_m_s3_q1", "q3": "p2_jerk_rms_m_s3_q3",
+    },
+    "direction_change_rate_deg_s": {
+        "mean": "p2_direction_change_rate_deg_s_mean", "median": "p2_direction_change_rate_deg_s_median",
+        "q1": "p2_direction_change_rate_deg_s_q1", "q3": "p2_direction_change_rate_deg_s_q3",
+    },
 }
+# Metric -> column of the actions.
 _ACTION_VALUES = {
     "direction": "directional_consistency_cosine", "path_difference": "left_right_path_length_difference_m",
     "forward": "mean_bilateral_signed_forward_displacement_m", "lateral": "mean_bilateral_lateral_excursion_m",
@@ -409,7 +459,7 @@ def _wide(summaries: DataFrame) -> DataFrame:
     for metric, outputs in SUMMARY_FIELDS.items():
         for stat, name in outputs.items():
             c = F.max(F.when(F.col("metric") == metric, F.col(stat)))
-            columns.append((F.coalesce(c, F.lit(0)) if stat in ("n", "negative") else c).alias(_S + name))
+            columns.append((F.coalesce(c, F.lit(0)) if stat in ("n", "negative") else c).alias(name))
     pick = lambda m, s: F.max(F.when(F.col("metric") == m, F.col(s)))
     crosses = F.coalesce((pick("forward", "negative") > 0) & (pick("forward", "positive") > 0), F.lit(False))
     steady = lambda m: F.coalesce(pick(m, "cv").isNotNull() & (pick(m, "mean") > 0), F.lit(False))
@@ -490,7 +540,7 @@ def analyse(tables: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
     whole = who.join(identity(tables), "session").join(exits, "session").join(geo, "session")
     for part in (transfer_summary(phases, episodes), efficiency, action_counts(actions), _wide(summaries), events):
         whole = whole.join(part, "session", "left")
-    zero = [*_COUNTS, *[_S + f[s] for f in SUMMARY_FIELDS.values() for s in f if s in ("n", "negative")], "raw", "linked", "linked_bilateral"]
+    zero = [*_COUNTS, *[f[s] for f in SUMMARY_FIELDS.values() for s in f if s in ("n", "negative")], "raw", "linked", "linked_bilateral"]
     flags = ["p2_mean_bilateral_signed_forward_displacement_cv_interpretable", "p2_mean_bilateral_lateral_excursion_cv_interpretable", "signed_forward_crosses_zero"]
     whole = materialize(
         whole.fillna(0, subset=zero).fillna(False, subset=flags).fillna(True, subset=["all_samples_paired"])

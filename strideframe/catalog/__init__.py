@@ -6,7 +6,7 @@ from importlib import import_module
 
 MODULES = (
     "series_queries", "interval_queries", "session_queries", "density_queries",
-    "propulsion_queries", "stats_queries", "model_queries", "feature_queries",
+    "propulsion_queries", "stats_queries", "model_queries", "feature_queries", "outcome_queries",
 )
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..constants import SESSION_FILES, SESSION_PROFILES
 from .schemas import META_SCHEMA, PUSH_SCHEMA, TRANSFER_SCHEMA
+from .writers import write_json
 
 
 @dataclass(frozen=True)
@@ -90,3 +91,25 @@ def read_sessions(spark: SparkSession, sources: list[SessionSource]) -> Mapping[
         "p3": read(SESSION_FILES[2], TRANSFER_SCHEMA),
         "meta": read(SESSION_FILES[3], META_SCHEMA),
     }
+
+
+#: Folders of a session store, by the key that the plans use.
+_STORE = {"p1": TRANSFER_SCHEMA, "p2": PUSH_SCHEMA, "p3": TRANSFER_SCHEMA, "meta": META_SCHEMA}
+
+
+def write_session_store(tables: Mapping[str, DataFrame], folder: str) -> None:
+    """The documents of any number of sessions, one JSON line each, in one folder per kind of file."""
+    for key in _STORE:
+        write_json(tables[key], f"{folder.rstrip('/')}/{key}")
+
+
+def read_session_store(spark: SparkSession, folder: str) -> Mapping[str, DataFrame]:
+    """What ``write_session_store`` wrote, as ``read_sessions`` returns it.
+
+    The label and the profile of a session are fields of its documents, so no list of sessions passes the driver. Fields
+    without a value may be absent; malformed JSON fails the read.
+    """
+    return {
+        key: spark.read.schema(f"session STRING, profile STRING, {schema}").option("mode", "FAILFAST").json(f"{folder.rstrip('/')}/{key}")
+        for key, schema in _STORE.items()
+    }

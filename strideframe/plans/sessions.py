@@ -522,9 +522,11 @@ def analyse(tables: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
     p2 = tables["p2"]
     phases = {"p1": tables["p1"], "p3": tables["p3"]}
     geo = check_axes(geometry(p2))
-    actions = materialize(action_metrics(explode_actions(p2, geo)))
+    # Actions are written before their metrics and episodes before their quantiles: a filter or join that is pushed below
+    # the array columns would make the whole chain once more for every reference.
+    actions = materialize(action_metrics(materialize(explode_actions(p2, geo))))
     hands = hand_metrics(actions)
-    episodes = transfer_episodes(phases)
+    episodes = materialize(transfer_episodes(phases))
     summaries = metric_summaries(metric_values(actions, hands, action_gaps(actions)))
 
     efficiency = exact_quantiles(episodes, ["session", "phase"], F.col("path_efficiency"), {"q": 0.5}).groupBy("session").agg(

@@ -101,7 +101,8 @@ def session_tables(spark, sf):
 
 
 def _digits(name: str) -> int:
-    return 3 if "jerk" in name else 6
+    """Seconds are whole microseconds and halves or quarters of them, so nine digits never cut through a tie."""
+    return 9 if name.endswith("_s") else 3 if "jerk" in name else 6
 
 
 def _rounded(df: DataFrame) -> DataFrame:
@@ -197,7 +198,7 @@ _GRASPS = f""", raw AS (SELECT session, ai, 'p1' AS phase, ai AS e, pos, t, lx A
   tr AS (SELECT session, phase, (max(f) - min(s)) / 1e6 AS span, count(*) AS episodes, count(*) FILTER (opens) AS attempts, count(eff) AS eligible, avg(eff) AS mean, median(eff) AS med FROM epi GROUP BY session, phase)"""
 
 _TRANSFER = ", ".join(
-    f"round({p}.span, 6) AS {p}_recorded_activity_span_s, coalesce({p}.episodes, 0) AS {p}_recorded_grasp_episodes, coalesce({p}.attempts, 0) AS {p}_distinct_transfer_attempts, "
+    f"round({p}.span, 9) AS {p}_recorded_activity_span_s, coalesce({p}.episodes, 0) AS {p}_recorded_grasp_episodes, coalesce({p}.attempts, 0) AS {p}_distinct_transfer_attempts, "
     f"coalesce({p}.eligible, 0) AS {p}_eligible_grasp_episodes, round({p}.mean, 6) AS {p}_path_efficiency_mean" for p in ("p1", "p3"))
 _PHASES = "LEFT JOIN tr p1 ON p1.session = geo.session AND p1.phase = 'p1' LEFT JOIN tr p3 ON p3.session = geo.session AND p3.phase = 'p3'"
 
@@ -218,7 +219,7 @@ _OWN = f"""completed AS (SELECT session, entity % 4 < 2 AND entity % 3 <> 0 AS c
 _SUMMARY = f"""WITH {_BASE}{_GRASPS}, {_OWN},
   wide AS (SELECT session, {", ".join(_stat(m, s, n) for m, fields in P.SUMMARY_FIELDS.items() for s, n in fields.items())},
     {_FORWARD} AS p2_mean_bilateral_signed_forward_displacement_cv_interpretable, {_LATERAL} AS p2_mean_bilateral_lateral_excursion_cv_interpretable FROM st GROUP BY session),
-  cnt AS (SELECT session, round((max(t1) - min(t0)) / 1e6, 6) AS p2_recorded_activity_span_s, count(*) AS p2_recorded_action_count, count(*) FILTER (both_used) AS p2_bilateral_classified_count,
+  cnt AS (SELECT session, round((max(t1) - min(t0)) / 1e6, 9) AS p2_recorded_activity_span_s, count(*) AS p2_recorded_action_count, count(*) FILTER (both_used) AS p2_bilateral_classified_count,
     count(*) FILTER (NOT both_used) AS p2_single_hand_classified_count, count(*) FILTER (basic) AS p2_basic_bilateral_action_count, count(*) FILTER (able) AS p2_higher_order_action_count,
     2 * count(*) FILTER (able) AS p2_higher_order_hand_action_count, round(sum(seps) FILTER (basic) / sum(m) FILTER (basic), 6) AS p2_mean_hand_separation_pooled_m,
     round(sum(errs) FILTER (basic) / sum(m) FILTER (basic), 6) AS p2_separation_error_pooled_m, round(sum(nb) FILTER (basic) / sum(m) FILTER (basic), 6) AS p2_bilateral_adherence_pooled,
@@ -245,8 +246,8 @@ QUERIES = {
 
 ORACLES = {
     "session_summary": _SUMMARY,
-    "transfer_episodes": f"""WITH {_BASE}{_GRASPS} SELECT session, phase, episode_index, hand, n, round((f - s) / 1e6, 6) AS episode_duration_s, round(path, 6) AS path_m,
-        CASE WHEN n >= 2 THEN round(net, 6) END AS net_m, round(eff, 6) AS path_efficiency, CASE WHEN dur > 0 THEN round(path / dur, 6) END AS mean_speed_m_s FROM epi""",
+    "transfer_episodes": f"""WITH {_BASE}{_GRASPS} SELECT session, phase, episode_index, hand, n, round((f - s) / 1e6, 9) AS episode_duration_s, round(path, 6) AS path_m,
+        CASE WHEN n >= 2 THEN round(net, 6) END AS net_m, round(eff, 6) AS path_efficiency, CASE WHEN dur > 0 THEN round(path / dur, 9) END AS mean_speed_m_s FROM epi""",
     "transfer_summary": f"WITH {_BASE}{_GRASPS} SELECT geo.session, {_TRANSFER} FROM geo {_PHASES}",
     "session_geometry": f"""WITH {_BASE} SELECT session, CAST(0.028 AS DOUBLE) AS cue_width_m, CAST(0.056 AS DOUBLE) AS cue_length_m, round(sep, 6) AS cue_center_separation_m,
         CAST(0 AS DOUBLE) AS forward_axis_x, round(fy, 6) AS forward_axis_y, round(fz, 6) AS forward_axis_z, CAST(1 AS DOUBLE) AS lateral_axis_x, CAST(0 AS DOUBLE) AS lateral_axis_y,
@@ -257,6 +258,6 @@ ORACLES = {
       a AS (SELECT session, count(*) AS n, bool_and(n = np) AS paired FROM met GROUP BY session)
       SELECT geo.session, completed, is_simulated, same AS four_session_ids_consistent, a.n + CAST(entity % 13 = 0 AS BIGINT) AS p2_push_count_field, a.n AS p2_push_list_count,
         a.paired AS p2_all_samples_paired, coalesce(crosses, false) AS signed_forward_crosses_zero, coalesce(fi, false) AS signed_forward_cv_interpretable, coalesce(li, false) AS lateral_excursion_cv_interpretable,
-        round(di, 6) AS directional_consistency_iqr, round(du, 6) AS action_duration_iqr_s, CASE WHEN fi THEN round(fcv, 6) END AS forward_cv_shown, CASE WHEN li THEN round(lcv, 6) END AS lateral_cv_shown
+        round(di, 6) AS directional_consistency_iqr, round(du, 9) AS action_duration_iqr_s, CASE WHEN fi THEN round(fcv, 6) END AS forward_cv_shown, CASE WHEN li THEN round(lcv, 6) END AS lateral_cv_shown
       FROM geo JOIN completed ON completed.session = geo.session JOIN a ON a.session = geo.session LEFT JOIN f ON f.session = geo.session""",
 }

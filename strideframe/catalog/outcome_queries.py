@@ -101,8 +101,8 @@ def session_tables(spark, sf):
 
 
 def _digits(name: str) -> int:
-    """Seconds are whole microseconds and halves or quarters of them, so nine digits never cut through a tie."""
-    return 9 if name.endswith("_s") else 3 if "jerk" in name else 6
+    """Seconds and metres are decimal fractions and halves or quarters of them, so nine digits don't cut through a tie."""
+    return 9 if name.endswith(("_s", "_m")) else 3 if "jerk" in name else 6
 
 
 def _rounded(df: DataFrame) -> DataFrame:
@@ -192,7 +192,7 @@ _BASE = f"""{SERIES_SQL},
 _GRASPS = f""", raw AS (SELECT session, ai, 'p1' AS phase, ai AS e, pos, t, lx AS x, ly AS y, z FROM smp UNION ALL SELECT session, ai, 'p3', ai // 2, pos, t, rx, ry, z FROM smp WHERE ai % 2 = 0),
   rst AS (SELECT *, sqrt((x - lag(x) OVER w)**2 + (y - lag(y) OVER w)**2 + (z - lag(z) OVER w)**2) AS d FROM raw WINDOW w AS (PARTITION BY session, phase, e ORDER BY pos)),
   ep AS (SELECT session, phase, e AS episode_index, CASE phase WHEN 'p1' THEN 'Left' ELSE 'Right' END AS hand, count(*) AS n, min(t) AS s, max(t) + CASE phase WHEN 'p1' THEN {HOLD} ELSE 0 END AS f,
-      (max(t) - min(t)) / 1e6 AS dur, coalesce(sum(d), 0) AS path, sqrt((arg_max(x, pos) - arg_min(x, pos))**2 + (arg_max(y, pos) - arg_min(y, pos))**2 + (arg_max(z, pos) - arg_min(z, pos))**2) AS net
+      (max(t) - min(t)) / 1e6 AS dur, sum(d) AS path, sqrt((arg_max(x, pos) - arg_min(x, pos))**2 + (arg_max(y, pos) - arg_min(y, pos))**2 + (arg_max(z, pos) - arg_min(z, pos))**2) AS net
     FROM rst GROUP BY session, phase, e),
   epi AS (SELECT *, CASE WHEN n >= 3 AND dur > 0 AND path > 0 THEN net / path END AS eff, s > coalesce(max(f) OVER (PARTITION BY session, phase ORDER BY s, f ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), s - 1) AS opens FROM ep),
   tr AS (SELECT session, phase, (max(f) - min(s)) / 1e6 AS span, count(*) AS episodes, count(*) FILTER (opens) AS attempts, count(eff) AS eligible, avg(eff) AS mean, median(eff) AS med FROM epi GROUP BY session, phase)"""
@@ -221,8 +221,8 @@ _SUMMARY = f"""WITH {_BASE}{_GRASPS}, {_OWN},
     {_FORWARD} AS p2_mean_bilateral_signed_forward_displacement_cv_interpretable, {_LATERAL} AS p2_mean_bilateral_lateral_excursion_cv_interpretable FROM st GROUP BY session),
   cnt AS (SELECT session, round((max(t1) - min(t0)) / 1e6, 9) AS p2_recorded_activity_span_s, count(*) AS p2_recorded_action_count, count(*) FILTER (both_used) AS p2_bilateral_classified_count,
     count(*) FILTER (NOT both_used) AS p2_single_hand_classified_count, count(*) FILTER (basic) AS p2_basic_bilateral_action_count, count(*) FILTER (able) AS p2_higher_order_action_count,
-    2 * count(*) FILTER (able) AS p2_higher_order_hand_action_count, round(sum(seps) FILTER (basic) / sum(m) FILTER (basic), 6) AS p2_mean_hand_separation_pooled_m,
-    round(sum(errs) FILTER (basic) / sum(m) FILTER (basic), 6) AS p2_separation_error_pooled_m, round(sum(nb) FILTER (basic) / sum(m) FILTER (basic), 6) AS p2_bilateral_adherence_pooled,
+    2 * count(*) FILTER (able) AS p2_higher_order_hand_action_count, round(sum(seps) FILTER (basic) / sum(m) FILTER (basic), 9) AS p2_mean_hand_separation_pooled_m,
+    round(sum(errs) FILTER (basic) / sum(m) FILTER (basic), 9) AS p2_separation_error_pooled_m, round(sum(nb) FILTER (basic) / sum(m) FILTER (basic), 6) AS p2_bilateral_adherence_pooled,
     round(count(*) FILTER (both_used) / count(*), 6) AS p2_bilateral_participation_rate, round(count(*) * 60.0 / nullif((max(t1) - min(t0)) / 1e6, 0), 6) AS p2_recorded_frequency_per_min,
     round(count(*) FILTER (both_used) * 60.0 / nullif((max(t1) - min(t0)) / 1e6, 0), 6) AS p2_bilateral_frequency_per_min FROM met GROUP BY session),
   events_of AS (SELECT session, coalesce(raw, 0) AS p2_needle_events_raw, coalesce(linked, 0) AS p2_needle_events_action_linked, coalesce(raw - linked, 0) AS p2_needle_events_outside_actions,
@@ -246,8 +246,8 @@ QUERIES = {
 
 ORACLES = {
     "session_summary": _SUMMARY,
-    "transfer_episodes": f"""WITH {_BASE}{_GRASPS} SELECT session, phase, episode_index, hand, n, round((f - s) / 1e6, 9) AS episode_duration_s, round(path, 6) AS path_m,
-        CASE WHEN n >= 2 THEN round(net, 6) END AS net_m, round(eff, 6) AS path_efficiency, CASE WHEN dur > 0 THEN round(path / dur, 9) END AS mean_speed_m_s FROM epi""",
+    "transfer_episodes": f"""WITH {_BASE}{_GRASPS} SELECT session, phase, episode_index, hand, n, round((f - s) / 1e6, 9) AS episode_duration_s, round(path, 9) AS path_m,
+        CASE WHEN n >= 2 THEN round(net, 9) END AS net_m, round(eff, 6) AS path_efficiency, CASE WHEN dur > 0 THEN round(path / dur, 9) END AS mean_speed_m_s FROM epi""",
     "transfer_summary": f"WITH {_BASE}{_GRASPS} SELECT geo.session, {_TRANSFER} FROM geo {_PHASES}",
     "session_geometry": f"""WITH {_BASE} SELECT session, CAST(0.028 AS DOUBLE) AS cue_width_m, CAST(0.056 AS DOUBLE) AS cue_length_m, round(sep, 6) AS cue_center_separation_m,
         CAST(0 AS DOUBLE) AS forward_axis_x, round(fy, 6) AS forward_axis_y, round(fz, 6) AS forward_axis_z, CAST(1 AS DOUBLE) AS lateral_axis_x, CAST(0 AS DOUBLE) AS lateral_axis_y,

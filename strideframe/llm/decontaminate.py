@@ -1,16 +1,18 @@
 """Benchmark decontamination: a broadcast hash set of test n-grams, probed by every training token window.
 
 Benchmark windows (13 words; an item with fewer words is one window) are kept as distinct n-grams with the items they
-occur in. The set is keyed by each n-gram's longest word: a document token probes the hash set by its word, and the
-window around it is then compared in full, so hits are verified, never guessed. Generation, probe and comparison run in
-one code-generated stage without a shuffle; only hits leave it.
+occur in. The set is keyed by the hash of the n-gram. A token proposes windows only where its word is the longest of some
+n-gram: a small table holds, per such word, its distinct places and window sizes (at most 91, however many n-grams share the
+word). The proposed window is hashed, probes the set, and is compared in full, so hits are verified, never guessed.
+Generation, probes and comparison run in one stage without a shuffle; only hits leave it.
 
 The set is broadcast in slices whose bytes are counted first, so a benchmark of any size is handled: more slices, more
 passes, the same rows.
 
 Edge cases: null, empty and wordless texts have no words and are never contaminated; items without words have no
 window; null item ids count as the empty id; rows are told apart by (doc_id, hash of the text), so repeated rows get
-equal results; an empty benchmark hits nothing; further columns are carried along untouched.
+equal results; an empty benchmark hits nothing; very long texts are read whole; of several longest words in an n-gram the
+greatest one, at its last place, proposes it; further columns are carried along untouched.
 """
 
 from __future__ import annotations
@@ -37,14 +39,14 @@ def words(text: Column) -> Column:
 
 
 def ngram_set(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(anchor, at, ngram, items): distinct windows, their longest word and its place, and the ids they occur in."""
+    """(anchor, at, key, ngram, items): distinct windows, their longest word and its place, their hash, and the ids they occur in."""
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), words(F.col("text")).alias("w")).where("size(w) > 0")
     grams = items.select("item", F.explode(F.expr(f"transform(sequence(1, greatest(1, size(w) - {window - 1})), i -> slice(w, i, {window}))")).alias("ngram"))
     longest = F.array_max(F.transform("ngram", lambda x, i: F.struct(F.length(x).alias("n"), x.alias("word"), i.alias("at"))))
     return (
         grams.groupBy("ngram").agg(F.array_sort(F.collect_set("item")).alias("items"))
         .withColumn("longest", longest)
-        .select(F.col("longest.word").alias("anchor"), F.col("longest.at").alias("at"), "ngram", "items")
+        .select(F.col("longest.word").alias("anchor"), F.col("longest.at").alias("at"), F.xxhash64("ngram").alias("key"), "ngram", "items")
     )
 
 
@@ -57,14 +59,19 @@ def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFra
     tokens = docs.select("doc_id", F.xxhash64("text").alias("mark"), words(F.col("text")).alias("w")).select("doc_id", "mark", "w", F.posexplode("w").alias("pos", "word"))
     found = []
     for i in range(slices):
-        part = grams.where(F.pmod(F.xxhash64("ngram"), F.lit(slices)) == i) if slices > 1 else grams
-        start = F.col("pos") - F.col("at")
-        around = F.slice("w", F.greatest(start + 1, F.lit(1)), F.size("ngram"))
-        found.append(
-            tokens.join(F.broadcast(part), F.col("word") == F.col("anchor"))
-            .where((start >= 0) & (around == F.col("ngram")))
-            .select("doc_id", "mark", start.alias("start"), F.size("ngram").alias("n"), "items")
+        part = grams.where(F.pmod("key", F.lit(slices)) == i) if slices > 1 else grams
+        anchors = part.groupBy("anchor").agg(F.collect_set(F.struct("at", F.size("ngram").alias("n"))).alias("proposals"))
+        start = F.col("pos") - F.col("p.at")
+        proposed = (
+            tokens.join(F.broadcast(anchors), F.col("word") == F.col("anchor"))
+            .select("doc_id", "mark", "w", "pos", F.explode("proposals").alias("p"))
+            .where((start >= 0) & (start + F.col("p.n") <= F.size("w")))
+            .select("doc_id", "mark", start.alias("start"), F.slice("w", start + 1, F.col("p.n")).alias("around"))
         )
+        found.append(
+            proposed.join(F.broadcast(part), (F.xxhash64("around") == F.col("key")) & (F.col("around") == F.col("ngram")))
+            .select("doc_id", "mark", "start", F.size("ngram").alias("n"), "items")
+        )
     return reduce(DataFrame.unionByName, found)
 
 

@@ -8,11 +8,13 @@ State of a corpus (``LineIndex``):
   or deleting documents changes the counts first; keys that cross the threshold are then added to or taken out of the
   filter of their shard, so a deletion leaves the state it would have had without the document.
 
-Probing costs two bucket reads and never misses a key; the few false positives end at the exact table.
+Probing costs two bucket reads and never misses a key; the few false positives end at the exact table. Small filters are
+broadcast; larger ones stay where they are, and postings go to the filter of their shard in groups of a counted size.
 
 Line keys are 128 bits (two 64-bit hashes in a chain). Edge cases: a null or empty text is one empty line; rows that
 repeat a ``doc_id`` are one document for counting, each row loses its own lines; a null ``doc_id`` is one document and
-smaller than any other; an empty table gives no rows; further columns are carried along untouched.
+smaller than any other; very long texts are split whole, and a line looks its key up by bisection; ties can't arise, as the
+holder is the largest id; an empty table gives no rows; further columns are carried along untouched.
 """
 
 from __future__ import annotations
@@ -28,8 +30,8 @@ from pyspark.sql import functions as F
 from strideframe.llm.store import ascii_lower, free_name, keep, with_text
 
 MIN_CHARS, MIN_DOCS = 40, 5
-#: Keys a shard holds on average, and the bytes of filters that may be broadcast; beyond them only the exact table decides.
-SHARD_KEYS, FILTER_BYTES = 1 << 16, 64 << 20
+#: Keys a shard holds on average, the bytes of filters that may be broadcast, and the postings that meet a filter in one task beyond.
+SHARD_KEYS, FILTER_BYTES, GROUP_ROWS = 1 << 16, 64 << 20, 1 << 20
 SLOTS, MAX_KICKS = 4, 500
 BLANKS = " \t\n\x0b\x0c\r"
 
@@ -196,7 +198,7 @@ def _probe(index: LineIndex) -> DataFrame:
     rows = index.postings.select("h1", "h2", "doc_id")
     size = index.filters.agg(F.coalesce(F.sum(F.octet_length("data")), F.lit(0))).first()[0]
     if size > FILTER_BYTES:
-        return rows
+        return _probe_shards(index, rows)
     spark = rows.sparkSession
     data = spark.sparkContext.broadcast({r["shard"]: r["data"] for r in index.filters.collect()})
     shards = index.shards
@@ -215,11 +217,43 @@ def _probe(index: LineIndex) -> DataFrame:
     return rows.mapInPandas(passing, rows.schema)
 
 
+def _probe_shards(index: LineIndex, rows: DataFrame) -> DataFrame:
+    """The same without a broadcast: a crowded shard is split by document hash, and each part gets a copy of its filter."""
+    sharded = rows.withColumn("shard", _shard(index.shards))
+    parts = sharded.groupBy("shard").count().select("shard", F.ceil(F.col("count") / GROUP_ROWS).cast("int").alias("parts"))
+    parts = keep(parts, "shard-parts")
+    split = sharded.join(parts, "shard").withColumn("part", F.pmod(F.xxhash64("doc_id", "h2"), F.col("parts")).cast("int"))
+    copies = index.filters.join(parts, "shard").select("shard", "data", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+
+    def passing(held: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        if not len(held):
+            return asked[["h1", "h2", "doc_id"]].iloc[:0]
+        found = CuckooFilter.load(held["data"].iloc[0]).contains(asked["h1"].to_numpy(), asked["h2"].to_numpy())
+        return asked.loc[found, ["h1", "h2", "doc_id"]]
+
+    asked = split.select("h1", "h2", "doc_id", "shard", "part")
+    return copies.groupBy("shard", "part").cogroup(asked.groupBy("shard", "part")).applyInPandas(passing, rows.schema)
+
+
+def _held(keys: str, key: Column) -> Column:
+    """Whether a sorted array has the key, by bisection in steps of falling powers of two."""
+    steps = F.expr(f"transform(sequence(length(bin(size({keys}))) - 1, 0), b -> shiftleft(1, b))")
+
+    def search(wanted: Column) -> Column:
+        def step(at: Column, by: Column) -> Column:
+            return F.when((at + by <= F.size(keys)) & (F.get(keys, at + by - 1) <= wanted), at + by).otherwise(at)
+
+        return F.coalesce(F.get(keys, F.aggregate(steps, F.lit(0), step) - 1) == wanted, F.lit(False))
+
+    # In an array of one, so that the key is hashed once.
+    return F.get(F.transform(F.array(key), search), F.lit(0))
+
+
 def dropped_keys(index: LineIndex) -> DataFrame:
-    """(drop_id, keys): the line keys that a document loses. A document's own keys are gathered, no more."""
+    """(drop_id, keys): the line keys that a document loses, sorted. A document's own keys are gathered, no more."""
     exact = index.counts.where(F.col("docs") >= index.min_docs).select("h1", "h2", "holder")
     losing = _probe(index).join(exact, ["h1", "h2"]).where(~F.col("doc_id").eqNullSafe(F.col("holder")))
-    return losing.groupBy(F.col("doc_id").alias("drop_id")).agg(F.collect_list(F.struct("h1", "h2")).alias("keys"))
+    return losing.groupBy(F.col("doc_id").alias("drop_id")).agg(F.sort_array(F.collect_list(F.struct("h1", "h2"))).alias("keys"))
 
 
 def dedup(docs: DataFrame, index: LineIndex) -> DataFrame:
@@ -230,7 +264,7 @@ def dedup(docs: DataFrame, index: LineIndex) -> DataFrame:
     def stays(line: Column) -> Column:
         key = _key(line)
         h1, h2 = _hashes(key)
-        return (F.char_length(key) < index.min_chars) | ~F.array_contains("keys", F.struct(h1.alias("h1"), h2.alias("h2")))
+        return (F.char_length(key) < index.min_chars) | ~_held("keys", F.struct(h1.alias("h1"), h2.alias("h2")))
 
     lines = joined.withColumn("_lines", _lines(F.col("_text")))
     kept = lines.withColumn("_kept", F.when(F.col("keys").isNull(), F.col("_lines")).otherwise(F.filter("_lines", stays)))

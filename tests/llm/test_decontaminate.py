@@ -89,3 +89,12 @@ def test_cutting_keeps_a_column_with_its_inner_name(spark):
     bench = spark.createDataFrame([(1, words)], "item_id long, text string")
     rows = decontaminate.decontaminate(docs, bench, "spans").collect()
     assert [(r.doc_id, r._cut) for r in rows] == [(1, 7)] and "w5" not in rows[0].text and rows[0].text.startswith("before")
+
+
+def test_a_word_that_all_items_share(spark):
+    """Items that share their longest word propose at most a window per place; the rows are those of brute force."""
+    items = [(i, " ".join(["extraordinarilylong" if k == i % 13 else f"i{i}k{k}" for k in range(13)])) for i in range(60)]
+    docs = [(d, " ".join([items[d][1], "extraordinarilylong"] * 3)) for d in range(20)] + [(99, "extraordinarilylong " * 200)]
+    found = decontaminate.contamination(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    got = {r.doc_id: (r.n_words, r.n_hit, len(r["items"] or []), r.contaminated) for r in found.collect()}
+    assert got == {d: (x[0], x[1], x[2], x[4]) for d, x in brute(docs, items).items()}

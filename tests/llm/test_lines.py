@@ -113,3 +113,25 @@ def test_stage_keeps_a_column_with_its_inner_name(spark):
     out = lines.line_stage(spark, docs, "").collect()
     assert all(r._line_stage == r.doc_id + 1 and r.kept == "x" for r in out)
     assert {r.doc_id: r.text or "" for r in out} == {d: kept for d, (_, _, kept) in brute(sample_rows()).items()}
+
+
+def test_filters_too_large_for_a_broadcast_stay_with_their_shards(spark, rows, monkeypatch):
+    docs = spark.createDataFrame([(d, r[0]) for d, r in rows.items()], "doc_id long, text string")
+    index = lines.build(docs)
+
+    def kept():
+        return sorted(tuple(r) for r in lines.dedup(docs, index).select("doc.doc_id", "n_lines", "n_dropped", "kept").collect())
+
+    want, probed = kept(), lines._probe(index).count()
+    monkeypatch.setattr(lines, "FILTER_BYTES", 0)
+    monkeypatch.setattr(lines, "GROUP_ROWS", 64)
+    assert kept() == want and lines._probe(index).count() == probed
+
+
+def test_keys_are_found_by_bisection(spark):
+    """Every size of the list of lost keys: each of them goes, each other line stays."""
+    line = "line number {} of the list, which is long enough to count".format
+    copies = [(d, "\n".join(line(i) for i in range(d))) for d in range(1, 41)]
+    docs = spark.createDataFrame([*copies, (100, "\n".join(f"own {line(i)}" for i in range(30)))], "doc_id long, text string")
+    got = {r.doc_id: (r.n_lines, r.n_dropped) for r in lines.dedup(docs, lines.build(docs)).select("doc.doc_id", "n_lines", "n_dropped").collect()}
+    assert got == {d: (d, 0 if d == 40 else min(d, 36)) for d in range(1, 41)} | {100: (30, 0)}

@@ -5,11 +5,13 @@ that were not seen either are cut into shorter ones, down to single characters,
 longest pieces that are known.
 
 Counting runs on Spark over all training rows up to a documented bound per language (``train_rows``, chosen by a hash
-of the id); the model keeps the ``max_words`` and ``max_grams`` commonest entries, so what is broadcast is bounded.
+of the id). The model has the ``max_words`` commonest words and ``max_grams`` commonest n-grams of every language by itself,
+each with its counts in all languages, so a further language takes nothing from the others. Its size is counted before
+it is gathered: one of over ``MODEL_BYTES`` is an error that names the bounds to lower.
 
 Edge cases: null, empty and letterless texts are ``und`` with score 0; so is everything when nothing was learned.
 Rows with a null language are never learned from but are predicted. Repeated rows get equal predictions. An empty
-table gives no rows. Extra columns are ignored. Ties go to the language that sorts first.
+table gives no rows. Very long texts are scored whole. Extra columns are ignored. Ties go to the language that sorts first.
 """
 
 from __future__ import annotations
@@ -20,12 +22,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from strideframe.llm.store import keep
+
 UNKNOWN = "und"
-#: Bounds of the fitted model: training rows and entries.
-TRAIN_ROWS, MAX_WORDS, MAX_GRAMS, MAX_N = 5_000, 60_000, 60_000, 4
+#: Bounds of the fitted model: training rows and entries of each language, and the bytes of the whole.
+TRAIN_ROWS, MAX_WORDS, MAX_GRAMS, MAX_N = 5_000, 30_000, 30_000, 4
+MODEL_BYTES = 256 << 20
 #: Scored words that a task remembers, and tokens that are scored at a time.
 MEMO, TOKENS = 200_000, 300_000
 #: Runs of letters; a few numeric signs (like ²) count in them, and a text of those alone is still without a language.
@@ -148,6 +153,22 @@ def _table(rows: list, languages: tuple[str, ...]) -> tuple[dict[str, int], np.n
     return number, np.log(counts / counts.sum(0))
 
 
+def _commonest(counts: DataFrame, most: int) -> DataFrame:
+    """The (lang, piece, n) of all pieces that are among the ``most`` commonest of some language."""
+    order = Window.partitionBy("lang").orderBy(F.desc("n"), "piece")
+    top = counts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most).select("piece").distinct()
+    return counts.join(top, "piece").select("lang", "piece", "n")
+
+
+def _gather(counts: DataFrame, languages: tuple[str, ...]) -> list:
+    """The rows, if the table that they make is of a size for driver and tasks."""
+    counts = keep(counts, "language-pieces")
+    size = counts.agg(F.countDistinct("piece").alias("pieces"), F.coalesce(F.sum(F.octet_length("piece")), F.lit(0)).alias("bytes")).first()
+    if size["pieces"] * (8 * len(languages) + 100) + size["bytes"] > MODEL_BYTES:
+        raise ValueError(f"{size['pieces']} pieces of {len(languages)} languages exceed MODEL_BYTES; lower max_words, max_grams")
+    return counts.collect()
+
+
 def fit(
     docs: DataFrame, *, train_rows: int = TRAIN_ROWS, max_words: int = MAX_WORDS, max_grams: int = MAX_GRAMS, max_n: int = MAX_N
 ) -> LanguageModel:
@@ -170,8 +191,7 @@ def fit(
     )
     try:
         languages = tuple(sorted(r["lang"] for r in words.select("lang").distinct().collect()))
-        common = words.groupBy("piece").agg(F.sum("n").alias("all")).orderBy(F.desc("all"), "piece").limit(max_words)
-        top_words = words.join(common, "piece").select("lang", "piece", "n").collect()
+        top_words = _gather(_commonest(words, max_words), languages)
         padded = F.concat(F.lit(" "), "piece", F.lit(" "))
         grams = None
         for n in range(1, max_n + 1):
@@ -180,8 +200,7 @@ def fit(
             )
             grams = part if grams is None else grams.unionByName(part)
         grams = grams.groupBy("lang", "piece").agg(F.sum("n").alias("n"))
-        common = grams.groupBy("piece").agg(F.sum("n").alias("all")).orderBy(F.desc("all"), "piece").limit(max_grams)
-        top_grams = grams.join(common, "piece").select("lang", "piece", "n").collect()
+        top_grams = _gather(_commonest(keep(grams, "language-grams"), max_grams), languages)
     finally:
         words.unpersist()
     if not languages:

@@ -1,17 +1,21 @@
 """Personal data: base patterns, and identifiers that only their contexts give away, in DataFrame expressions only.
 
 Base spans are the leftmost non-overlapping matches of four patterns (email, ip, card, phone) that pass a check. They
-are the seeds of a bootstrap. Candidates are all tokens with a digit or an @ (groups of digits run on); each is met in
-lexical patterns: its two left words, and its left and right word. Spark scores the bipartite graph of patterns and
-instances in rounds: a pattern is worth the share of its distinct instances that are known to be of a kind, an instance
-the noisy-or of its patterns. Patterns with enough known instances and worth discover unseen candidates, if these have the
-rough shape of the kind. Base spans always stay; a candidate that overlaps one is a seed, never an addition.
+are the seeds of a bootstrap. Candidates are all tokens with a digit or an @ (groups of digits run on) and addresses spelled
+out ("name at host dot com", "name [at] host [dot] com"). Each is met in lexical patterns: its two left words, its left word
+without punctuation, its left and right word, a label glued to it ("tel:"), and the start of a line with the word that
+follows. Spark scores the bipartite graph of patterns and instances in rounds: a pattern is worth the share of its distinct
+instances that are known to be of a kind, smoothed by one unknown instance; an instance the noisy-or of its patterns.
+Patterns with enough known instances and worth discover unseen candidates, if these have the rough shape of the kind; these
+count as known in the next round, until a round changes nothing. Base spans always stay; a candidate that overlaps one is a
+seed, never an addition.
 
 Where a text can't contain a kind (no @, no +, ...) its pattern isn't run. Quantifiers are possessive and matches start
 at the start of a run, so matching is linear in the text and needs no deep stack. Offsets are code points.
 
 Edge cases: null and empty texts have no spans; long texts are read whole; rows are told apart by (doc_id, hash of the
-text), so repeated rows get equal spans; an empty table gives no rows; further columns are ignored.
+text), so repeated rows get equal spans; an instance that several kinds claim alike takes the first kind as listed; an
+empty table gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,14 +35,23 @@ PATTERNS = {
 #: A text that doesn't match has no span of the kind.
 GUARDS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){12}", "phone": r"\+[0-9]"}
 CANDIDATE = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+(?: \(?[0-9]\S*+)*+"
+#: An address spelled out, and what a text with one holds.
+SPELLED = (
+    r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++(?: at | ?[(\[]at[)\]] ?)[A-Za-z0-9-]++"
+    r"(?:(?: dot | ?[(\[]dot[)\]] ?|\.)[A-Za-z0-9-]++)++"
+)
+SPELLED_GUARD = r" at |[(\[]at[)\]]"
+#: Brackets, quotes and a label before the instance in its token.
+OPENING = r"^[(\"'\[{<]*(?:[A-Za-z_]++[:=#])?[(\"'\[{<]*"
 #: What an unseen instance of a kind must look like.
 SHAPES = {
-    "email": r"^\S+@\S+$",
+    "email": r"^(?:\S+@\S+|[A-Za-z0-9._%+-]+(?: at | ?[(\[]at[)\]] ?)\S.*)$",
     "ip": r"^[0-9A-Fa-f]*(?:[.:][0-9A-Fa-f]+){3,}$",
     "card": r"^(?:[0-9][ -]?){12,19}$",
     "phone": r"^\+?(?:[0-9][ ().-]{0,2}){7,15}$",
 }
-ROUNDS, MIN_SEEDS, MIN_WORTH, MIN_SCORE = 3, 3, 0.6, 0.8
+#: Most rounds, known instances and worth of a pattern, the unknown instances it is charged with, and the score of a discovery.
+ROUNDS, MIN_SEEDS, MIN_WORTH, SMOOTHING, MIN_SCORE = 20, 3, 0.5, 1, 0.7
 CHUNK, AROUND = 128, 120
 
 
@@ -107,7 +120,7 @@ def base_spans(docs: DataFrame) -> DataFrame:
     rows = docs.select("doc_id", F.xxhash64("text").alias("mark"), F.coalesce("text", F.lit("")).alias("text"))
     for k, kind in enumerate(KINDS):
         rows = rows.withColumn(f"_m{k}", matches("text", PATTERNS[kind], GUARDS[kind]))
-    rows = rows.withColumn("_c", matches("text", CANDIDATE, "[0-9@]"))
+    rows = rows.withColumn("_c", F.concat(matches("text", CANDIDATE, "[0-9@]"), matches("text", SPELLED, SPELLED_GUARD)))
 
     def spans(k: int) -> Column:
         good = F.filter(f"_m{k}", lambda m: _valid(KINDS[k], m["word"]))
@@ -124,14 +137,16 @@ def _plain(words: Column) -> Column:
 
 def _candidate(c: Column) -> Column:
     """Trimmed instance and its span; the left words come from the gap before it, the right word from the word itself."""
-    word = F.regexp_replace(c["word"], r"^[(\"'\[{<]+|[^0-9A-Za-z]+$", "")
-    lead = F.length(F.regexp_extract(c["word"], r"^([(\"'\[{<]*)", 1))
-    start = c["start"] + lead
+    opening = F.regexp_extract(c["word"], OPENING, 0)
+    word = F.regexp_replace(F.substring(c["word"], F.length(opening) + 1, F.length(c["word"])), "[^0-9A-Za-z]+$", "")
+    start = c["start"] + F.length(opening)
     return F.struct(
         start.alias("start"), (start + F.char_length(word)).alias("end"), word.alias("word"),
         _plain(F.regexp_extract(c["gap"], r"(\S+\s+\S+)\s+$", 1)).alias("left2"),
         _plain(F.regexp_extract(c["gap"], r"(\S+)\s+$", 1)).alias("left1"),
         _plain(F.regexp_extract(c["after"], r"^\s+(\S+)", 1)).alias("right1"),
+        F.lower(F.regexp_extract(opening, r"([A-Za-z_]+[:=#])", 1)).alias("label"),
+        c["gap"].rlike(r"\n[ \t]*$").alias("at_line"),
     )
 
 
@@ -154,7 +169,11 @@ def _shaped(kind: Column, word: Column) -> Column:
 def mentions(scanned: DataFrame) -> DataFrame:
     """One row per candidate: its place, instance, kind if its own text shows one, and its patterns."""
     rows = scanned.select("doc_id", "mark", F.explode("candidates").alias("c")).select("doc_id", "mark", "c.*").where("word <> ''")
+    bare = F.regexp_replace("left1", r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")
     patterns = F.array_compact(F.array(
+        F.when(F.col("label") != "", F.concat(F.lit("label: "), "label")),
+        F.when(bare != "", F.concat(F.lit("left: "), bare)),
+        F.when(F.col("at_line") & (F.col("right1") != ""), F.concat(F.lit("line: _ "), "right1")),
         F.when(F.col("left2") != "", F.concat(F.lit("two left: "), "left2")),
         F.when((F.col("left1") != "") & (F.col("right1") != ""), F.concat(F.lit("around: "), "left1", F.lit(" _ "), "right1")),
     ))
@@ -162,27 +181,27 @@ def mentions(scanned: DataFrame) -> DataFrame:
 
 
 def discover(found: DataFrame, *, rounds: int = ROUNDS, seeds: int = MIN_SEEDS, worth: float = MIN_WORTH, score: float = MIN_SCORE) -> DataFrame:
-    """(inst, kind): unseen instances that high-confidence patterns vouch for, after ``rounds`` rounds of scoring."""
+    """(inst, kind): unseen instances that high-confidence patterns vouch for, when scoring has settled (after ``rounds`` at most)."""
     edges = keep(found.select(F.explode("patterns").alias("pattern"), "inst", "kind").distinct(), "pattern-graph")
     sizes = edges.groupBy("pattern").agg(F.count("*").alias("instances"))
     known = edges.where("kind IS NOT NULL").select("inst", "kind").distinct().withColumn("score", F.lit(1.0))
-    scores, unseen, before = known, None, -1
+    scores, unseen, before = known, None, None
     for _ in range(rounds):
         good = (
             edges.select("pattern", "inst").join(scores, "inst").groupBy("pattern", F.col("kind").alias("of"))
             .agg(F.sum("score").alias("mass"), F.count_if(F.col("score") >= 0.5).alias("seeds"))
             .where(F.col("seeds") >= seeds).join(sizes, "pattern")
-            .withColumn("worth", F.col("mass") / F.col("instances")).where(F.col("worth") >= worth)
+            .withColumn("worth", F.col("mass") / (F.col("instances") + SMOOTHING)).where(F.col("worth") >= worth)
         )
         doubt = F.sum(F.log1p(-F.least("worth", F.lit(0.99))))
         unseen = keep(
             edges.where("kind IS NULL").join(good, "pattern").where(_shaped(F.col("of"), F.col("inst")))
             .groupBy("inst", F.col("of").alias("kind")).agg((1 - F.exp(doubt)).alias("score")), "instances"
         )
-        count = unseen.count()
-        if count == 0 or count == before:
+        now = unseen.agg(F.count("*"), F.round(F.coalesce(F.sum("score"), F.lit(0.0)), 6)).first()
+        if now[0] == 0 or now == before:
             break
-        scores, before = known.unionByName(unseen), count
+        scores, before = known.unionByName(unseen), now
     sure = unseen.where(F.col("score") >= score)
     return sure.groupBy("inst").agg(F.max_by("kind", F.struct("score", -F.col("kind"))).alias("kind"))
 

@@ -3,24 +3,29 @@
 A page is read into a stream of block tags and text blocks. Streams of one host are folded (a unit that follows itself
 becomes a repeated group) and aligned one after the other: what both have stays, what only one has becomes optional,
 units met once and repeated elsewhere become the repeated group, and texts become slots. The result is a regular
-expression without unions: tags, slots, optional and repeated groups. A slot of pages without a marked article whose text
-is the same on every such page of the host is part of the template; all pages are compared, not the sampled ones. Slots are
-content when most of the text they held lies in the article or, on pages that mark none, in headings, paragraphs, list
+expression without unions: tags, slots, optional and repeated groups. A slot or group whose text recurs there on pages without
+a marked article is template: menus, adverts and footers in bare divs. A text recurs if at least ``CONSTANT_PAGES`` different
+pages of the host, and one in ``RECURRING_SHARE``, have it at this place, or, in a paragraph or the like, if all have; all
+pages are counted, not the sampled ones. Slots are content when most of the text they held lies in the article or, on pages that mark none, in headings, paragraphs, list
 items, cells, repeated groups and long blocks.
 
 Each page is then matched to its host's wrapper and read in page order, always without its menus, headers, footers,
 sidebars, notices, adverts, forms and comments. A page that marks its article gives the article's blocks, whatever other
-pages of its host do. Any other page gives its content blocks (by their own kind, or by the slot) and every block between
-the first and the last of them; a page without content blocks gives all it has. So slots only add to what a page's own
-marks say, and no page is lost. Wrappers are fitted on about ``SAMPLE`` pages a host, chosen by a hash; pages are all
+pages of its host do. Any other page loses its recurring texts, but for a heading before a block that stays, and gives its
+content blocks (by their own kind, or by the slot) and every block between the first and the last of them; a page without
+content blocks gives all it has. A page that would lose half of its text keeps it: an article with many copies recurs,
+too. Class and id tell only as whole names ("comment-list", not "share-price"); ids of headings and paragraphs and classes of
+headings in an article tell nothing. A reader comment in bare divs beside the article's is like a paragraph to all this, and stays. Wrappers are fitted on about ``SAMPLE`` pages a host, chosen by a hash; pages are all
 extracted. Wrappers are broadcast when their counted bytes are below a bound, otherwise joined to the pages by host.
 
 Edge cases: null or empty html gives the empty text; a null url is its own host; unclosed tags, comments and scripts end
-with the page; repeated rows are extracted alike; an empty table gives no rows; further columns are ignored.
+with the page; very long pages are read whole; repeated rows are extracted alike and count once; of equally good alignments
+the first is taken; an empty table gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html as html_lib
 import json
 import re
@@ -37,6 +42,8 @@ from strideframe.llm.store import keep
 SAMPLE, WRAPPER_BYTES = 16, 32 << 20
 #: Longest unit of a repeated group, in tokens, and the pages a constant text must be met on.
 MAX_UNIT, CONSTANT_PAGES = 12, 4
+#: A text outside paragraphs is template if one in so many different pages of a host has it at its place.
+RECURRING_SHARE = 10
 LONG_SLOT = 80
 MARKUP = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|"
@@ -61,6 +68,11 @@ BOILER_WORDS = {
     "overlay", "search", "widget", "pagination", "pager", "copyright", "toolbar", "skip", "complementary", "contentinfo", "form", "paywall",
 }
 CONTENT_WORDS = {"article", "content", "post", "entry", "story", "main", "maincontent", "articlebody", "body"}
+#: Parts of compound names that say nothing by themselves.
+NEUTRAL_WORDS = {
+    "site", "page", "top", "bottom", "left", "right", "box", "bar", "list", "item", "items", "area", "section", "block", "container",
+    "wrapper", "wrap", "inner", "outer", "global", "primary", "secondary", "row", "col", "unit", "slot", "links", "text",
+}
 #: Tags that end an open paragraph or list item of the same kind.
 SIBLINGS = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 
@@ -88,15 +100,25 @@ class Page:
         return tuple(text for text, content, boiler, _ in self.texts.values() if not boiler and (content or not marked))
 
 
-def _names(rest: str) -> tuple[set[str], str]:
-    words: set[str] = set()
+def _names(rest: str) -> tuple[dict[str, set[str]], str]:
+    """The names in class, id and role, and the label of the symbol."""
+    names: dict[str, set[str]] = {"class": set(), "id": set(), "role": set()}
     label = ""
     for kind, a, b, c in CLASS.findall(rest):
-        value = (a or b or c).lower()
-        words.update(w for w in re.split(r"[^a-z0-9]+", value) if w)
-        if kind.lower() == "class" and value.split():
-            label = "." + value.split()[0]
-    return words, label
+        values = (a or b or c).lower().split()
+        names[kind.lower()].update(values)
+        if kind.lower() == "class" and values:
+            label = "." + values[0]
+    return names, label
+
+
+def _tells(names: set[str], words: set[str], others: set[str]) -> bool:
+    """Whether a whole name is one of ``words``, or is made of one of them and of parts without another meaning."""
+    for name in names:
+        parts = {x for x in re.split(r"[^a-z0-9]+", name) if x and not x.isdigit()}
+        if parts & words and parts <= words | others | NEUTRAL_WORDS:
+            return True
+    return False
 
 
 def read_page(source: str | None) -> Page:
@@ -153,11 +175,17 @@ def read_page(source: str | None) -> Page:
         ends = SIBLINGS.get(name, {"p"} if name not in ("html", "body") else set())
         if stack and stack[-1][0] in ends:
             close(1)
-        words, label = _names(tag["rest"]) if "=" in tag["rest"] else (set(), "")
+        names, label = _names(tag["rest"]) if "=" in tag["rest"] else ({}, "")
         if name in VOID:
             continue
-        content = name in CONTENT_TAGS or bool(words & CONTENT_WORDS and name != "body")
-        boiler = name in BOILER_TAGS or bool(words & BOILER_WORDS and name not in ("html", "body", "article", "main"))
+        content, boiler = name in CONTENT_TAGS, name in BOILER_TAGS
+        if names and name not in ("html", "body"):
+            every = names["class"] | names["id"] | names["role"]
+            content = content or _tells(every, CONTENT_WORDS, set())
+            if name in PROSE:
+                # An id names the place of a paragraph or heading, and so does a heading's class in an article.
+                every = names["role"] | (set() if name[0] == "h" and any(s[2] for s in stack) else names["class"])
+            boiler = boiler or (name not in CONTENT_TAGS and _tells(every, BOILER_WORDS, CONTENT_WORDS))
         stack.append((name, name + label, content, boiler))
         page.symbols.append(name + label)
     if not skip:
@@ -266,6 +294,10 @@ def infer(pages: list[Page], inside: bool = True) -> dict:
     }
 
 
+def _mark(text: str) -> str:
+    return hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).hexdigest()
+
+
 class Extractor:
     """Matches pages to one wrapper; equal streams are aligned once."""
 
@@ -277,6 +309,7 @@ class Extractor:
         self.content = set(wrapper["content"])
         self.constant = {int(k): v for k, v in wrapper["constant"].items()}
         self.inside = wrapper["inside"]
+        self.recurring = {(int(k), mark) for k, marks in wrapper.get("recurring", {}).items() for mark in marks}
         self.memo: dict[tuple[str, ...], list[int]] = {}
 
     def match(self, page: Page) -> tuple[list[int], list[Node]]:
@@ -290,21 +323,21 @@ class Extractor:
                 self.memo[shape] = found
         return found, nodes
 
-    def absent(self, source: str | None) -> set[int]:
-        """Places whose constant text the page, if it has texts and marks no article, doesn't hold."""
+    def slots(self, source: str | None) -> tuple[str, set[tuple[int, str, bool]]]:
+        """A digest of the page's texts and, if it has texts and marks no article, (place, digest, in prose) of each."""
         page = read_page(source)
         if page.marked or not page.body:
-            return set()
+            return "", set()
         found, nodes = self.match(page)
-        held = {k for k, (symbol, a, _) in zip(found, nodes, strict=True) if symbol == "#" and k in self.constant and page.texts[a][0] == self.constant[k]}
-        return self.constant.keys() - held
+        held = {(k, i) for k, (_, a, b) in zip(found, nodes, strict=True) if k >= 0 for i in range(a, b) if i in page.texts}
+        return _mark("\n".join(page.body)), {(k, _mark(page.texts[i][0]), page.texts[i][3]) for k, i in held if not page.texts[i][2]}
 
     def text(self, source: str | None) -> str:
         page = read_page(source)
         found, nodes = self.match(page)
         marked = page.marked
-        # (text, place, content) of what is not boilerplate.
-        blocks = []
+        # (text, place, content) of what is not boilerplate; headings by their number.
+        blocks, headings = [], set()
         for place, (symbol, a, b) in zip(found, nodes, strict=True):
             for i in range(a, b):
                 if i not in page.texts:
@@ -312,7 +345,11 @@ class Extractor:
                 text, content, boiler, prose = page.texts[i]
                 if not boiler:
                     good = content if marked else prose or len(text) >= LONG_SLOT or symbol != "#" or place in self.content
+                    if re.match("h[1-6]", page.symbols[i - 1]):
+                        headings.add(len(blocks))
                     blocks.append((text, place, good))
+        if not marked and self.recurring:
+            blocks = self._own(blocks, headings)
         if not marked:
             good = [k for k, block in enumerate(blocks) if block[2]]
             blocks = blocks[good[0] : good[-1] + 1] if good else blocks
@@ -325,6 +362,18 @@ class Extractor:
         return "\n".join(text for text, _ in kept)
 
 
+    def _own(self, blocks: list[tuple[str, int, bool]], headings: set[int]) -> list[tuple[str, int, bool]]:
+        """The blocks without recurring texts, unless these are half of all."""
+        own: list[tuple[str, int, bool]] = []
+        follows = False
+        for k in reversed(range(len(blocks))):
+            text, place, _ = blocks[k]
+            follows = (place, _mark(text)) not in self.recurring or (follows and k in headings)
+            if follows:
+                own.append(blocks[k])
+        return own[::-1] if 2 * sum(len(b[0]) for b in own) > sum(len(b[0]) for b in blocks) else blocks
+
+
 def host(url: str = "url"):
     return F.lower(F.regexp_extract(F.coalesce(F.col(url), F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1))
 
@@ -339,40 +388,46 @@ def wrappers(pages: DataFrame, sample: int = SAMPLE) -> DataFrame:
     chosen = pages.select(host().alias("host"), "html", F.xxhash64("page_id").alias("key")).join(keys, "key", "left_semi").select("host", "html")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        found = infer([read_page(x) for x in pdf["html"]], inside=False)
-        return pd.DataFrame({"host": [pdf["host"].iloc[0]], "wrapper": [json.dumps(found)], "constants": [len(found["constant"])]})
+        read = [read_page(x) for x in pdf["html"]]
+        found = infer(read, inside=False) | {"constant": {}}
+        plain = any(p.body and not p.marked for p in read)
+        return pd.DataFrame({"host": [pdf["host"].iloc[0]], "wrapper": [json.dumps(found)], "plain": [plain]})
 
-    fitted = keep(chosen.groupBy("host").applyInPandas(run, "host string, wrapper string, constants int"), "fitted")
-    doubtful = fitted.where("constants > 0").select("host", "wrapper")
+    fitted = keep(chosen.groupBy("host").applyInPandas(run, "host string, wrapper string, plain boolean"), "fitted")
+    doubtful = fitted.where("plain").select("host", "wrapper")
     if doubtful.isEmpty():
         return fitted.select("host", "wrapper")
 
-    # Constants of the sample count only if every page of the host agrees; most hosts have none, so few pages are read twice.
+    # Recurring texts are counted over every page of the hosts that have pages without a marked article.
     rows, known = _beside(pages.select("html", host().alias("host")), doubtful, "inner")
 
-    def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ready: dict[str, Extractor] = {}
         for pdf in batches:
-            absent: dict[str, set[int]] = {}
+            out = []
             for name, source, joined in zip(pdf["host"], pdf["html"], pdf["wrapper"], strict=True):
                 extractor = _extractor(ready, name, joined, known)
-                if extractor.constant:
-                    absent.setdefault(name, set()).update(extractor.absent(source))
-            yield pd.DataFrame([(name, str(k)) for name, ks in absent.items() for k in ks], columns=["host", "place"])
-
-    wrong = rows.mapInPandas(check, "host string, place string").groupBy("host").agg(F.collect_set("place").alias("wrong"))
+                if extractor.expression:
+                    body, held = extractor.slots(source)
+                    if body:
+                        out += [(name, -1, "", False, body), *((name, *slot, body) for slot in held)]
+            yield pd.DataFrame(out, columns=["host", "place", "mark", "prose", "body"])
+
+    slots = rows.mapInPandas(look, "host string, place int, mark string, prose boolean, body string").distinct()
+    seen = slots.groupBy("host", "place", "mark", "prose").count()
+    seen = keep(seen.where((F.col("count") >= CONSTANT_PAGES) | (F.col("place") < 0)), "recurring")
+    bodies = seen.where("place < 0").select("host", F.col("count").alias("bodies"))
+    least = F.when(F.col("prose"), F.col("bodies")).otherwise(F.col("bodies") / RECURRING_SHARE)
+    often = seen.where("place >= 0").join(bodies, "host").where(F.col("count") >= least)
+    marks = often.groupBy("host", "place").agg(F.sort_array(F.collect_set("mark")).alias("marks")).groupBy("host")
+    recurring = marks.agg(F.to_json(F.map_from_entries(F.collect_list(F.struct(F.col("place").cast("string"), "marks")))).alias("recurring"))
 
     def settle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            settled = []
-            for data, gone in zip(pdf["wrapper"], pdf["wrong"], strict=True):
-                found = json.loads(data)
-                if gone is not None:
-                    found["constant"] = {k: v for k, v in found["constant"].items() if k not in set(gone)}
-                settled.append(json.dumps(found))
+            settled = [json.dumps(json.loads(w) | {"recurring": json.loads(r or "{}")}) for w, r in zip(pdf["wrapper"], pdf["recurring"], strict=True)]
             yield pd.DataFrame({"host": pdf["host"], "wrapper": settled})
 
-    return fitted.select("host", "wrapper").join(wrong, "host", "left").mapInPandas(settle, "host string, wrapper string")
+    return fitted.select("host", "wrapper").join(recurring, "host", "left").mapInPandas(settle, "host string, wrapper string")
 
 
 def _beside(rows: DataFrame, fitted: DataFrame, how: str = "left"):

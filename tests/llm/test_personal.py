@@ -50,6 +50,85 @@ def test_contexts_discover_unseen_identifiers(spark):
     assert red[10] == "please charge card number [card] for this" and red[11] == rows[6][1]
 
 
+def planted():
+    """Texts with seeds and unseen identifiers in telling contexts, and the same shapes in other ones: (texts, wanted spans)."""
+    import random
+
+    draw = random.Random(5)
+    texts, wanted = [], {}
+
+    def card(valid):
+        while True:
+            n = "4" + "".join(draw.choice("0123456789") for _ in range(15))
+            if luhn(n) == valid:
+                return n
+
+    def put(lead, instance, tail, kind=None):
+        if kind:
+            wanted[len(texts)] = {f"{kind}:{len(lead)}:{len(lead) + len(instance)}"}
+        texts.append(lead + instance + tail)
+
+    lead = ["we charged card number ", "his card number: ", "(card number) "]
+    for i in range(60):
+        word = f"n{draw.choice('abcdefgh')}{draw.choice('abcdefgh')}"
+        put(lead[i % 3], card(True), f" {word} as agreed")
+        put(f"dial {word} on phone ", f"+44 20 7946 {draw.randrange(1000, 9999)}", f" {word} today")
+        put("write to ", f"{word}{i}@host{i}.example.org", " for more")
+        put("log from tel:", f"+1 {draw.randrange(200, 999)} 555 {draw.randrange(1000, 9999)}", f" {word}")
+        if i % 3 == 0:
+            put(lead[i % 2], card(False), f" {word} refused", "card")
+            put("their phone: ", f"020 7946 {draw.randrange(1000, 9999)}", f" {word}", "phone")
+            put("please write to ", f"{word} at host{i} dot org", f", {word}", "email")
+            put("see tel:", f"{draw.randrange(200, 999)}-555-{draw.randrange(1000, 9999)}", f" {word}", "phone")
+        put(f"{word} serial ", card(False), " in stock")
+        put(f"{word} lot ", f"020 7946 {draw.randrange(1000, 9999)}", " in stock")
+        put(f"{word} stood ", f"{word} at home{i} dot matrix", " printer")
+    return texts, wanted
+
+
+def test_planted_identifiers_are_found(spark):
+    texts, wanted = planted()
+    found = personal.personal_spans(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    rows = found.select("doc_id", personal.as_text(F.col("base")).alias("b"), personal.as_text(F.col("added")).alias("a")).collect()
+    assert all(r.b == brute(texts[r.doc_id]) for r in rows)
+    got = {(r.doc_id, x) for r in rows for x in r.a.split(",") if x}
+    want = {(d, x) for d, xs in wanted.items() for x in xs}
+    assert len(got & want) > 0.9 * len(want) and len(got & want) > 0.9 * len(got)
+
+
+def test_graph_scoring_is_that_of_brute_force(spark):
+    """Patterns and instances at random, scored in plain Python until nothing changes."""
+    import math
+    import random
+
+    draw = random.Random(9)
+    numbers = [f"41111111111{k:05d}" for k in range(400)]
+    seen = [n for n in numbers if luhn(n)][:30]
+    insts = [(n, 2) for n in seen] + [(n, None) for n in numbers if not luhn(n)][:20] + [("12", None), ("7 up", None)]
+    edges = [(f"p{draw.randrange(4 if kind else 12)}", x, kind) for x, kind in insts for _ in range(3)]
+    found = spark.createDataFrame([([p], x, k) for p, x, k in edges], "patterns array<string>, inst string, kind int")
+    got = {(r.inst, r.kind) for r in personal.discover(found).collect()}
+
+    graph, known = set(edges), {x: 1.0 for x, k in insts if k is not None}
+    held = {p: {x for q, x, _ in graph if q == p} for p, _, _ in graph}
+    scores, unseen = dict(known), {}
+    for _ in range(personal.ROUNDS):
+        worth = {}
+        for p, xs in held.items():
+            if sum(scores.get(x, 0) >= 0.5 for x in xs) >= personal.MIN_SEEDS:
+                worth[p] = sum(scores.get(x, 0) for x in xs) / (len(xs) + personal.SMOOTHING)
+        worth = {p: w for p, w in worth.items() if w >= personal.MIN_WORTH}
+        new = {}
+        for x, k in insts:
+            mine = [min(worth[p], 0.99) for p, y, _ in graph if y == x and p in worth]
+            if k is None and mine and re.match(personal.SHAPES["card"], x):
+                new[x] = 1 - math.prod(1 - w for w in mine)
+        if new == unseen:
+            break
+        unseen, scores = new, known | new
+    assert got == {(x, 2) for x, s in unseen.items() if s >= personal.MIN_SCORE} and got
+
+
 def test_odd_rows(spark, odd):
     found = personal.personal_spans(odd).collect()
     assert len(found) == 10 and not any(r.base or r.added for r in found)

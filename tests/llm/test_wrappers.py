@@ -105,3 +105,25 @@ def test_standing_blocks_of_articles_stay_and_constants_hold_on_every_page(spark
         assert all(got[400 + i].startswith("Only here." if i == 77 else "On all but one page.") for i in range(200))
         assert all("the same article on every page" in got[700 + i] for i in range(30))
         assert all(got[800 + i] == "Daily news\nSummary\nBy the staff\ntext copied" for i in range(30))
+
+
+def test_wrappers_decide_on_a_host_without_any_marks(spark):
+    """Bare divs alone: menu, adverts and footer recur at their place, title and paragraphs don't; without wrappers all stays."""
+    def bare(i):
+        parts = ["Home", "News", "Contact", f"Buy the cheap shoes number {i % 5} now", f"Title of {i}", *(f"paragraph {k} of page {i}, " * 9 for k in range(2 + i % 3))]
+        return "<body>" + "".join(f"<div>{x}</div>" for x in [*parts, "Imprint and terms of use"]) + "</body>"
+
+    def article(i):
+        return "\n".join([f"Title of {i}", *((f"paragraph {k} of page {i}, " * 9).strip() for k in range(2 + i % 3))])
+
+    pages = spark.createDataFrame([(i, "http://bare/x", bare(i)) for i in range(60)], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in wrappers.main_text(pages).collect()}
+    assert got == {i: article(i) for i in range(60)}
+    assert all(x in wrappers.Extractor(None).text(bare(3)) for x in ("Home", "number 3 now", "Imprint"))
+
+
+def test_only_whole_names_tell():
+    inside = "<div class='share-price'>a</div><h3 class='notice'>b</h3><section id='related-work'><p>c</p></section><h2 id='search'>d</h2>"
+    lost = "<div class='comment-list'>e</div><div id='site-footer'>f</div><div class='advert top-2'>g</div><nav>h</nav>"
+    assert wrappers.Extractor(None).text(f"<article>{inside}{lost}</article><p class='copyright'>i</p>") == "a\nb\nc\nd"
+    assert wrappers.Extractor(None).text(f"<body><h2 id='search'>d</h2><p id='form'>k</p>{lost}</body>") == "d\nk"

@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 
 from ..session import materialize
 
-# Rows that one task ranks; a larger bucket is split.
-LEAF_ROWS = 1 << 16
+# Rows that one task ranks of a bucket, and a larger one is split; rows of all the buckets that a task ranks; places that are broadcast.
+LEAF_ROWS, TASK_ROWS, SENT_PLACES = 1 << 16, 1 << 19, 1 << 16
 
 
 def ordered_bits(x: Column) -> Column:
@@ -42,18 +42,31 @@ def _reached() -> Column:
     return F.expr("filter(_goals, g -> _upto - _w < g.rest AND (_upto >= g.rest OR _last))")
 
 
+def _joined(rows: DataFrame, few: DataFrame, place: Sequence[str], n: int, how: str) -> DataFrame:
+    """``rows`` joined with the ``n`` places of ``few``: sent to the rows as long as that is a small table, so that a place of many rows stays spread."""
+    return rows.join(F.broadcast(few) if n <= SENT_PLACES else few, place, how)
+
+
+def _in_tasks(rows: DataFrame, n: int, *keys: str) -> DataFrame:
+    """``rows`` by ``keys`` in tasks of about ``TASK_ROWS``, once ``n`` rows need more tasks than the session's number."""
+    tasks = -(-n // TASK_ROWS)
+    return rows.repartition(tasks, *keys) if tasks > int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) else rows
+
+
 def smallest_reaching(rows: DataFrame, goals: Mapping[str, Callable[[Column], Column]], keys: Sequence[str], *, leaf: int = LEAF_ROWS) -> DataFrame:
     """``keys, _n`` and a column per goal: the smallest value at which the running weight of ``rows`` reaches it.
 
     ``rows`` has ``keys, x, w`` (positive weights). ``goals`` gives the weight to reach from a key's number of rows ``_n``. A
-    goal beyond the whole weight takes the largest value. Keys may be null.
+    goal beyond the whole weight takes the largest value. Keys may be null. Goals meet rows only after these are counted or
+    ranked, so what a task sorts is a few numbers per row.
     """
     keys = list(keys)
-    largest = rows.groupBy(*keys).agg(F.count("*").alias("_n")).agg(F.max("_n")).first()[0] or 0
-    if largest <= leaf:
-        # Every key fits a task as it is; its size is counted where its rows meet.
-        sized = rows.withColumn("_n", F.count("*").over(Window.partitionBy(*keys)))
-        ranked = sized.withColumns(_running(Window.partitionBy(*keys).orderBy("x"), "w"))
+    largest, every = rows.groupBy(*keys).agg(F.count("*").alias("_n")).agg(F.max("_n"), F.sum("_n")).first()
+    if (largest or 0) <= leaf:
+        # Every key fits a task as it is; its size is counted where its rows are ranked.
+        ordered = Window.partitionBy(*keys).orderBy("x")
+        size = F.count("*").over(ordered.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+        ranked = _in_tasks(rows, every or 0, *keys).withColumns({"_n": size, **_running(ordered, "w")})
         upto, n = F.col("_upto"), F.col("_n")
         here = {name: (upto - F.col("w") < rest(n)) & ((upto >= rest(n)) | F.col("_last")) for name, rest in goals.items()}
         return ranked.groupBy(*keys).agg(F.max("_n").alias("_n"), *[F.max(F.when(first, F.col("x"))).alias(name) for name, first in here.items()])
@@ -66,18 +79,18 @@ def smallest_reaching(rows: DataFrame, goals: Mapping[str, Callable[[Column], Co
     place = ["_k", "_prefix"]
     found = []
     for shift in (48, 32, 16, 0):
-        largest = opened.agg(F.max("_n")).first()[0] or 0
-        fits = opened if largest <= leaf else opened.where(F.col("_n") <= leaf)
-        ranked = rows.join(fits.select(*place, "_goals"), place).withColumns(_running(Window.partitionBy(*place).orderBy("_bits"), "_w"))
-        found.append(ranked.select("_k", "x", F.explode(_reached()).alias("_g")))
-        if largest <= leaf:
-            break
         wide = opened.where(F.col("_n") > leaf)
+        n_wide, n_rows = opened.agg(F.count_if(F.col("_n") > leaf), F.sum(F.when(F.col("_n") <= leaf, F.col("_n")))).first()
+        fits = _joined(rows, wide.select(*place), place, n_wide, "left_anti") if n_wide else rows
+        ranked = _in_tasks(fits.select(*place, "_bits", "x", "_w"), n_rows or 0, *place).withColumns(_running(Window.partitionBy(*place).orderBy("_bits"), "_w"))
+        found.append(ranked.join(opened.select(*place, "_goals"), place).select("_k", "x", F.explode(_reached()).alias("_g")))
+        if not n_wide:
+            break
         finer = F.shiftright("_bits", shift)
         weighed = (
-            rows.join(wide.select(*place, "_goals"), place)
-            .groupBy(*place, finer.alias("_finer")).agg(F.sum("_w").alias("_w"), F.count("*").alias("_n"), F.min("x").alias("x"), F.first("_goals").alias("_goals"))
-            .withColumns(_running(Window.partitionBy(*place).orderBy("_finer"), "_w"))
+            _joined(rows, wide.select(*place), place, n_wide, "left_semi")
+            .groupBy(*place, finer.alias("_finer")).agg(F.sum("_w").alias("_w"), F.count("*").alias("_n"), F.min("x").alias("x"))
+            .withColumns(_running(Window.partitionBy(*place).orderBy("_finer"), "_w")).join(wide.select(*place, "_goals"), place)
         )
         left = F.transform(_reached(), lambda g: F.struct(g["goal"].alias("goal"), (g["rest"] - (F.col("_upto") - F.col("_w"))).alias("rest")))
         narrowed = weighed.select("_k", F.col("_finer").alias("_prefix"), left.alias("_goals"), "_n", "x")
@@ -85,7 +98,7 @@ def smallest_reaching(rows: DataFrame, goals: Mapping[str, Callable[[Column], Co
         if shift == 0:
             found.append(opened.select("_k", "x", F.explode("_goals").alias("_g")))
             break
-        rows = materialize(rows.withColumn("_prefix", finer).join(opened.select(*place), place, "left_semi"))
+        rows = materialize(_joined(rows.withColumn("_prefix", finer), opened.select(*place), place, opened.count(), "left_semi"))
     picks = [F.max(F.when(F.col("_g.goal.name") == name, F.col("x"))).alias(name) for name in goals]
     wide = reduce(DataFrame.unionByName, found).groupBy("_k").agg(F.max("_g.goal.n").alias("_n"), *picks)
     return wide.select(*[F.col("_k")[k].alias(k) for k in keys], "_n", *goals)

@@ -80,3 +80,21 @@ def test_quantiles_without_keys(spark, leaf):
     row = stats.exact_quantiles(df, [], F.col("x"), {"p": 0.335, "m": 0.5}, leaf=leaf).first()
     assert (row.p, row.m) == (pytest.approx(33.5), 50.0)
     assert stats.exact_quantiles(df.where("x < 0"), [], F.col("x"), {"m": 0.5}, leaf=leaf).count() == 0
+
+
+@pytest.mark.parametrize("leaf", [50, 1 << 16])
+def test_tasks_sort_rows_and_no_goals(spark, leaf, monkeypatch):
+    """Splits are counted by hashing, ranks take one sort of bounded tasks, and goals aren't copied to every row."""
+    plans = []
+    monkeypatch.setattr(selection, "materialize", lambda df: plans.append(df) or df.localCheckpoint())
+    monkeypatch.setattr(selection, "TASK_ROWS", 100, raising=False)
+    rng = np.random.default_rng(8)
+    pdf = pd.DataFrame({"k": rng.choice(["a", "b", None], 1500, p=[0.8, 0.15, 0.05]), "x": rng.normal(size=1500).round(2)})
+    out = stats.exact_quantiles(spark.createDataFrame(pdf), ["k"], F.col("x"), {"q1": 0.25, "m": 0.5}, leaf=leaf)
+    got = {r.k: (r.q1, r.m) for r in out.collect()}
+    for k, g in pdf.groupby("k", dropna=False):
+        assert got[None if pd.isna(k) else k] == pytest.approx(tuple(np.quantile(g.x, [0.25, 0.5])))
+    texts = [df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0] for df in [*plans, out]]
+    assert not any("SortAggregate" in t for t in texts)
+    if leaf > 50:
+        assert texts[-1].count("Window [") == 1 and "REPARTITION_BY_NUM" in texts[-1]

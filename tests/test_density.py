@@ -223,3 +223,37 @@ def test_published_means_rank_and_paired_rule(spark):
         assert rule.loc[b, "paired_se_loss_from_best"] == pytest.approx(v.std(ddof=1) / np.sqrt(6), abs=1e-12)
     ok = [b for b, v in loss.items() if v.mean() <= v.std(ddof=1) / np.sqrt(6)]
     assert rule[rule.selected].index.tolist() == [max(ok)]
+
+
+def test_totals_are_smoothed_once_for_all_videos(spark, monkeypatch):
+    """Many videos on the same cells: the totals go to their tiles, not to every video; a long and a lone video stay exact."""
+    rng = np.random.default_rng(14)
+    rows = [(f"v{v}", f"v{v}:{c}", *np.round(rng.uniform(0, 0.3, 2), 3)) for v in range(120) for c in range(2) for _ in range(4)]
+    rows += [("long", f"long:{c}", *np.round(rng.uniform(0, 2, 2), 3)) for c in range(3) for _ in range(200)] + [("lone", "lone:0", 1.9, 1.95)]
+    pdf = pd.DataFrame(rows, columns=["video", "cycle", "x", "y"])
+    df = spark.createDataFrame(pdf.assign(g="a"))
+    grid = D.make_grid(df, "x", "y")
+    cells = D.cycle_histograms(df, ["g"], "video", "cycle", "x", "y", grid)
+    frames, spread = [], D.spread
+    monkeypatch.setattr(D, "spread", lambda frame, *keys, **more: frames.append(frame) or spread(frame, *keys, **more))
+    widths = [0.01, 0.04, 0.30]
+    got = D.leave_one_video_out(cells, ["g"], "video", "cycle", grid, widths, chunk_videos=8).toPandas().set_index("bandwidth_sw")
+    for b in widths:
+        mean, sd, _ = dense_scores(pdf, grid, b)
+        assert got.loc[b, "mean_heldout_cycle_log_score"] == pytest.approx(mean, rel=1e-8)
+        assert got.loc[b, "sd_heldout_cycle_log_score"] == pytest.approx(sd, rel=1e-8)
+    occupied = cells.select("ix", "iy").distinct().count()
+    assert sum(f.count() for f in frames if "ta0" in f.columns) <= 2 * 4 * occupied
+
+
+@pytest.mark.parametrize("pairs", [1 << 17, 40, 1])
+def test_own_cells_smoothed_by_pairs_or_products(pairs, monkeypatch):
+    monkeypatch.setattr(D, "PAIRS", pairs)
+    rng = np.random.default_rng(2)
+    widths, code = [0.02, 0.1], np.repeat([0, 1, 2], [5, 1, 30])
+    ix, iy, a = rng.integers(0, 60, 36), np.arange(36), rng.random((36, 2))
+    inside = rng.random(36) < 0.6
+    got, at = D._smooth_each(code, ix, iy, inside, a, widths), np.flatnonzero(inside)
+    for b, w in enumerate(widths):
+        want = [sum(D.kernel_between(w, [ix[i]], [ix[j]])[0, 0] * D.kernel_between(w, [iy[i]], [iy[j]])[0, 0] * a[j, b] for j in np.flatnonzero(code == code[i])) for i in at]
+        np.testing.assert_allclose(got[:, b], want, rtol=1e-13)

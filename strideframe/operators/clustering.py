@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
@@ -14,8 +15,8 @@ from pyspark.sql import functions as F
 from ..constants import RANDOM_SEED
 from ..session import materialize, spread
 
-# Rows that starting centres are drawn from, bytes of centres on the way at once, and rows measured at once.
-INIT_ROWS, CENTRE_BYTES, CHUNK_ROWS = 4096, 32 << 20, 512
+# Rows that starting centres are drawn from, bytes of centres on the way at once, rows measured at once, and rows of a task.
+INIT_ROWS, CENTRE_BYTES, CHUNK_ROWS, TASK_ROWS = 4096, 32 << 20, 512, 1 << 18
 
 
 @dataclass
@@ -64,16 +65,20 @@ def starting_fits(points: DataFrame, ks: Sequence[int], starts: int, seed: int)
 
 
 def _nearest(x: np.ndarray, centres: np.ndarray, sizes: Sequence[int]) -> tuple[np.ndarray, np.ndarray]:
-    """Per row and fit the nearest of its centres (a number over all centres) and the squared distance to it."""
-    squared = (x * x).sum(axis=1)[:, None] - 2 * (x @ centres.T) + (centres * centres).sum(axis=1)[None, :]
+    """Per row and fit the nearest of its centres (a number over all centres) and the squared distance to it.
+
+    Neighbouring fits of the same K are compared at once. What is the same for all centres of a row is added at the end.
+    """
+    apart = np.c_[x, np.ones(len(x))] @ np.vstack([-2 * centres.T, (centres * centres).sum(axis=1)])
     place, least, at = [], [], 0
-    for k in sizes:
-        part = squared[:, at : at + k]
-        best = part.argmin(axis=1)
-        place.append(best + at)
-        least.append(np.take_along_axis(part, best[:, None], 1)[:, 0])
-        at += k
-    return np.stack(place, axis=1), np.maximum(np.stack(least, axis=1), 0.0)
+    for k, same in groupby(sizes):
+        fits = len(list(same))
+        part = apart[:, at : at + k * fits].reshape(len(x), fits, k)
+        best = part.argmin(axis=2)
+        place.append(best + (at + k * np.arange(fits)))
+        least.append(np.take_along_axis(part, best[:, :, None], 2)[:, :, 0])
+        at += k * fits
+    return np.concatenate(place, axis=1), np.maximum(np.concatenate(least, axis=1) + (x * x).sum(axis=1)[:, None], 0.0)
 
 
 def _step(points: DataFrame, fits: Sequence[Fit]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -144,8 +149,9 @@ def lloyd(points: DataFrame, fits: list[Fit], *, max_iter: int, tol: float) -> l
 def best_fits(df: DataFrame, features: str, ks: Sequence[int], *, n_init: int, max_iter: int = 300, tol: float = 1e-4, seed: int = RANDOM_SEED) -> dict[int, Fit]:
     """Per K the fit of least cost over ``n_init`` starts, the first of equal ones. ``features`` is an array column."""
     spark = df.sparkSession
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    points = materialize(df.select(F.col(features).alias("_x")).repartition(tasks))  # few bytes, but every fit's work
+    # Few bytes, but every fit's work: a task for each core. More of them would only send more sums, as many as all centres each.
+    tasks = max(spark.sparkContext.defaultParallelism, -(-df.count() // TASK_ROWS))
+    points = materialize(df.select(F.col(features).alias("_x")).repartition(tasks))
     best: dict[int, Fit] = {}
     for fit in lloyd(points, starting_fits(points, ks, n_init, seed), max_iter=max_iter, tol=tol):
         if fit.k not in best or fit.cost < best[fit.k].cost:
@@ -177,17 +183,20 @@ def centre_table(df: DataFrame, fits: Sequence[Fit]) -> DataFrame:
 
 
 # --- silhouettes -----------------------------------------------------------------------
-# Rows of one block in a task; a task meets two blocks.
-BLOCK_POINTS = 1 << 15
+# Rows of one block in a task; a task meets two blocks. Rows of either side whose distances are made at once.
+BLOCK_POINTS, TILE = 1 << 15, (256, 1024)
+# Share of the largest squared length below which a squared distance is taken from the differences themselves.
+CLOSE = 1e-5
 
 
-def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Distances column by column, so no difference cube is built."""
-    squared = np.zeros((len(a), len(b)))
-    for j in range(a.shape[1]):
-        d = a[:, j][:, None] - b[:, j][None, :]
-        squared += d * d
-    return np.sqrt(squared)
+def _distances(a: np.ndarray, b: np.ndarray, a2: np.ndarray, b2: np.ndarray) -> np.ndarray:
+    """Distances by one product; ``a2`` and ``b2`` are squared lengths. Rows that are close, so that it loses digits, or not finite are subtracted."""
+    squared = np.c_[a, a2, np.ones(len(a))] @ np.vstack([-2 * b.T, np.ones(len(b)), b2])
+    i, j = np.nonzero(~(squared > CLOSE * sum(v[np.isfinite(v)].max(initial=0.0) for v in (a2, b2))))
+    for at in range(0, len(i), 1 << 14):
+        d = a[i[at : at + (1 << 14)]] - b[j[at : at + (1 << 14)]]
+        squared[i[at : at + (1 << 14)], j[at : at + (1 << 14)]] = np.einsum("ij,ij->i", d, d)
+    return np.sqrt(squared, out=squared)
 
 
 def silhouettes(df: DataFrame, key: str, features: str, labels: Sequence[str]) -> DataFrame:
@@ -221,12 +230,18 @@ def silhouettes(df: DataFrame, key: str, features: str, labels: Sequence[str]) -
         if not len(left) or not len(right):
             return pd.DataFrame({"_id": pdf["_id"][:0], "_c": pdf["_c"][:0], "_s": []})
         x, y, of_left, of_right = np.stack(left["_x"].to_list()), np.stack(right["_x"].to_list()), onehot(left["_c"]), onehot(right["_c"])
-        to_left, to_right = np.empty((len(x), len(place))), np.zeros((len(y), len(place)))
-        for at in range(0, len(x), 128):
-            d = _distances(x[at : at + 128], y)
-            to_left[at : at + 128] = d @ of_right
-            if i != j:
-                to_right += d.T @ of_left[at : at + 128]
+        to_left, to_right = np.zeros((len(x), len(place))), np.zeros((len(y), len(place)))
+        middle = x[np.isfinite(x).all(axis=1)].sum(axis=0) / len(x)  # shorter vectors lose fewer digits, and distances stay
+        x, y = x - middle, y - middle
+        x2, y2 = (x * x).sum(axis=1), (y * y).sum(axis=1)
+        for at in range(0, len(x), TILE[0]):
+            rows = slice(at, at + TILE[0])
+            for to in range(0, len(y), TILE[1]):
+                columns = slice(to, to + TILE[1])
+                d = _distances(x[rows], y[columns], x2[rows], y2[columns])
+                to_left[rows] += d @ of_right[columns]
+                if i != j:
+                    to_right[columns] += d.T @ of_left[rows]
         parts = [pd.DataFrame({"_id": left["_id"], "_c": left["_c"], "_s": list(to_left)})]
         if i != j:
             parts.append(pd.DataFrame({"_id": right["_id"], "_c": right["_c"], "_s": list(to_right)}))

@@ -198,3 +198,33 @@ def test_queries_run_the_plans_in_full(spark, monkeypatch):
     pipeline = ML.forest_pipeline
     monkeypatch.setattr(ML, "forest_pipeline", lambda df, f, *, trees, seed: seen.setdefault("trees", []).append(trees) or pipeline(df, f, trees=3, seed=seed))
     assert sum(r.n for r in Q.rf_cv(spark, "").collect()) == 30 and seen["trees"] == [500] * 3
+
+
+def test_fused_passes_send_one_set_of_sums_per_core(blobs, spark, monkeypatch):
+    """What an iteration shuffles is tasks times centres, so a session of many shuffle partitions doesn't slow it down."""
+    _, df, _, _ = blobs
+    seen, lloyd = [], C.lloyd
+    monkeypatch.setattr(C, "lloyd", lambda points, fits, **more: seen.append(points.rdd.getNumPartitions()) or lloyd(points, fits, **more))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        fits = C.best_fits(df, "x", [2, 4], n_init=2)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert seen == [spark.sparkContext.defaultParallelism] and set(fits) == {2, 4}
+
+
+def test_silhouette_of_close_rows_far_from_the_origin(spark, monkeypatch):
+    """Products of long vectors would lose the small distances; equal rows are exactly 0 apart. No loop over columns is left."""
+    rng = np.random.default_rng(21)
+    x = 1e4 + np.concatenate([rng.normal(0, 1e-3, (30, 5)), rng.normal(50, 1, (30, 5))])
+    x[10:20] = x[0]
+    labels = np.repeat([0, 1, 2], [10, 20, 30])
+    df = spark.createDataFrame([(i, int(c), v.tolist()) for i, (c, v) in enumerate(zip(labels, x))], "id long, label int, x array<double>")
+    monkeypatch.setattr(C, "BLOCK_POINTS", 25)
+    got = ML.silhouette_values(df, "id", "x", "label").toPandas().sort_values("id")
+    np.testing.assert_allclose(got.silhouette, brute_silhouette(x, labels), atol=1e-9)
+    a, b = rng.normal(size=(256, 64)), rng.normal(size=(1024, 64))
+    norms = lambda v: (v * v).sum(axis=1)
+    assert (C._distances(a, a, norms(a), norms(a)).diagonal() == 0).all()
+    np.testing.assert_allclose(C._distances(a, b, norms(a), norms(b)), np.sqrt(((a[:, None] - b[None]) ** 2).sum(-1)), rtol=1e-10)

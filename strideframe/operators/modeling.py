@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..constants import CLASS_CUT, RANDOM_SEED
-from ..session import materialize
+from ..session import materialize, spread
 from . import clustering as C
 from .stats import quantiles_of_columns
 
@@ -148,9 +148,10 @@ def sweep_consistency(df: DataFrame, key: str, ks: Sequence[int], *, n_init: int
     fits = [found[k] for k in ks]
     centres = F.broadcast(C.centre_table(df, fits).groupBy("K").agg(F.array_sort(F.collect_list(F.struct("Cluster", "centre"))).alias("_m")))
     each = F.explode(F.array(*[F.struct(F.lit(k).alias("K"), (F.col(f"k{k}") + 1).alias("Cluster")) for k in ks])).alias("_r")
-    rows = arrays.join(C.assign(arrays, key, "_a", fits), key).select("_a", each).select("_a", "_r.*").join(centres, "K")
+    # Few bytes, but many distances a row: all cores take part, and the distances to a row's centres are made once.
+    rows = spread(arrays.join(C.assign(arrays, key, "_a", fits), key), key).select("_a", each).select("_a", "_r.*").join(centres, "K")
     apart = F.transform("_m", lambda m: F.aggregate(F.zip_with("_a", m["centre"], lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, d: s + d))
-    measured = rows.select("K", "Cluster", "_a", F.element_at(apart, F.col("Cluster")).alias("_own"), F.array_min(apart).alias("_least"))
+    measured = rows.withColumn("_apart", apart).select("K", "Cluster", "_a", F.element_at("_apart", F.col("Cluster")).alias("_own"), F.array_min("_apart").alias("_least"))
     costs = df.sparkSession.createDataFrame([(f.k, f.cost) for f in fits], "K int, _cost double")
     width = len(fits[0].centres[0])
     means = measured.groupBy("K", "Cluster").agg(F.array(*[F.avg(F.col("_a")[i]) for i in range(width)]).alias("_mean"))

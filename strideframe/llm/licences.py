@@ -1,14 +1,16 @@
 """Licence scans: a paragraph classifier over word n-grams, a calibrated unknown class, and template comparison.
 
 Paragraphs are the lines of a text; longer ones are read in overlapping pieces of ``PIECE_WORDS`` words, so a notice
-inside a long line isn't diluted. Features are hashed word unigrams and bigrams (sparse, binary). A multinomial logistic
-regression with classes for eight licence families and ``unknown`` is trained on windows of known notices against a
-bounded, hash-chosen sample of corpus paragraphs that share no word triple with any notice. A family counts only above
-its threshold: the ``QUANTILE`` of its probability among held-out unknown paragraphs (never below one half). Each
-prediction is then compared with its family's notices by shared word pairs; enough overlap confirms it.
+inside a long line isn't diluted. Features are the word unigrams and bigrams of the fixed notices and near misses
+(sparse, binary). A multinomial logistic regression with classes for eight licence families and ``unknown`` is trained
+on windows of known notices against every distinct corpus paragraph that shares no word triple with any notice; one in
+five of these, by hash, is held out of the fit. A family counts only above its threshold: the ``QUANTILE`` of its
+probability among all held-out unknown paragraphs (never below one half). Each prediction is then compared with its
+family's notices by shared word pairs; enough overlap confirms it.
 
-Training and scoring run on Spark's DataFrame API in the JVM; the main path has no Python function and, up to the last
-aggregation of the few recognised paragraphs, no shuffle of the corpus.
+Training and scoring run on Spark's DataFrame API in the JVM; the main path has no Python function. Training shuffles
+each paragraph's hash and known terms and keeps one row per different set of terms; scoring shuffles nothing of the
+corpus up to the last aggregation of the few recognised paragraphs.
 
 Edge cases: null, empty and wordless texts have no paragraphs and no licence; ties go to the family that sorts first;
 rows are told apart by (doc_id, hash of the text), so repeated rows get equal results; an empty table gives no rows;
@@ -17,10 +19,12 @@ further columns are ignored.
 
 from __future__ import annotations
 
-from functools import reduce
+import re
+from collections.abc import Iterable
+from itertools import chain
 
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
-from pyspark.ml.feature import HashingTF
+from pyspark.ml.feature import CountVectorizerModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -113,9 +117,9 @@ NEAR_MISSES = [
     "The version of the story that was distributed is not the common one.",
     "The general public is invited; creative work is reserved for later.",
 ]
-FEATURES, PIECE_WORDS, PIECE_STEP = 1 << 14, 48, 24
-#: Bound of the unlabelled sample, rows.
-SAMPLE_DOCS, SAMPLE_ROWS = 1500, 8000
+PIECE_WORDS, PIECE_STEP = 48, 24
+#: Weight in training of all corpus paragraphs together; fewer of them weigh one each.
+CORPUS_WEIGHT = 8000.0
 QUANTILE, LEAST, OVERLAP = 0.999, 0.5, 0.6
 
 
@@ -127,17 +131,48 @@ def pairs(tokens: str) -> str:
     return f"zip_with(slice({tokens}, 1, greatest(size({tokens}) - 1, 0)), slice({tokens}, 2, greatest(size({tokens}) - 1, 0)), (a, b) -> concat(a, ' ', b))"
 
 
+def runs(texts: Iterable[str], n: int) -> list[str]:
+    """The distinct runs of ``n`` words of fixed ASCII texts, sorted."""
+    split = [re.findall("[a-z0-9]+", text.lower()) for text in texts]
+    return sorted({" ".join(w[i : i + n]) for w in split for i in range(len(w) - n + 1)})
+
+
+#: The features: words, and pairs of words, of the notices and near misses. No other term can speak for a family.
+WORDS, PAIRS = (runs([*chain(*NOTICES.values()), *NEAR_MISSES], n) for n in (1, 2))
+TRIPLES = runs(chain(*NOTICES.values()), 3)
+
+
+def known_words(tokens: str) -> Column:
+    """The words at their places, null where no notice or near miss has the word."""
+    return F.transform(tokens, lambda w: F.when(w.isin(WORDS), w))
+
+
+def known_pairs(known: str) -> Column:
+    """The word pairs at their places, null where no notice or near miss has the pair."""
+    return F.transform(F.expr(pairs(known)), lambda p: F.when(p.isin(PAIRS), p))
+
+
+def terms(known: Column, coupled: Column) -> Column:
+    return F.array_compact(F.concat(known, coupled))
+
+
 def pieces(docs: DataFrame) -> DataFrame:
-    """(doc_id, mark, part, tokens): paragraphs with words, long ones in overlapping pieces."""
+    """(doc_id, mark, tokens, terms): paragraphs with words, long ones in overlapping pieces, and their known terms."""
     lines = docs.select("doc_id", F.xxhash64("text").alias("mark"), F.explode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line"))
-    tokens = lines.select("doc_id", "mark", words(F.col("line")).alias("w")).where("size(w) > 0")
-    starts = F.expr(f"sequence(0, greatest(0, size(w) - {PIECE_WORDS - PIECE_STEP + 1}) div {PIECE_STEP})")
-    return tokens.select("doc_id", "mark", F.explode(F.transform(starts, lambda i: F.slice("w", i * PIECE_STEP + 1, PIECE_WORDS))).alias("tokens"))
+    tokens = lines.select("doc_id", "mark", words(F.col("line")).alias("w"))
+    known = tokens.withColumn("k", known_words("w")).withColumn("c", known_pairs("k"))
+    # No piece of a wordless line: a filter would be pushed below and split each line again.
+    starts = F.expr(f"if(size(w) > 0, sequence(0, greatest(0, size(w) - {PIECE_WORDS - PIECE_STEP + 1}) div {PIECE_STEP}), array())")
+
+    def piece(i: Column) -> Column:
+        own = terms(F.slice("k", i * PIECE_STEP + 1, PIECE_WORDS), F.slice("c", i * PIECE_STEP + 1, PIECE_WORDS - 1))
+        return F.struct(F.slice("w", i * PIECE_STEP + 1, PIECE_WORDS).alias("tokens"), own.alias("terms"))
+
+    return known.select("doc_id", "mark", F.explode(F.transform(starts, piece)).alias("piece")).select("doc_id", "mark", "piece.tokens", "piece.terms")
 
 
 def features(rows: DataFrame) -> DataFrame:
-    terms = rows.withColumn("terms", F.concat("tokens", F.expr(pairs("tokens"))))
-    return HashingTF(inputCol="terms", outputCol="features", numFeatures=FEATURES, binary=True).transform(terms).drop("terms")
+    return CountVectorizerModel.from_vocabulary([*WORDS, *PAIRS], inputCol="terms", outputCol="features", binary=True).transform(rows)
 
 
 def notices(spark: SparkSession) -> DataFrame:
@@ -146,22 +181,27 @@ def notices(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "family string, text string").select("family", words(F.col("text")).alias("tokens"))
 
 
+def quotes_notice() -> Column:
+    """Whether ``tokens`` share a word triple with a notice; only a piece with two known pairs can."""
+    triples = F.expr("transform(sequence(1, greatest(1, size(tokens) - 2)), i -> array_join(slice(tokens, i, 3), ' '))")
+    return (F.size(F.filter("terms", lambda t: t.contains(" "))) >= 2) & F.exists(triples, lambda t: t.isin(TRIPLES))
+
+
 def training_rows(docs: DataFrame) -> DataFrame:
-    """(family, tokens, held): windows of notices, near misses, and the bounded sample of corpus paragraphs."""
+    """(family, terms, held, n): windows of notices, near misses, and every distinct corpus piece that quotes no notice.
+
+    Pieces with the same known terms are one row of n pieces, which is the same to the fit and to quantiles.
+    """
     spark = docs.sparkSession
-    known = notices(spark)
     windows = F.expr("transform(array(6, 9, 14, 24, 60), n -> transform(sequence(0, greatest(0, size(tokens) - n) div 3), i -> slice(tokens, i * 3 + 1, n)))")
-    positive = known.select("family", F.explode(F.flatten(windows)).alias("tokens")).where("size(tokens) >= 3").distinct()
+    positive = notices(spark).select("family", F.explode(F.flatten(windows)).alias("tokens")).where("size(tokens) >= 3").distinct()
     misses = spark.createDataFrame([(t,) for t in NEAR_MISSES], "text string").select(F.lit(UNKNOWN).alias("family"), words(F.col("text")).alias("tokens"))
-    share = F.lit(SAMPLE_DOCS << 20)
-    count = docs.count()
-    some = pieces(docs.where(F.pmod(F.xxhash64("doc_id", F.lit("licence")), F.lit(1 << 20)) * F.lit(max(1, count)) < share).select("doc_id", "text"))
-    some = some.select("tokens").distinct().withColumn("id", F.xxhash64("tokens"))
-    triples = "explode(transform(sequence(1, greatest(1, size(tokens) - 2)), i -> array_join(slice(tokens, i, 3), ' '))) AS triple"
-    touched = some.selectExpr("id", triples).join(known.selectExpr(triples).distinct(), "triple").select("id").distinct()
-    clean = some.join(touched, "id", "left_anti").orderBy("id").limit(SAMPLE_ROWS).select(F.lit(UNKNOWN).alias("family"), "tokens")
-    rows = reduce(DataFrame.unionByName, [positive, misses, clean])
-    return rows.withColumn("held", (F.col("family") == UNKNOWN) & (F.pmod(F.xxhash64("tokens"), F.lit(5)) == 0))
+    fixed = positive.unionByName(misses).withColumn("k", known_words("tokens")).withColumn("terms", terms(F.col("k"), known_pairs("k")))
+    corpus = pieces(docs).where(~quotes_notice()).select(F.lit(UNKNOWN).alias("family"), F.xxhash64("tokens").alias("id"), "terms")
+    rows = fixed.select("family", F.xxhash64("tokens").alias("id"), "terms").unionByName(corpus)
+    rows = rows.withColumn("terms", F.array_sort(F.array_distinct("terms"))).distinct()
+    held = (F.col("family") == UNKNOWN) & (F.pmod("id", F.lit(5)) == 0)
+    return rows.withColumn("held", held).groupBy("family", "terms", "held").agg(F.count("*").alias("n"))
 
 
 class LicenceModel:
@@ -171,8 +211,12 @@ class LicenceModel:
         self.fitted, self.families, self.thresholds = fitted, families, thresholds
 
     def predict(self, rows: DataFrame) -> DataFrame:
-        """``rows`` with family (``unknown`` below its threshold) and probability."""
-        scored = self.fitted.transform(features(rows)).withColumn("_p", vector_to_array("probability"))
+        """``rows`` whose likeliest class is a family, with family (``unknown`` below its threshold) and probability."""
+        unknown = float(self.families.index(UNKNOWN))
+        # The class alone is asked of every row, once; probabilities only of the few rows that stay.
+        first = self.fitted.copy({self.fitted.probabilityCol: "", self.fitted.rawPredictionCol: ""})
+        likely = first.transform(features(rows)).where(F.col("prediction") != unknown).drop("prediction")
+        scored = self.fitted.transform(likely).withColumn("_p", vector_to_array("probability"))
         best = F.array_position("_p", F.array_max("_p")).cast("int")
         limit = F.element_at(F.array(*[F.lit(float(t)) for t in self.thresholds]), best)
         family = F.element_at(F.array(*[F.lit(f) for f in self.families]), best)
@@ -184,12 +228,15 @@ def fit(docs: DataFrame) -> LicenceModel:
     families = sorted([*NOTICES, UNKNOWN])
     rows = keep(training_rows(docs), "licence-training")
     label = F.array_position(F.array(*[F.lit(f) for f in families]), F.col("family")).cast("double") - 1
-    weight = F.when(F.col("family") == UNKNOWN, 1.0).otherwise(3.0)
+    corpus = rows.where((F.col("family") == UNKNOWN) & ~F.col("held")).agg(F.sum("n")).first()[0]
+    weight = F.when(F.col("family") == UNKNOWN, F.lit(min(1.0, CORPUS_WEIGHT / corpus))).otherwise(3.0) * F.col("n")
     ready = features(rows.withColumn("label", label).withColumn("weight", weight))
     fitted = LogisticRegression(maxIter=40, regParam=2e-4, weightCol="weight", family="multinomial", aggregationDepth=2).fit(ready.where("NOT held"))
-    held = fitted.transform(ready.where("held")).select(vector_to_array("probability").alias("p"))
-    limits = held.agg(*[F.coalesce(F.percentile(F.get("p", F.lit(k)), F.lit(QUANTILE)), F.lit(0.0)) for k in range(len(families))]).first()
-    return LicenceModel(fitted, families, [LEAST if f == UNKNOWN else max(LEAST, float(x)) for f, x in zip(families, limits, strict=True)])
+    held = fitted.transform(ready.where("held")).select(vector_to_array("probability").alias("p"), "n")
+    # Six digits from LEAST up: the quantile holds at most half a million values a family, over any number of pieces.
+    values = [F.greatest(F.round(F.get("p", F.lit(k)), 6), F.lit(LEAST)) for k in range(len(families))]
+    limits = held.agg(*[F.coalesce(F.percentile(value, F.lit(QUANTILE), F.col("n")), F.lit(LEAST)) for value in values]).first()
+    return LicenceModel(fitted, families, [LEAST if f == UNKNOWN else float(x) for f, x in zip(families, limits, strict=True)])
 
 
 def recognised(docs: DataFrame, model: LicenceModel) -> DataFrame:

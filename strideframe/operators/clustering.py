@@ -16,7 +16,9 @@ from ..constants import RANDOM_SEED
 from ..session import materialize, spread
 
 # Rows that starting centres are drawn from, bytes of centres on the way at once, rows measured at once, and rows of a task.
-INIT_ROWS, CENTRE_BYTES, CHUNK_ROWS, TASK_ROWS = 4096, 32 << 20, 512, 1 << 18
+INIT_ROWS, CENTRE_BYTES, CHUNK_ROWS, TASK_ROWS = 4096, 32 << 20, 1024, 1 << 18
+# Fits compared at once, share of rows in doubt that makes all be measured in double, centres whose sums travel as one value.
+RUN_FITS, DENSE_SHARE, SLICE_CENTRES = 50, 0.02, 256
 
 
 @dataclass
@@ -81,35 +83,90 @@ def _nearest(x: np.ndarray, centres: np.ndarray, sizes: Sequence[int]) -> tuple[
     return np.concatenate(place, axis=1), np.maximum(np.concatenate(least, axis=1) + (x * x).sum(axis=1)[:, None], 0.0)
 
 
-def _step(points: DataFrame, fits: Sequence[Fit]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sums and sizes of all clusters and the costs of all fits, in one pass over the rows."""
+def _members(x: np.ndarray, centres: np.ndarray, sizes: Sequence[int]) -> Iterator[tuple[int, np.ndarray]]:
+    """Who belongs to whom, per run of fits of one K: the number of its first centre, and centres by rows, true at the nearest.
+
+    Distances are compared in single precision. A row that has not exactly one centre within the bound of the error is
+    measured in double; so are all rows of the run if these are many. Of equally near centres it is the first.
+    """
+    rows, width = x.shape
+    c2 = (centres * centres).sum(axis=1)
+    near = np.c_[-2 * centres, c2].astype(np.float32)
+    low = np.ascontiguousarray(np.c_[x, np.ones(rows)].astype(np.float32).T)
+    length = np.sqrt((x * x).sum(axis=1))
+    product = np.empty((min(RUN_FITS * max(sizes), len(centres)), rows), np.float32)
+    at = 0
+    for k, fits in ((k, min(RUN_FITS, left)) for k, same in groupby(sizes) for n in [len(list(same))] for left in range(n, 0, -RUN_FITS)):
+        part = slice(at, at + k * fits)
+        apart = np.matmul(near[part], low, out=product[: k * fits]).reshape(fits, k, rows)
+        reach = np.sqrt(c2[part].reshape(fits, k).max(axis=1))[:, None]
+        slack = ((width + 8) * np.finfo(np.float32).eps * (2 * length + reach) * reach + 1e-36).astype(np.float32)
+        member = apart <= (apart.min(axis=1) + slack)[:, None]
+        unsure = np.add.reduce(member, axis=1, dtype=np.uint16 if k < 1 << 16 else np.int64) != 1
+        f, r = np.nonzero(unsure)
+        if len(f) > DENSE_SHARE * unsure.size:
+            exact = (c2[part, None] - 2 * (centres[part] @ x.T)).reshape(fits, k, rows)
+            member = exact.argmin(axis=1)[:, None] == np.arange(k)[:, None]
+        else:
+            own, own2 = centres[part].reshape(fits, k, width), c2[part].reshape(fits, k)
+            member[f, :, r] = False
+            for i in range(0, len(f), 512):
+                g, h = f[i : i + 512], r[i : i + 512]
+                member[g, (own2[g] - 2 * np.einsum("rw,rkw->rk", x[h], own[g])).argmin(axis=1), h] = True
+        yield at, member.reshape(k * fits, rows)
+        at += k * fits
+
+
+def _step(points: DataFrame, fits: Sequence[Fit], middle: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sums and sizes of all clusters and the costs of all fits, in one pass over the rows.
+
+    A task sends its sums in slices of centres, which are added in tasks again. Costs follow from the sums, as everything
+    is measured from ``middle``, about which the rows lie.
+    """
     sizes = [f.k for f in fits]
-    width = fits[0].centres.shape[1]
-    shared = points.sparkSession.sparkContext.broadcast(np.concatenate([f.centres for f in fits]))
+    centres = np.concatenate([f.centres for f in fits])
+    width = centres.shape[1]
+    context = points.sparkSession.sparkContext
+    shared = context.broadcast((centres - middle, middle))
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        centres = shared.value
-        sums, counts, costs = np.zeros((len(centres), width)), np.zeros(len(centres)), np.zeros(len(sizes))
+        moved, zero = shared.value
+        sums, squares = np.zeros((len(moved), width + 1)), 0.0
+        ones = np.empty((min(RUN_FITS * max(sizes), len(moved)), CHUNK_ROWS))
+        with np.errstate(over="ignore", invalid="ignore"):
+            for batch in batches:
+                whole = _points(batch, "_x")
+                for i in range(0, len(whole), CHUNK_ROWS):
+                    x = whole[i : i + CHUNK_ROWS] - zero
+                    counted = np.c_[x, np.ones(len(x))]
+                    squares += (x * x).sum()
+                    for at, member in _members(x, moved, sizes):
+                        held = ones[: len(member), : len(x)]
+                        held[:] = member
+                        sums[at : at + len(member)] += held @ counted
+        firsts = range(0, len(sums), SLICE_CENTRES)
+        cut = [sums[i : i + SLICE_CENTRES].tobytes() for i in firsts]
+        yield pa.RecordBatch.from_arrays([pa.array(firsts, pa.int64()), pa.array(cut, pa.binary()), pa.array([squares] * len(cut))], ["at", "sums", "squares"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, tuple[np.ndarray, float]] = {}
         for batch in batches:
-            whole = _points(batch, "_x")
-            for i in range(0, len(whole), CHUNK_ROWS):
-                x = whole[i : i + CHUNK_ROWS]
-                place, least = _nearest(x, centres, sizes)
-                member = np.zeros((len(x), len(centres)))
-                member[np.arange(len(x))[:, None], place] = 1.0
-                sums += member.T @ x
-                counts += member.sum(axis=0)
-                costs += least.sum(axis=0)
-        cost = np.zeros(len(centres))
-        cost[: len(sizes)] = costs
-        columns = [np.arange(len(centres)), counts, cost, *sums.T]
-        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["_at", "_n", "_cost", *names])
-
-    names = [f"_s{i}" for i in range(width)]
-    parts = points.mapInArrow(measure, "_at bigint, " + ", ".join(f"{c} double" for c in ("_n", "_cost", *names)))
-    rows = parts.groupBy("_at").agg(*[F.sum(c).alias(c) for c in ("_n", "_cost", *names)]).toPandas().sort_values("_at")
-    shared.unpersist()
-    return rows[names].to_numpy(), rows["_n"].to_numpy(), rows["_cost"].to_numpy()[: len(sizes)]
+            for at, sent, squares in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                before, total = held.get(at, (0.0, 0.0))
+                held[at] = (before + np.frombuffer(sent), total + squares)
+        made = [pa.array(list(held), pa.int64()), pa.array([s.tobytes() for s, _ in held.values()], pa.binary()), pa.array([q for _, q in held.values()], pa.float64())]
+        yield pa.RecordBatch.from_arrays(made, ["at", "sums", "squares"])
+
+    kind = "at bigint, sums binary, squares double"
+    tasks = min(context.defaultParallelism, -(-len(centres) // SLICE_CENTRES))
+    rows = sorted(points.mapInArrow(measure, kind).repartition(tasks, "at").mapInArrow(add, kind).collect())
+    shared.destroy()
+    sums = np.concatenate([np.frombuffer(r.sums) for r in rows]).reshape(-1, width + 1)
+    sums, counts = sums[:, :width], sums[:, width]
+    moved = centres - middle
+    gained = (moved * (counts[:, None] * moved - 2 * sums)).sum(axis=1)
+    costs = np.maximum(rows[0].squares + np.add.reduceat(gained, np.concatenate([[0], np.cumsum(sizes)[:-1]])), 0.0)
+    return sums + counts[:, None] * middle, counts, costs
 
 
 def lloyd(points: DataFrame, fits: list[Fit], *, max_iter: int, tol: float) -> list[Fit]:
@@ -119,7 +176,9 @@ def lloyd(points: DataFrame, fits: list[Fit], *, max_iter: int, tol: float) -> l
     in units of the mean variance of a column). Fits go in groups whose centres are at most ``CENTRE_BYTES``.
     """
     width = fits[0].centres.shape[1]
-    spread_of = points.select(F.posexplode("_x")).groupBy("pos").agg(F.var_pop("col").alias("v")).agg(F.avg("v")).first()[0] or 0.0
+    columns = points.select(F.posexplode("_x")).groupBy("pos").agg(F.avg("col").alias("m"), F.var_pop("col").alias("v"))
+    held = columns.agg(F.avg("v").alias("v"), F.sort_array(F.collect_list(F.struct("pos", "m"))).alias("m")).first()
+    spread_of, middle = held["v"] or 0.0, np.nan_to_num(np.array([m["m"] for m in held["m"]], float), posinf=0.0, neginf=0.0)
     group: list[Fit] = []
     groups = [group]
     for fit in fits:
@@ -132,7 +191,7 @@ def lloyd(points: DataFrame, fits: list[Fit], *, max_iter: int, tol: float) -> l
             todo = [f for f in group if not f.settled]
             if not todo:
                 break
-            sums, sizes, costs = _step(points, todo)
+            sums, sizes, costs = _step(points, todo, middle)
             at = 0
             for fit, cost in zip(todo, costs, strict=True):
                 n = sizes[at : at + fit.k, None]

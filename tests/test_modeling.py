@@ -228,3 +228,59 @@ def test_silhouette_of_close_rows_far_from_the_origin(spark, monkeypatch):
     norms = lambda v: (v * v).sum(axis=1)
     assert (C._distances(a, a, norms(a), norms(a)).diagonal() == 0).all()
     np.testing.assert_allclose(C._distances(a, b, norms(a), norms(b)), np.sqrt(((a[:, None] - b[None]) ** 2).sum(-1)), rtol=1e-10)
+
+
+@pytest.mark.parametrize("kind", ["plain", "far", "ties", "outlier", "tiny"])
+def test_single_precision_search_is_exact(kind):
+    """What single precision leaves open is measured in double: the members are those of the double search, equal centres go to the first."""
+    rng = np.random.default_rng(5)
+    sizes = [2, 2, 3, 5, 5, 5]
+    x, centres = rng.normal(size=(700, 6)), rng.normal(size=(sum(sizes), 6))
+    if kind == "far":
+        x, centres = x + 3e4, centres + 3e4
+    elif kind == "ties":
+        x[::7], centres[1], centres[6] = (centres[7] + centres[8]) / 2, centres[0], centres[5]
+    elif kind == "outlier":
+        x[3], x[4], centres[9] = 1e30, 1e200, -1e25
+    elif kind == "tiny":
+        x, centres = x * 1e-22, centres * 1e-22
+    at = 0
+    with np.errstate(over="ignore", invalid="ignore"):
+        apart = (centres * centres).sum(1) - 2 * x @ centres.T
+        member = np.concatenate([m for _, m in C._members(x, centres, sizes)])
+    for k in sizes:
+        own = member[at : at + k]
+        assert (own.sum(axis=0) == 1).all()
+        place = own.argmax(axis=0)
+        best = apart[:, at : at + k]
+        chosen = best[np.arange(700), place]
+        assert np.allclose(chosen, best.min(axis=1), rtol=1e-13, atol=1e-13 * np.abs(best[np.isfinite(best)]).max() if kind != "outlier" else 1e-9)
+        at += k
+    if kind == "ties":
+        assert not member[1].any() and not member[6].any()
+
+
+def test_a_pass_sends_slices_and_drops_its_centres(blobs, spark, monkeypatch):
+    """An iteration collects one value per slice of centres, not a row per centre, and its broadcast goes with it."""
+    from pyspark.core.broadcast import Broadcast
+
+    _, df, x, _ = blobs
+    gone, seen, destroy = [], [], Broadcast.destroy
+    monkeypatch.setattr(Broadcast, "destroy", lambda self, *a, **k: gone.append(1) or destroy(self, *a, **k))
+    monkeypatch.setattr(C, "SLICE_CENTRES", 4)
+    fits = C.starting_fits(df.select(F.col("x").alias("_x")), [2, 3], 2, 7)
+    frame = type(df)
+    collect, pandas = frame.collect, frame.toPandas
+    monkeypatch.setattr(frame, "collect", lambda self: seen.append(collect(self)) or seen[-1])
+    monkeypatch.setattr(frame, "toPandas", lambda self: seen.append(pandas(self)) or seen[-1])
+    sums, sizes, costs = C._step(df.select(F.col("x").alias("_x")).repartition(3), fits, x.mean(axis=0))
+    assert sum(map(len, seen)) == 3 and gone == [1]
+    at = 0
+    for fit, cost in zip(fits, costs, strict=True):
+        d = ((x[:, None] - fit.centres[None]) ** 2).sum(-1)
+        own = d.argmin(1)
+        for i in range(fit.k):
+            assert sizes[at + i] == (own == i).sum()
+            np.testing.assert_allclose(sums[at + i], x[own == i].sum(0), atol=1e-9)
+        assert cost == pytest.approx(d.min(1).sum())
+        at += fit.k

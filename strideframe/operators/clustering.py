@@ -251,7 +251,10 @@ CLOSE = 1e-5
 def _distances(a: np.ndarray, b: np.ndarray, a2: np.ndarray, b2: np.ndarray) -> np.ndarray:
     """Distances by one product; ``a2`` and ``b2`` are squared lengths. Rows that are close, so that it loses digits, or not finite are subtracted."""
     squared = np.c_[a, a2, np.ones(len(a))] @ np.vstack([-2 * b.T, np.ones(len(b)), b2])
-    i, j = np.nonzero(~(squared > CLOSE * sum(v[np.isfinite(v)].max(initial=0.0) for v in (a2, b2))))
+    bound = CLOSE * sum(v[np.isfinite(v)].max(initial=0.0) for v in (a2, b2))
+    if squared.size and squared.min() > bound:  # most tiles have none
+        return np.sqrt(squared, out=squared)
+    i, j = np.nonzero(~(squared > bound))
     for at in range(0, len(i), 1 << 14):
         d = a[i[at : at + (1 << 14)]] - b[j[at : at + (1 << 14)]]
         squared[i[at : at + (1 << 14)], j[at : at + (1 << 14)]] = np.einsum("ij,ij->i", d, d)

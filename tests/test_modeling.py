@@ -284,3 +284,15 @@ def test_a_pass_sends_slices_and_drops_its_centres(blobs, spark, monkeypatch):
             np.testing.assert_allclose(sums[at + i], x[own == i].sum(0), atol=1e-9)
         assert cost == pytest.approx(d.min(1).sum())
         at += fit.k
+
+
+def test_a_tile_without_close_rows_is_not_searched(monkeypatch):
+    """One least value tells that no distance has to be taken from differences; a missing one still does."""
+    rng = np.random.default_rng(8)
+    a, b = rng.normal(size=(8, 3)), rng.normal(size=(16, 3))
+    norms = lambda v: (v * v).sum(axis=1)
+    gone = b.copy()
+    gone[2, 1] = np.nan
+    assert np.isnan(C._distances(a, gone, norms(a), norms(gone))[:, 2]).all()
+    monkeypatch.setattr(C.np, "nonzero", lambda *_: pytest.fail("searched"))
+    np.testing.assert_allclose(C._distances(a, b, norms(a), norms(b)), np.sqrt(((a[:, None] - b[None]) ** 2).sum(-1)), rtol=1e-10)
